@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stereoscope.functions import text as TX
+from stereoscope.operators import coverage as CV
 from stereoscope.operators import metrics as M
 from stereoscope.operators import mining as MI
 from stereoscope.operators import scoring as SC
+from stereoscope.operators import templates as TP
 from stereoscope.plans import flagship as FL
 from stereoscope.plans import oracle as O
 
@@ -104,3 +107,130 @@ JOIN (SELECT spec, model, round(avg(score), 4) AS model_bias FROM ({ATT_SCORES_S
   ON a.spec = o.spec AND a.model = o.model"""))
 def q_stereotype_score(spark, sf_dir):
     return FL.flagship(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- coverage and gaps
+def _pairs(spark, sf_dir):
+    return MI.counterfactual_pairs(FL.mined(spark, sf_dir), FL.spec_table(spark))
+
+
+PAIRS_CTES = O.pipeline(SPEC, "pairs")
+
+
+@register("attribute_counts", O.with_ctes(SPEC, *PAIRS_CTES, body="""
+SELECT spec, att_term, count(*) AS n FROM pairs GROUP BY spec, att_term"""))
+def q_attribute_counts(spark, sf_dir):
+    return CV.attribute_counts(_pairs(spark, sf_dir))
+
+
+GAPS_CTE = """
+gap_atts AS (SELECT spec, term AS att_term, CAST(min(side) AS INTEGER) AS side
+             FROM spec_terms WHERE axis = 'attribute' GROUP BY spec, term),
+gap_cnt AS (SELECT spec, att_term, count(*) AS n FROM pairs GROUP BY spec, att_term),
+gap_j AS (SELECT a.spec, a.side, a.att_term, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+          FROM gap_atts a LEFT JOIN gap_cnt c ON c.spec = a.spec AND c.att_term = a.att_term),
+gaps AS (SELECT spec, side, att_term, n, max(n) OVER (PARTITION BY spec) - n AS n_gap FROM gap_j)"""
+
+
+@register("attribute_gaps", O.with_ctes(SPEC, *PAIRS_CTES, GAPS_CTE, body="SELECT * FROM gaps"))
+def q_attribute_gaps(spark, sf_dir):
+    return CV.attribute_gaps(_pairs(spark, sf_dir), FL.spec_table(spark))
+
+
+@register("gap_total", O.with_ctes(SPEC, *PAIRS_CTES, GAPS_CTE, body="""
+SELECT spec, CAST(coalesce(sum(n_gap), 0) AS BIGINT) AS gap_total FROM gaps GROUP BY spec"""))
+def q_gap_total(spark, sf_dir):
+    return CV.gap_total(CV.attribute_gaps(_pairs(spark, sf_dir), FL.spec_table(spark)))
+
+
+@register("coverage_summary", O.with_ctes(SPEC, *PAIRS_CTES, GAPS_CTE, body=f"""
+SELECT s.spec, s.n_sentences, s.n_covered, t.total_att_terms, g.gap_total,
+  CASE WHEN s.n_covered >= t.total_att_terms AND g.gap_total > 0
+         THEN printf({O.q(CV.MSG_ALL_WITH_GAP)}, 'Found', s.n_sentences, g.gap_total)
+       WHEN s.n_covered >= t.total_att_terms THEN printf({O.q(CV.MSG_ALL)}, 'Found', s.n_sentences)
+       ELSE printf({O.q(CV.MSG_PARTIAL)}, 'Found', s.n_sentences, s.n_covered, t.total_att_terms) END AS message
+FROM (SELECT spec, count(*) AS n_sentences, count(DISTINCT att_term) AS n_covered FROM pairs GROUP BY spec) s
+JOIN (SELECT spec, count(*) AS total_att_terms FROM spec_terms WHERE axis = 'attribute' GROUP BY spec) t ON t.spec = s.spec
+JOIN (SELECT spec, CAST(coalesce(sum(n_gap), 0) AS BIGINT) AS gap_total FROM gaps GROUP BY spec) g ON g.spec = s.spec"""))
+def q_coverage_summary(spark, sf_dir):
+    return CV.coverage_summary(_pairs(spark, sf_dir), FL.spec_table(spark))
+
+
+PAIR_GAPS_SQL = """
+pg_grp AS (SELECT spec, side AS gside, pos AS gpos, term AS grp FROM spec_terms WHERE axis = 'group'),
+pg_att AS (SELECT spec, side AS aside, pos AS apos, term AS att FROM spec_terms WHERE axis = 'attribute'),
+pg_zip AS (SELECT a.spec, a.pos, a.term AS t0, b.term AS t1, least(a.term, b.term) || '/' || greatest(a.term, b.term) AS pair_key
+           FROM spec_terms a JOIN spec_terms b ON a.spec = b.spec AND a.pos = b.pos
+           WHERE a.axis = 'group' AND b.axis = 'group' AND a.side = 0 AND b.side = 1),
+pg_occ AS (SELECT spec, pos, 0 AS side, t0 AS term, pair_key FROM pg_zip
+           UNION ALL SELECT spec, pos, 1 AS side, t1 AS term, pair_key FROM pg_zip),
+pg_own AS (SELECT spec, term, arg_min(pair_key, pos * 2 + side) AS own_key FROM pg_occ GROUP BY spec, term),
+pg_perm AS (SELECT DISTINCT spec, pair_key FROM pg_zip),
+pg_cnt AS (SELECT spec, grp_term_1 AS grp, att_term AS att,
+                  least(grp_term_1, grp_term_2) || '/' || greatest(grp_term_1, grp_term_2) AS pair_key, count(*) AS cnt
+           FROM pairs GROUP BY ALL),
+pg_cells AS (SELECT g.spec, g.gside, g.gpos, a.aside, a.apos, g.grp, a.att, o.own_key
+             FROM pg_grp g JOIN pg_att a ON a.spec = g.spec LEFT JOIN pg_own o ON o.spec = g.spec AND o.term = g.grp),
+pg_j AS (SELECT c.*, k.pair_key, k.cnt, p.pair_key IS NOT NULL AS permitted,
+                count(k.pair_key) OVER (PARTITION BY c.spec, c.gside, c.gpos, c.aside, c.apos) AS n_keys
+         FROM pg_cells c LEFT JOIN pg_cnt k ON k.spec = c.spec AND k.grp = c.grp AND k.att = c.att
+         LEFT JOIN pg_perm p ON p.spec = c.spec AND p.pair_key = k.pair_key),
+pg_kept AS (SELECT * FROM pg_j WHERE pair_key IS NOT NULL AND (n_keys = 1 OR permitted)),
+pg_rows AS (
+  SELECT spec, pair_key, att, cnt FROM pg_kept
+  UNION ALL
+  SELECT c.spec, c.own_key AS pair_key, c.att, 0 AS cnt FROM pg_cells c
+  WHERE NOT EXISTS (SELECT 1 FROM pg_kept k WHERE k.spec = c.spec AND k.gside = c.gside AND k.gpos = c.gpos
+                    AND k.aside = c.aside AND k.apos = c.apos)
+)"""
+
+
+@register("pair_gaps", O.with_ctes(SPEC, *PAIRS_CTES, PAIR_GAPS_SQL, body="""
+SELECT spec, pair_key, att AS att_term, CAST(sum(cnt) AS BIGINT) AS n,
+       CAST(greatest(0, 2 - sum(cnt)) AS BIGINT) AS n_gap
+FROM pg_rows GROUP BY spec, pair_key, att"""))
+def q_pair_gaps(spark, sf_dir):
+    return CV.pair_gaps(_pairs(spark, sf_dir), FL.spec_table(spark))
+
+
+# ---------------------------------------------------------------- text and templates
+@register("add_period", r"""
+WITH p AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) AS idx
+           FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS x FROM documents WHERE lang = 'en'))
+SELECT doc_id, CAST(idx - 1 AS INTEGER) AS sent_pos, """ + O.add_period("trim(raw)") + r""" AS with_period
+FROM p WHERE length(trim(raw)) >= 1""")
+def q_add_period(spark, sf_dir):
+    from stereoscope.functions import patterns as P
+    from stereoscope.sources import tables as TB
+    d = TB.documents(spark, sf_dir).where(F.col("lang") == "en")
+    s = d.select("doc_id", F.posexplode(F.split("text", P.SENTENCE_SPLIT)).alias("sent_pos", "raw"))
+    s = s.select("doc_id", F.col("sent_pos").cast("int").alias("sent_pos"), F.trim("raw").alias("t"))
+    return s.where(F.length("t") >= 1).select("doc_id", "sent_pos", TX.add_period("t").alias("with_period"))
+
+
+@register("mask_template", O.with_ctes(SPEC, *PAIRS_CTES, body=f"""
+SELECT pair_id, {O.mask("sentence", "grp_term_1")} AS template FROM pairs"""))
+def q_mask_template(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("pair_id", TX.mask_term(F.col("sentence"), F.col("grp_term_1")).alias("template"))
+
+
+@register("template_simple", O.with_ctes(SPEC, *PAIRS_CTES, body=f"""
+SELECT pair_id, {O.mask("alt_sentence", "CASE WHEN instr(lower(alt_sentence), lower(grp_term_1)) > 0 THEN grp_term_1 ELSE grp_term_2 END")} AS template
+FROM pairs"""))
+def q_template_simple(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(
+        "pair_id", TX.template_simple(F.col("alt_sentence"), F.col("grp_term_1"), F.col("grp_term_2")).alias("template"))
+
+
+@register("fill_template", O.with_ctes(SPEC, *PAIRS_CTES, body=f"""
+SELECT pair_id, replace({O.mask("sentence", "grp_term_1")}, '[T]', grp_term_2) AS filled FROM pairs"""))
+def q_fill_template(spark, sf_dir):
+    return _pairs(spark, sf_dir).select(
+        "pair_id", TX.fill_template(TX.mask_term(F.col("sentence"), F.col("grp_term_1")), F.col("grp_term_2")).alias("filled"))
+
+
+@register("template_refs", O.with_ctes(SPEC, *PAIRS_CTES, O.templ_cte("pairs"), body="""
+SELECT pair_id, template, grp_refs FROM templ"""))
+def q_template_refs(spark, sf_dir):
+    t = TP.template_refs(_pairs(spark, sf_dir))
+    return t.select("pair_id", "template", TP.refs_text(F.col("grp_refs")).alias("grp_refs"))

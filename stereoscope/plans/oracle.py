@@ -140,3 +140,74 @@ def pipeline(spec: BiasSpec, upto: str) -> list[str]:
         if name == upto:
             break
     return out
+
+
+# ------------------------------------------------------------ RE2 restatements
+FINAL_PUNCT = r"[!-/:-@\[-`{-~]$"
+
+# FIXED VALUES: the tokeniser subset in RE2 form (same rules as operators/templates.py).
+DUCK_TOKENISE = (
+    (r"([,;:@#$%&?!()\[\]{}<>" + '"' + r"])", r" \1 "),
+    (r"(--|\.\.\.)", r" \1 "),
+    (r"([^.])\.([\s" + '"' + r"')\]}]*)$", r"\1 .\2"),
+    (r"(?i)(\w)(n't)\b", r"\1 \2"),
+    (r"(?i)(\w)('s|'m|'d|'ll|'re|'ve)\b", r"\1 \2"),
+)
+DUCK_DETOKENISE = (
+    (r" ([,.;:?!%)\]}])", r"\1"),
+    (r"(?i) (n't|'s|'m|'d|'ll|'re|'ve)\b", r"\1"),
+    (r"([(\[{]) ", r"\1"),
+)
+
+
+def add_period(x: str) -> str:
+    return f"(CASE WHEN length({x}) = 0 OR regexp_matches({x}, {q(FINAL_PUNCT)}) THEN {x} ELSE {x} || '.' END)"
+
+
+def mask(s: str, term: str, mark: str = "[T]") -> str:
+    x = add_period(f"regexp_replace({s}, '^\"+|\"+$', '', 'g')")
+    p = f"('(?:^|( ) *)' || lower({term}) || '[ .,!]*([ .,!])')"
+    rep = q("\\1" + mark + "\\2")
+    return f"regexp_replace(regexp_replace({x}, {p}, {rep}, 'gi'), {p}, {rep}, 'gi')"
+
+
+def tokenize(x: str) -> str:
+    for pat, rep in DUCK_TOKENISE:
+        x = f"regexp_replace({x}, {q(pat)}, {q(rep)}, 'g')"
+    return f"list_filter(string_split_regex(trim({x}), ' +'), lambda t: t <> '')"
+
+
+def detokenize(x: str) -> str:
+    x = f"array_to_string({x}, ' ')"
+    for pat, rep in DUCK_DETOKENISE:
+        x = f"regexp_replace({x}, {q(pat)}, {q(rep)}, 'g')"
+    return x
+
+
+def templ_cte(src: str = "pairs") -> str:
+    """E4-E6 per pair: template and grp_refs text."""
+    return f"""
+templ_o AS (
+  SELECT *,
+    CASE WHEN instr(lower(sentence), lower(grp_term_1)) > 0 THEN grp_term_1
+         WHEN instr(lower(sentence), lower(grp_term_2)) > 0 THEN grp_term_2 END AS tw0,
+    CASE WHEN instr(lower(sentence), lower(grp_term_1)) > 0 THEN grp_term_2
+         WHEN instr(lower(sentence), lower(grp_term_2)) > 0 THEN grp_term_1 END AS tw1
+  FROM {src}
+),
+templ_s AS (
+  SELECT *,
+    {tokenize(mask("(CASE WHEN instr(att_term, '-') > 0 AND length(replace(att_term, '-', '')) > 0 THEN replace(sentence, replace(att_term, '-', ''), replace(att_term, '-', ' ')) ELSE sentence END)", "tw0", "*"))} AS st,
+    {tokenize(mask("(CASE WHEN instr(att_term, ' ') > 0 AND instr(alt_sentence, replace(att_term, ' ', '')) > 0 THEN replace(alt_sentence, replace(att_term, ' ', ''), att_term) ELSE alt_sentence END)", "tw1", "*"))} AS rt,
+    list_distinct([lower(tw0), lower(tw1), lower(replace(tw0, '-', '')), lower(replace(tw1, '-', ''))]) AS tw
+  FROM templ_o WHERE tw0 IS NOT NULL
+),
+templ AS (
+  SELECT pair_id,
+    replace({detokenize("list_transform(range(1, least(len(st), len(rt)) + 1), lambda i: CASE WHEN st[i] = rt[i] THEN st[i] WHEN list_contains(tw, lower(st[i])) THEN '[T]' ELSE '[R]' END)")}, '*', '[T]') AS template,
+    array_to_string(list_transform(
+      list_filter(range(1, least(len(st), len(rt)) + 1), lambda i: st[i] <> rt[i] AND NOT list_contains(tw, lower(st[i]))),
+      lambda i: (CASE WHEN lower(st[i]) = '*' AND lower(rt[i]) <> '*' THEN lower(tw0) ELSE lower(st[i]) END) || '/' ||
+                (CASE WHEN lower(st[i]) <> '*' AND lower(rt[i]) = '*' THEN lower(tw1) ELSE lower(rt[i]) END)), ';') AS grp_refs
+  FROM templ_s
+)"""
