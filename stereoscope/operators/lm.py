@@ -78,8 +78,8 @@ def masked_token_scores(variants: DataFrame, bigrams: DataFrame, keys: list[str]
     toks = toks.where((F.col("first") > 1) & (F.size("tt") > 0))
     rows = toks.select(*keys, "t", "first", F.posexplode("tt").alias("subtok_pos", "tok"))
     rows = rows.select(*keys, "subtok_pos", "tok",
-                       F.element_at("t", F.col("first") + F.col("subtok_pos") - 1).alias("left"),
-                       F.element_at("t", F.col("first") + F.col("subtok_pos") + 1).alias("right"))
+                       F.try_element_at("t", (F.col("first") + F.col("subtok_pos") - 1).cast("int")).alias("left"),
+                       F.try_element_at("t", (F.col("first") + F.col("subtok_pos") + 1).cast("int")).alias("right"))
     b = bigrams
     l1 = (rows.join(b.select(F.col("w1").alias("left"), F.col("w2").alias("tok"), F.col("c12").alias("c_l")),
                     ["left", "tok"], "left")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from stereoscope.functions import text as TX
 from stereoscope.operators import coverage as CV
+from stereoscope.operators import display as DP
+from stereoscope.operators import sampling as SM
 from stereoscope.operators import metrics as M
 from stereoscope.operators import mining as MI
 from stereoscope.operators import scoring as SC
@@ -234,3 +236,153 @@ SELECT pair_id, template, grp_refs FROM templ"""))
 def q_template_refs(spark, sf_dir):
     t = TP.template_refs(_pairs(spark, sf_dir))
     return t.select("pair_id", "template", TP.refs_text(F.col("grp_refs")).alias("grp_refs"))
+
+
+# ---------------------------------------------------------------- result shaping
+FULL_CTES = O.pipeline(SPEC, "scored") + [O.templ_cte("pairs"), """
+fullp AS (SELECT s.*, t.template, t.grp_refs, t.grp_refs_rev, t.refs FROM scored s JOIN templ t ON t.pair_id = s.pair_id)"""]
+
+
+@register("template_scores", O.with_ctes(SPEC, *FULL_CTES, body="""
+SELECT spec, model, pair_id, att_term, template, grp_term_1 || '/' || grp_term_2 AS groups, stereotyped,
+       top_logit - bottom_logit AS score_delta,
+       CASE WHEN label_1 = 'stereotype' THEN top_term ELSE bottom_term END AS stereotyped_version,
+       CASE WHEN label_1 = 'anti-stereotype' THEN top_term ELSE bottom_term END AS anti_stereotyped_version,
+       CASE WHEN label_1 = 'stereotype' THEN grp_term_1 ELSE grp_term_2 END AS stereotyped_term
+FROM fullp"""))
+def q_template_scores(spark, sf_dir):
+    return M.template_scores(FL.scored_full(spark, sf_dir))
+
+
+@register("signed_bias", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), body="""
+SELECT pair_id, model, CASE WHEN stereotyped = 1 THEN top_logit - bottom_logit
+                            WHEN stereotyped = 0 THEN bottom_logit - top_logit END AS bias_score FROM scored"""))
+def q_signed_bias(spark, sf_dir):
+    return DP.signed_bias(FL.scored_pairs(spark, sf_dir)).select("pair_id", "model", "bias_score")
+
+
+DISPLAY_CTE = """
+disp AS (
+  SELECT *, (coalesce(stereotyped = 1, false)) <> (label_1 = 'stereotype') AS swap,
+         CASE WHEN stereotyped = 1 THEN top_logit - bottom_logit WHEN stereotyped = 0 THEN bottom_logit - top_logit END AS bias_score
+  FROM fullp
+),
+display AS (
+  SELECT spec, model, pair_id, doc_id, sent_pos, template, bias_score,
+         CASE WHEN swap THEN grp_refs_rev ELSE grp_refs END AS grp_refs,
+         CASE WHEN swap THEN list_transform(refs, lambda p: {'l': p.r, 'r': p.l}) ELSE refs END AS refs_list,
+         CASE WHEN stereotyped = 1 THEN 'yes' WHEN stereotyped = 0 THEN 'no' ELSE 'Unknown' END AS "Stereotyped",
+         att_term AS "Attribute",
+         CASE WHEN swap THEN grp_term_2 || '/' || grp_term_1 ELSE grp_term_1 || '/' || grp_term_2 END AS "Groups",
+         CASE WHEN swap THEN alt_sentence ELSE sentence END AS "Sentence",
+         CASE WHEN swap THEN sentence ELSE alt_sentence END AS "Alternative"
+  FROM disp
+)"""
+
+
+def _display(spark, sf_dir):
+    return DP.display_pairs(FL.scored_full(spark, sf_dir))
+
+
+@register("display_pairs", O.with_ctes(SPEC, *FULL_CTES, DISPLAY_CTE, body="""
+SELECT spec, model, pair_id, bias_score, grp_refs, "Stereotyped", "Attribute", "Groups", "Sentence", "Alternative"
+FROM display"""))
+def q_display_pairs(spark, sf_dir):
+    return _display(spark, sf_dir).select("spec", "model", "pair_id", "bias_score",
+                                          TP.refs_text(F.col("grp_refs")).alias("grp_refs"), "Stereotyped",
+                                          "Attribute", "Groups", "Sentence", "Alternative")
+
+
+ATT_CTE = "att_scores AS (" + ATT_SCORES_SQL + ")"
+
+
+@register("attribute_ranking", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), ATT_CTE, body="""
+SELECT a.spec, a.model, t.side, a.att_term, a.score, a.n_pairs,
+       row_number() OVER (PARTITION BY a.spec, a.model, t.side ORDER BY a.score DESC, a.att_term) AS rank
+FROM att_scores a JOIN (SELECT DISTINCT spec, side, term FROM spec_terms WHERE axis = 'attribute') t
+  ON t.spec = a.spec AND t.term = a.att_term"""))
+def q_attribute_ranking(spark, sf_dir):
+    return DP.attribute_ranking(M.attribute_scores(FL.scored_pairs(spark, sf_dir)), FL.spec_table(spark))
+
+
+def _pct(x):
+    return f"lpad(CAST(CAST(round_even({x} * 100.0, 0) AS BIGINT) AS VARCHAR), 2, ' ')"
+
+
+@register("interpretation", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), ATT_CTE, f"""
+sides AS (SELECT spec, replace(term, ' ', '-') AS k, min(side) AS side FROM spec_terms WHERE axis = 'attribute' GROUP BY ALL),
+tops AS (
+  SELECT * FROM (
+    SELECT a.*, s.side, row_number() OVER (PARTITION BY a.spec, a.model, s.side ORDER BY a.score DESC, a.att_term) AS r
+    FROM att_scores a JOIN sides s ON s.spec = a.spec AND s.k = replace(a.att_term, ' ', '-')) WHERE r = 1
+),
+top2 AS (SELECT spec, model, max(CASE WHEN side = 0 THEN att_term END) AS top_att_1, max(CASE WHEN side = 0 THEN score END) AS top_score_1,
+                max(CASE WHEN side = 1 THEN att_term END) AS top_att_2, max(CASE WHEN side = 1 THEN score END) AS top_score_2
+         FROM tops GROUP BY spec, model),
+ms AS (SELECT spec, model, round(avg(score), 4) AS model_bias FROM att_scores GROUP BY spec, model),
+ns AS (SELECT spec, count(*) AS n_sentences FROM scored GROUP BY spec),
+gs AS (SELECT spec, string_agg(CASE WHEN side = 0 THEN '"' || term || '"' END, ', ' ORDER BY pos) AS g1,
+              string_agg(CASE WHEN side = 1 THEN '"' || term || '"' END, ', ' ORDER BY pos) AS g2
+       FROM spec_terms WHERE axis = 'group' AND pos < 2 GROUP BY spec),
+na AS (SELECT spec, count(*) AS total_att FROM spec_terms WHERE axis = 'attribute' GROUP BY spec)""", body=f"""
+SELECT t.spec, t.model, ns.n_sentences, (ns.n_sentences < na.total_att OR ns.n_sentences < 20) AS small_sample,
+  t.top_att_1, t.top_score_1, t.top_att_2, t.top_score_2,
+  printf({O.q(DP.INTERP_HEAD)}, t.model, ns.n_sentences)
+  || CASE WHEN (ns.n_sentences < na.total_att OR ns.n_sentences < 20) THEN {O.q(DP.INTERP_SMALL)} ELSE '' END
+  || printf({O.q(DP.INTERP_MODEL)}, {_pct("ms.model_bias")})
+  || printf({O.q(DP.INTERP_SIDE)}, t.top_att_1, 1, gs.g1, {_pct("t.top_score_1")})
+  || printf({O.q(DP.INTERP_SIDE)}, t.top_att_2, 2, gs.g2, {_pct("t.top_score_2")})
+  || {O.q(DP.INTERP_TAIL)} AS message
+FROM top2 t JOIN ms ON ms.spec = t.spec AND ms.model = t.model JOIN ns ON ns.spec = t.spec
+JOIN gs ON gs.spec = t.spec JOIN na ON na.spec = t.spec"""))
+def q_interpretation(spark, sf_dir):
+    sp = FL.scored_pairs(spark, sf_dir)
+    ns = sp.groupBy("spec").agg(F.count(F.lit(1)).alias("n_sentences"))
+    return DP.interpretation(M.attribute_scores(sp), M.model_score(sp), FL.spec_table(spark), ns)
+
+
+@register("tiles", O.with_ctes(SPEC, *FULL_CTES, DISPLAY_CTE, ATT_CTE, """
+att_side AS (SELECT spec, term AS att, min(side) AS side FROM spec_terms WHERE axis = 'attribute' GROUP BY ALL)""", body="""
+SELECT d.spec, d.model, d."Attribute" AS att_term, s.side,
+       row_number() OVER (PARTITION BY d.spec, d.model, d."Attribute"
+                          ORDER BY CASE WHEN d."Stereotyped" = 'yes' THEN 0 ELSE 1 END, d.doc_id, d.sent_pos, d.pair_id) AS tile_no,
+       d."Stereotyped" = 'yes' AS filled, s.side = 1 AS flip,
+       replace(list_reduce(list_prepend({'l': NULL, 'r': NULL}, d.refs_list),
+                           lambda acc, p: CASE WHEN p.l IS NULL THEN acc WHEN instr(acc, '[R]') > 0
+                                               THEN substr(acc, 1, instr(acc, '[R]') - 1) || p.l || '/' || p.r || substr(acc, instr(acc, '[R]') + 3)
+                                               ELSE acc END, d.template),
+               '[T]', '[' || split_part(d."Groups", '/', 1) || '&#47;' || split_part(d."Groups", '/', 2) || ']') AS tooltip,
+       CAST(round_even(a.score * 100.0, 0) AS BIGINT) AS percent
+FROM display d JOIN att_side s ON s.spec = d.spec AND s.att = d."Attribute"
+JOIN att_scores a ON a.spec = d.spec AND a.model = d.model AND a.att_term = d."Attribute"
+WHERE d."Stereotyped" IN ('yes', 'no')"""))
+def q_tiles(spark, sf_dir):
+    sf = FL.scored_full(spark, sf_dir)
+    disp = DP.display_pairs(sf).join(sf.select("pair_id", "doc_id", "sent_pos"), "pair_id")
+    return DP.tiles(disp, M.attribute_scores(FL.scored_pairs(spark, sf_dir)), FL.spec_table(spark))
+
+
+# ---------------------------------------------------------------- sampling
+@register("sample_per_attribute", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), body="""
+SELECT 0 AS rep, spec, model, att_term, pair_id, stereotyped, CAST(rn - 1 AS INTEGER) AS draw FROM (
+  SELECT *, row_number() OVER (PARTITION BY spec, model, att_term ORDER BY md5('0|0|' || pair_id)) AS rn FROM scored)
+WHERE rn <= 2"""))
+def q_sample_per_attribute(spark, sf_dir):
+    s = SM.sample_per_attribute(FL.scored_pairs(spark, sf_dir), n=2, reps=1, seed=0)
+    return s.select("rep", "spec", "model", "att_term", "pair_id", "stereotyped", F.col("draw").cast("int"))
+
+
+@register("bootstrap_score", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), """
+reps AS (SELECT CAST(range AS INTEGER) AS rep FROM range(30)),
+smp AS (SELECT * FROM (
+  SELECT r.rep, s.spec, s.model, s.att_term, s.stereotyped,
+         row_number() OVER (PARTITION BY r.rep, s.spec, s.model, s.att_term
+                            ORDER BY md5('0|' || CAST(r.rep AS VARCHAR) || '|' || s.pair_id)) AS rn
+  FROM scored s, reps r) WHERE rn <= 2),
+per_rep AS (SELECT rep, spec, model, avg(a) AS score FROM (
+  SELECT rep, spec, model, att_term, avg(stereotyped) AS a FROM smp GROUP BY ALL) GROUP BY ALL)""", body="""
+SELECT spec, model, count(*) AS n_reps, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std,
+       round(quantile_cont(score, 0.025), 6) AS p025, round(quantile_cont(score, 0.975), 6) AS p975
+FROM per_rep GROUP BY spec, model"""))
+def q_bootstrap_score(spark, sf_dir):
+    return SM.bootstrap_score(FL.scored_pairs(spark, sf_dir), reps=30, n=2, seed=0)

@@ -66,6 +66,12 @@ def scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = Non
     return SC.pair_winner(lp, scores)
 
 
+def scored_full(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
+    """Scored pairs with their template and reference marks (E4-E6) for result shaping."""
+    from stereoscope.operators.templates import template_refs
+    return template_refs(scored_pairs(spark, sf_dir, spec))
+
+
 def flagship(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
     """Per-attribute Stereotype Score with the overall (macro) score on every row."""
     sp = scored_pairs(spark, sf_dir, spec)

@@ -208,6 +208,14 @@ templ AS (
     array_to_string(list_transform(
       list_filter(range(1, least(len(st), len(rt)) + 1), lambda i: st[i] <> rt[i] AND NOT list_contains(tw, lower(st[i]))),
       lambda i: (CASE WHEN lower(st[i]) = '*' AND lower(rt[i]) <> '*' THEN lower(tw0) ELSE lower(st[i]) END) || '/' ||
-                (CASE WHEN lower(st[i]) <> '*' AND lower(rt[i]) = '*' THEN lower(tw1) ELSE lower(rt[i]) END)), ';') AS grp_refs
+                (CASE WHEN lower(st[i]) <> '*' AND lower(rt[i]) = '*' THEN lower(tw1) ELSE lower(rt[i]) END)), ';') AS grp_refs,
+    array_to_string(list_transform(
+      list_filter(range(1, least(len(st), len(rt)) + 1), lambda i: st[i] <> rt[i] AND NOT list_contains(tw, lower(st[i]))),
+      lambda i: (CASE WHEN lower(st[i]) <> '*' AND lower(rt[i]) = '*' THEN lower(tw1) ELSE lower(rt[i]) END) || '/' ||
+                (CASE WHEN lower(st[i]) = '*' AND lower(rt[i]) <> '*' THEN lower(tw0) ELSE lower(st[i]) END)), ';') AS grp_refs_rev,
+    list_transform(
+      list_filter(range(1, least(len(st), len(rt)) + 1), lambda i: st[i] <> rt[i] AND NOT list_contains(tw, lower(st[i]))),
+      lambda i: {{'l': CASE WHEN lower(st[i]) = '*' AND lower(rt[i]) <> '*' THEN lower(tw0) ELSE lower(st[i]) END,
+                 'r': CASE WHEN lower(st[i]) <> '*' AND lower(rt[i]) = '*' THEN lower(tw1) ELSE lower(rt[i]) END}}) AS refs
   FROM templ_s
 )"""
