@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from stereoscope.functions import text as TX
 from stereoscope.operators import coverage as CV
 from stereoscope.operators import display as DP
+from stereoscope.operators import generation as GN
+from stereoscope.sources import bank as BK
 from stereoscope.operators import sampling as SM
 from stereoscope.operators import metrics as M
 from stereoscope.operators import mining as MI
@@ -386,3 +388,185 @@ SELECT spec, model, count(*) AS n_reps, round(avg(score), 6) AS mean, round(stdd
 FROM per_rep GROUP BY spec, model"""))
 def q_bootstrap_score(spark, sf_dir):
     return SM.bootstrap_score(FL.scored_pairs(spark, sf_dir), reps=30, n=2, seed=0)
+
+
+# ---------------------------------------------------------------- generation planning
+TARGETS_CTE = GAPS_CTE + """,
+targets AS (
+  SELECT t.spec, t.side, t.pos, t.term AS att_term, CAST(coalesce(g1.n_gap, g2.n_gap, 0) AS BIGINT) AS n_target
+  FROM spec_terms t LEFT JOIN gaps g1 ON g1.spec = t.spec AND g1.att_term = t.term
+  LEFT JOIN gaps g2 ON g2.spec = t.spec AND g2.att_term = replace(t.term, ' ', '-')
+  WHERE t.axis = 'attribute'
+)"""
+
+PLAN_CTE = """
+arr AS (SELECT spec, list(term ORDER BY pos) FILTER (WHERE axis = 'group' AND side = 0) AS g0,
+               list(term ORDER BY pos) FILTER (WHERE axis = 'group' AND side = 1) AS g1 FROM spec_terms GROUP BY spec),
+plan_r AS (
+  SELECT t.spec, t.att_term, t.n_target, a.g0, a.g1, CAST(r.round AS INTEGER) AS round, CAST(sd.side AS INTEGER) AS side
+  FROM targets t JOIN arr a ON a.spec = t.spec,
+       LATERAL (SELECT unnest(range(0, CAST(ceil(t.n_target * 5 / 2.0) AS BIGINT))) AS round) r,
+       (VALUES (0), (1)) sd(side)
+  WHERE t.n_target > 0 AND r.round * 2 + sd.side < t.n_target * 5
+),
+plan AS (
+  SELECT spec, att_term, round, side, round * 2 + side AS request,
+    (CASE WHEN side = 0 THEN g0 ELSE g1 END)[CAST(('0x' || substr(md5('0|' || spec || '|' || att_term || '|' || round || '|' || side), 1, 8)) AS BIGINT) % len(CASE WHEN side = 0 THEN g0 ELSE g1 END) + 1] AS grp_term,
+    (CASE WHEN side = 0 THEN g1 ELSE g0 END)[CAST(('0x' || substr(md5('0|' || spec || '|' || att_term || '|' || round || '|' || side), 1, 8)) AS BIGINT) % len(CASE WHEN side = 0 THEN g0 ELSE g1 END) + 1] AS partner
+  FROM plan_r
+)"""
+
+
+def _targets(spark, sf_dir):
+    st = FL.spec_table(spark)
+    return GN.gen_targets(st, CV.attribute_gaps(_pairs(spark, sf_dir), st))
+
+
+@register("gen_targets", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, body="SELECT * FROM targets"))
+def q_gen_targets(spark, sf_dir):
+    return _targets(spark, sf_dir)
+
+
+@register("gen_plan", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, PLAN_CTE, body="SELECT * FROM plan"))
+def q_gen_plan(spark, sf_dir):
+    return GN.gen_plan(_targets(spark, sf_dir), FL.spec_table(spark))
+
+
+@register("gen_prompts", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, PLAN_CTE, """
+ctx AS (SELECT p.spec, p.att_term, p.request, t.axis, t.term,
+               md5('0|' || p.spec || '|' || p.att_term || '|' || p.request || '|' ||
+                   CASE WHEN t.axis = 'group' THEN 'g' ELSE 'a' END || '|' || t.term) AS h
+        FROM plan p JOIN spec_terms t ON t.spec = p.spec),
+ctx8 AS (SELECT *, row_number() OVER (PARTITION BY spec, att_term, request, axis ORDER BY h, term) AS rn FROM ctx),
+ctxs AS (SELECT spec, att_term, request,
+           string_agg(chr(39) || term || chr(39), ',' ORDER BY h, term) FILTER (WHERE axis = 'group' AND rn <= 8) AS g_ctx,
+           string_agg(chr(39) || term || chr(39), ',' ORDER BY h, term) FILTER (WHERE axis = 'attribute' AND rn <= 8) AS a_ctx
+         FROM ctx8 GROUP BY spec, att_term, request)""", body=f"""
+SELECT p.spec, p.att_term, p.request, p.grp_term, p.partner,
+       printf({O.q(__import__("stereoscope.functions.patterns", fromlist=["x"]).GEN_INSTRUCTION)}, p.grp_term, p.att_term, c.g_ctx, c.a_ctx) AS instruction
+FROM plan p JOIN ctxs c ON c.spec = p.spec AND c.att_term = p.att_term AND c.request = p.request"""))
+def q_gen_prompts(spark, sf_dir):
+    st = FL.spec_table(spark)
+    return GN.gen_prompts(GN.gen_plan(_targets(spark, sf_dir), st), st)
+
+
+@register("downsample_to_target", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, body="""
+SELECT pair_id, spec, att_term, n_target, keep_rank FROM (
+  SELECT p.pair_id, p.spec, p.att_term, t.n_target,
+         row_number() OVER (PARTITION BY p.spec, p.att_term ORDER BY md5('0|' || p.pair_id)) AS keep_rank
+  FROM pairs p JOIN targets t ON t.spec = p.spec AND t.att_term = p.att_term) WHERE keep_rank <= n_target"""))
+def q_downsample_to_target(spark, sf_dir):
+    d = GN.downsample_to_target(_pairs(spark, sf_dir), _targets(spark, sf_dir))
+    return d.select("pair_id", "spec", "att_term", "n_target", F.col("keep_rank"))
+
+
+REC_CTES = O.pipeline(SPEC, "labelled") + [O.spec_names_cte(), O.record_cte()]
+REC_COLS = ("spec, pair_id, sentence, alt_sentence, org_grp_term, att_term, template, alt_template, grp_term1, "
+            "grp_term2, grp_refs, label_1, label_2, bias_spec, type, gen_model")
+
+
+@register("generation_record", O.with_ctes(SPEC, *REC_CTES, body=f"SELECT {REC_COLS} FROM records"))
+def q_generation_record(spark, sf_dir):
+    return FL.generation_records(spark, FL.labelled_pairs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sentence bank
+RSPEC = FL.retrieval_spec()
+BANK_COLS = ("pair_id, sentence, alt_sentence, org_grp_term, att_term, template, alt_template, grp_term1, grp_term2, "
+             "grp_refs, label_1, label_2, bias_spec, type, gen_model")
+
+
+def _bank_sql(prefix: str, src: str | None) -> list[str]:
+    return O.pipeline(SPEC, "labelled", src=src, prefix=prefix) + [O.record_cte(prefix, prefix + "records"), f"""
+{prefix}bank AS (
+  SELECT pair_id, sentence, alt_sentence, org_grp_term, att_term, template, alt_template, grp_term1, grp_term2,
+         grp_refs, label_1, label_2, bias_spec,
+         ['tool', 'paper', NULL][doc_id % 3 + 1] AS type,
+         ['gpt-3.5-turbo', 'gpt-4', 'gpt-3.5', 'text-davinci-003'][doc_id % 4 + 1] AS gen_model
+  FROM {prefix}records)"""]
+
+
+BANK_CTES = [O.spec_names_cte()] + _bank_sql("", None)
+RSPEC_CTE = O.spec_values(RSPEC, "rspec_terms")
+GEN_MODELS_SQL = "('gpt-3.5', 'gpt-3.5-turbo', 'gpt-4')"
+
+
+def _rspec(spark):
+    from stereoscope.sources.specs import spec_terms
+    return spec_terms(spark, RSPEC)
+
+
+@register("bank_scan", O.with_ctes(SPEC, *BANK_CTES, RSPEC_CTE, body="""
+SELECT r.spec, CAST(r.side AS INTEGER) AS read_side, CAST(r.pos AS INTEGER) AS read_pos, b.org_grp_term, b.pair_id, b.att_term
+FROM bank b JOIN rspec_terms r ON r.axis = 'group' AND r.term = b.org_grp_term"""))
+def q_bank_scan(spark, sf_dir):
+    return (BK.bank_scan(FL.derived_bank(spark, sf_dir), _rspec(spark))
+            .select("spec", "read_side", "read_pos", "org_grp_term", "pair_id", "att_term"))
+
+
+@register("bank_filter", O.with_ctes(SPEC, *BANK_CTES, body=f"""
+SELECT pair_id, org_grp_term, type, gen_model FROM bank WHERE type IS NULL OR gen_model IN {GEN_MODELS_SQL}"""))
+def q_bank_filter(spark, sf_dir):
+    return BK.bank_filter(FL.derived_bank(spark, sf_dir)).select("pair_id", "org_grp_term", "type", "gen_model")
+
+
+@register("retrieve_pairs", O.with_ctes(SPEC, *BANK_CTES, RSPEC_CTE, f"""
+variants AS (SELECT DISTINCT spec, v FROM (
+  SELECT spec, unnest([term, replace(term, ' ', '-'), replace(term, ' ', '')]) AS v FROM rspec_terms WHERE axis = 'attribute')),
+rgroups AS (SELECT DISTINCT spec, term FROM rspec_terms WHERE axis = 'group')""", body=f"""
+SELECT r.spec, CAST(r.side AS INTEGER) AS read_side, CAST(r.pos AS INTEGER) AS read_pos, b.sentence, b.alt_sentence,
+       b.grp_term1 AS grp_term_1, b.grp_term2 AS grp_term_2, b.att_term
+FROM bank b JOIN rspec_terms r ON r.axis = 'group' AND r.term = b.org_grp_term
+WHERE (b.type IS NULL OR b.gen_model IN {GEN_MODELS_SQL})
+  AND EXISTS (SELECT 1 FROM variants v WHERE v.spec = r.spec AND v.v = b.att_term)
+  AND EXISTS (SELECT 1 FROM rgroups g WHERE g.spec = r.spec AND g.term = b.grp_term1)
+  AND EXISTS (SELECT 1 FROM rgroups g WHERE g.spec = r.spec AND g.term = b.grp_term2)"""))
+def q_retrieve_pairs(spark, sf_dir):
+    return BK.retrieve_pairs(FL.derived_bank(spark, sf_dir), _rspec(spark))
+
+
+def _legacy(bank):
+    return bank.select("org_grp_term", "type", "gen_model",
+                       F.translate("grp_term1", " ", "-").alias("Group term"),
+                       F.translate("att_term", " ", "-").alias("Attribute term"),
+                       F.col("sentence").alias("Test sentence"))
+
+
+@register("retrieve_legacy", O.with_ctes(SPEC, *BANK_CTES, RSPEC_CTE, """
+variants AS (SELECT DISTINCT spec, v FROM (
+  SELECT spec, unnest([term, replace(term, ' ', '-'), replace(term, ' ', '')]) AS v FROM rspec_terms WHERE axis = 'attribute'))""",
+  body=f"""
+SELECT r.spec, b.sentence, replace(replace(b.grp_term1, ' ', '-'), '-', ' ') AS grp_term,
+       replace(replace(b.att_term, ' ', '-'), '-', ' ') AS att_term
+FROM bank b JOIN rspec_terms r ON r.axis = 'group' AND r.term = b.org_grp_term
+WHERE b.type = 'paper' AND b.gen_model IN {GEN_MODELS_SQL}
+  AND EXISTS (SELECT 1 FROM variants v WHERE v.spec = r.spec AND v.v = replace(b.att_term, ' ', '-'))"""))
+def q_retrieve_legacy(spark, sf_dir):
+    return BK.retrieve_legacy(_legacy(FL.derived_bank(spark, sf_dir)), _rspec(spark))
+
+
+CONV_BANK = _bank_sql("c_", O.CONV_SRC)
+
+
+@register("bank_append_dedupe", O.with_ctes(SPEC, *BANK_CTES, *CONV_BANK, """
+newrows AS (SELECT * FROM c_bank UNION ALL
+            SELECT pair_id, sentence, alt_sentence, org_grp_term, att_term, template, alt_template, grp_term1, grp_term2,
+                   grp_refs, label_1, label_2, bias_spec, type, 'gpt-4' AS gen_model FROM bank),
+both_ AS (SELECT *, 0 AS origin FROM bank UNION ALL SELECT *, 1 AS origin FROM newrows)""", body="""
+SELECT org_grp_term, sentence, pair_id, origin, gen_model FROM (
+  SELECT *, row_number() OVER (PARTITION BY org_grp_term, sentence ORDER BY origin, pair_id) AS r FROM both_) WHERE r = 1"""))
+def q_bank_append_dedupe(spark, sf_dir):
+    old = FL.derived_bank(spark, sf_dir)
+    new = FL.derived_bank(spark, sf_dir, corpus="conversations").unionByName(old.withColumn("gen_model", F.lit("gpt-4")))
+    d = BK.append_dedupe(old, new, order_col="pair_id")
+    return d.select("org_grp_term", "sentence", "pair_id", F.col("_origin").alias("origin"), "gen_model")
+
+
+@register("combine_sentences", O.with_ctes(SPEC, *BANK_CTES, *CONV_BANK, body="""
+SELECT sentence, alt_sentence, grp_term1 AS grp_term_1, grp_term2 AS grp_term_2, att_term FROM bank
+UNION ALL SELECT sentence, alt_sentence, grp_term1, grp_term2, att_term FROM c_bank"""))
+def q_combine_sentences(spark, sf_dir):
+    cols = [F.col("sentence"), F.col("alt_sentence"), F.col("grp_term1").alias("grp_term_1"),
+            F.col("grp_term2").alias("grp_term_2"), F.col("att_term")]
+    return BK.combine_sentences(FL.derived_bank(spark, sf_dir).select(*cols),
+                                FL.derived_bank(spark, sf_dir, corpus="conversations").select(*cols))

@@ -20,11 +20,18 @@ from stereoscope.operators import pairs as PR
 from stereoscope.operators import scoring as SC
 from stereoscope.operators.lm import train_bigrams
 from stereoscope.sources import specs as S
+from stereoscope.sources.bank import BANK_COLUMNS
 from stereoscope.sources import tables as TB
 
 LM_MODEL = "bigram-lm"
 
 
+def retrieval_spec() -> S.BiasSpec:
+    """A second spec over the same corpus, for retrieval and reject reports: it drops
+    'was' and 'that' and adds 'is' and 'those', so some bank rows fall outside it."""
+    return S.BiasSpec("fixture_retrieval", ("he", "it"), ("this", "those"), ("for", "is"), ("with", "from"))
+
+
 def fixture_spec() -> S.BiasSpec:
     with open(os.path.join(S.REGISTRY_DIR, "fixture_corpus_words.json")) as fh:
         return S.spec_from_json(json.load(fh))
@@ -78,3 +85,42 @@ def flagship(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -
     att = M.attribute_scores(sp)
     overall = att.groupBy("spec", "model").agg(F.round(F.avg("score"), 4).alias("model_bias"))
     return att.join(overall, ["spec", "model"])
+
+
+# --------------------------------------------------------------- bank derived from the corpus
+# FIXED VALUES: generator names and record types assigned to derived bank rows by doc_id.
+BANK_GEN_MODELS = ("gpt-3.5-turbo", "gpt-4", "gpt-3.5", "text-davinci-003")
+BANK_TYPES = ("tool", "paper", None)
+# conversation turns get ids above every document id
+CONV_ID_OFFSET = 1_000_000_000_000
+
+
+def generation_records(spark: SparkSession, pairs: DataFrame, spec: S.BiasSpec | None = None) -> DataFrame:
+    """C11 records for labelled pairs: simple template (E3), alternative template and refs."""
+    from stereoscope.functions.text import template_simple
+    from stereoscope.operators.generation import generation_record
+    from stereoscope.operators.templates import template_refs
+    st = spec_table(spark, spec)
+    p = (template_refs(pairs).withColumnRenamed("template", "alt_template")
+         .withColumn("template", template_simple(F.col("sentence"), F.col("grp_term_1"), F.col("grp_term_2"))))
+    return generation_record(p, st)
+
+
+def derived_bank(spark: SparkSession, sf_dir: str, corpus: str = "documents") -> DataFrame:
+    """The sentence bank as the measured tool stores it, derived from corpus mining:
+    org_grp_term = mined term; gen_model and type assigned by the row's doc_id."""
+    st = spec_table(spark)
+    if corpus == "documents":
+        sents = sentences(spark, sf_dir)
+    else:
+        conv = TB.conversations(spark, sf_dir).select(
+            (F.lit(CONV_ID_OFFSET) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("en").alias("lang"))
+        sents = MI.split_sentences(conv)
+    pairs = PR.pair_labels(MI.counterfactual_pairs(MI.mine_sentences(sents, st), st), st)
+    rec = generation_records(spark, pairs)
+    models = F.array(*[F.lit(m) for m in BANK_GEN_MODELS])
+    types = F.array(*[F.lit(t) for t in BANK_TYPES])
+    return (rec.join(pairs.select("pair_id", "doc_id"), "pair_id")
+            .withColumn("gen_model", F.element_at(models, (F.pmod("doc_id", F.lit(len(BANK_GEN_MODELS))) + 1).cast("int")))
+            .withColumn("type", F.element_at(types, (F.pmod("doc_id", F.lit(len(BANK_TYPES))) + 1).cast("int")))
+            .select("pair_id", *BANK_COLUMNS))

@@ -131,17 +131,52 @@ def with_ctes(spec: BiasSpec, *parts: str, body: str) -> str:
     return "WITH " + ",\n".join([spec_values(spec)] + [p.strip() for p in parts]) + "\n" + body
 
 
-def pipeline(spec: BiasSpec, upto: str) -> list[str]:
+CTE_NAMES = ("split_parts", "sents", "hits", "mined", "pairs", "att_sides", "grp_sides", "labelled")
+DOCS_SRC = "FROM documents WHERE lang = 'en'"
+CONV_SRC = "FROM (SELECT 1000000000000 + conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+
+
+def pipeline(spec: BiasSpec, upto: str, src: str | None = None, prefix: str = "") -> list[str]:
+    """CTE list up to ``upto``; ``src`` swaps the corpus, ``prefix`` renames the CTEs."""
+    import re
     order = [("sents", SENTS), ("mined", MINED), ("pairs", PAIRS), ("labelled", LABELLED),
              ("lm", LM), ("losses", LOSSES), ("scored", WINNER)]
     out = []
     for name, part in order:
+        if src is not None:
+            part = part.replace(DOCS_SRC, src)
+        if prefix:
+            part = re.sub(r"\b(" + "|".join(CTE_NAMES) + r")\b", lambda m: prefix + m.group(1), part)
         out.append(part)
         if name == upto:
             break
     return out
 
 
+def spec_names_cte(name: str = "names", terms: str = "spec_terms") -> str:
+    """g1[0]_g2[0]__a1[0]_a2[0]_<url-safe base64 md5 of all terms>."""
+    first = lambda ax, sd: (f"replace(max(CASE WHEN axis = '{ax}' AND side = {sd} AND pos = 0 THEN term END), ' ', '-')")  # noqa
+    return f"""
+{name} AS (SELECT spec, {first('group', 0)} || '_' || {first('group', 1)} || '__' || {first('attribute', 0)} || '_' ||
+  {first('attribute', 1)} || '_' || replace(replace(to_base64(unhex(md5(string_agg(term, '' ORDER BY
+  CASE WHEN axis = 'group' THEN 0 ELSE 1 END, side, pos)))), '+', '-'), '/', '_') AS bias_name
+  FROM {terms} GROUP BY spec)"""
+
+
+def record_cte(prefix: str = "", name: str = "records") -> str:
+    """C11 records over <prefix>labelled with templates."""
+    lab = prefix + "labelled"
+    return templ_cte(lab).replace("templ_o", prefix + "templ_o").replace("templ_s", prefix + "templ_s") \
+        .replace("\ntempl AS", "\n" + prefix + "templ AS") + f""",
+{name} AS (
+  SELECT l.spec, l.pair_id, l.doc_id, l.sentence, l.alt_sentence, l.grp_term_1 AS org_grp_term, l.att_term,
+    {mask("l.sentence", "CASE WHEN instr(lower(l.sentence), lower(l.grp_term_1)) > 0 THEN l.grp_term_1 ELSE l.grp_term_2 END")} AS template,
+    t.template AS alt_template, l.grp_term_1 AS grp_term1, l.grp_term_2 AS grp_term2, t.grp_refs, l.label_1, l.label_2,
+    n.bias_name AS bias_spec, 'tool' AS type, 'corpus-mining' AS gen_model
+  FROM {lab} l JOIN {prefix}templ t ON t.pair_id = l.pair_id JOIN names n ON n.spec = l.spec
+)"""
+
+
 # ------------------------------------------------------------ RE2 restatements
 FINAL_PUNCT = r"[!-/:-@\[-`{-~]$"
 
