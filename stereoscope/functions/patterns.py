@@ -48,6 +48,11 @@ FINAL_PUNCT_DUCKDB = r"[!-/:-@\[-`{-~]$"
 # model-name families: first hit decides the score kind
 MODEL_KIND_RULES = (("bert", "masked"), ("gpt", "causal"), ("llama", "causal"), ("falcon", "causal"))
 
+# models offered by the measured tool (scored here by the stand-in LM of their kind)
+MODEL_CHOICES = ("bert-base-uncased", "bert-large-uncased", "gpt2", "gpt2-medium", "gpt2-large",
+                 "emilyalsentzer/Bio_ClinicalBERT", "microsoft/biogpt", "openlm-research/open_llama_3b",
+                 "openlm-research/open_llama_7b")
+
 # generation prompts (fill: target, attribute, context target terms, context attribute terms)
 GEN_INSTRUCTION = (
     "Write a sentence including target term \"%s\" and attribute term \"%s\".\n "

@@ -47,11 +47,11 @@ def causal_scores(variant_scores: DataFrame) -> DataFrame:
     return p.select("pair_id", "model", (m - F.col("l0")).alias("r0"), (m - F.col("l1")).alias("r1"))
 
 
-def masked_scores(token_logits: DataFrame) -> DataFrame:
+def masked_scores(token_logits: DataFrame, digits: int = 6) -> DataFrame:
     """Per (pair, model) r_v = mean logit over the target's sub-tokens at the first mask."""
     return token_logits.groupBy("pair_id", "model").agg(
-        F.avg(F.when(F.col("variant") == 0, F.col("logit"))).alias("r0"),
-        F.avg(F.when(F.col("variant") == 1, F.col("logit"))).alias("r1"))
+        F.round(F.avg(F.when(F.col("variant") == 0, F.col("logit"))), digits).alias("r0"),
+        F.round(F.avg(F.when(F.col("variant") == 1, F.col("logit"))), digits).alias("r1"))
 
 
 def model_kind(models: DataFrame, model_col: str = "model") -> DataFrame:
@@ -71,7 +71,7 @@ def pair_winner(labelled: DataFrame, scores: DataFrame, failsafe: str = "exclude
     (count them with ``testable == False`` via ``failsafe='keep'``); ``'coin'`` orders them
     by a seeded md5 parity, the reproducible form of the measured tool's random order.
     """
-    j = labelled.join(scores, "pair_id")
+    j = labelled.join(scores, "pair_id", "inner" if failsafe == "exclude" else "left")
     testable = F.col("r0").isNotNull() & F.col("r1").isNotNull()
     if failsafe == "exclude":
         j = j.where(testable)

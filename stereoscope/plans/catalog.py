@@ -15,6 +15,12 @@ from stereoscope.functions import text as TX
 from stereoscope.operators import coverage as CV
 from stereoscope.operators import display as DP
 from stereoscope.operators import generation as GN
+from stereoscope.operators import pairs as PR
+from stereoscope.operators import sampling as SM2  # noqa: F401
+from stereoscope.operators import spec_ops as SO
+from stereoscope.functions import patterns as PT
+from stereoscope.sources import sinks as SK
+from stereoscope.sources import specs as SP
 from stereoscope.sources import bank as BK
 from stereoscope.operators import sampling as SM
 from stereoscope.operators import metrics as M
@@ -570,3 +576,172 @@ def q_combine_sentences(spark, sf_dir):
             F.col("grp_term2").alias("grp_term_2"), F.col("att_term")]
     return BK.combine_sentences(FL.derived_bank(spark, sf_dir).select(*cols),
                                 FL.derived_bank(spark, sf_dir, corpus="conversations").select(*cols))
+
+
+# ---------------------------------------------------------------- spec registry over the corpus
+REGISTRY = SP.registry_python()
+
+
+def _registry_values() -> str:
+    rows = []
+    for d in REGISTRY:
+        for axis, key in (("group", "social_groups"), ("attribute", "attributes")):
+            for side, (_, terms) in enumerate(list(d[key].items())[:2]):
+                for pos, t in enumerate(terms[:PT.PREFILL_TERMS]):
+                    rows.append(f"({O.q(d['tag'])}, {O.q(d['label'])}, {O.q(d['type'])}, {O.q(axis)}, {side}, {pos}, {O.q(t)})")
+    return "reg(spec, label, type, axis, side, pos, term) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@register("spec_terms", O.with_ctes(SPEC, O.SENTS, _registry_values(), body="""
+SELECT t.spec, t.label, t.type, t.axis, CAST(t.side AS INTEGER) AS side, CAST(t.pos AS INTEGER) AS pos, t.term,
+       count(s.doc_id) AS n_sentences
+FROM reg t LEFT JOIN sents s ON regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
+GROUP BY ALL"""))
+def q_spec_terms(spark, sf_dir):
+    """A1/A2/A5 read, B4 prefill text, B1 parse, B3 balance, B2 term table, A3 labels;
+    then how many corpus sentences hold each term (strict boundaries)."""
+    specs = SP.registry_specs(spark)
+    terms = SP.specs_to_terms(specs, spec_col="tag")
+    parsed = SM.balance_lists(SO.parse_term_text(SO.prefill_text(terms)))
+    tk = MI.term_keys(parsed)
+    sents = FL.sentences(spark, sf_dir)
+    low = F.lower("sentence")
+    hits = (sents.select("doc_id", "sent_pos", low.alias("ls"), F.explode(MI.sentence_keys(low)).alias("key"))
+            .join(SP.bounded(tk), "key").where(F.col("simple") | F.expr("ls rlike accept_re"))
+            .groupBy("spec", "axis", "side", "pos").agg(F.count(F.lit(1)).alias("n_sentences")))
+    labels = specs.select(F.col("tag").alias("spec"), "label", "type")
+    return (parsed.join(labels, "spec").join(hits, ["spec", "axis", "side", "pos"], "left")
+            .select("spec", "label", "type", "axis", "side", "pos", "term",
+                    F.coalesce("n_sentences", F.lit(0)).cast("long").alias("n_sentences")))
+
+
+# ---------------------------------------------------------------- scoring variants
+MASKED_SQL = r"""
+mvar AS (SELECT pair_id, variant, """ + O.TOKENS.format(x="text") + r""" AS t,
+                list_filter(regexp_split_to_array(lower(target), '[^a-z]+'), lambda w: w <> '') AS tt FROM variants),
+mfirst AS (SELECT *, list_position(t, tt[1]) AS first FROM mvar WHERE len(tt) > 0),
+msub AS (SELECT pair_id, variant, k, tt[k + 1] AS tok, t[first + k - 1] AS lft, t[first + k + 1] AS rgt
+         FROM (SELECT *, unnest(range(0, len(tt))) AS k FROM mfirst WHERE first > 1)),
+mlog AS (
+  SELECT m.pair_id, m.variant,
+    ln((coalesce(b1.c12, 0) + 1.0) / (coalesce(h1.c1, 0) + (SELECT v FROM vocab)))
+    + CASE WHEN m.rgt IS NULL THEN 0.0 ELSE ln((coalesce(b2.c12, 0) + 1.0) / (coalesce(h2.c1, 0) + (SELECT v FROM vocab))) END AS logit
+  FROM msub m
+  LEFT JOIN bigrams b1 ON b1.w1 = m.lft AND b1.w2 = m.tok LEFT JOIN hist h1 ON h1.w1 = m.lft
+  LEFT JOIN bigrams b2 ON b2.w1 = m.tok AND b2.w2 = m.rgt LEFT JOIN hist h2 ON h2.w1 = m.tok
+),
+masked AS (SELECT pair_id, 'bigram-lm-masked' AS model,
+                  round(avg(CASE WHEN variant = 0 THEN logit END), 6) AS r0,
+                  round(avg(CASE WHEN variant = 1 THEN logit END), 6) AS r1 FROM mlog GROUP BY pair_id),
+mranked AS (
+  SELECT l.*, 'bigram-lm-masked' AS model, c.r0, c.r1, c.r0 IS NOT NULL AND c.r1 IS NOT NULL AS testable
+  FROM labelled l LEFT JOIN masked c ON c.pair_id = l.pair_id
+),
+mcoin AS (
+  SELECT *, CASE WHEN testable THEN r0 ELSE CAST(CAST(('0x' || substr(md5('0|' || pair_id), 1, 8)) AS BIGINT) % 2 AS DOUBLE) END AS q0,
+            CASE WHEN testable THEN r1 ELSE 1.0 - CAST(CAST(('0x' || substr(md5('0|' || pair_id), 1, 8)) AS BIGINT) % 2 AS DOUBLE) END AS q1
+  FROM mranked
+),
+mscored AS (
+  SELECT *, CAST((CASE WHEN q0 > q1 THEN label_1 ELSE label_2 END) = 'stereotype' AS INTEGER) AS stereotyped FROM mcoin
+)"""
+MASKED_CTES = O.pipeline(SPEC, "losses") + [MASKED_SQL]
+
+
+@register("score_masked", O.with_ctes(SPEC, *MASKED_CTES, body="SELECT pair_id, model, r0, r1 FROM masked"))
+def q_score_masked(spark, sf_dir):
+    return SC.masked_scores(SC.lm_token_logits(FL.labelled_pairs(spark, sf_dir), FL.bigrams(spark, sf_dir)))
+
+
+@register("score_failsafe", O.with_ctes(SPEC, *MASKED_CTES, body="""
+SELECT pair_id, model, testable, stereotyped FROM mscored"""))
+def q_score_failsafe(spark, sf_dir):
+    return FL.masked_scored_pairs(spark, sf_dir, failsafe="coin").select("pair_id", "model", "testable", "stereotyped")
+
+
+def _model_values() -> str:
+    return "models(model) AS (VALUES " + ", ".join(f"({O.q(m)})" for m in PT.MODEL_CHOICES) + ")"
+
+
+@register("model_kind", O.with_ctes(SPEC, *MASKED_CTES, *O.pipeline(SPEC, "scored")[len(MASKED_CTES) - 1:],
+                                    _model_values(), """
+kinds AS (SELECT model, CASE WHEN lower(model) LIKE '%bert%' THEN 'masked' WHEN lower(model) LIKE '%gpt%' THEN 'causal'
+                             WHEN lower(model) LIKE '%llama%' THEN 'causal' WHEN lower(model) LIKE '%falcon%' THEN 'causal'
+                             ELSE 'unscored' END AS kind FROM models),
+per_kind AS (
+  SELECT 'causal' AS kind, round(avg(s), 4) AS model_bias, CAST(sum(n) AS BIGINT) AS num_templates
+  FROM (SELECT att_term, avg(stereotyped) AS s, count(*) AS n FROM scored GROUP BY att_term)
+  UNION ALL
+  SELECT 'masked' AS kind, round(avg(s), 4), CAST(sum(n) AS BIGINT)
+  FROM (SELECT att_term, avg(stereotyped) AS s, count(*) AS n FROM mscored WHERE testable GROUP BY att_term)
+)""", body="""
+SELECT k.model, k.kind, p.model_bias, p.num_templates FROM kinds k JOIN per_kind p ON p.kind = k.kind"""))
+def q_model_kind(spark, sf_dir):
+    models = SC.model_kind(spark.createDataFrame([(m,) for m in PT.MODEL_CHOICES], "model string"))
+    causal = M.model_score(FL.scored_pairs(spark, sf_dir)).withColumn("kind", F.lit("causal"))
+    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir)).withColumn("kind", F.lit("masked"))
+    per_kind = causal.unionByName(masked).select("kind", "model_bias", "num_templates")
+    return models.join(F.broadcast(per_kind), "kind").select("model", "kind", "model_bias", "num_templates")
+
+
+# ---------------------------------------------------------------- label variants and rejects
+@register("pair_labels_by_index", O.with_ctes(SPEC, *PAIRS_CTES, """
+lists AS (SELECT spec, list(term ORDER BY pos) FILTER (WHERE axis = 'group' AND side = 0) AS l0,
+                 list(term ORDER BY pos) FILTER (WHERE axis = 'group' AND side = 1) AS l1 FROM spec_terms GROUP BY spec),
+asides AS (SELECT spec, replace(term, ' ', '-') AS k, min(side) AS s FROM spec_terms WHERE axis = 'attribute' GROUP BY ALL),
+j AS (SELECT p.spec, p.pair_id, p.grp_term_1, p.att_term, a.s, list_position(l.l0, p.grp_term_1) AS i0,
+             list_position(l.l1, p.grp_term_1) AS i1, l.l0, l.l1
+      FROM pairs p JOIN lists l ON l.spec = p.spec JOIN asides a ON a.spec = p.spec AND a.k = replace(p.att_term, ' ', '-'))""",
+  body="""
+SELECT spec, pair_id, grp_term_1,
+  CASE WHEN coalesce(i0, 0) > 0 THEN l1[i0] ELSE l0[i1] END AS grp_term_2, att_term,
+  CASE WHEN (s = 0) = (coalesce(i0, 0) > 0) THEN 'stereotype' ELSE 'anti-stereotype' END AS label_1,
+  CASE WHEN (s = 0) = (coalesce(i0, 0) > 0) THEN 'anti-stereotype' ELSE 'stereotype' END AS label_2
+FROM j WHERE coalesce(i0, 0) > 0 OR coalesce(i1, 0) > 0"""))
+def q_pair_labels_by_index(spark, sf_dir):
+    return PR.pair_labels_by_index(_pairs(spark, sf_dir), FL.spec_table(spark))
+
+
+@register("pair_rejects", O.with_ctes(SPEC, *PAIRS_CTES, RSPEC_CTE, f"""
+rp AS (SELECT {O.q(RSPEC.name)} AS spec, pair_id, grp_term_1, grp_term_2, att_term FROM pairs),
+ra AS (SELECT spec, replace(term, ' ', '-') AS k, min(side) AS s FROM rspec_terms WHERE axis = 'attribute' GROUP BY ALL),
+rg AS (SELECT spec, term, min(side) AS s FROM rspec_terms WHERE axis = 'group' GROUP BY ALL),
+rg2 AS (SELECT spec, term, list(DISTINCT side) AS sides FROM rspec_terms WHERE axis = 'group' GROUP BY ALL),
+rj AS (SELECT rp.spec, rp.pair_id, ra.s AS att_s, rg.s AS grp_s, rg2.sides
+       FROM rp LEFT JOIN ra ON ra.spec = rp.spec AND ra.k = replace(rp.att_term, ' ', '-')
+       LEFT JOIN rg ON rg.spec = rp.spec AND rg.term = rp.grp_term_1
+       LEFT JOIN rg2 ON rg2.spec = rp.spec AND rg2.term = rp.grp_term_2)""", body="""
+SELECT spec, pair_id, 'attribute not in spec' AS reason FROM rj WHERE att_s IS NULL
+UNION ALL SELECT spec, pair_id, 'group term 1 not in spec' FROM rj WHERE grp_s IS NULL
+UNION ALL SELECT spec, pair_id, 'group term 2 not on the opposite side' FROM rj
+  WHERE grp_s IS NOT NULL AND NOT coalesce(list_contains(sides, 1 - grp_s), false)"""))
+def q_pair_rejects(spark, sf_dir):
+    p = _pairs(spark, sf_dir).withColumn("spec", F.lit(RSPEC.name))
+    return PR.pair_rejects(p, _rspec(spark))
+
+
+# ---------------------------------------------------------------- batch inference hook and sinks
+def _char_loss(texts, targets):
+    """Example predict function for the hook: mean word length of the text (no model needed)."""
+    import numpy as np
+    return [float(np.mean([len(w) for w in t.split()])) if t.split() else 0.0 for t in texts]
+
+
+@register("score_batch_hook")
+def q_score_batch_hook(spark, sf_dir):
+    lp = FL.labelled_pairs(spark, sf_dir)
+    vs = SC.batch_inference_scores(lp, _char_loss, model="mean-word-length")
+    return SC.pair_winner(lp, SC.causal_scores(vs)).select("pair_id", "model", "stereotyped", "top_term")
+
+
+@register("export_pairs", O.with_ctes(SPEC, *FULL_CTES, DISPLAY_CTE, O.spec_names_cte(), body="""
+SELECT 'test_pairs_' || n.bias_name || '.csv' AS file_name, d.pair_id AS row_id, d."Stereotyped", d."Attribute",
+       d."Groups", d."Sentence", d."Alternative"
+FROM display d JOIN names n ON n.spec = d.spec"""))
+def q_export_pairs(spark, sf_dir):
+    return SK.export_frame(_display(spark, sf_dir), GN.spec_names(FL.spec_table(spark)))
+
+
+@register("test_result_record")
+def q_test_result_record(spark, sf_dir):
+    return SK.test_result_records(M.model_score(FL.scored_pairs(spark, sf_dir)), GN.spec_names(FL.spec_table(spark)))

@@ -73,6 +73,15 @@ def scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = Non
     return SC.pair_winner(lp, scores)
 
 
+def masked_scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None,
+                        failsafe: str = "exclude") -> DataFrame:
+    """Masked-form scoring (G2) by the bigram LM: logits of the target tokens at the first mask."""
+    lp = labelled_pairs(spark, sf_dir, spec)
+    scores = SC.masked_scores(SC.lm_token_logits(lp, bigrams(spark, sf_dir), LM_MODEL + "-masked"))
+    return (SC.pair_winner(lp, scores, failsafe=failsafe)
+            .withColumn("model", F.lit(LM_MODEL + "-masked")))
+
+
 def scored_full(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
     """Scored pairs with their template and reference marks (E4-E6) for result shaping."""
     from stereoscope.operators.templates import template_refs
