@@ -18,12 +18,40 @@ shuffle join otherwise, with AQE skew splitting for hot histories.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START = "<s>"
 
 
+@dataclass
+class BigramLM:
+    """A trained model: bigram counts (lineage cut by a reliable checkpoint), history
+    counts derived from them, and the vocabulary size as a scalar subquery."""
+    bigrams: DataFrame
+    k: float = 1.0
+
+    @property
+    def hist(self) -> DataFrame:
+        return history_counts(self.bigrams)
+
+    @property
+    def vocab(self) -> Column:
+        return vocab_size(self.bigrams)
+
+
+def train(corpus_sentences: DataFrame, text_col: str = "sentence", k: float = 1.0,
+          checkpoint: bool = True) -> BigramLM:
+    """Count once; the count table is written to the checkpoint folder (the model
+    artifact), so scoring, history counts and V read it instead of re-reading the corpus."""
+    bg = train_bigrams(corpus_sentences, text_col)
+    if checkpoint:
+        bg = bg.checkpoint(eager=True)
+    return BigramLM(bg, k)
+
+
 def lm_tokens(text: Column) -> Column:
     toks = F.split(F.lower(text), "[^a-z]+")
     return F.filter(toks, lambda t: t != "")
@@ -53,24 +81,45 @@ def vocab_size(bigrams: DataFrame) -> Column:
     return bigrams.select(F.count_distinct("w2").cast("double")).scalar()
 
 
-def sentence_loss(variants: DataFrame, bigrams: DataFrame, keys: list[str], text_col: str = "text",
+def _as_lm(bigrams, k) -> BigramLM:
+    return bigrams if isinstance(bigrams, BigramLM) else BigramLM(bigrams, k)
+
+
+def bigram_logprobs(probe: DataFrame, lm: BigramLM, keep: list[str]) -> DataFrame:
+    """(keep..., lp) with lp = ln P(w2 | w1) for each probe bigram (two left lookups)."""
+    return (probe.join(lm.bigrams, ["w1", "w2"], "left")
+            .join(lm.hist, ["w1"], "left")
+            .select(*keep, F.log((F.coalesce("c12", F.lit(0)) + lm.k)
+                                 / (F.coalesce("c1", F.lit(0)) + lm.k * lm.vocab)).alias("lp")))
+
+
+def sentence_loss(variants: DataFrame, bigrams, keys: list[str], text_col: str = "text",
                   k: float = 1.0, digits: int = 6) -> DataFrame:
     """G6 scoring: (keys..., loss) with loss = -avg ln P(w2|w1), rounded."""
-    v = vocab_size(bigrams)
-    probe = bigram_rows(variants, text_col, keys)
-    scored = (probe.join(bigrams, ["w1", "w2"], "left")
-              .join(history_counts(bigrams), ["w1"], "left")
-              .select(*keys, F.log((F.coalesce("c12", F.lit(0)) + k)
-                                   / (F.coalesce("c1", F.lit(0)) + k * v)).alias("lp")))
+    lm = _as_lm(bigrams, k)
+    scored = bigram_logprobs(bigram_rows(variants, text_col, keys), lm, keys)
     return scored.groupBy(*keys).agg(F.round(-F.avg("lp"), digits).alias("loss"))
 
 
-def masked_token_scores(variants: DataFrame, bigrams: DataFrame, keys: list[str], text_col: str = "text",
+def pair_losses(variants: DataFrame, bigrams, k: float = 1.0, digits: int = 6) -> DataFrame:
+    """Both variants' losses in one aggregation keyed by pair: (pair_id, l0, l1). The
+    output is hash-partitioned by pair_id, so a following join on pair_id shuffles one side only."""
+    lm = _as_lm(bigrams, k)
+    scored = bigram_logprobs(bigram_rows(variants, "text", ["pair_id", "variant"]), lm, ["pair_id", "variant"])
+    return scored.groupBy("pair_id").agg(
+        F.round(-F.avg(F.when(F.col("variant") == 0, F.col("lp"))), digits).alias("l0"),
+        F.round(-F.avg(F.when(F.col("variant") == 1, F.col("lp"))), digits).alias("l1"))
+
+
+def masked_token_scores(variants: DataFrame, bigrams, keys: list[str], text_col: str = "text",
                         target_col: str = "target", k: float = 1.0) -> DataFrame:
     """G6 masked form as token logits: for each token of the target term at its first
     occurrence, ln P(t | left) + ln P(right | t). Output (keys..., subtok_pos, logit)."""
-    v = vocab_size(bigrams)
-    hc = history_counts(bigrams)
+    lm = _as_lm(bigrams, k)
+    k = lm.k
+    v = lm.vocab
+    hc = lm.hist
+    bigrams = lm.bigrams
     toks = variants.select(*keys, F.concat(F.array(F.lit(START)), lm_tokens(F.col(text_col))).alias("t"),
                            lm_tokens(F.col(target_col)).alias("tt"))
     # first position (1-based, after the start token) where the target token run begins

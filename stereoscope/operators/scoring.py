@@ -31,6 +31,13 @@ def lm_variant_scores(pairs: DataFrame, bigrams: DataFrame, model: str = "bigram
     return loss.select("pair_id", F.col("variant").cast("int").alias("variant"), F.lit(model).alias("model"), "loss")
 
 
+def lm_causal_scores(pairs: DataFrame, lm, model: str = "bigram-lm") -> DataFrame:
+    """G6 + G1 fused for the built-in LM: (pair_id, model, r0, r1) from one aggregation by pair."""
+    l = LM.pair_losses(variant_rows(pairs), lm)
+    m = F.greatest("l0", "l1")
+    return l.select("pair_id", F.lit(model).alias("model"), (m - F.col("l0")).alias("r0"), (m - F.col("l1")).alias("r1"))
+
+
 def lm_token_logits(pairs: DataFrame, bigrams: DataFrame, model: str = "bigram-lm-masked") -> DataFrame:
     """G6 masked form -> token_logits for every pair."""
     t = LM.masked_token_scores(variant_rows(pairs), bigrams, ["pair_id", "variant"], text_col="text")

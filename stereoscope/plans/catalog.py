@@ -77,12 +77,12 @@ def q_lm_bigrams(spark, sf_dir):
 @register("lm_sentence_loss", O.with_ctes(SPEC, *O.pipeline(SPEC, "losses"), body="""
 SELECT pair_id, variant, 'bigram-lm' AS model, loss FROM losses"""))
 def q_lm_sentence_loss(spark, sf_dir):
-    return SC.lm_variant_scores(FL.labelled_pairs(spark, sf_dir), FL.bigrams(spark, sf_dir), FL.LM_MODEL)
+    return SC.lm_variant_scores(FL.labelled_pairs(spark, sf_dir), FL.language_model(spark, sf_dir), FL.LM_MODEL)
 
 
 @register("score_causal", O.with_ctes(SPEC, *O.pipeline(SPEC, "losses"), body="SELECT pair_id, model, r0, r1 FROM causal"))
 def q_score_causal(spark, sf_dir):
-    return SC.causal_scores(SC.lm_variant_scores(FL.labelled_pairs(spark, sf_dir), FL.bigrams(spark, sf_dir)))
+    return SC.causal_scores(SC.lm_variant_scores(FL.labelled_pairs(spark, sf_dir), FL.language_model(spark, sf_dir)))
 
 
 @register("pair_winner", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), body="""
@@ -344,7 +344,7 @@ SELECT t.spec, t.model, ns.n_sentences, (ns.n_sentences < na.total_att OR ns.n_s
 FROM top2 t JOIN ms ON ms.spec = t.spec AND ms.model = t.model JOIN ns ON ns.spec = t.spec
 JOIN gs ON gs.spec = t.spec JOIN na ON na.spec = t.spec"""))
 def q_interpretation(spark, sf_dir):
-    sp = FL.scored_pairs(spark, sf_dir)
+    sp = FL.scored_pairs(spark, sf_dir, keep=True)
     ns = sp.groupBy("spec").agg(F.count(F.lit(1)).alias("n_sentences"))
     return DP.interpretation(M.attribute_scores(sp), M.model_score(sp), FL.spec_table(spark), ns)
 
@@ -365,9 +365,10 @@ FROM display d JOIN att_side s ON s.spec = d.spec AND s.att = d."Attribute"
 JOIN att_scores a ON a.spec = d.spec AND a.model = d.model AND a.att_term = d."Attribute"
 WHERE d."Stereotyped" IN ('yes', 'no')"""))
 def q_tiles(spark, sf_dir):
-    sf = FL.scored_full(spark, sf_dir)
+    sp = FL.scored_pairs(spark, sf_dir, keep=True)
+    sf = FL.scored_full(spark, sf_dir, scored=sp)
     disp = DP.display_pairs(sf).join(sf.select("pair_id", "doc_id", "sent_pos"), "pair_id")
-    return DP.tiles(disp, M.attribute_scores(FL.scored_pairs(spark, sf_dir)), FL.spec_table(spark))
+    return DP.tiles(disp, M.attribute_scores(sp), FL.spec_table(spark))
 
 
 # ---------------------------------------------------------------- sampling
@@ -650,7 +651,7 @@ MASKED_CTES = O.pipeline(SPEC, "losses") + [MASKED_SQL]
 
 @register("score_masked", O.with_ctes(SPEC, *MASKED_CTES, body="SELECT pair_id, model, r0, r1 FROM masked"))
 def q_score_masked(spark, sf_dir):
-    return SC.masked_scores(SC.lm_token_logits(FL.labelled_pairs(spark, sf_dir), FL.bigrams(spark, sf_dir)))
+    return SC.masked_scores(SC.lm_token_logits(FL.labelled_pairs(spark, sf_dir), FL.language_model(spark, sf_dir)))
 
 
 @register("score_failsafe", O.with_ctes(SPEC, *MASKED_CTES, body="""
@@ -678,8 +679,9 @@ per_kind AS (
 SELECT k.model, k.kind, p.model_bias, p.num_templates FROM kinds k JOIN per_kind p ON p.kind = k.kind"""))
 def q_model_kind(spark, sf_dir):
     models = SC.model_kind(spark.createDataFrame([(m,) for m in PT.MODEL_CHOICES], "model string"))
-    causal = M.model_score(FL.scored_pairs(spark, sf_dir)).withColumn("kind", F.lit("causal"))
-    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir)).withColumn("kind", F.lit("masked"))
+    lm = FL.language_model(spark, sf_dir)
+    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm)).withColumn("kind", F.lit("causal"))
+    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm)).withColumn("kind", F.lit("masked"))
     per_kind = causal.unionByName(masked).select("kind", "model_bias", "num_templates")
     return models.join(F.broadcast(per_kind), "kind").select("model", "kind", "model_bias", "num_templates")
 

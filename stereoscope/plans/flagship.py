@@ -18,7 +18,7 @@ from stereoscope.operators import metrics as M
 from stereoscope.operators import mining as MI
 from stereoscope.operators import pairs as PR
 from stereoscope.operators import scoring as SC
-from stereoscope.operators.lm import train_bigrams
+from stereoscope.operators.lm import BigramLM, train, train_bigrams
 from stereoscope.sources import specs as S
 from stereoscope.sources.bank import BANK_COLUMNS
 from stereoscope.sources import tables as TB
@@ -26,6 +26,14 @@ from stereoscope.sources import tables as TB
 LM_MODEL = "bigram-lm"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of an intermediate read by several consumers: a reliable checkpoint in
+    the shared checkpoint folder (survives executor loss; never a local checkpoint)."""
+    from stereoscope.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def retrieval_spec() -> S.BiasSpec:
     """A second spec over the same corpus, for retrieval and reject reports: it drops
     'was' and 'that' and adds 'is' and 'those', so some bank rows fall outside it."""
@@ -55,6 +63,11 @@ def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_bigrams(lm_corpus(spark, sf_dir))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> BigramLM:
+    """Train the bigram LM once per job (counts checkpointed)."""
+    return train(lm_corpus(spark, sf_dir))
+
+
 def mined(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
     return MI.mine_sentences(sentences(spark, sf_dir), spec_table(spark, spec))
 
@@ -66,26 +79,30 @@ def labelled_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = N
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None,
-                 bigram_table: DataFrame | None = None) -> DataFrame:
-    lp = labelled_pairs(spark, sf_dir, spec)
-    bg = bigram_table if bigram_table is not None else bigrams(spark, sf_dir)
-    scores = SC.causal_scores(SC.lm_variant_scores(lp, bg, LM_MODEL))
-    return SC.pair_winner(lp, scores)
+                 lm: BigramLM | None = None, lp: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """Labelled pairs (materialized: read by the scorer and by the winner join) scored by
+    the causal LM. ``keep=True`` materializes the result for flows that read it again."""
+    lp = lp if lp is not None else materialize(labelled_pairs(spark, sf_dir, spec))
+    scores = SC.lm_causal_scores(lp, lm if lm is not None else language_model(spark, sf_dir), LM_MODEL)
+    out = SC.pair_winner(lp, scores)
+    return materialize(out) if keep else out
 
 
 def masked_scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None,
-                        failsafe: str = "exclude") -> DataFrame:
+                        failsafe: str = "exclude", lm: BigramLM | None = None) -> DataFrame:
     """Masked-form scoring (G2) by the bigram LM: logits of the target tokens at the first mask."""
-    lp = labelled_pairs(spark, sf_dir, spec)
-    scores = SC.masked_scores(SC.lm_token_logits(lp, bigrams(spark, sf_dir), LM_MODEL + "-masked"))
+    lp = materialize(labelled_pairs(spark, sf_dir, spec))
+    lm = lm if lm is not None else language_model(spark, sf_dir)
+    scores = SC.masked_scores(SC.lm_token_logits(lp, lm, LM_MODEL + "-masked"))
     return (SC.pair_winner(lp, scores, failsafe=failsafe)
             .withColumn("model", F.lit(LM_MODEL + "-masked")))
 
 
-def scored_full(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
+def scored_full(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None,
+                scored: DataFrame | None = None) -> DataFrame:
     """Scored pairs with their template and reference marks (E4-E6) for result shaping."""
     from stereoscope.operators.templates import template_refs
-    return template_refs(scored_pairs(spark, sf_dir, spec))
+    return template_refs(scored if scored is not None else scored_pairs(spark, sf_dir, spec))
 
 
 def flagship(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:

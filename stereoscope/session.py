@@ -16,7 +16,15 @@ from pyspark.sql import SparkSession
 # Settings every job relies on: AQE for runtime re-planning (coalescing,
 # skew-join splitting, broadcast conversion from measured sizes) and Arrow for
 # the one Python batch path (the inference hook).
+#
+# Broadcast policy: no broadcast from plan estimates (they undercount aggregates
+# over exploded text); a join side is broadcast either by an explicit hint on a
+# spec-sized table whose row count was checked (sources.specs.bounded), or by
+# AQE after the side's shuffle output was materialized and measured below the
+# adaptive threshold.
 DEFAULT_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
