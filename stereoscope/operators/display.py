@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed
 from stereoscope.functions.text import display_text
-from stereoscope.operators.sampling import ordinal_within
+from stereoscope.operators.sampling import ordinal_within, range_bucket
 from stereoscope.sources.specs import bounded
 
 # FIXED VALUES: interpretation sentences of the measured tool, without markup.
@@ -119,8 +119,9 @@ def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame, buck
     d = (display.where(F.col("Stereotyped").isin("yes", "no"))
          .join(bounded(sides), ["spec", "Attribute"])
          .withColumn("yes_first", F.when(F.col("Stereotyped") == "yes", 0).otherwise(1)))
+    bucket = F.col("yes_first") * buckets + range_bucket(d, "doc_id", buckets)
     d = ordinal_within(d, ["spec", "model", "Attribute"], ["yes_first", "doc_id", "sent_pos", "pair_id"],
-                       range_col="doc_id", buckets=buckets, out="tile_no")
+                       bucket, out="tile_no")
     sc = att_scores.select("spec", "model", F.col("att_term").alias("Attribute"), "score")
     return (d.join(sc, ["spec", "model", "Attribute"])
             .select("spec", "model", F.col("Attribute").alias("att_term"), "side", "tile_no",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed, seeded_int, seeded_rank, url_safe_md5_b64
-from stereoscope.operators.sampling import top_n_per_group
+from stereoscope.operators.sampling import top_n_by_rank
 from stereoscope.sources.specs import bounded
 
 
@@ -111,7 +111,7 @@ def downsample_to_target(rows: DataFrame, targets: DataFrame, seed: int = 0, key
     """Keep at most n_target rows per (spec, attribute) by seeded rank."""
     t = bounded(targets.select("spec", "att_term", "n_target"))
     j = rows.join(t, ["spec", "att_term"])
-    return top_n_per_group(j, ["spec", "att_term"], [seeded_rank(seed, key)], F.col("n_target"), out="keep_rank")
+    return top_n_by_rank(j, ["spec", "att_term"], seeded_rank(seed, key), F.col("n_target"), out="keep_rank")
 
 
 def spec_names(spec_terms: DataFrame) -> DataFrame:

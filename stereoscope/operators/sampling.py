@@ -1,16 +1,16 @@
 """Seeded sampling and skew-safe ordering helpers.
 
 Random choices are orders by ``md5(seed|key...)``: reproducible, and the same
-text in Spark and DuckDB. Top-n per group uses ``row_number() <= n``, which the
-optimizer turns into a partial (map-side) window group limit, so a hot group
-ships at most n rows per input partition. Dense ordinals within a group use
-range buckets of an ordering column plus prefix offsets, so no group is sorted
-by a single task.
+text in Spark and DuckDB. Top-n per group with a literal n uses ``row_number() <= n``,
+which the optimizer turns into a partial (map-side) window group limit, so a hot
+group ships at most n rows per input partition. Per-group targets (n a column) and
+dense ordinals use order-preserving buckets plus prefix offsets, so no group is
+sorted by a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
@@ -24,27 +24,50 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n, o
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n_col)
 
 
-def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list[str], range_col: str,
-                   buckets: int = 64, out: str = "ordinal") -> DataFrame:
+def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list, bucket, out: str = "ordinal",
+                   limit_col: str | None = None) -> DataFrame:
     """Exact 1-based ordinal of each row inside its group by ``order_cols``.
 
-    The leading order column and range buckets of ``range_col`` (from approximate
-    quantiles, which only cuts the work into pieces) split each group; per-piece counts
-    give prefix offsets. Requires ``order_cols`` = [lead, range_col, ...]."""
-    lead = order_cols[0]
+    ``bucket`` is an order-preserving coarse key (a Column, monotone in ``order_cols``):
+    per-(group, bucket) counts give prefix offsets (a small table), and rows are numbered
+    inside their (group, bucket) piece only, so no group is sorted by a single task.
+    With ``limit_col``, pieces whose offset already reaches the row's limit are dropped
+    before numbering (their ordinals would all exceed it)."""
+    d = df.withColumn("_bucket", bucket)
+    piece = group_cols + ["_bucket"]
+    counts = d.groupBy(*piece).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    d = d.join(offsets, piece)
+    if limit_col is not None:
+        d = d.where(F.col("_off") < F.col(limit_col))
+    wr = Window.partitionBy(*piece).orderBy(*order_cols)
+    return d.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_bucket", "_off")
+
+
+def range_bucket(df: DataFrame, col: str, buckets: int = 64) -> Column:
+    """Order-preserving bucket of a numeric column from approximate quantiles (a small
+    list of cut points reaches the driver; it only cuts work into pieces, ordinals stay exact)."""
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(range_col, probs, 0.01))) if buckets > 1 else []
+    cuts = sorted(set(df.approxQuantile(col, probs, 0.01))) if buckets > 1 else []
     b = F.lit(0)
     for c in cuts:
-        b = b + (F.col(range_col) > F.lit(c)).cast("int")
-    d = df.withColumn("_bucket", b)
-    piece = group_cols + [lead, "_bucket"]
-    counts = d.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group_cols).orderBy(lead, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    wr = Window.partitionBy(*piece).orderBy(*order_cols)
-    return (d.join(offsets, piece).withColumn(out, F.col("_off") + F.row_number().over(wr))
-            .drop("_bucket", "_off"))
+        b = b + (F.col(col) > F.lit(c)).cast("int")
+    return b
+
+
+def hex_bucket(hex_col: Column, digits: int = 2) -> Column:
+    """Order-preserving bucket of an md5 hex rank: its leading hex digits (16**digits pieces)."""
+    return F.substring(hex_col, 1, digits)
+
+
+def top_n_by_rank(df: DataFrame, group_cols: list[str], rank_hex: Column, n, out: str = "rank") -> DataFrame:
+    """Rows with the ``n`` smallest hex ranks per group, ``n`` a column (per-group targets).
+    Exact and skew-safe: ordinals come from hex buckets plus prefix offsets, and buckets
+    that start at or beyond the target are dropped before any row is numbered."""
+    d = df.withColumn("_h", rank_hex).withColumn("_n", n)
+    return (ordinal_within(d, group_cols, ["_h"], hex_bucket(F.col("_h")), out=out, limit_col="_n")
+            .where(F.col(out) <= F.col("_n")).drop("_h", "_n"))
 
 
 def balance_lists(spec_terms: DataFrame, seed: int = 0) -> DataFrame:

@@ -91,8 +91,12 @@ def append_dedupe(old: DataFrame, new: DataFrame, order_col: str = "seq") -> Dat
     (old beats new; then the given order). Dedupe is per term, not global."""
     both = (old.withColumn("_origin", F.lit(0)).unionByName(new.withColumn("_origin", F.lit(1)),
                                                             allowMissingColumns=True))
-    w = Window.partitionBy("org_grp_term", "sentence").orderBy("_origin", order_col)
-    return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    # first row per (term, sentence) as an aggregate: map-side combined, so a sentence
+    # repeated in a third of all rows is reduced before the shuffle, not sorted in one task
+    keys = ["org_grp_term", "sentence"]
+    rest = [c for c in both.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct("_origin", order_col))
+    return both.groupBy(*keys).agg(first.alias("_r")).select(*keys, *[F.col("_r." + c).alias(c) for c in rest])
 
 
 def combine_sentences(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -96,7 +96,18 @@ def spec_terms(spark: SparkSession, specs) -> DataFrame:
     rows = [r for s in specs for r in s.rows()]
     if len(rows) > MAX_SPEC_TERMS:
         raise ValueError(f"{len(rows)} spec terms exceed the broadcast bound {MAX_SPEC_TERMS}")
-    return spark.createDataFrame(rows, SPEC_TERMS_SCHEMA)
+    if not rows:
+        return spark.createDataFrame([], SPEC_TERMS_SCHEMA)
+    # an inline VALUES table is a local relation: the planner knows its exact size
+    values = ", ".join(f"({_lit(a)}, {_lit(b)}, {int(c)}, {_lit(d)}, {int(e)}, {_lit(f)})" for a, b, c, d, e, f in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t(spec, axis, side, side_name, pos, term)")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPEC_TERMS_SCHEMA.fields])
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
@@ -148,8 +159,33 @@ def spec_by_label(specs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(specs.select("label", "tag", "name", "type")), "label", "left")
 
 
-def bounded(df: DataFrame, max_rows: int = MAX_SPEC_TERMS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; otherwise leave the join to the planner."""
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _local_size_bound(df: DataFrame):
+    """Upper bound on the bytes of a plan whose leaves are all in-memory local relations
+    (spec tables): the optimizer's estimate is exact for those leaves and filters,
+    projections, joins and aggregates over them do not exceed it. None otherwise."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        leaves = plan.collectLeaves()
+        for i in range(leaves.size()):
+            if not leaves.apply(i).getClass().getSimpleName().startswith("LocalRelation"):
+                return None
+        if "Join" in plan.toString():  # a join may multiply rows; fall back to counting
+            return None
+        return int(str(plan.stats().sizeInBytes()))
+    except Exception:  # no JVM handle (e.g. Spark Connect): count instead
+        return None
+
+
+def bounded(df: DataFrame, max_rows: int = MAX_SPEC_TERMS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only behind a size check: the exact size of spec-sized local
+    relations, else a row count. Beyond the bound the join is left to the planner
+    (shuffle join, or AQE's broadcast from the measured shuffle size)."""
+    size = _local_size_bound(df)
+    if size is not None:
+        return F.broadcast(df) if size <= max_bytes else df
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
