@@ -16,7 +16,6 @@ from stereoscope.operators import coverage as CV
 from stereoscope.operators import display as DP
 from stereoscope.operators import generation as GN
 from stereoscope.operators import pairs as PR
-from stereoscope.operators import sampling as SM2  # noqa: F401
 from stereoscope.operators import spec_ops as SO
 from stereoscope.functions import patterns as PT
 from stereoscope.sources import sinks as SK
