@@ -305,7 +305,7 @@ ATT_CTE = "att_scores AS (" + ATT_SCORES_SQL + ")"
 
 @register("attribute_ranking", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), ATT_CTE, body="""
 SELECT a.spec, a.model, t.side, a.att_term, a.score, a.n_pairs,
-       row_number() OVER (PARTITION BY a.spec, a.model, t.side ORDER BY a.score DESC, a.att_term) AS rank
+       CAST(row_number() OVER (PARTITION BY a.spec, a.model, t.side ORDER BY a.score DESC, a.att_term) AS INTEGER) AS rank
 FROM att_scores a JOIN (SELECT DISTINCT spec, side, term FROM spec_terms WHERE axis = 'attribute') t
   ON t.spec = a.spec AND t.term = a.att_term"""))
 def q_attribute_ranking(spark, sf_dir):
