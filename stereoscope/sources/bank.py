@@ -18,6 +18,8 @@ from stereoscope.sources.specs import bounded
 BANK_COLUMNS = ["sentence", "alt_sentence", "org_grp_term", "att_term", "template", "alt_template", "grp_term1",
                 "grp_term2", "grp_refs", "label_1", "label_2", "bias_spec", "type", "gen_model"]
 BANK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in BANK_COLUMNS])
+# most group terms turned into a literal partition filter
+MAX_PRUNE_TERMS = 10_000
 LEGACY_SCHEMA = T.StructType([T.StructField(c, T.StringType())
                               for c in ("Group term", "Attribute term", "Test sentence")])
 
@@ -39,9 +41,14 @@ def write_bank(bank: DataFrame, path: str, mode: str = "append") -> None:
 def bank_scan(bank: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """Rows of the bank for the spec's group terms (one read per term occurrence in
     the group lists: a term listed twice is read twice, as the measured tool does)."""
-    g = bounded(spec_terms.where(F.col("axis") == "group")
-                .select("spec", F.col("term").alias("org_grp_term"), F.col("side").alias("read_side"),
-                        F.col("pos").alias("read_pos")))
+    g = spec_terms.where(F.col("axis") == "group")
+    # partition pruning: the spec's group terms (a bounded parameter list) as a literal IN
+    # filter on the partition column; past the bound the join alone selects the rows
+    names = [r[0] for r in g.select("term").distinct().limit(MAX_PRUNE_TERMS + 1).collect()]
+    if len(names) <= MAX_PRUNE_TERMS:
+        bank = bank.where(F.col("org_grp_term").isin(names))
+    g = bounded(g.select("spec", F.col("term").alias("org_grp_term"), F.col("side").alias("read_side"),
+                         F.col("pos").alias("read_pos")))
     return bank.join(g, "org_grp_term")
 
 
