@@ -86,22 +86,28 @@ def pair_gaps(sentences: DataFrame, spec_terms: DataFrame, target: int = P.PAIR_
                                                             F.col("side").alias("gside"), F.col("term").alias("grp"))
     att = spec_terms.where(F.col("axis") == "attribute").select("spec", F.col("pos").alias("apos"),
                                                                 F.col("side").alias("aside"), F.col("term").alias("att"))
-    cells = bounded(grp.join(att, "spec").join(own, (F.col("grp") == own.term) & (grp.spec == own.spec), "left")
-                    .drop(own.spec).drop("term"))
+    own = bounded(own.withColumnRenamed("term", "grp"))
+    cells = bounded(grp.join(bounded(att), "spec").join(own, ["spec", "grp"], "left"))
+    # observed (group term 1, attribute, pair key) counts: a partial aggregation over the sentences
     counts = (sentences.groupBy("spec", F.col("grp_term_1").alias("grp"), F.col("att_term").alias("att"),
                                 unordered_pair_key("grp_term_1", "grp_term_2").alias("pair_key"))
               .agg(F.count(F.lit(1)).alias("cnt")))
     cell_id = ["spec", "gside", "gpos", "aside", "apos"]
+    w = Window.partitionBy(*cell_id)
     j = (cells.join(counts, ["spec", "grp", "att"], "left")
-         .join(bounded(permitted), ["spec", "pair_key"], "left")
-         .withColumn("n_keys", F.count("pair_key").over(Window.partitionBy(*cell_id))))
-    kept = j.where(F.col("pair_key").isNotNull()
-                   & ((F.col("n_keys") == 1) | F.coalesce(F.col("permitted"), F.lit(False))))
-    kept_any = kept.select(*cell_id).distinct().withColumn("has", F.lit(True))
-    fill = (j.select(*cell_id, "own_key", "att").distinct().join(kept_any, cell_id, "left")
-            .where(F.col("has").isNull())
-            .select("spec", F.col("own_key").alias("pair_key"), "att", F.lit(0).cast("long").alias("cnt")))
-    rows = kept.select("spec", "pair_key", "att", F.col("cnt").cast("long").alias("cnt")).unionByName(fill)
+         .join(bounded(permitted), ["spec", "pair_key"], "left"))
+    keep = F.col("pair_key").isNotNull() & ((F.count("pair_key").over(w) == 1)
+                                            | F.coalesce(F.col("permitted"), F.lit(False)))
+    j = j.withColumn("keep", keep)
+    j = (j.withColumn("any_kept", F.max(F.col("keep").cast("int")).over(w))
+         .withColumn("first_in_cell", F.row_number().over(w.orderBy("pair_key")) == 1))
+    # one pass: kept keys, plus one (own key, attribute, 0) row for a cell with nothing kept
+    rows = j.select("spec", "att", F.explode(
+        F.when(F.col("keep"), F.array(F.struct(F.col("pair_key"), F.col("cnt").cast("long").alias("cnt"))))
+        .when((F.col("any_kept") == 0) & F.col("first_in_cell"),
+              F.array(F.struct(F.col("own_key").alias("pair_key"), F.lit(0).cast("long").alias("cnt"))))
+        .otherwise(F.array().cast("array<struct<pair_key:string,cnt:bigint>>"))).alias("r")) \
+        .select("spec", F.col("r.pair_key").alias("pair_key"), "att", F.col("r.cnt").alias("cnt"))
     out = (rows.groupBy("spec", "pair_key", F.col("att").alias("att_term")).agg(F.sum("cnt").cast("long").alias("n"))
            .withColumn("n_gap", F.greatest(F.lit(0).cast("long"), F.lit(target) - F.col("n")).cast("long")))
     return out.where(F.col("n_gap") > 0) if only_missing else out

@@ -376,7 +376,7 @@ SELECT 0 AS rep, spec, model, att_term, pair_id, stereotyped, CAST(rn - 1 AS INT
   SELECT *, row_number() OVER (PARTITION BY spec, model, att_term ORDER BY md5('0|0|' || pair_id)) AS rn FROM scored)
 WHERE rn <= 2"""))
 def q_sample_per_attribute(spark, sf_dir):
-    s = SM.sample_per_attribute(FL.scored_pairs(spark, sf_dir), n=2, reps=1, seed=0)
+    s = SM.sample_per_attribute(FL.scored_pairs(spark, sf_dir, keep=True), n=2, reps=1, seed=0)
     return s.select("rep", "spec", "model", "att_term", "pair_id", "stereotyped", F.col("draw").cast("int"))
 
 
@@ -393,7 +393,7 @@ SELECT spec, model, count(*) AS n_reps, round(avg(score), 6) AS mean, round(stdd
        round(quantile_cont(score, 0.025), 6) AS p025, round(quantile_cont(score, 0.975), 6) AS p975
 FROM per_rep GROUP BY spec, model"""))
 def q_bootstrap_score(spark, sf_dir):
-    return SM.bootstrap_score(FL.scored_pairs(spark, sf_dir), reps=30, n=2, seed=0)
+    return SM.bootstrap_score(FL.scored_pairs(spark, sf_dir, keep=True), reps=30, n=2, seed=0)
 
 
 # ---------------------------------------------------------------- generation planning
@@ -462,7 +462,9 @@ SELECT pair_id, spec, att_term, n_target, keep_rank FROM (
          row_number() OVER (PARTITION BY p.spec, p.att_term ORDER BY md5('0|' || p.pair_id)) AS keep_rank
   FROM pairs p JOIN targets t ON t.spec = p.spec AND t.att_term = p.att_term) WHERE keep_rank <= n_target"""))
 def q_downsample_to_target(spark, sf_dir):
-    d = GN.downsample_to_target(_pairs(spark, sf_dir), _targets(spark, sf_dir))
+    pairs = FL.materialize(_pairs(spark, sf_dir))
+    st = FL.spec_table(spark)
+    d = GN.downsample_to_target(pairs, GN.gen_targets(st, CV.attribute_gaps(pairs, st)))
     return d.select("pair_id", "spec", "att_term", "n_target", F.col("keep_rank"))
 
 
@@ -562,7 +564,7 @@ both_ AS (SELECT *, 0 AS origin FROM bank UNION ALL SELECT *, 1 AS origin FROM n
 SELECT org_grp_term, sentence, pair_id, origin, gen_model FROM (
   SELECT *, row_number() OVER (PARTITION BY org_grp_term, sentence ORDER BY origin, pair_id) AS r FROM both_) WHERE r = 1"""))
 def q_bank_append_dedupe(spark, sf_dir):
-    old = FL.derived_bank(spark, sf_dir)
+    old = FL.materialize(FL.derived_bank(spark, sf_dir))
     new = FL.derived_bank(spark, sf_dir, corpus="conversations").unionByName(old.withColumn("gen_model", F.lit("gpt-4")))
     d = BK.append_dedupe(old, new, order_col="pair_id")
     return d.select("org_grp_term", "sentence", "pair_id", F.col("_origin").alias("origin"), "gen_model")
@@ -679,8 +681,9 @@ SELECT k.model, k.kind, p.model_bias, p.num_templates FROM kinds k JOIN per_kind
 def q_model_kind(spark, sf_dir):
     models = SC.model_kind(spark.createDataFrame([(m,) for m in PT.MODEL_CHOICES], "model string"))
     lm = FL.language_model(spark, sf_dir)
-    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm)).withColumn("kind", F.lit("causal"))
-    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm)).withColumn("kind", F.lit("masked"))
+    lp = FL.materialize(FL.labelled_pairs(spark, sf_dir))
+    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp)).withColumn("kind", F.lit("causal"))
+    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm, lp=lp)).withColumn("kind", F.lit("masked"))
     per_kind = causal.unionByName(masked).select("kind", "model_bias", "num_templates")
     return models.join(F.broadcast(per_kind), "kind").select("model", "kind", "model_bias", "num_templates")
 

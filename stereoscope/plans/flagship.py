@@ -89,9 +89,10 @@ def scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = Non
 
 
 def masked_scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None,
-                        failsafe: str = "exclude", lm: BigramLM | None = None) -> DataFrame:
+                        failsafe: str = "exclude", lm: BigramLM | None = None,
+                        lp: DataFrame | None = None) -> DataFrame:
     """Masked-form scoring (G2) by the bigram LM: logits of the target tokens at the first mask."""
-    lp = materialize(labelled_pairs(spark, sf_dir, spec))
+    lp = lp if lp is not None else materialize(labelled_pairs(spark, sf_dir, spec))
     lm = lm if lm is not None else language_model(spark, sf_dir)
     scores = SC.masked_scores(SC.lm_token_logits(lp, lm, LM_MODEL + "-masked"))
     return (SC.pair_winner(lp, scores, failsafe=failsafe)
@@ -107,10 +108,11 @@ def scored_full(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None
 
 def flagship(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
     """Per-attribute Stereotype Score with the overall (macro) score on every row."""
-    sp = scored_pairs(spark, sf_dir, spec)
-    att = M.attribute_scores(sp)
-    overall = att.groupBy("spec", "model").agg(F.round(F.avg("score"), 4).alias("model_bias"))
-    return att.join(overall, ["spec", "model"])
+    from pyspark.sql import Window
+    att = M.attribute_scores(scored_pairs(spark, sf_dir, spec))
+    # the macro score over the (small) per-attribute table, without a second pass over the pairs
+    overall = F.round(F.avg("score").over(Window.partitionBy("spec", "model")), 4)
+    return att.withColumn("model_bias", overall)
 
 
 # --------------------------------------------------------------- bank derived from the corpus
