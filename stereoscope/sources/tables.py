@@ -14,12 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a narrow scan over the cores before per-row text work.
+
+    A large table arrives in many splits (row groups / files) and is left alone: no
+    shuffle. A small table stored as one row group arrives in a single busy split; only
+    then are its rows hash-partitioned by ``key`` (deterministic on retry), a shuffle
+    bounded by the small input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan as it is
+        return df
+    return df.repartition(cores, key) if splits < 2 * cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return spread(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "conv_id")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
