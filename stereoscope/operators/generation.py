@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed, seeded_int, seeded_rank, url_safe_md5_b64
 from stereoscope.operators.sampling import top_n_by_rank
+from stereoscope.functions.keys import seeded_rank as seeded_rank  # noqa: F401  (re-exported for plans)
 from stereoscope.sources.specs import bounded
 
 

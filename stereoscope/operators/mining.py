@@ -77,19 +77,25 @@ def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
                     F.col("a.side").alias("att_side"), F.col("a.pos").alias("att_pos")))
 
 
-def accept_candidates(df: DataFrame, sentence: str = "sentence", grp: str = "grp_term",
-                      att: str = "att_term", strict: bool = False) -> DataFrame:
-    """C4: keep rows whose sentence holds both keywords, each followed by one of space . , !
+def accepts(sentence, grp, att, strict: bool = False) -> Column:
+    """C4 as a predicate: the sentence holds both keywords, each followed by one of space . , !
 
     ``strict=False`` is the measured tool's rule (no left boundary, so 'he' hits 'the ');
-    ``strict=True`` adds the left boundary used for mining.
-    """
+    ``strict=True`` adds the left boundary used for mining."""
     left = "(^| )" if strict else ""
+    low = F.lower(F.col(sentence) if isinstance(sentence, str) else sentence)
 
     def pat(c):
+        c = F.col(c) if isinstance(c, str) else c
         return F.concat(F.lit(left + r"\Q"), F.lower(c), F.lit(r"\E" + P.KEYWORD_FOLLOW))
 
-    return df.where(F.lower(sentence).rlike(pat(F.col(grp))) & F.lower(sentence).rlike(pat(F.col(att))))
+    return F.regexp_like(low, pat(grp)) & F.regexp_like(low, pat(att))
+
+
+def accept_candidates(df: DataFrame, sentence: str = "sentence", grp: str = "grp_term",
+                      att: str = "att_term", strict: bool = False) -> DataFrame:
+    """C4: keep the rows that pass ``accepts``."""
+    return df.where(accepts(sentence, grp, att, strict))
 
 
 def _replacement_literal(c: Column) -> Column:

@@ -749,3 +749,52 @@ def q_export_pairs(spark, sf_dir):
 @register("test_result_record")
 def q_test_result_record(spark, sf_dir):
     return SK.test_result_records(M.model_score(FL.scored_pairs(spark, sf_dir)), GN.spec_names(FL.spec_table(spark)))
+
+
+# ---------------------------------------------------------------- acceptance, prompts, run summary
+@register("accept_candidates", O.with_ctes(SPEC, *PAIRS_CTES, body="""
+SELECT pair_id,
+  regexp_matches(lower(alt_sentence), lower(grp_term_2) || '[ .,!]') AND regexp_matches(lower(alt_sentence), lower(att_term) || '[ .,!]') AS accepted,
+  regexp_matches(lower(alt_sentence), '(^| )' || lower(grp_term_2) || '[ .,!]')
+    AND regexp_matches(lower(alt_sentence), '(^| )' || lower(att_term) || '[ .,!]') AS accepted_strict
+FROM pairs"""))
+def q_accept_candidates(spark, sf_dir):
+    """C4 on the counterfactual variants: the measured rule (no left boundary) next to the strict one."""
+    p = _pairs(spark, sf_dir)
+    return p.select("pair_id", MI.accepts("alt_sentence", "grp_term_2", "att_term").alias("accepted"),
+                    MI.accepts("alt_sentence", "grp_term_2", "att_term", strict=True).alias("accepted_strict"))
+
+
+@register("rewrite_prompts", O.with_ctes(SPEC, *PAIRS_CTES, body=f"""
+SELECT pair_id, printf({O.q(PT.REWRITE_INSTRUCTION)}, grp_term_1, grp_term_2) AS instruction,
+       printf({O.q(PT.REWRITE_PROMPT)}, sentence) AS prompt FROM pairs"""))
+def q_rewrite_prompts(spark, sf_dir):
+    return GN.rewrite_prompts(_pairs(spark, sf_dir))
+
+
+@register("fewshot_prompts", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, PLAN_CTE, """
+shots AS (SELECT spec, att_term, shot_no, grp_term_1 AS k0, att_term AS k1, sentence FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY spec, att_term ORDER BY md5('0|' || pair_id)) AS INTEGER) AS shot_no FROM pairs)
+  WHERE shot_no <= 2),
+heads AS (SELECT spec, att_term, string_agg(printf('Keywords: %s, %s ## Sentence: %s ##' || chr(10), k0, k1, sentence), ''
+                                             ORDER BY shot_no) AS head FROM shots GROUP BY spec, att_term)""", body="""
+SELECT p.spec, p.att_term, p.request, coalesce(h.head, '') || printf('Keywords: %s, %s ## Sentence: ', p.grp_term, p.att_term) AS prompt
+FROM plan p LEFT JOIN heads h ON h.spec = p.spec AND h.att_term = p.att_term"""))
+def q_fewshot_prompts(spark, sf_dir):
+    """C7 few-shot form: two seeded mined sentences of the attribute as examples for every request."""
+    pairs = FL.materialize(_pairs(spark, sf_dir))
+    st = FL.spec_table(spark)
+    plan = GN.gen_plan(GN.gen_targets(st, CV.attribute_gaps(pairs, st)), st)
+    shots = (SM.top_n_per_group(pairs, ["spec", "att_term"], [GN.seeded_rank(0, "pair_id")], 2, out="shot_no")
+             .select("spec", "att_term", "shot_no", F.col("grp_term_1").alias("k0"), F.col("att_term").alias("k1"),
+                     "sentence"))
+    return GN.fewshot_prompts(plan, shots)
+
+
+@register("run_summary", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), body="""
+SELECT spec, model, CAST(sum(n) AS BIGINT) AS num_templates, round(avg(s), 4) AS model_bias, round(avg(s), 4) AS per_bias,
+       printf('Stereotype Score on %s using %d sentences', upper(model), CAST(sum(n) AS BIGINT)) AS title
+FROM (SELECT spec, model, att_term, avg(stereotyped) AS s, count(*) AS n FROM scored GROUP BY spec, model, att_term)
+GROUP BY spec, model"""))
+def q_run_summary(spark, sf_dir):
+    return M.run_summary(FL.scored_pairs(spark, sf_dir))
