@@ -798,3 +798,157 @@ FROM (SELECT spec, model, att_term, avg(stereotyped) AS s, count(*) AS n FROM sc
 GROUP BY spec, model"""))
 def q_run_summary(spark, sf_dir):
     return M.run_summary(FL.scored_pairs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- spec operators over the corpus
+SUPPORT_SQL = """
+support AS (SELECT t.term, count(s.doc_id) AS n_sentences
+            FROM (SELECT DISTINCT term FROM {terms}) t
+            LEFT JOIN sents s ON regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
+            GROUP BY t.term)"""
+
+
+def _registry_terms(spark):
+    return SP.specs_to_terms(SP.registry_specs(spark), spec_col="tag")
+
+
+@register("spec_parse", O.with_ctes(SPEC, O.SENTS, _registry_values(), SUPPORT_SQL.format(terms="reg"), body="""
+SELECT r.spec, r.axis, CAST(r.side AS INTEGER) AS side, CAST(r.pos AS INTEGER) AS pos, r.term, s.n_sentences
+FROM reg r JOIN support s ON s.term = r.term"""))
+def q_spec_parse(spark, sf_dir):
+    """B1: the term-list text boxes of every registry spec parsed back to terms, with corpus support."""
+    parsed = SO.parse_term_text(SO.prefill_text(_registry_terms(spark)))
+    return FL.term_support(spark, sf_dir, parsed.select("spec", "axis", "side", "pos", "term"))
+
+
+@register("spec_limit", O.with_ctes(SPEC, O.SENTS, _registry_values(), SUPPORT_SQL.format(terms="reg"), body="""
+SELECT r.spec, r.axis, CAST(r.side AS INTEGER) AS side, CAST(r.pos AS INTEGER) AS pos, r.term, s.n_sentences
+FROM reg r JOIN support s ON s.term = r.term WHERE r.pos < 50"""))
+def q_spec_limit(spark, sf_dir):
+    """The first 50 terms of every registry list, with corpus support."""
+    lim = SM.limit_lists(_registry_terms(spark))
+    return FL.term_support(spark, sf_dir, lim.select("spec", "axis", "side", "pos", "term"))
+
+
+USPEC = FL.unbalanced_spec()
+
+
+@register("spec_balance", O.with_ctes(SPEC, O.SENTS, O.spec_values(USPEC, "uspec"), """
+sz AS (SELECT spec, axis, side, count(*) AS n FROM uspec GROUP BY ALL),
+mn AS (SELECT spec, axis, min(n) AS m FROM sz GROUP BY ALL),
+rk AS (SELECT u.*, z.n, mn.m, row_number() OVER (PARTITION BY u.spec, u.axis, u.side
+         ORDER BY md5('0|' || u.spec || '|' || u.axis || '|' || u.side || '|' || u.term || '|' || u.pos)) AS r
+       FROM uspec u JOIN sz z ON z.spec = u.spec AND z.axis = u.axis AND z.side = u.side
+       JOIN mn ON mn.spec = u.spec AND mn.axis = u.axis),
+bal AS (SELECT spec, axis, CAST(side AS INTEGER) AS side,
+               CAST(CASE WHEN n = m THEN pos ELSE r - 1 END AS INTEGER) AS pos, term FROM rk WHERE n = m OR r <= m)""",
+  SUPPORT_SQL.format(terms="bal"), body="""
+SELECT b.*, s.n_sentences FROM bal b JOIN support s ON s.term = b.term"""))
+def q_spec_balance(spark, sf_dir):
+    """Lists of unequal length sampled to the shorter length (seeded), with corpus support."""
+    bal = SM.balance_lists(SP.spec_terms(spark, USPEC))
+    return FL.term_support(spark, sf_dir, bal.select("spec", "axis", "side", "pos", "term"))
+
+
+def _spec_rows_sql(extra_where: str = "") -> str:
+    return f"""
+spec_rows AS (
+  SELECT r.spec, any_value(r.label) AS label, any_value(r.type) AS type, count(*) AS n_terms,
+         CAST(sum(CASE WHEN s.n_sentences > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_terms_seen,
+         CAST(sum(s.n_sentences) AS BIGINT) AS n_term_sentences
+  FROM reg r JOIN support s ON s.term = r.term {extra_where} GROUP BY r.spec)"""
+
+
+def _spec_rows(spark, sf_dir):
+    specs = SP.registry_specs(spark)
+    sup = FL.term_support(spark, sf_dir, _registry_terms(spark))
+    agg = sup.groupBy("spec").agg(F.count(F.lit(1)).alias("n_terms"),
+                                  F.sum((F.col("n_sentences") > 0).cast("long")).alias("n_terms_seen"),
+                                  F.sum("n_sentences").cast("long").alias("n_term_sentences"))
+    return specs.select(F.col("tag").alias("spec"), "label", "type").join(agg, "spec")
+
+
+@register("spec_by_label", O.with_ctes(SPEC, O.SENTS, _registry_values(), SUPPORT_SQL.format(terms="reg"),
+                                       _spec_rows_sql(), body="""
+SELECT label, spec, type, n_terms, n_terms_seen, n_term_sentences FROM spec_rows"""))
+def q_spec_by_label(spark, sf_dir):
+    """A3: display label -> spec tag, with each spec's corpus support."""
+    labels = SP.registry_specs(spark).select("label")
+    return (SP.spec_by_label(SP.registry_specs(spark), labels).select("label", F.col("tag").alias("spec"), "type")
+            .join(_spec_rows(spark, sf_dir).drop("label", "type"), "spec")
+            .select("label", "spec", "type", "n_terms", "n_terms_seen", "n_term_sentences"))
+
+
+@register("specs_by_type", O.with_ctes(SPEC, O.SENTS, _registry_values(), SUPPORT_SQL.format(terms="reg"),
+                                       _spec_rows_sql("WHERE r.type = 'custom'"), body="""
+SELECT spec, type, n_terms, n_terms_seen, n_term_sentences FROM spec_rows"""))
+def q_specs_by_type(spark, sf_dir):
+    """A5: the custom specs of the registry (kind filter), with corpus support."""
+    custom = SP.registry_specs(spark, kind="custom").select(F.col("tag").alias("spec"))
+    return (_spec_rows(spark, sf_dir).join(custom, "spec", "left_semi")
+            .select("spec", "type", "n_terms", "n_terms_seen", "n_term_sentences"))
+
+
+@register("spec_name", O.with_ctes(SPEC, O.SENTS, _registry_values(), SUPPORT_SQL.format(terms="reg"),
+                                   _spec_rows_sql(), O.spec_names_cte("names", "reg"), body="""
+SELECT r.spec, n.bias_name, r.n_terms_seen, r.n_term_sentences FROM spec_rows r JOIN names n ON n.spec = r.spec"""))
+def q_spec_name(spark, sf_dir):
+    """The name of every registry spec, with its corpus support."""
+    return (_spec_rows(spark, sf_dir).join(GN.spec_names(_registry_terms(spark)), "spec")
+            .select("spec", "bias_name", "n_terms_seen", "n_term_sentences"))
+
+
+@register("att_variants", O.with_ctes(SPEC, O.SENTS, _registry_values(), """
+variants AS (SELECT DISTINCT spec, v AS att_variant FROM (
+  SELECT spec, unnest([term, replace(term, ' ', '-'), replace(term, ' ', '')]) AS v FROM reg WHERE axis = 'attribute'))""",
+  SUPPORT_SQL.format(terms="(SELECT att_variant AS term FROM variants)"), body="""
+SELECT v.spec, v.att_variant, s.n_sentences FROM variants v JOIN support s ON s.term = v.att_variant"""))
+def q_att_variants(spark, sf_dir):
+    """Spelling variants of every registry attribute, with corpus support of each spelling."""
+    v = BK.att_variants(_registry_terms(spark))
+    return FL.term_support(spark, sf_dir, v, term_col="att_variant").select("spec", "att_variant", "n_sentences")
+
+
+@register("term_pairs", O.with_ctes(SPEC, *PAIRS_CTES, """
+tp AS (SELECT a.spec, CAST(a.pos AS INTEGER) AS pos, a.term AS term_0, b.term AS term_1,
+              least(a.term, b.term) || '/' || greatest(a.term, b.term) AS pair_key
+       FROM spec_terms a JOIN spec_terms b ON a.spec = b.spec AND a.pos = b.pos
+       WHERE a.axis = 'group' AND b.axis = 'group' AND a.side = 0 AND b.side = 1)""", body="""
+SELECT tp.*, count(p.pair_id) AS n_pairs FROM tp LEFT JOIN pairs p ON p.spec = tp.spec
+  AND least(p.grp_term_1, p.grp_term_2) || '/' || greatest(p.grp_term_1, p.grp_term_2) = tp.pair_key
+GROUP BY ALL"""))
+def q_term_pairs(spark, sf_dir):
+    """Index-paired group terms with their pair key and the mined pairs of each key."""
+    from stereoscope.functions.keys import unordered_pair_key
+    n = (_pairs(spark, sf_dir).groupBy("spec", unordered_pair_key("grp_term_1", "grp_term_2").alias("pair_key"))
+         .agg(F.count(F.lit(1)).alias("n_pairs")))
+    return (MI.term_pairs(FL.spec_table(spark)).join(n, ["spec", "pair_key"], "left")
+            .withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)).cast("long")))
+
+
+@register("gen_plan_cross", O.with_ctes(SPEC, *PAIRS_CTES, body="""
+SELECT g.spec, g.term AS grp_term, a.term AS att_term, count(p.pair_id) AS n_mined
+FROM spec_terms g JOIN spec_terms a ON a.spec = g.spec AND g.axis = 'group' AND a.axis = 'attribute'
+LEFT JOIN pairs p ON p.spec = g.spec AND p.grp_term_1 = g.term AND p.att_term = a.term
+GROUP BY ALL"""))
+def q_gen_plan_cross(spark, sf_dir):
+    """C6 full-cross form: every (group term, attribute term) of the spec with its mined sentences."""
+    n = _pairs(spark, sf_dir).groupBy("spec", F.col("grp_term_1").alias("grp_term"), "att_term") \
+        .agg(F.count(F.lit(1)).alias("n_mined"))
+    return (SP.bounded(GN.gen_plan_cross(FL.spec_table(spark))).join(n, ["spec", "grp_term", "att_term"], "left")
+            .withColumn("n_mined", F.coalesce("n_mined", F.lit(0)).cast("long")))
+
+
+@register("display_text", O.with_ctes(SPEC, *FULL_CTES, DISPLAY_CTE, body="""
+SELECT pair_id, model,
+  replace(list_reduce(list_prepend({'l': NULL, 'r': NULL}, refs_list),
+                      lambda acc, p: CASE WHEN p.l IS NULL THEN acc WHEN instr(acc, '[R]') > 0
+                                          THEN substr(acc, 1, instr(acc, '[R]') - 1) || p.l || '/' || p.r || substr(acc, instr(acc, '[R]') + 3)
+                                          ELSE acc END, template),
+          '[T]', '[' || split_part("Groups", '/', 1) || '&#47;' || split_part("Groups", '/', 2) || ']') AS display_text
+FROM display"""))
+def q_display_text(spark, sf_dir):
+    """The display string of every scored pair (most probable variant first)."""
+    d = _display(spark, sf_dir)
+    return d.select("pair_id", "model", TX.display_text(F.col("template"), F.col("grp_refs"), F.col("Groups"))
+                    .alias("display_text"))

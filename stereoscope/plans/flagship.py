@@ -40,6 +40,12 @@ def retrieval_spec() -> S.BiasSpec:
     return S.BiasSpec("fixture_retrieval", ("he", "it"), ("this", "those"), ("for", "is"), ("with", "from"))
 
 
+def unbalanced_spec() -> S.BiasSpec:
+    """A spec with lists of unequal length (3 vs 2), for list balancing."""
+    return S.BiasSpec("fixture_unbalanced", ("he", "it", "she"), ("this", "that"), ("for", "was"),
+                      ("with", "from", "by"))
+
+
 def fixture_spec() -> S.BiasSpec:
     with open(os.path.join(S.REGISTRY_DIR, "fixture_corpus_words.json")) as fh:
         return S.spec_from_json(json.load(fh))
@@ -152,3 +158,18 @@ def derived_bank(spark: SparkSession, sf_dir: str, corpus: str = "documents") ->
             .withColumn("gen_model", F.element_at(models, (F.pmod("doc_id", F.lit(len(BANK_GEN_MODELS))) + 1).cast("int")))
             .withColumn("type", F.element_at(types, (F.pmod("doc_id", F.lit(len(BANK_TYPES))) + 1).cast("int")))
             .select("pair_id", *BANK_COLUMNS))
+
+
+def term_support(spark: SparkSession, sf_dir: str, terms: DataFrame, term_col: str = "term") -> DataFrame:
+    """``terms`` plus n_sentences: corpus sentences holding the term (strict boundaries),
+    counted with the mining key join (terms are spec-sized and size-checked)."""
+    keyed = MI.term_keys(terms.select(F.lit("s").alias("spec"), F.lit("t").alias("axis"), F.lit(0).alias("side"),
+                                      F.lit(0).alias("pos"), F.col(term_col).alias("term")).distinct())
+    low = F.lower("sentence")
+    hits = (sentences(spark, sf_dir)
+            .select(low.alias("ls"), F.explode(MI.sentence_keys(low)).alias("key"))
+            .join(S.bounded(keyed.select("key", "term", "simple", "accept_re")), "key")
+            .where(F.col("simple") | F.expr("ls rlike accept_re"))
+            .groupBy(F.col("term").alias(term_col)).agg(F.count(F.lit(1)).alias("n_sentences")))
+    return (terms.join(hits, term_col, "left")
+            .withColumn("n_sentences", F.coalesce("n_sentences", F.lit(0)).cast("long")))
