@@ -46,9 +46,10 @@ def train(corpus_sentences: DataFrame, text_col: str = "sentence", k: float = 1.
           checkpoint: bool = True) -> BigramLM:
     """Count once; the count table is written to the checkpoint folder (the model
     artifact), so scoring, history counts and V read it instead of re-reading the corpus."""
+    from stereoscope.session import materialize
     bg = train_bigrams(corpus_sentences, text_col)
     if checkpoint:
-        bg = bg.checkpoint(eager=True)
+        bg = materialize(bg)
     return BigramLM(bg, k)
 
 

@@ -26,12 +26,7 @@ from stereoscope.sources import tables as TB
 LM_MODEL = "bigram-lm"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of an intermediate read by several consumers: a reliable checkpoint in
-    the shared checkpoint folder (survives executor loss; never a local checkpoint)."""
-    from stereoscope.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from stereoscope.session import materialize  # noqa: E402,F401  (re-exported for plans)
 
 
 def retrieval_spec() -> S.BiasSpec:

@@ -67,3 +67,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # Spark Connect has no SparkContext
         pass
     return d
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate that several consumers read: a reliable checkpoint in
+    the shared checkpoint folder (survives executor loss; never a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
