@@ -32,9 +32,9 @@ def percent(x) -> F.Column:
 
 def signed_bias(scored: DataFrame) -> DataFrame:
     """H4: top - bottom if stereotyped, else bottom - top."""
-    d = F.col("top_logit") - F.col("bottom_logit")
-    return scored.withColumn("bias_score", F.when(F.col("stereotyped") == 1, d)
-                             .when(F.col("stereotyped") == 0, -d))
+    return scored.withColumn("bias_score",
+                             F.when(F.col("stereotyped") == 1, F.col("top_logit") - F.col("bottom_logit"))
+                             .when(F.col("stereotyped") == 0, F.col("bottom_logit") - F.col("top_logit")))
 
 
 def stereotyped_label(c="stereotyped") -> F.Column:
