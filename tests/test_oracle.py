@@ -19,7 +19,8 @@ def _norm(v):
     if v is None:
         return (0, "")
     if isinstance(v, float):
-        return (1, "nan") if math.isnan(v) else (2, round(v, 9))
+        # exact: same bits in both engines (repr also tells -0.0 from 0.0)
+        return (1, "nan") if math.isnan(v) else (2, repr(v))
     if isinstance(v, (bool, int)):
         return (3, int(v))
     return (4, str(v))
