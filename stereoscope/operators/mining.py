@@ -1,6 +1,7 @@
 """Sentence mining from a corpus (the re-aimed generator) and keyword acceptance.
 
 Plan shape: documents -> posexplode(split) -> length window (narrow) ->
+literal prefilter on the spec's word keys (arrays_overlap) ->
 explode the distinct word keys of each sentence -> broadcast hash join with
 the (bounded) spec term keys -> confirm with the exact pattern only for terms
 that contain a separator -> one shuffle of matched rows on the sentence key to
@@ -51,15 +52,38 @@ def term_keys(spec_terms: DataFrame) -> DataFrame:
     )
 
 
+# most distinct term keys turned into a literal prefilter
+MAX_LITERAL_KEYS = 10_000
+
+
+def literal_keys(tk: DataFrame):
+    """The spec's distinct first-word keys as a Python list when there are few of them
+    (a bounded parameter set), else None."""
+    keys = [r[0] for r in tk.select("key").distinct().limit(MAX_LITERAL_KEYS + 1).collect()]
+    return keys if len(keys) <= MAX_LITERAL_KEYS else None
+
+
+def candidate_words(sentences: DataFrame, tk: DataFrame, cols: list[str]) -> DataFrame:
+    """(cols..., ls, key) for each distinct word key of each sentence that may start a spec
+    term. A sentence holding no spec key is dropped before the explode by a literal
+    ``arrays_overlap`` test (codegen, no join), so with rare terms almost nothing reaches
+    the join; the join against the size-checked term keys stays the exact test."""
+    low = F.lower("sentence")
+    s = sentences.select(*cols, low.alias("ls"), sentence_keys(low).alias("keys"))
+    keys = literal_keys(tk)
+    if keys is not None:
+        lit_keys = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
+        s = s.where(F.arrays_overlap("keys", lit_keys))
+    return s.select(*cols, "ls", F.explode("keys").alias("key"))
+
+
 def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """One row per (spec, sentence, group term, attribute term) found with strict boundaries.
 
     Output: spec, doc_id, sent_pos, sentence, grp_term, grp_side, grp_pos, att_term, att_side, att_pos.
     """
     tk = bounded(term_keys(spec_terms))
-    low = F.lower("sentence")
-    hits = (sentences
-            .select("doc_id", "sent_pos", "sentence", low.alias("ls"), F.explode(sentence_keys(low)).alias("key"))
+    hits = (candidate_words(sentences, tk, ["doc_id", "sent_pos", "sentence"])
             .join(tk, "key")
             .where(F.col("simple") | F.expr("ls rlike accept_re")))
     per_sentence = (hits.groupBy("spec", "doc_id", "sent_pos")

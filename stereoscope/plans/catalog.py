@@ -605,11 +605,9 @@ def q_spec_terms(spark, sf_dir):
     specs = SP.registry_specs(spark)
     terms = SP.specs_to_terms(specs, spec_col="tag")
     parsed = SM.balance_lists(SO.parse_term_text(SO.prefill_text(terms)))
-    tk = MI.term_keys(parsed)
-    sents = FL.sentences(spark, sf_dir)
-    low = F.lower("sentence")
-    hits = (sents.select("doc_id", "sent_pos", low.alias("ls"), F.explode(MI.sentence_keys(low)).alias("key"))
-            .join(SP.bounded(tk), "key").where(F.col("simple") | F.expr("ls rlike accept_re"))
+    tk = SP.bounded(MI.term_keys(parsed))
+    hits = (MI.candidate_words(FL.sentences(spark, sf_dir), tk, ["doc_id", "sent_pos"])
+            .join(tk, "key").where(F.col("simple") | F.expr("ls rlike accept_re"))
             .groupBy("spec", "axis", "side", "pos").agg(F.count(F.lit(1)).alias("n_sentences")))
     labels = specs.select(F.col("tag").alias("spec"), "label", "type")
     return (parsed.join(labels, "spec").join(hits, ["spec", "axis", "side", "pos"], "left")

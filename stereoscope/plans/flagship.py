@@ -160,10 +160,9 @@ def term_support(spark: SparkSession, sf_dir: str, terms: DataFrame, term_col: s
     counted with the mining key join (terms are spec-sized and size-checked)."""
     keyed = MI.term_keys(terms.select(F.lit("s").alias("spec"), F.lit("t").alias("axis"), F.lit(0).alias("side"),
                                       F.lit(0).alias("pos"), F.col(term_col).alias("term")).distinct())
-    low = F.lower("sentence")
-    hits = (sentences(spark, sf_dir)
-            .select(low.alias("ls"), F.explode(MI.sentence_keys(low)).alias("key"))
-            .join(S.bounded(keyed.select("key", "term", "simple", "accept_re")), "key")
+    tk = S.bounded(keyed.select("key", "term", "simple", "accept_re"))
+    hits = (MI.candidate_words(sentences(spark, sf_dir), tk, [])
+            .join(tk, "key")
             .where(F.col("simple") | F.expr("ls rlike accept_re"))
             .groupBy(F.col("term").alias(term_col)).agg(F.count(F.lit(1)).alias("n_sentences")))
     return (terms.join(hits, term_col, "left")
