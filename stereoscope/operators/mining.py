@@ -159,3 +159,13 @@ def counterfactual_pairs(mined: DataFrame, spec_terms: DataFrame) -> DataFrame:
         "spec", "doc_id", "sent_pos", pair_id("spec", "doc_id", "sent_pos", "grp_term", "att_term").alias("pair_id"),
         "sentence", rewrite_term(F.col("sentence"), F.lower("grp_term"), F.col("grp_term_2")).alias("alt_sentence"),
         F.col("grp_term").alias("grp_term_1"), "grp_term_2", "att_term", "grp_side", "att_side")
+
+
+def missing_partners(mined: DataFrame, spec_terms: DataFrame) -> DataFrame:
+    """F3 for mining: mined rows whose group term has no partner at its index on the other
+    side (lists of unequal length); an anti join against the size-checked partner table."""
+    partners = bounded(spec_terms.where(F.col("axis") == "group")
+                       .select("spec", (1 - F.col("side")).alias("grp_side"), F.col("pos").alias("grp_pos")))
+    return (mined.join(partners, ["spec", "grp_side", "grp_pos"], "left_anti")
+            .select("spec", "doc_id", "sent_pos", "grp_term", "att_term",
+                    F.lit("group term has no partner at its index").alias("reason")))

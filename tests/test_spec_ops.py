@@ -72,3 +72,17 @@ def test_own_pair_key_first_position_wins(spark):
     own, permitted = CV._own_pair_keys(st)
     assert {r.term: r.own_key for r in own.collect()}["a"] == "a/c"
     assert {r.pair_key for r in permitted.collect()} == {"a/c", "a/d"}
+
+
+def test_missing_partners(spark):
+    from stereoscope.operators import mining as MI
+    st = spec_terms(spark, BiasSpec("s", ("a", "b", "c"), ("d", "e"), ("x",), ("y",)))
+    sents = spark.createDataFrame([(1, 0, "a x then."), (2, 0, "c x now."), (3, 0, "d x here.")],
+                                  "doc_id long, sent_pos int, sentence string")
+    mined = MI.mine_sentences(sents, st)
+    assert {r.grp_term for r in mined.collect()} == {"a", "c", "d"}
+    miss = MI.missing_partners(mined, st).collect()
+    assert [(r.doc_id, r.grp_term) for r in miss] == [(2, "c")]
+    pairs = {r.grp_term_1: r.grp_term_2 for r in MI.counterfactual_pairs(mined, st).collect()}
+    assert pairs == {"a": "d", "d": "a"}
+    assert {r.grp_term_1: r.alt_sentence for r in MI.counterfactual_pairs(mined, st).collect()}["a"] == "d x then."
