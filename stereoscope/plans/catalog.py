@@ -729,7 +729,21 @@ def _char_loss(texts, targets):
     return [float(np.mean([len(w) for w in t.split()])) if t.split() else 0.0 for t in texts]
 
 
-@register("score_batch_hook")
+@register("score_batch_hook", O.with_ctes(SPEC, *O.pipeline(SPEC, "labelled"), """
+hv AS (SELECT pair_id, 0 AS variant, sentence AS text FROM labelled
+       UNION ALL SELECT pair_id, 1 AS variant, alt_sentence AS text FROM labelled),
+hw AS (SELECT pair_id, variant,
+              list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM hv),
+hl AS (SELECT pair_id, variant,
+              CASE WHEN len(ws) = 0 THEN 0.0 ELSE list_sum(list_transform(ws, lambda w: length(w))) / len(ws) END AS loss
+       FROM hw),
+hr AS (SELECT pair_id, greatest(l0, l1) - l0 AS r0, greatest(l0, l1) - l1 AS r1 FROM (
+         SELECT pair_id, max(CASE WHEN variant = 0 THEN loss END) AS l0, max(CASE WHEN variant = 1 THEN loss END) AS l1
+         FROM hl GROUP BY pair_id))""", body="""
+SELECT l.pair_id, 'mean-word-length' AS model,
+       CAST((CASE WHEN r.r0 > r.r1 THEN l.label_1 ELSE l.label_2 END) = 'stereotype' AS INTEGER) AS stereotyped,
+       CASE WHEN r.r0 > r.r1 THEN l.grp_term_1 ELSE l.grp_term_2 END AS top_term
+FROM labelled l JOIN hr r ON r.pair_id = l.pair_id"""))
 def q_score_batch_hook(spark, sf_dir):
     lp = FL.labelled_pairs(spark, sf_dir)
     vs = SC.batch_inference_scores(lp, _char_loss, model="mean-word-length")
