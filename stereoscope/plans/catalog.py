@@ -683,7 +683,7 @@ def q_model_kind(spark, sf_dir):
     causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp)).withColumn("kind", F.lit("causal"))
     masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm, lp=lp)).withColumn("kind", F.lit("masked"))
     per_kind = causal.unionByName(masked).select("kind", "model_bias", "num_templates")
-    return models.join(F.broadcast(per_kind), "kind").select("model", "kind", "model_bias", "num_templates")
+    return models.join(SP.bounded(per_kind), "kind").select("model", "kind", "model_bias", "num_templates")
 
 
 # ---------------------------------------------------------------- label variants and rejects

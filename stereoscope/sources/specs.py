@@ -156,7 +156,7 @@ def spec_from_json(d: dict) -> BiasSpec:
 
 def spec_by_label(specs: DataFrame, labels: DataFrame) -> DataFrame:
     """A3: display label -> spec tag, as a join on ``label`` (the label table is tiny)."""
-    return labels.join(F.broadcast(specs.select("label", "tag", "name", "type")), "label", "left")
+    return labels.join(bounded(specs.select("label", "tag", "name", "type")), "label", "left")
 
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
