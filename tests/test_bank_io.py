@@ -59,3 +59,16 @@ def test_export_csv_and_records(spark):
     from stereoscope.operators.metrics import model_score
     rec = SK.test_result_records(model_score(sp), names).first()
     assert rec.tested_results.tested_model == "bigram-lm" and len(rec.created) == 19
+
+
+def test_save_specs_partitioned_by_type(spark):
+    from stereoscope.sources import specs as SP
+    out = os.path.join(tempfile.mkdtemp(prefix="stereoscope-specs-"), "specs")
+    SK.save_specs(SP.registry_specs(spark), out)
+    assert sorted(p for p in os.listdir(out) if p.startswith("type=")) == ["type=custom", "type=predefined"]
+    back = spark.read.json(out)
+    custom = back.where(F.col("type") == "custom")
+    plan = custom._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "custom" in plan
+    assert custom.count() == 3
+    assert all(len(r.created) == 19 for r in back.select("created").collect())
