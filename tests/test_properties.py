@@ -80,3 +80,28 @@ def test_model_score_in_unit_interval(spark):
     from stereoscope.plans import flagship as FL
     r = M.model_score(FL.scored_pairs(spark, SF_SMALL)).first()
     assert 0.0 <= r.model_bias <= 1.0
+
+
+MINING_TERMS_G = ("he", "big man", "st. louis", "x-ray")
+MINING_TERMS_A = ("math", "high school", "dr.", "a!b")
+vocab = st.sampled_from(["he", "He", "big", "man", "st.", "louis", "x-ray", "math", "Math,", "high", "school",
+                         "dr.", "a!b", "the", "big  man", "he's", "st.louis", "x", "b", ",", "!", "."])
+
+
+def brute_mine(sentence: str):
+    low = sentence.lower()
+    hit = lambda t: re.search(r"(^| )" + re.escape(t) + r"[ .,!]", low) is not None
+    gs = [t for t in MINING_TERMS_G if hit(t)]
+    ats = [t for t in MINING_TERMS_A if hit(t)]
+    return {(g, a) for g in gs for a in ats}
+
+
+@SETTINGS
+@given(st.lists(st.lists(vocab, min_size=1, max_size=9).map(lambda ws: " ".join(ws) + "."), min_size=1, max_size=25))
+def test_mining_equals_brute_force(spark, batch):
+    from stereoscope.operators.mining import mine_sentences
+    spec = BiasSpec("p", MINING_TERMS_G[:2], MINING_TERMS_G[2:], MINING_TERMS_A[:2], MINING_TERMS_A[2:])
+    df = spark.createDataFrame([(i, 0, s) for i, s in enumerate(batch)], "doc_id long, sent_pos int, sentence string")
+    got = {(r.doc_id, r.grp_term, r.att_term) for r in mine_sentences(df, spec_terms(spark, spec)).collect()}
+    want = {(i, g, a) for i, s in enumerate(batch) for g, a in brute_mine(s)}
+    assert got == want
