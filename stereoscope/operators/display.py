@@ -122,7 +122,7 @@ def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame, buck
     bucket = F.col("yes_first") * buckets + range_bucket(d, "doc_id", buckets)
     d = ordinal_within(d, ["spec", "model", "Attribute"], ["yes_first", "doc_id", "sent_pos", "pair_id"],
                        bucket, out="tile_no")
-    sc = att_scores.select("spec", "model", F.col("att_term").alias("Attribute"), "score")
+    sc = bounded(att_scores.select("spec", "model", F.col("att_term").alias("Attribute"), "score"))
     return (d.join(sc, ["spec", "model", "Attribute"])
             .select("spec", "model", F.col("Attribute").alias("att_term"), "side", "tile_no",
                     (F.col("Stereotyped") == "yes").alias("filled"), (F.col("side") == 1).alias("flip"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import seeded_int, seeded_rank
+from stereoscope.sources.specs import bounded
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n, out: str = "rank") -> DataFrame:
@@ -93,7 +94,9 @@ def sample_per_attribute(scored: DataFrame, n: int = P.BOOTSTRAP_PER_ATTRIBUTE,
     """Per (rep, spec, model, attribute): n rows without replacement when the attribute
     has at least n rows, n draws with replacement when it has 1..n-1, none when empty."""
     g = ["spec", "model", "att_term"]
-    cnt = scored.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
+    # per-attribute counts: one row per attribute, broadcast after a size check so the join
+    # keyed by attribute never shuffles a hot attribute into one partition
+    cnt = bounded(scored.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt")))
     d = scored.join(cnt, g).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     big = d.where(F.col("_cnt") >= n)
     wo = top_n_per_group(big, ["rep"] + g, [seeded_rank(seed, "rep", key)], n, out="draw")
