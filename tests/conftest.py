@@ -14,7 +14,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from stereoscope.session import get_session
     ckpt = tempfile.mkdtemp(prefix="stereoscope-test-ckpt-")
-    s = get_session("local[4]", 8, app_name="stereoscope-tests", extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "6g"})
+    s = get_session("local[4]", 8, app_name="stereoscope-tests", extra={"spark.checkpoint.dir": ckpt, "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
