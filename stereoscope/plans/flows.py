@@ -39,9 +39,10 @@ def _write(outputs: dict[str, DataFrame], out: str | None) -> dict[str, DataFram
 
 
 def retrieve_flow(spark: SparkSession, bank: DataFrame, spec: S.BiasSpec, paper_only: bool = False,
-                  out: str | None = None) -> dict[str, DataFrame]:
-    """Flow 'get sentences': bank rows of the spec (C1, C2), then D1-D5."""
-    st = S.spec_terms(spark, spec)
+                  seed: int = 0, out: str | None = None) -> dict[str, DataFrame]:
+    """Flow 'get sentences': bank rows of the spec (C1, C2), then D1-D5. Like the measured
+    tool, the lists are balanced (B3) first."""
+    st = materialize(SM.balance_lists(S.spec_terms(spark, spec), seed))
     sents = materialize(BK.retrieve_pairs(bank, st, paper_only).withColumn("spec", F.lit(spec.name)))
     gaps = CV.attribute_gaps(sents, st)
     return _write({
@@ -57,11 +58,13 @@ def generate_flow(spark: SparkSession, documents: DataFrame, spec: S.BiasSpec, g
                   per_attribute: int = 5, seed: int = 0, out: str | None = None) -> dict[str, DataFrame]:
     """Flow 'generate': targets (C5) from gaps or a constant, corpus mining (C9) with rewrite
     (C10), labels (F1), downsampling to the targets (C8), records (C11) and the prompt table (C6, C7)
-    for any outside generator."""
-    st = S.spec_terms(spark, spec.lower())
+    for any outside generator. Lists are balanced (B3) for planning and mining; labels use the
+    full lists, as in the measured tool."""
+    full = S.spec_terms(spark, spec.lower())
+    st = materialize(SM.balance_lists(full, seed))
     targets = GN.gen_targets(st, gaps, per_attribute)
     mined = MI.mine_sentences(MI.split_sentences(documents), st)
-    pairs = materialize(PR.pair_labels(MI.counterfactual_pairs(mined, st), st))
+    pairs = materialize(PR.pair_labels(MI.counterfactual_pairs(mined, st), full))
     chosen = GN.downsample_to_target(pairs, targets, seed)
     p = (TP.template_refs(chosen).withColumnRenamed("template", "alt_template")
          .withColumn("template", template_simple(F.col("sentence"), F.col("grp_term_1"), F.col("grp_term_2"))))
