@@ -28,29 +28,62 @@ START = "<s>"
 
 @dataclass
 class BigramLM:
-    """A trained model: bigram counts (lineage cut by a reliable checkpoint), history
-    counts derived from them, and the vocabulary size as a scalar subquery."""
+    """A trained model: bigram counts, history counts and the vocabulary size V (see ``train``
+    for how the counts are stored)."""
     bigrams: DataFrame
     k: float = 1.0
+    hist_table: DataFrame | None = None
+    v: float | None = None
 
     @property
     def hist(self) -> DataFrame:
-        return history_counts(self.bigrams)
+        return self.hist_table if self.hist_table is not None else history_counts(self.bigrams)
 
     @property
     def vocab(self) -> Column:
-        return vocab_size(self.bigrams)
+        return F.lit(self.v) if self.v is not None else vocab_size(self.bigrams)
+
+
+# corpus size (planner estimate) above which the trained counts are stored bucketed
+BUCKETED_MODEL_MIN_BYTES = 1 << 30
+
+
+def _estimated_bytes(df: DataFrame):
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM handle (e.g. Spark Connect)
+        return None
 
 
 def train(corpus_sentences: DataFrame, text_col: str = "sentence", k: float = 1.0,
-          checkpoint: bool = True) -> BigramLM:
-    """Count once; the count table is written to the checkpoint folder (the model
-    artifact), so scoring, history counts and V read it instead of re-reading the corpus."""
-    from stereoscope.session import materialize
+          store: str = "auto", buckets: int | None = None) -> BigramLM:
+    """Count once and keep the model for every scoring run of the job.
+
+    ``store='bucketed'``: counts written as a table bucketed by (w1, w2) under the checkpoint
+    folder, so lookups shuffle only the probe side; history counts materialized; V counted
+    once. ``store='checkpoint'``: a reliable checkpoint (cheaper for a small model that is
+    cheap to reshuffle). ``'auto'`` picks bucketed above BUCKETED_MODEL_MIN_BYTES of corpus
+    (planner estimate). ``'none'`` keeps the lineage (one-off use)."""
+    from stereoscope.session import checkpoint_dir, materialize
     bg = train_bigrams(corpus_sentences, text_col)
-    if checkpoint:
-        bg = materialize(bg)
-    return BigramLM(bg, k)
+    if store == "none":
+        return BigramLM(bg, k)
+    if store == "auto":
+        est = _estimated_bytes(corpus_sentences)
+        store = "bucketed" if est is not None and est >= BUCKETED_MODEL_MIN_BYTES else "checkpoint"
+    if store == "checkpoint":
+        return BigramLM(materialize(bg), k)
+    import uuid
+    spark = corpus_sentences.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = uuid.uuid4().hex[:12]
+    name = f"stereoscope_lm_{tag}"
+    (bg.write.bucketBy(n, "w1", "w2").sortBy("w1", "w2")
+     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/stereoscope-lm-{tag}").saveAsTable(name))
+    table = spark.table(name)
+    hist = materialize(history_counts(table))
+    v = float(table.select(F.count_distinct("w2")).first()[0])
+    return BigramLM(table, k, hist, v)
 
 
 def lm_tokens(text: Column) -> Column:

@@ -160,3 +160,21 @@ def test_same_result_under_partition_counts(spark):
             assert sorted(tuple(r) for r in FL.flagship(spark, SF_SMALL).collect()) == base
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_bucketed_model_equals_checkpointed(spark):
+    from stereoscope.operators import lm as LM
+    from stereoscope.operators import scoring as SC
+    corpus = FL.lm_corpus(spark, SF_SMALL)
+    lp = FL.labelled_pairs(spark, SF_SMALL)
+    a = SC.lm_causal_scores(lp, LM.train(corpus, store="checkpoint"))
+    bucketed = LM.train(corpus, store="bucketed", buckets=8)
+    b = SC.lm_causal_scores(lp, bucketed)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+    # the lookup on (w1, w2) reads the model bucketed: only the probe side is shuffled
+    probe = SC.variant_rows(lp)
+    j = LM.bigram_rows(probe, "text", ["pair_id", "variant"]).join(bucketed.bigrams, ["w1", "w2"], "left")
+    jp = j._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in jp
+    import re
+    assert len(re.findall(r"Exchange hashpartitioning\(w1#\d+L?, w2#\d+", jp)) == 1
