@@ -110,10 +110,29 @@ def sample_per_attribute(scored: DataFrame, n: int = P.BOOTSTRAP_PER_ATTRIBUTE,
     return wo.drop("_cnt").unionByName(wr.drop("_cnt"))
 
 
+def spec_attribute_rows(scored: DataFrame, spec_terms: DataFrame) -> DataFrame:
+    """Rows relabelled to the spec attribute they stand for: each spec attribute takes the rows
+    of its exact spelling, or, when it has none, the rows of its dashed spelling (the measured
+    tool's bootstrap lookup). Other spellings drop out."""
+    from stereoscope.functions.keys import dashed
+    atts = spec_terms.where(F.col("axis") == "attribute").select("spec", F.col("term").alias("spec_att")).distinct()
+    present = scored.groupBy("spec", "model", "att_term").agg(F.count(F.lit(1)).alias("_n"))
+    exact = present.select("spec", "model", F.col("att_term").alias("spec_att"), F.lit(1).alias("_exact"))
+    choice = (bounded(atts).join(bounded(present.select("spec", "model").distinct()), "spec")
+              .join(exact, ["spec", "model", "spec_att"], "left")
+              .withColumn("att_term", F.when(F.col("_exact") == 1, F.col("spec_att")).otherwise(dashed("spec_att")))
+              .select("spec", "model", "att_term", "spec_att"))
+    return (scored.join(bounded(choice), ["spec", "model", "att_term"])
+            .withColumn("att_term", F.col("spec_att")).drop("spec_att"))
+
+
 def bootstrap_score(scored: DataFrame, reps: int = P.BOOTSTRAP_REPEATS, n: int = P.BOOTSTRAP_PER_ATTRIBUTE,
-                    seed: int = 0) -> DataFrame:
+                    seed: int = 0, spec_terms: DataFrame | None = None) -> DataFrame:
     """Per repeat, the macro Stereotype Score of an n-per-attribute sample; then
-    mean, standard deviation and the 2.5% / 97.5% percentiles over repeats."""
+    mean, standard deviation and the 2.5% / 97.5% percentiles over repeats. With
+    ``spec_terms``, the sampling units are the spec's attributes (``spec_attribute_rows``)."""
+    if spec_terms is not None:
+        scored = spec_attribute_rows(scored, spec_terms)
     s = sample_per_attribute(scored, n, reps, seed)
     per_att = s.groupBy("rep", "spec", "model", "att_term").agg(F.avg("stereotyped").alias("a"))
     per_rep = per_att.groupBy("rep", "spec", "model").agg(F.avg("a").alias("score"))

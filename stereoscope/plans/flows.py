@@ -128,7 +128,7 @@ def test_model_flow(spark: SparkSession, sentences: DataFrame, spec: S.BiasSpec,
         "display_pairs": DP.display_pairs(scored).withColumn("grp_refs", TP.refs_text(F.col("grp_refs"))),
         "attribute_ranking": DP.attribute_ranking(att, st),
         "interpretation": DP.interpretation(att, ms, st, n_sent),
-        "bootstrap": SM.bootstrap_score(scored, bootstrap_reps, seed=seed),
+        "bootstrap": SM.bootstrap_score(scored, bootstrap_reps, seed=seed, spec_terms=st),
     }
     return _write(outputs, out)
 

@@ -178,3 +178,14 @@ def test_bucketed_model_equals_checkpointed(spark):
     assert "Bucketed: true" in jp
     import re
     assert len(re.findall(r"Exchange hashpartitioning\(w1#\d+L?, w2#\d+", jp)) == 1
+
+
+def test_bootstrap_units_are_spec_attributes(spark):
+    st = spec_terms(spark, BiasSpec("s", ("a",), ("b",), ("bedside manner", "x"), ("y",)))
+    rows = ([("s", "m", "bedside-manner", f"p{i}", 1) for i in range(3)] + [("s", "m", "x", "q", 0)]
+            + [("s", "m", "zz", "r", 1)])
+    scored = spark.createDataFrame(rows, "spec string, model string, att_term string, pair_id string, stereotyped int")
+    mapped = {r.att_term for r in SM.spec_attribute_rows(scored, st).collect()}
+    assert mapped == {"bedside manner", "x"}          # dashed fallback; an unknown spelling drops out
+    b = SM.bootstrap_score(scored, reps=4, n=2, seed=1, spec_terms=st).first()
+    assert b.n_reps == 4 and b.mean == 0.5            # (1 + 0) / 2 in every repeat
