@@ -34,3 +34,20 @@ def test_generate_retrieve_test(spark):
     assert summary == {"gpt2": 20, "bert-base-uncased": 20}
     assert res["interpretation"].count() == 2
     assert os.path.isdir(out + "/test/display_pairs")
+
+
+def test_model_flow_with_score_tables(spark):
+    """Precomputed score tables (the contract for outside models) give the same verdicts as
+    the built-in LM path."""
+    from stereoscope.operators import scoring as SC
+    from stereoscope.operators.lm import train
+    spec = FL.fixture_spec().lower()
+    lp = FL.labelled_pairs(spark, SF_SMALL)
+    sents = lp.select("pair_id", "sentence", "alt_sentence", "grp_term_1", "grp_term_2", "att_term")
+    corpus = FW.corpus_sentences(spark, SF_SMALL)
+    vs = SC.lm_variant_scores(lp, train(corpus), model="gpt2")
+    a = FW.test_model_flow(spark, sents, spec, corpus, models=("gpt2",), variant_scores=vs, bootstrap_reps=3)
+    b = FW.test_model_flow(spark, sents, spec, corpus, models=("gpt2",), bootstrap_reps=3)
+    key = lambda df: sorted((r.pair_id, r.stereotyped) for r in df.select("pair_id", "stereotyped").collect())  # noqa
+    assert key(a["scored_pairs"]) == key(b["scored_pairs"])
+    assert a["run_summary"].first().model_bias == b["run_summary"].first().model_bias
