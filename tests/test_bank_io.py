@@ -72,3 +72,14 @@ def test_save_specs_partitioned_by_type(spark):
     assert "PartitionFilters" in plan and "custom" in plan
     assert custom.count() == 3
     assert all(len(r.created) == 19 for r in back.select("created").collect())
+
+
+def test_bank_csv_import(spark):
+    """A6 CSV import: per-term CSV files with a header, all columns strings."""
+    out = os.path.join(tempfile.mkdtemp(prefix="stereoscope-bankcsv-"), "csv")
+    bank = FL.derived_bank(spark, SF_SMALL).select(*BK.BANK_COLUMNS)
+    bank.write.option("header", True).csv(out)
+    back = BK.read_bank_csv(spark, out)
+    assert back.columns == BK.BANK_COLUMNS
+    assert back.count() == bank.count()
+    assert back.where(F.col("type").isNull()).count() == bank.where(F.col("type").isNull()).count()
