@@ -19,16 +19,14 @@ from stereoscope.operators import mining as MI
 from stereoscope.operators import pairs as PR
 from stereoscope.operators import scoring as SC
 from stereoscope.operators.lm import BigramLM, train, train_bigrams
+from stereoscope.session import materialize  # noqa: F401  (used by the plans through this module)
 from stereoscope.sources import specs as S
-from stereoscope.sources.bank import BANK_COLUMNS
 from stereoscope.sources import tables as TB
+from stereoscope.sources.bank import BANK_COLUMNS
 
 LM_MODEL = "bigram-lm"
 
 
-from stereoscope.session import materialize  # noqa: E402,F401  (re-exported for plans)
-
-
 def retrieval_spec() -> S.BiasSpec:
     """A second spec over the same corpus, for retrieval and reject reports: it drops
     'was' and 'that' and adds 'is' and 'those', so some bank rows fall outside it."""
