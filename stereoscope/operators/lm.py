@@ -119,12 +119,32 @@ def _as_lm(bigrams, k) -> BigramLM:
     return bigrams if isinstance(bigrams, BigramLM) else BigramLM(bigrams, k)
 
 
+# the start token is the history of one bigram of every scored text: a permanently hot key
+START_SALTS = 1024
+
+
+def start_count(lm: BigramLM) -> Column:
+    """History count of the start token (= training sentences with a token), as a scalar."""
+    return lm.hist.where(F.col("w1") == START).select("c1").scalar()
+
+
+def history_lookup(df: DataFrame, lm: BigramLM, word: str, out: str, salt_cols: list[str]) -> DataFrame:
+    """``df`` plus ``out`` = history count of ``word``. Rows whose word is the start token get
+    the scalar start count; their join key is salted into values that match nothing, so the
+    hot key is spread over partitions instead of landing in one."""
+    salted = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*salt_cols), F.lit(START_SALTS)).cast("string"))
+    key = F.when(F.col(word) == START, salted).otherwise(F.col(word))
+    h = lm.hist.select(F.col("w1").alias("_hk"), F.col("c1").alias("_hc"))
+    return (df.withColumn("_hk", key).join(h, "_hk", "left")
+            .withColumn(out, F.when(F.col(word) == START, start_count(lm)).otherwise(F.col("_hc")))
+            .drop("_hk", "_hc"))
+
+
 def bigram_logprobs(probe: DataFrame, lm: BigramLM, keep: list[str]) -> DataFrame:
     """(keep..., lp) with lp = ln P(w2 | w1) for each probe bigram (two left lookups)."""
-    return (probe.join(lm.bigrams, ["w1", "w2"], "left")
-            .join(lm.hist, ["w1"], "left")
-            .select(*keep, F.log((F.coalesce("c12", F.lit(0)) + lm.k)
-                                 / (F.coalesce("c1", F.lit(0)) + lm.k * lm.vocab)).alias("lp")))
+    j = history_lookup(probe.join(lm.bigrams, ["w1", "w2"], "left"), lm, "w1", "c1", keep + ["bpos"])
+    return j.select(*keep, F.log((F.coalesce("c12", F.lit(0)) + lm.k)
+                                 / (F.coalesce("c1", F.lit(0)) + lm.k * lm.vocab)).alias("lp"))
 
 
 def sentence_loss(variants: DataFrame, bigrams, keys: list[str], text_col: str = "text",
@@ -164,11 +184,11 @@ def masked_token_scores(variants: DataFrame, bigrams, keys: list[str], text_col:
                        F.try_element_at("t", (F.col("first") + F.col("subtok_pos") - 1).cast("int")).alias("left"),
                        F.try_element_at("t", (F.col("first") + F.col("subtok_pos") + 1).cast("int")).alias("right"))
     b = bigrams
-    l1 = (rows.join(b.select(F.col("w1").alias("left"), F.col("w2").alias("tok"), F.col("c12").alias("c_l")),
-                    ["left", "tok"], "left")
-          .join(hc.select(F.col("w1").alias("left"), F.col("c1").alias("h_l")), ["left"], "left")
-          .join(b.select(F.col("w1").alias("tok"), F.col("w2").alias("right"), F.col("c12").alias("c_r")),
-                ["tok", "right"], "left")
+    l1 = rows.join(b.select(F.col("w1").alias("left"), F.col("w2").alias("tok"), F.col("c12").alias("c_l")),
+                   ["left", "tok"], "left")
+    l1 = history_lookup(l1, lm, "left", "h_l", keys + ["subtok_pos"])
+    l1 = (l1.join(b.select(F.col("w1").alias("tok"), F.col("w2").alias("right"), F.col("c12").alias("c_r")),
+                  ["tok", "right"], "left")
           .join(hc.select(F.col("w1").alias("tok"), F.col("c1").alias("h_r")), ["tok"], "left"))
     left_lp = F.log((F.coalesce("c_l", F.lit(0)) + k) / (F.coalesce("h_l", F.lit(0)) + k * v))
     right_lp = F.when(F.col("right").isNull(), F.lit(0.0)).otherwise(
