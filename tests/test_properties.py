@@ -105,3 +105,24 @@ def test_mining_equals_brute_force(spark, batch):
     got = {(r.doc_id, r.grp_term, r.att_term) for r in mine_sentences(df, spec_terms(spark, spec)).collect()}
     want = {(i, g, a) for i, s in enumerate(batch) for g, a in brute_mine(s)}
     assert got == want
+
+
+def loop_rewrite(sentence: str, term: str, partner: str) -> str:
+    """Plain restatement of the rewrite rule: whole-word, case-insensitive, applied twice so
+    adjacent repeats sharing one separator are both replaced."""
+    pat = re.compile(r"(^| )" + re.escape(term) + r"([ .,!])", re.IGNORECASE)
+    for _ in range(2):
+        sentence = pat.sub(lambda m: m.group(1) + partner + m.group(2), sentence)
+    return sentence
+
+
+rw_words = st.sampled_from(["he", "He", "HE", "the", "he,", "he.", "he!", "he's", "she", "x", "he he", "  "])
+
+
+@SETTINGS
+@given(st.lists(st.lists(rw_words, min_size=1, max_size=8).map(lambda ws: " ".join(ws) + "."), min_size=1, max_size=20))
+def test_rewrite_equals_restatement(spark, batch):
+    from stereoscope.operators.mining import rewrite_term
+    df = spark.createDataFrame([(s,) for s in batch], "s string")
+    got = [r[0] for r in df.select(rewrite_term(F.col("s"), F.lit("he"), F.lit("it$1"))).collect()]
+    assert got == [loop_rewrite(s, "he", "it$1") for s in batch]
