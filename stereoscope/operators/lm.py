@@ -140,9 +140,32 @@ def history_lookup(df: DataFrame, lm: BigramLM, word: str, out: str, salt_cols:
             .drop("_hk", "_hc"))
 
 
+# distinct sentence-initial words up to which the start-row lookup is broadcast
+MAX_START_ROWS = 2_000_000
+
+
+def bigram_lookup(probe: DataFrame, lm: BigramLM, salt_cols: list[str]) -> DataFrame:
+    """``probe`` plus c12 = count of (w1, w2). Start-token rows are hot when many texts begin
+    with the same word: when the model's start rows (one per first word) pass the size check,
+    they are read by a broadcast lookup and the rows' key in the main join is salted into values
+    that match nothing; otherwise all rows take the plain join (AQE splits skew there)."""
+    from stereoscope.sources.specs import bounded
+    start_rows = lm.bigrams.where(F.col("w1") == START).select(F.col("w2").alias("_sw2"), F.col("c12").alias("_sc"))
+    n = start_rows.count()
+    if n > MAX_START_ROWS:
+        return probe.join(lm.bigrams, ["w1", "w2"], "left")
+    is_start = F.col("w1") == START
+    p = probe.join(bounded(start_rows, MAX_START_ROWS), (F.col("w2") == F.col("_sw2")) & is_start, "left")
+    salted = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*salt_cols), F.lit(START_SALTS)).cast("string"))
+    p = p.withColumn("_w1", F.col("w1")).withColumn("w1", F.when(is_start, salted).otherwise(F.col("w1")))
+    j = p.join(lm.bigrams, ["w1", "w2"], "left")
+    return (j.withColumn("c12", F.when(F.col("_w1") == START, F.col("_sc")).otherwise(F.col("c12")))
+            .withColumn("w1", F.col("_w1")).drop("_w1", "_sw2", "_sc"))
+
+
 def bigram_logprobs(probe: DataFrame, lm: BigramLM, keep: list[str]) -> DataFrame:
     """(keep..., lp) with lp = ln P(w2 | w1) for each probe bigram (two left lookups)."""
-    j = history_lookup(probe.join(lm.bigrams, ["w1", "w2"], "left"), lm, "w1", "c1", keep + ["bpos"])
+    j = history_lookup(bigram_lookup(probe, lm, keep + ["bpos"]), lm, "w1", "c1", keep + ["bpos"])
     return j.select(*keep, F.log((F.coalesce("c12", F.lit(0)) + lm.k)
                                  / (F.coalesce("c1", F.lit(0)) + lm.k * lm.vocab)).alias("lp"))
 
