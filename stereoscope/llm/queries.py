@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, sharding, simhash, token_files
+from . import bpe, exact_dedup, html_blocks, mixing, quality_qda, quality_rules, sharding, simhash, token_files, toxicity
 from .common import read, work_dir
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -37,6 +37,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(read(spark, sf_dir, "pages", "page_id", "url", "html")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = mixing.copies(read(spark, sf_dir, "documents", "doc_id", "text", "source"), share=1.5, weights=(3, 1, 2))
     return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -70,6 +74,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.ids_crc32(token_files.read_tokens(spark, path))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe.encoded(read(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
@@ -87,6 +99,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_mixing": op4_mixing, "op5_token_files": op5_token_files,
-           "op8_bpe": op8_bpe, "op9_sharding": op9_sharding}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.scored(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_extraction, op4_mixing, op5_token_files, op6_toxicity, op7_quality_rules, op8_bpe,
+                                   op9_sharding, op10_quality_classifier)}
 ORACLE = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL}
