@@ -12,8 +12,7 @@ from stereoscope.llm.common import read, staged
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts as toxic go."""
-    scored = toxicity.scored(docs, read(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

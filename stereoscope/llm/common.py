@@ -72,19 +72,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """Rows (``_doc`` struct of all columns, ``_file``, ``_row``): where each row lies. Rows of a file scan
-    have a place already; others are written to the shared folder first."""
-    def placed(df: DataFrame) -> DataFrame:
-        at = df.metadataColumn("_metadata")
-        out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), at["file_path"].alias("_file"), at["row_index"].alias("_row"))
-        out.schema
-        return out
+def _placed(df: DataFrame) -> DataFrame:
+    at = df.metadataColumn("_metadata")
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"), at["file_path"].alias("_file"), at["row_index"].alias("_row"))
+
 
+def on_files(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have a place in files, else a copy in the shared folder."""
     try:
-        return placed(docs)
+        _placed(docs).schema
+        return docs
     except AnalysisException:  # no file scan below: there is no such hidden column
-        return placed(staged(docs, "docs"))
+        return staged(docs, "docs")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """Rows (``_doc`` struct of all columns, ``_file``, ``_row``): where each row of ``on_files`` lies."""
+    return _placed(docs)
 
 
 def worker_state() -> dict:

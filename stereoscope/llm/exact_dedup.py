@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, staged, text_or_empty, without_spaces, work_dir
+from .common import located, on_files, staged, text_or_empty, without_spaces, work_dir
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -75,7 +75,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     repeated rows with one id, is told apart by its place, so exactly one row of a group stays. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, on_files(docs)
     source, state = work_dir(spark, "signatures"), work_dir(spark, "dedup-state")
     signatures(docs, id_col, text_col, digest).write.parquet(source)
     own = spark.read.parquet(source)
@@ -124,5 +124,6 @@ def _by_bytes(docs: DataFrame, text_col: str, joined: DataFrame, clash: DataFram
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one row of each group of equal texts; all columns stay."""
+    docs = on_files(docs)
     stay = decisions(docs, id_col, text_col).filter("kept").select(F.col("rank.file").alias("_file"), F.col("rank.row").alias("_row"))
     return located(docs).join(stay, ["_file", "_row"], "left_semi").select("_doc.*")

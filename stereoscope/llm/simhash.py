@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, located, staged, text_or_empty
+from .common import fresh, located, on_files, staged, text_or_empty
 from .components import components
 
 HALF = 32
@@ -112,26 +112,26 @@ def _stars(fps: DataFrame) -> DataFrame:
     return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a != b").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, plus ``fp``, ``component_id`` (the smallest id that links reach from the
-    row, its own included) and ``root`` (the component's smallest fingerprint).
+def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: id, ``keep`` columns, ``fp``, ``root`` (the component's smallest
+    fingerprint) and ``component_id`` (the smallest id that links reach from the row, its own included).
 
     Texts without words have fingerprint 0 and are linked like any other. Null ids are not smaller than any
     id: a component of nulls alone has a null id. Rows with one id are separate rows. An empty table gives
     no rows.
     """
-    own = staged(fingerprints(docs, shingle, text_col), "fingerprints")
+    own = staged(fingerprints(docs.select(id_col, *keep, text_col), shingle, text_col), "fingerprints")
     nodes = staged(own.groupBy("fp").agg(F.min(id_col).alias("low")), "nodes")
     root = components(links(nodes.select("fp"), distance))
     named = nodes.join(root, nodes.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.join(named.join(low, "root").select("fp", "root", "component_id"), "fp")
+    return own.join(named.join(low, "root").select("fp", "root", "component_id"), "fp").select(id_col, *keep, "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the smallest id, null ids last; rows that share it go by place."""
-    placed = located(docs)
+    placed = located(on_files(docs))
     flat = placed.select(F.col(f"_doc.`{id_col}`").alias("id"), F.col(f"_doc.`{text_col}`").alias("text"), "_file", "_row")
     first = F.min(F.struct(F.col("id").isNull(), "id", "_file", "_row"))
-    stay = near_groups(flat, shingle, distance, "id", "text").groupBy("root").agg(first.alias("s")).select("s._file", "s._row")
+    stay = near_groups(flat, shingle, distance, "id", "text", ("_file", "_row")).groupBy("root").agg(first.alias("s")).select("s._file", "s._row")
     return placed.join(stay, ["_file", "_row"], "left_semi").select("_doc.*")

@@ -219,18 +219,10 @@ def calibrate(rows: DataFrame) -> tuple[float, float, float]:
         use[min(wrong, key=lambda k: beta[k])] = False
 
 
-def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, label: str = "toxic", threshold: float = 0.7, id_col: str = "doc_id",
-           text_col: str = "text", exceptions: tuple[str, ...] = (), training_rows: int = TRAINING_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``keep`` columns, ``held_out`` (crc32 of the id modulo ``folds`` is ``held``),
-    ``score``, ``predicted``.
-
-    Only labels of rows that are not held out are learnt, from at most about ``training_rows`` of them. Null
-    and empty texts have no matches and score as any text without. Without labelled rows every score is 0.5.
-    Rows with one id are scored each by its text; a null id is never a training row. ``exceptions`` are
-    phrases whose words do not count. An empty table gives no rows.
-    """
-    own = [F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{k}`") for k in dict.fromkeys((id_col, *keep))]).alias("_doc"), text_or_empty(text_col).alias("_text")]
-    rows = docs.select(*own)
+def _scored(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str, id_col: str, text_col: str, exceptions: tuple[str, ...],
+            training_rows: int, keep: tuple[str, ...]) -> DataFrame:
+    """``_doc`` (id and ``keep``), ``held_out``, ``score``."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{k}`") for k in dict.fromkeys((id_col, *keep))]).alias("_doc"), text_or_empty(text_col).alias("_text"))
     known = training_labels(labels, label, fold(id_col, folds) != held, training_rows, id_col).select(F.col(id_col).alias("_id"), "y")
     train = staged(rows.select(F.col("_id").cast("long").alias("_id"), "_text").join(F.broadcast(known), "_id"), "training")
     given = [" " + " ".join(folded_words(p)) + " " for p in exceptions]
@@ -239,6 +231,25 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, la
     base, by_weight, by_length = calibrate(weighed(train, lexicon, ["y"]))
     a, b = _inputs()
     score = 1 / (1 + F.exp(-(F.lit(base) + a * by_weight + b * by_length)))
-    out = weighed(rows, lexicon, ["_id", "_doc"])
-    marked = out.withColumn("held_out", fold("_id", folds) == held).withColumn("score", score)
-    return marked.select("_doc.*", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return weighed(rows, lexicon, ["_id", "_doc"]).select("_doc", (fold("_id", folds) == held).alias("held_out"), score.alias("score"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, label: str = "toxic", threshold: float = 0.7, id_col: str = "doc_id",
+           text_col: str = "text", exceptions: tuple[str, ...] = (), training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """One row per document: id, ``held_out`` (crc32 of the id modulo ``folds`` is ``held``), ``score``,
+    ``predicted``.
+
+    Only labels of rows that are not held out are learnt, from at most about ``training_rows`` of them. Null
+    and empty texts have no matches and score as any text without. Without labelled rows every score is 0.5.
+    Rows with one id are scored each by its text; a null id is never a training row. ``exceptions`` are
+    phrases whose words do not count. An empty table gives no rows.
+    """
+    out = _scored(docs, labels, folds, held, label, id_col, text_col, exceptions, training_rows, ())
+    return out.select("_doc.*", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, label: str = "toxic", threshold: float = 0.7, id_col: str = "doc_id",
+                  text_col: str = "text", exceptions: tuple[str, ...] = (), training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    out = _scored(docs, labels, folds, held, label, id_col, text_col, exceptions, training_rows, tuple(docs.columns))
+    return out.filter(F.col("score") < threshold).select(*[F.col(f"_doc.`{c}`") for c in docs.columns])
