@@ -26,7 +26,7 @@ from .text_stats import training_labels
 TRAINING_ROWS = 100_000  # labelled rows that the fit reads at most
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may become entries
 MOST_ENTRIES = 20_000  # of the lexicon, and of the exception phrases: those found most often
-LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION = 5, 0.004, 0.9
+LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION, CHANCE = 5, 0.004, 0.9, 1e-8
 
 # fixed values: letters that look like Latin ones, and digits that stand for letters ("l" and "1" join "i")
 HOMOGLYPHS = {
@@ -121,7 +121,9 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
     words = one.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     forms = F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *[F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in STEMS]))
     entries = words.select(F.explode(forms).alias("entry"), "toxic", "clean").groupBy("entry").agg(*counts())
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
+    # so often in toxic documents alone that, at their share of all, no word of a million does so by chance
+    chance = math.log(CHANCE) / math.log(max(toxic, 1) / max(toxic + clean, 2)) if toxic and clean else 0
+    least = max(LEAST_DOCS, LEAST_SHARE * toxic, chance)
     top = entries.filter((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
     found = {r["entry"]: (r["toxic"], r["clean"]) for r in top.orderBy(F.desc("toxic"), "entry").limit(MOST_ENTRIES).collect()}
     return {e: math.log((found[e][0] + 0.5) / (toxic + 1)) - math.log((found[e][1] + 0.5) / (clean + 1)) for e in _needed(found)}
