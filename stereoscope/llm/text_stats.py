@@ -16,51 +16,57 @@ WINDOW = 5  # words
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.call_function("btrim", text, F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window of ``window`` words found twice or more in the text, the first included.
 
-    Windows are hashed (64 bits). Only where two hashes agree are the windows sorted with their places;
-    each window that has an equal neighbour covers its words once.
+    Words and windows are hashed (64 bits). Only where two windows' hashes agree are they sorted with their
+    places; each window that has an equal neighbour covers its words once.
     """
     n = F.size(words) - (window - 1)
-    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice(words, i + 1, window)))
+
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
 
     def covered(h: Column) -> Column:
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        # a leading and a trailing copy of the neighbours, moved by one
-        before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(placed, lambda p: p["h"]))
-        after = F.concat(F.transform(F.slice(placed, 2, F.size(placed)), lambda p: p["h"]), F.array(F.lit(None).cast("bigint")))
-        marked = F.zip_with(F.zip_with(placed, before, lambda p, b: F.struct(p.alias("p"), (p["h"] == b).alias("b"))), after,
-                            lambda m, a: F.when(F.coalesce(m["b"], F.lit(False)) | F.coalesce(m["p"]["h"] == a, F.lit(False)), m["p"]["i"]))
-        starts = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
-        following = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.lit(None).cast("int")))
-        return F.aggregate(F.zip_with(starts, following, lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window))), F.lit(0), lambda s, x: s + x)
+
+        def equal_neighbours(p: Column) -> Column:
+            near = lambda e, i: F.coalesce(e["h"] == F.get(p, i)["h"], F.lit(False))
+            return F.array_sort(F.array_compact(F.transform(p, lambda e, i: F.when(near(e, i - 1) | near(e, i + 1), e["i"]))))
+
+        def total(starts: Column) -> Column:
+            own = F.transform(starts, lambda a, i: F.coalesce(F.least(F.get(starts, i + 1) - a, F.lit(window)), F.lit(window)))
+            return F.aggregate(own, F.lit(0), lambda s, x: s + x)
+
+        return _let(_let(placed, equal_neighbours), total)
 
     def repeats(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))
 
-    # one element, so that the hashes are made once
-    return F.when(n > 1, F.element_at(F.transform(F.array(hashes), repeats), 1)).otherwise(F.lit(0)).cast("long")
+    return F.when(n > 1, _let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), repeats)).otherwise(F.lit(0)).cast("long")
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``n_words``, ``word_chars`` (code points in words), ``n_symbols``,
     ``n_dup_lines`` (lines with a word that equal an earlier line), ``n_lines``, ``n_chars``, ``n_bang``,
-    ``n_upper``, ``n_digits``, ``n_pipes``, ``n_adjacent`` (words equal to the word before), ``n_distinct``
-    (words), and ``n_repeat_words``: all long."""
+    ``n_upper``, ``n_digits``, ``n_pipes``, ``n_distinct`` (words), and ``n_repeat_words``: all long."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{k}`") for k in keep], text.alias("_t"), words_of(text).alias("_w"),
                        F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.lit(SPACES), x)) > 0).alias("_lines"))
     w, t, lines = F.col("_w"), F.col("_t"), F.col("_lines")
-    spaces = F.char_length(t) - F.aggregate(w, F.lit(0), lambda s, x: s + F.char_length(x))
     stats = {
-        "n_words": F.size(w), "word_chars": F.char_length(t) - spaces, "n_symbols": n_of(t, *SYMBOLS), "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_words": F.size(w), "word_chars": F.char_length(t) - n_of(t, *SPACES), "n_symbols": n_of(t, *SYMBOLS), "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_lines": F.size(lines), "n_chars": F.char_length(t), "n_bang": n_of(t, "!"), "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
         "n_digits": F.regexp_count(t, F.lit("[0-9]")), "n_pipes": n_of(t, "|"),
-        "n_adjacent": F.size(F.filter(F.transform(w, lambda x, i: x == F.get(w, i - 1)), lambda e: e)),
         "n_distinct": F.size(F.array_distinct(w)), "n_repeat_words": n_repeat_words(w),
     }
     return rows.select(*[F.col(f"`{k}`") for k in keep], *[c.cast("long").alias(n) for n, c in stats.items()])
@@ -73,7 +79,7 @@ def transformed() -> dict[str, Column]:
     return {
         "log_words": log(F.col("n_words")), "word_length": F.col("word_chars") / n, "symbols": log(100 * F.col("n_symbols") / chars),
         "pipes": log(100 * F.col("n_pipes") / n), "bangs": log(100 * F.col("n_bang") / n), "upper": F.col("n_upper") / chars, "digits": log(100 * F.col("n_digits") / chars),
-        "adjacent": F.col("n_adjacent") / n, "distinct": F.col("n_distinct") / F.sqrt(n), "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "distinct": F.col("n_distinct") / F.sqrt(n), "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeats": F.col("n_repeat_words") / n,
     }
 
