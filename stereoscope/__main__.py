@@ -1,10 +1,14 @@
 """Command line: run a user flow over table folders.
 
+  python -m stereoscope retrieve --bank DIR --spec SPEC.json [--paper-only] --out OUT
   python -m stereoscope generate --tables DIR --spec SPEC.json [--per-attribute 5] --out OUT
   python -m stereoscope test     --tables DIR --spec SPEC.json --sentences PARQUET
-                                 [--models gpt2 bert-base-uncased] --out OUT
+                                 [--models bigram-lm gpt2 ...] [--variant-scores PARQUET]
+                                 [--token-logits PARQUET] --out OUT
+  python -m stereoscope append   --bank DIR --records PARQUET
 
-``--tables`` holds documents.parquet (the corpus); on a cluster submit with spark-submit and
+``--tables`` holds documents.parquet (the corpus); ``--bank`` is a stored sentence bank. Models other
+than the built-in bigram-lm and bigram-lm-masked need their score tables. On a cluster submit with spark-submit and
 let the launcher's session settings apply (only unset keys are filled in).
 """
 
@@ -15,6 +19,7 @@ import json
 
 from stereoscope.plans import flows
 from stereoscope.session import get_session
+from stereoscope.sources import bank as BK
 from stereoscope.sources import specs as S
 from stereoscope.sources import tables as TB
 
@@ -24,30 +29,47 @@ def main(argv=None):
     sub = ap.add_subparsers(dest="cmd", required=True)
     g = sub.add_parser("generate", help="mine new test sentences for a spec from the corpus")
     t = sub.add_parser("test", help="score test sentences with models and write every report")
+    r = sub.add_parser("retrieve", help="saved test sentences of a spec from the bank, with coverage and gaps")
+    w = sub.add_parser("append", help="append generation records to the bank")
     for p in (g, t):
         p.add_argument("--tables", required=True)
+    for p in (r, w):
+        p.add_argument("--bank", required=True)
+    w.add_argument("--records", required=True, help="parquet of records (e.g. a generate run's records)")
+    r.add_argument("--paper-only", action="store_true")
+    for p in (g, t, r):
         p.add_argument("--spec", required=True, help="spec JSON file")
         p.add_argument("--out", required=True)
         p.add_argument("--seed", type=int, default=0)
     g.add_argument("--per-attribute", type=int, default=5)
     t.add_argument("--sentences", required=True, help="parquet of test sentences (e.g. a generate run's records)")
     t.add_argument("--models", nargs="+", default=["bigram-lm"])
+    t.add_argument("--variant-scores", help="parquet of causal models' losses")
+    t.add_argument("--token-logits", help="parquet of masked models' logits")
     t.add_argument("--bootstrap-reps", type=int, default=30)
     a = ap.parse_args(argv)
 
     spark = get_session(app_name=f"stereoscope-{a.cmd}")
+    if a.cmd == "append":
+        BK.append_bank(spark, a.bank, spark.read.parquet(a.records))
+        spark.stop()
+        return
     with open(a.spec) as fh:
         spec = S.spec_from_json(json.load(fh))
     if a.cmd == "generate":
         flows.generate_flow(spark, TB.documents(spark, a.tables), spec, per_attribute=a.per_attribute,
                             seed=a.seed, out=a.out)
+    elif a.cmd == "retrieve":
+        flows.retrieve_flow(spark, BK.read_bank(spark, a.bank), spec, paper_only=a.paper_only, seed=a.seed, out=a.out)
     else:
+        table = lambda path: spark.read.parquet(path) if path else None
         sents = spark.read.parquet(a.sentences)
         if "grp_term1" in sents.columns:  # a generation record: map to pair columns
             sents = sents.withColumnRenamed("grp_term1", "grp_term_1").withColumnRenamed("grp_term2", "grp_term_2")
         sents = sents.select("sentence", "alt_sentence", "grp_term_1", "grp_term_2", "att_term")
         flows.test_model_flow(spark, sents, spec.lower(), flows.corpus_sentences(spark, a.tables),
-                              models=tuple(a.models), bootstrap_reps=a.bootstrap_reps, seed=a.seed, out=a.out)
+                              models=tuple(a.models), variant_scores=table(a.variant_scores),
+                              token_logits=table(a.token_logits), bootstrap_reps=a.bootstrap_reps, seed=a.seed, out=a.out)
     spark.stop()
 
 

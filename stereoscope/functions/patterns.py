@@ -6,10 +6,8 @@ oracle SQL sit next to them.
 """
 
 # --- fixed values -----------------------------------------------------------
-# sentence split of documents, and sentence length window (after trim)
+# sentence split of documents
 SENTENCE_SPLIT = r"[.!?\n]+"
-SENT_MIN_LEN = 20
-SENT_MAX_LEN = 400
 
 # characters that may follow a keyword in an accepted sentence
 KEYWORD_FOLLOW = "[ .,!]"
@@ -48,7 +46,10 @@ FINAL_PUNCT_DUCKDB = r"[!-/:-@\[-`{-~]$"
 # model-name families: first hit decides the score kind
 MODEL_KIND_RULES = (("bert", "masked"), ("gpt", "causal"), ("llama", "causal"), ("falcon", "causal"))
 
-# models offered by the measured tool (scored here by the stand-in LM of their kind)
+# the built-in language model: its name and that of its masked form
+BUILT_IN_MODELS = (("bigram-lm", "causal"), ("bigram-lm-masked", "masked"))
+
+# models offered by the measured tool (scored here from score tables that bear their names)
 MODEL_CHOICES = ("bert-base-uncased", "bert-large-uncased", "gpt2", "gpt2-medium", "gpt2-large",
                  "emilyalsentzer/Bio_ClinicalBERT", "microsoft/biogpt", "openlm-research/open_llama_3b",
                  "openlm-research/open_llama_7b")

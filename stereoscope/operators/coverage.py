@@ -32,7 +32,7 @@ def attribute_gaps(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
     atts = (spec_terms.where(F.col("axis") == "attribute")
             .groupBy("spec", F.col("term").alias("att_term")).agg(F.min("side").alias("side")))
     counts = attribute_counts(sentences)
-    j = bounded(atts).join(counts, ["spec", "att_term"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    j = atts.join(counts, ["spec", "att_term"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     mx = F.max("n").over(Window.partitionBy("spec"))
     return j.select("spec", "side", "att_term", "n", (mx - F.col("n")).alias("n_gap"))
 

@@ -57,13 +57,13 @@ def order_groups(scored: DataFrame) -> DataFrame:
             .drop("_s"))
 
 
-def display_pairs(scored: DataFrame) -> DataFrame:
-    """H4-H7: display table with Stereotyped, Attribute, Groups, Sentence, Alternative."""
+def display_pairs(scored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """H4-H7: display table with Stereotyped, Attribute, Groups, Sentence, Alternative, and ``keep`` columns."""
     d = order_groups(signed_bias(scored)).withColumn("stereotyped_b", stereotyped_label())
     return d.select("spec", "model", "pair_id", "bias_score", "grp_refs", "template",
                     F.col("stereotyped_b").alias("Stereotyped"), F.col("att_term").alias("Attribute"),
                     F.col("groups_rel").alias("Groups"), F.col("sentence").alias("Sentence"),
-                    F.col("alt_sentence").alias("Alternative"))
+                    F.col("alt_sentence").alias("Alternative"), *keep)
 
 
 def attribute_ranking(att_scores: DataFrame, spec_terms: DataFrame) -> DataFrame:
@@ -111,7 +111,10 @@ def interpretation(att_scores: DataFrame, model_scores: DataFrame, spec_terms: D
                     "top_att_2", "top_score_2", msg.alias("message"))
 
 
-def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame, buckets: int = 64) -> DataFrame:
+PIECE = 50_000  # display rows that one task numbers, about
+
+
+def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """Per attribute, 'yes' tiles then 'no' tiles in input order (doc, sentence, pair),
     with tooltip text (E8), side, flip flag and percent = round(score * 100) half-even."""
     sides = (spec_terms.where(F.col("axis") == "attribute")
@@ -119,6 +122,7 @@ def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame, buck
     d = (display.where(F.col("Stereotyped").isin("yes", "no"))
          .join(bounded(sides), ["spec", "Attribute"])
          .withColumn("yes_first", F.when(F.col("Stereotyped") == "yes", 0).otherwise(1)))
+    buckets = 1 + display.count() // PIECE  # ``display`` should be materialized
     bucket = F.col("yes_first") * buckets + range_bucket(d, "doc_id", buckets)
     d = ordinal_within(d, ["spec", "model", "Attribute"], ["yes_first", "doc_id", "sent_pos", "pair_id"],
                        bucket, out="tile_no")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed, seeded_int, seeded_rank, url_safe_md5_b64
 from stereoscope.operators.sampling import top_n_by_rank
-from stereoscope.functions.keys import seeded_rank as seeded_rank  # noqa: F401  (re-exported for plans)
 from stereoscope.sources.specs import bounded
 
 
@@ -27,7 +26,6 @@ def gen_targets(spec_terms: DataFrame, gaps: DataFrame | None = None, per_attrib
     w = Window.partitionBy("spec", "att_term").orderBy(F.desc("side"))
     g = (gaps.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
          .select("spec", F.col("att_term").alias("k"), F.col("n_gap").cast("long").alias("n")))
-    g = bounded(g)
     exact = g.select("spec", F.col("k").alias("att_term"), F.col("n").alias("n_exact"))
     dash = g.select("spec", F.col("k").alias("att_dash"), F.col("n").alias("n_dash"))
     return (atts.join(exact, ["spec", "att_term"], "left")
@@ -49,13 +47,14 @@ def _term_arrays(spec_terms: DataFrame) -> DataFrame:
 
 def gen_plan(targets: DataFrame, spec_terms: DataFrame, seed: int = 0) -> DataFrame:
     """Per attribute with n_target > 0, rounds of two requests (one random term of each
-    group list, with its index partner) up to n_target * 5 requests. Seeded picks."""
+    group list, with its index partner) until n_target * 5 requests are reached; a round is always
+    whole, so an odd number is passed by one. Seeded picks."""
     arrs = bounded(_term_arrays(spec_terms))
     t = targets.where(F.col("n_target") > 0).join(arrs, "spec")
     n_req = F.col("n_target") * P.GEN_ROUNDS_PER_TARGET
     t = t.withColumn("round", F.explode(F.sequence(F.lit(0), ((n_req + 1) / 2).cast("int") - 1)))
     t = t.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-    t = t.withColumn("request", F.col("round") * 2 + F.col("side")).where(F.col("request") < n_req)
+    t = t.withColumn("request", F.col("round") * 2 + F.col("side"))
     own = F.when(F.col("side") == 0, F.col("g0")).otherwise(F.col("g1"))
     other = F.when(F.col("side") == 0, F.col("g1")).otherwise(F.col("g0"))
     idx = F.pmod(seeded_int(seed, "spec", "att_term", "round", "side"), F.size(own))
@@ -132,8 +131,8 @@ def spec_names(spec_terms: DataFrame) -> DataFrame:
 
 
 def generation_record(pairs: DataFrame, spec_terms: DataFrame, gen_model: str = "corpus-mining",
-                      kind: str = "tool") -> DataFrame:
-    """C11: the 14-column record (labels come from F1 on the same row; no row-order alignment).
+                      kind: str = "tool", keep: tuple[str, ...] = ()) -> DataFrame:
+    """C11: the 14-column record and ``keep`` columns (labels come from F1 on the same row; no row-order alignment).
     ``pairs`` carries template, alt_template, grp_refs, label_1, label_2."""
     from stereoscope.operators.templates import refs_text
     names = bounded(spec_names(spec_terms))
@@ -141,4 +140,4 @@ def generation_record(pairs: DataFrame, spec_terms: DataFrame, gen_model: str =
         "spec", "pair_id", "sentence", "alt_sentence", F.col("grp_term_1").alias("org_grp_term"), "att_term",
         "template", "alt_template", F.col("grp_term_1").alias("grp_term1"), F.col("grp_term_2").alias("grp_term2"),
         refs_text(F.col("grp_refs")).alias("grp_refs"), "label_1", "label_2",
-        F.col("bias_name").alias("bias_spec"), F.lit(kind).alias("type"), F.lit(gen_model).alias("gen_model"))
+        F.col("bias_name").alias("bias_spec"), F.lit(kind).alias("type"), F.lit(gen_model).alias("gen_model"), *keep)

@@ -12,8 +12,8 @@ ln P(t | left) + ln P(right | t), averaged over target tokens.
 
 Counting is a partial (map-side combined) aggregation, so frequent bigrams do
 not skew it. Scoring looks up each bigram in the count tables with left joins;
-the planner broadcasts them when their measured size allows (AQE) and uses a
-shuffle join otherwise, with AQE skew splitting for hot histories.
+rows of frequent words and sentence starts are read by a broadcast lookup of
+proven size, the rest by a shuffle join.
 """
 
 from __future__ import annotations
@@ -28,62 +28,26 @@ START = "<s>"
 
 @dataclass
 class BigramLM:
-    """A trained model: bigram counts, history counts and the vocabulary size V (see ``train``
-    for how the counts are stored)."""
+    """A trained model: bigram counts, history counts, the vocabulary size V and the number of all bigrams."""
     bigrams: DataFrame
+    hist: DataFrame
+    v: float
+    total: int
     k: float = 1.0
-    hist_table: DataFrame | None = None
-    v: float | None = None
-
-    @property
-    def hist(self) -> DataFrame:
-        return self.hist_table if self.hist_table is not None else history_counts(self.bigrams)
-
-    @property
-    def vocab(self) -> Column:
-        return F.lit(self.v) if self.v is not None else vocab_size(self.bigrams)
-
-
-# corpus size (planner estimate) above which the trained counts are stored bucketed
-BUCKETED_MODEL_MIN_BYTES = 1 << 30
-
-
-def _estimated_bytes(df: DataFrame):
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM handle (e.g. Spark Connect)
-        return None
-
-
-def train(corpus_sentences: DataFrame, text_col: str = "sentence", k: float = 1.0,
-          store: str = "auto", buckets: int | None = None) -> BigramLM:
-    """Count once and keep the model for every scoring run of the job.
-
-    ``store='bucketed'``: counts written as a table bucketed by (w1, w2) under the checkpoint
-    folder, so lookups shuffle only the probe side; history counts materialized; V counted
-    once. ``store='checkpoint'``: a reliable checkpoint (cheaper for a small model that is
-    cheap to reshuffle). ``'auto'`` picks bucketed above BUCKETED_MODEL_MIN_BYTES of corpus
-    (planner estimate). ``'none'`` keeps the lineage (one-off use)."""
-    from stereoscope.session import checkpoint_dir, materialize
-    bg = train_bigrams(corpus_sentences, text_col)
-    if store == "none":
-        return BigramLM(bg, k)
-    if store == "auto":
-        est = _estimated_bytes(corpus_sentences)
-        store = "bucketed" if est is not None and est >= BUCKETED_MODEL_MIN_BYTES else "checkpoint"
-    if store == "checkpoint":
-        return BigramLM(materialize(bg), k)
-    import uuid
-    spark = corpus_sentences.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag = uuid.uuid4().hex[:12]
-    name = f"stereoscope_lm_{tag}"
-    (bg.write.bucketBy(n, "w1", "w2").sortBy("w1", "w2")
-     .option("path", f"{checkpoint_dir(spark).rstrip('/')}/stereoscope-lm-{tag}").saveAsTable(name))
-    table = spark.table(name)
-    hist = materialize(history_counts(table))
-    v = float(table.select(F.count_distinct("w2")).first()[0])
-    return BigramLM(table, k, hist, v)
+
+
+def train(corpus_sentences: DataFrame, text_col: str = "sentence", k: float = 1.0) -> BigramLM:
+    """Count once and keep the model for every scoring run of the job: bigram and history counts are
+    checkpointed, V and the total are two numbers."""
+    from stereoscope.session import materialize
+    return of_counts(materialize(train_bigrams(corpus_sentences, text_col)), k)
+
+
+def of_counts(bigrams: DataFrame, k: float = 1.0) -> BigramLM:
+    """The model of given counts (w1, w2, c12)."""
+    from stereoscope.session import materialize
+    v, total = bigrams.agg(F.count_distinct("w2"), F.coalesce(F.sum("c12"), F.lit(0))).first()
+    return BigramLM(bigrams, materialize(history_counts(bigrams)), float(v), int(total), k)
 
 
 def lm_tokens(text: Column) -> Column:
@@ -110,64 +74,39 @@ def history_counts(bigrams: DataFrame) -> DataFrame:
     return bigrams.groupBy("w1").agg(F.sum("c12").alias("c1"))
 
 
-def vocab_size(bigrams: DataFrame) -> Column:
-    """V as a scalar subquery (evaluated once, no cross join)."""
-    return bigrams.select(F.count_distinct("w2").cast("double")).scalar()
-
-
 def _as_lm(bigrams, k) -> BigramLM:
-    return bigrams if isinstance(bigrams, BigramLM) else BigramLM(bigrams, k)
-
-
-# the start token is the history of one bigram of every scored text: a permanently hot key
-START_SALTS = 1024
-
-
-def start_count(lm: BigramLM) -> Column:
-    """History count of the start token (= training sentences with a token), as a scalar."""
-    return lm.hist.where(F.col("w1") == START).select("c1").scalar()
-
-
-def history_lookup(df: DataFrame, lm: BigramLM, word: str, out: str, salt_cols: list[str]) -> DataFrame:
-    """``df`` plus ``out`` = history count of ``word``. Rows whose word is the start token get
-    the scalar start count; their join key is salted into values that match nothing, so the
-    hot key is spread over partitions instead of landing in one."""
-    salted = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*salt_cols), F.lit(START_SALTS)).cast("string"))
-    key = F.when(F.col(word) == START, salted).otherwise(F.col(word))
-    h = lm.hist.select(F.col("w1").alias("_hk"), F.col("c1").alias("_hc"))
-    return (df.withColumn("_hk", key).join(h, "_hk", "left")
-            .withColumn(out, F.when(F.col(word) == START, start_count(lm)).otherwise(F.col("_hc")))
-            .drop("_hk", "_hc"))
+    return bigrams if isinstance(bigrams, BigramLM) else of_counts(bigrams, k)
 
 
-# distinct sentence-initial words up to which the start-row lookup is broadcast
-MAX_START_ROWS = 2_000_000
+# A table's frequent rows hold at least this share of all counts each, so there are at most so many of
+# them whatever the corpus: they are read by a broadcast lookup. Sentence starts and common words, which
+# would be hot keys of a shuffle, are among them.
+FREQUENT = 20_000
+SALTS = 1024
 
 
-def bigram_lookup(probe: DataFrame, lm: BigramLM, salt_cols: list[str]) -> DataFrame:
-    """``probe`` plus c12 = count of (w1, w2). Start-token rows are hot when many texts begin
-    with the same word: when the model's start rows (one per first word) pass the size check,
-    they are read by a broadcast lookup and the rows' key in the main join is salted into values
-    that match nothing; otherwise all rows take the plain join (AQE splits skew there)."""
-    from stereoscope.sources.specs import bounded
-    start_rows = lm.bigrams.where(F.col("w1") == START).select(F.col("w2").alias("_sw2"), F.col("c12").alias("_sc"))
-    n = start_rows.count()
-    if n > MAX_START_ROWS:
-        return probe.join(lm.bigrams, ["w1", "w2"], "left")
-    is_start = F.col("w1") == START
-    p = probe.join(bounded(start_rows, MAX_START_ROWS), (F.col("w2") == F.col("_sw2")) & is_start, "left")
-    salted = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*salt_cols), F.lit(START_SALTS)).cast("string"))
-    p = p.withColumn("_w1", F.col("w1")).withColumn("w1", F.when(is_start, salted).otherwise(F.col("w1")))
-    j = p.join(lm.bigrams, ["w1", "w2"], "left")
-    return (j.withColumn("c12", F.when(F.col("_w1") == START, F.col("_sc")).otherwise(F.col("c12")))
-            .withColumn("w1", F.col("_w1")).drop("_w1", "_sw2", "_sc"))
+def _lookup(df: DataFrame, lm: BigramLM, table: DataFrame, on: dict[str, str], count: str, out: str, salt_cols: list[str]) -> DataFrame:
+    """``df`` plus ``out`` = ``count`` of the row of ``table`` that ``on`` (column of df -> of table) names.
+    Rows found among the frequent ones get a key that matches nothing in the shuffle join, spread by salt."""
+    names = {c: f"_k{i}" for i, c in enumerate(on)}
+    keyed = table.select(*[F.col(t).alias(names[c]) for c, t in on.items()], F.col(count).alias("_c"))
+    often = F.broadcast(keyed.where(F.col("_c") * FREQUENT >= lm.total).withColumnRenamed("_c", "_f"))
+    probe = df.select("*", *[F.col(c).alias(n) for c, n in names.items()]).join(often, list(names.values()), "left")
+    first = next(iter(names.values()))
+    salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*salt_cols), F.lit(SALTS)).cast("string"))
+    probe = probe.withColumn(first, F.when(F.col("_f").isNotNull(), salt).otherwise(F.col(first)))
+    rare = keyed.where(F.col("_c") * FREQUENT < lm.total)
+    return (probe.join(rare, list(names.values()), "left").withColumn(out, F.coalesce("_f", "_c"))
+            .drop("_f", "_c", *names.values()))
 
 
 def bigram_logprobs(probe: DataFrame, lm: BigramLM, keep: list[str]) -> DataFrame:
     """(keep..., lp) with lp = ln P(w2 | w1) for each probe bigram (two left lookups)."""
-    j = history_lookup(bigram_lookup(probe, lm, keep + ["bpos"]), lm, "w1", "c1", keep + ["bpos"])
+    salt = keep + ["bpos"]
+    j = _lookup(probe, lm, lm.bigrams, {"w1": "w1", "w2": "w2"}, "c12", "c12", salt)
+    j = _lookup(j, lm, lm.hist, {"w1": "w1"}, "c1", "c1", salt)
     return j.select(*keep, F.log((F.coalesce("c12", F.lit(0)) + lm.k)
-                                 / (F.coalesce("c1", F.lit(0)) + lm.k * lm.vocab)).alias("lp"))
+                                 / (F.coalesce("c1", F.lit(0)) + lm.k * lm.v)).alias("lp"))
 
 
 def sentence_loss(variants: DataFrame, bigrams, keys: list[str], text_col: str = "text",
@@ -190,30 +129,26 @@ def pair_losses(variants: DataFrame, bigrams, k: float = 1.0, digits: int = 6) -
 
 def masked_token_scores(variants: DataFrame, bigrams, keys: list[str], text_col: str = "text",
                         target_col: str = "target", k: float = 1.0) -> DataFrame:
-    """G6 masked form as token logits: for each token of the target term at its first
+    """G6 masked form as token logits: for each token of the target term at the term's first whole
     occurrence, ln P(t | left) + ln P(right | t). Output (keys..., subtok_pos, logit)."""
     lm = _as_lm(bigrams, k)
-    k = lm.k
-    v = lm.vocab
-    hc = lm.hist
-    bigrams = lm.bigrams
+    k, v = lm.k, lm.v
     toks = variants.select(*keys, F.concat(F.array(F.lit(START)), lm_tokens(F.col(text_col))).alias("t"),
                            lm_tokens(F.col(target_col)).alias("tt"))
-    # first position (1-based, after the start token) where the target token run begins
-    toks = toks.withColumn("first", F.array_position("t", F.col("tt").getItem(0)))
-    toks = toks.where((F.col("first") > 1) & (F.size("tt") > 0))
+    toks = toks.where((F.size("tt") > 0) & (F.size("t") > F.size("tt")))
+    # first position (1-based; the start token is 1) from which all of the target's tokens follow
+    starts = F.filter(F.sequence(F.lit(2), F.size("t") - F.size("tt") + 1), lambda i: F.slice("t", i, F.size("tt")) == F.col("tt"))
+    toks = toks.withColumn("first", F.get(starts, F.lit(0))).where(F.col("first").isNotNull())
     rows = toks.select(*keys, "t", "first", F.posexplode("tt").alias("subtok_pos", "tok"))
     rows = rows.select(*keys, "subtok_pos", "tok",
                        F.try_element_at("t", (F.col("first") + F.col("subtok_pos") - 1).cast("int")).alias("left"),
                        F.try_element_at("t", (F.col("first") + F.col("subtok_pos") + 1).cast("int")).alias("right"))
-    b = bigrams
-    l1 = rows.join(b.select(F.col("w1").alias("left"), F.col("w2").alias("tok"), F.col("c12").alias("c_l")),
-                   ["left", "tok"], "left")
-    l1 = history_lookup(l1, lm, "left", "h_l", keys + ["subtok_pos"])
-    l1 = (l1.join(b.select(F.col("w1").alias("tok"), F.col("w2").alias("right"), F.col("c12").alias("c_r")),
-                  ["tok", "right"], "left")
-          .join(hc.select(F.col("w1").alias("tok"), F.col("c1").alias("h_r")), ["tok"], "left"))
+    salt = keys + ["subtok_pos"]
+    rows = _lookup(rows, lm, lm.bigrams, {"left": "w1", "tok": "w2"}, "c12", "c_l", salt)
+    rows = _lookup(rows, lm, lm.hist, {"left": "w1"}, "c1", "h_l", salt)
+    rows = _lookup(rows, lm, lm.bigrams, {"tok": "w1", "right": "w2"}, "c12", "c_r", salt)
+    rows = _lookup(rows, lm, lm.hist, {"tok": "w1"}, "c1", "h_r", salt)
     left_lp = F.log((F.coalesce("c_l", F.lit(0)) + k) / (F.coalesce("h_l", F.lit(0)) + k * v))
     right_lp = F.when(F.col("right").isNull(), F.lit(0.0)).otherwise(
         F.log((F.coalesce("c_r", F.lit(0)) + k) / (F.coalesce("h_r", F.lit(0)) + k * v)))
-    return l1.select(*keys, F.col("subtok_pos").cast("int").alias("subtok_pos"), (left_lp + right_lp).alias("logit"))
+    return rows.select(*keys, F.col("subtok_pos").cast("int").alias("subtok_pos"), (left_lp + right_lp).alias("logit"))

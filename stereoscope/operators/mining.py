@@ -1,13 +1,10 @@
 """Sentence mining from a corpus (the re-aimed generator) and keyword acceptance.
 
-Plan shape: documents -> posexplode(split) -> length window (narrow) ->
-literal prefilter on the spec's word keys (arrays_overlap) ->
-explode the distinct word keys of each sentence -> broadcast hash join with
-the (bounded) spec term keys -> confirm with the exact pattern only for terms
-that contain a separator -> one shuffle of matched rows on the sentence key to
-pair group terms with attribute terms of the same sentence and spec.
-No Python on the path; a frequent term does not create a hot key because the
-only shuffle is keyed by sentence.
+Plan shape: documents -> posexplode(split) -> sentences that hold a word key of a
+group term and one of an attribute term -> the spec's terms looked up by word key
+inside the row (an index of the spec, one value per query) -> the exact pattern for
+terms that contain a separator -> one row per pair. No shuffle, no join and no
+Python on the path, so a frequent term or a hot key costs nothing extra.
 """
 
 from __future__ import annotations
@@ -23,18 +20,15 @@ from stereoscope.sources.specs import bounded
 _CHUNK_TAIL = r"[.,!][^ ]*"
 
 
-def split_sentences(docs: DataFrame, lang: str | None = "en", min_len: int = P.SENT_MIN_LEN,
-                    max_len: int | None = P.SENT_MAX_LEN, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """C9 step 1: (doc_id, sent_pos, sentence) with trimmed length in [min_len, max_len] and a final '.'."""
+def split_sentences(docs: DataFrame, lang: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """C9 step 1: (doc_id, sent_pos, sentence): every non-empty trimmed part with a final '.'. ``lang``
+    keeps documents of one language, for a spec that names it."""
     if lang is not None:
         docs = docs.where(F.col("lang") == lang)
     s = docs.select(F.col(id_col).alias("doc_id"),
                     F.posexplode(F.split(text_col, P.SENTENCE_SPLIT)).alias("sent_pos", "raw"))
     s = s.select("doc_id", F.col("sent_pos").cast("int").alias("sent_pos"), F.trim("raw").alias("t"))
-    s = s.where(F.length("t") >= min_len)
-    if max_len is not None:
-        s = s.where(F.length("t") <= max_len)
-    return s.select("doc_id", "sent_pos", F.concat("t", F.lit(".")).alias("sentence"))
+    return s.where(F.length("t") > 0).select("doc_id", "sent_pos", F.concat("t", F.lit(".")).alias("sentence"))
 
 
 def sentence_keys(lower_sentence: Column) -> Column:
@@ -52,29 +46,10 @@ def term_keys(spec_terms: DataFrame) -> DataFrame:
     )
 
 
-# most distinct term keys turned into a literal prefilter
-MAX_LITERAL_KEYS = 10_000
-
-
-def literal_keys(tk: DataFrame):
-    """The spec's distinct first-word keys as a Python list when there are few of them
-    (a bounded parameter set), else None."""
-    keys = [r[0] for r in tk.select("key").distinct().limit(MAX_LITERAL_KEYS + 1).collect()]
-    return keys if len(keys) <= MAX_LITERAL_KEYS else None
-
-
-def candidate_words(sentences: DataFrame, tk: DataFrame, cols: list[str]) -> DataFrame:
-    """(cols..., ls, key) for each distinct word key of each sentence that may start a spec
-    term. A sentence holding no spec key is dropped before the explode by a literal
-    ``arrays_overlap`` test (codegen, no join), so with rare terms almost nothing reaches
-    the join; the join against the size-checked term keys stays the exact test."""
+def candidate_words(sentences: DataFrame, cols: list[str]) -> DataFrame:
+    """(cols..., ls, key) for each distinct word key of each sentence."""
     low = F.lower("sentence")
-    s = sentences.select(*cols, low.alias("ls"), sentence_keys(low).alias("keys"))
-    keys = literal_keys(tk)
-    if keys is not None:
-        lit_keys = F.array(*[F.lit(k) for k in keys]) if keys else F.array().cast("array<string>")
-        s = s.where(F.arrays_overlap("keys", lit_keys))
-    return s.select(*cols, "ls", F.explode("keys").alias("key"))
+    return sentences.select(*cols, low.alias("ls"), F.explode(sentence_keys(low)).alias("key"))
 
 
 def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
@@ -82,23 +57,32 @@ def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
 
     Output: spec, doc_id, sent_pos, sentence, grp_term, grp_side, grp_pos, att_term, att_side, att_pos.
     """
-    tk = bounded(term_keys(spec_terms))
-    hits = (candidate_words(sentences, tk, ["doc_id", "sent_pos", "sentence"])
-            .join(tk, "key")
-            .where(F.col("simple") | F.expr("ls rlike accept_re")))
-    per_sentence = (hits.groupBy("spec", "doc_id", "sent_pos")
-                    .agg(F.first("sentence").alias("sentence"),
-                         F.collect_list(F.when(F.col("axis") == "group",
-                                               F.struct("term", "side", "pos"))).alias("g"),
-                         F.collect_list(F.when(F.col("axis") == "attribute",
-                                               F.struct("term", "side", "pos"))).alias("a")))
-    return (per_sentence.where((F.size("g") > 0) & (F.size("a") > 0))
-            .select("spec", "doc_id", "sent_pos", "sentence", F.explode("g").alias("g"), "a")
-            .select("spec", "doc_id", "sent_pos", "sentence", "g", F.explode("a").alias("a"))
-            .select("spec", "doc_id", "sent_pos", "sentence",
-                    F.col("g.term").alias("grp_term"), F.col("g.side").alias("grp_side"),
-                    F.col("g.pos").alias("grp_pos"), F.col("a.term").alias("att_term"),
-                    F.col("a.side").alias("att_side"), F.col("a.pos").alias("att_pos")))
+    tk = term_keys(spec_terms)
+
+    def index(axis: str) -> Column:
+        """The spec's terms of one axis by word key: one value, of the spec's size."""
+        term = F.struct("spec", "term", "side", "pos", "simple", "accept_re")
+        by_key = tk.where(F.col("axis") == axis).groupBy("key").agg(F.collect_list(term).alias("terms"))
+        return by_key.agg(F.map_from_entries(F.collect_list(F.struct("key", "terms")))).scalar()
+
+    def keys_of(axis: str) -> Column:
+        return tk.where(F.col("axis") == axis).agg(F.collect_set("key")).scalar()
+
+    def found(by_key: str) -> Column:
+        terms = F.flatten(F.filter(F.transform("keys", lambda k: F.col(by_key)[k]), lambda t: t.isNotNull()))
+        return F.filter(terms, lambda t: t["simple"] | F.regexp_like(F.col("ls"), t["accept_re"]))
+
+    low = F.lower("sentence")
+    s = sentences.select("doc_id", "sent_pos", "sentence", low.alias("ls"), sentence_keys(low).alias("keys"))
+    s = s.where(F.arrays_overlap("keys", keys_of("group")) & F.arrays_overlap("keys", keys_of("attribute")))
+    s = s.withColumn("by_g", index("group")).withColumn("by_a", index("attribute"))
+    s = s.select("doc_id", "sent_pos", "sentence", found("by_g").alias("g"), found("by_a").alias("a"))
+    rows = (s.select("doc_id", "sent_pos", "sentence", F.explode("g").alias("g"), "a")
+            .select("doc_id", "sent_pos", "sentence", "g", F.explode("a").alias("a")).where("g.spec = a.spec"))
+    return rows.select(F.col("g.spec").alias("spec"), "doc_id", "sent_pos", "sentence",
+                       F.col("g.term").alias("grp_term"), F.col("g.side").alias("grp_side"),
+                       F.col("g.pos").alias("grp_pos"), F.col("a.term").alias("att_term"),
+                       F.col("a.side").alias("att_side"), F.col("a.pos").alias("att_pos"))
 
 
 def accepts(sentence, grp, att, strict: bool = False) -> Column:
@@ -144,21 +128,47 @@ def term_pairs(spec_terms: DataFrame) -> DataFrame:
                     F.concat_ws("/", F.least("term_0", "term_1"), F.greatest("term_0", "term_1")).alias("pair_key")))
 
 
-def counterfactual_pairs(mined: DataFrame, spec_terms: DataFrame) -> DataFrame:
+def swap_words(sentence: Column, words: dict[str, str]) -> Column:
+    """Reference words swapped in one pass over the sentence's blanks: each word (a final mark stays
+    behind it) that is a key becomes its value; a capital first letter stays one."""
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+
+    def swapped(w: Column) -> Column:
+        bare = F.regexp_replace(w, r"[.,!?;:]+$", "")
+        new = table[F.lower(bare)]
+        new = F.when(bare == F.initcap(bare), F.initcap(new)).otherwise(new)
+        return F.when(new.isNull(), w).otherwise(F.concat(new, F.substring(w, F.length(bare) + 1, F.length(w))))
+
+    return F.array_join(F.transform(F.split(sentence, " "), swapped), " ")
+
+
+def counterfactual_pairs(mined: DataFrame, spec_terms: DataFrame, ref_words: dict[str, str] | None = None,
+                         rewrites: DataFrame | None = None) -> DataFrame:
     """The alternative sentence with group term 1 replaced by its index partner.
 
-    Output adds grp_term_1, grp_term_2, alt_sentence, pair_id. Rows whose term has no
-    partner (lists of unequal length) are dropped here and reported by ``missing_partners``.
+    Output adds grp_term_1, grp_term_2, alt_sentence, pair_id. ``pair_id`` names the spec, the sentence and
+    both terms with their places in the lists, so a term on both sides makes two pairs. ``ref_words`` swaps
+    words that refer to the group term too (he/she, his/her); ``rewrites`` (pair_id, alt_sentence) are
+    supplied rewrites, which win. Rows whose term has no partner (lists of unequal length) are dropped here
+    and reported by ``missing_partners``.
     """
     partners = bounded(spec_terms.where(F.col("axis") == "group")
-                       .select("spec", F.col("side").alias("p_side"), F.col("pos").alias("grp_pos"),
+                       .select("spec", (1 - F.col("side")).alias("grp_side"), F.col("pos").alias("grp_pos"),
                                F.col("term").alias("grp_term_2")))
-    j = mined.join(partners, (mined.spec == partners.spec) & (mined.grp_pos == partners.grp_pos)
-                   & (partners.p_side == 1 - mined.grp_side)).drop(partners.spec).drop(partners.grp_pos)
-    return j.select(
-        "spec", "doc_id", "sent_pos", pair_id("spec", "doc_id", "sent_pos", "grp_term", "att_term").alias("pair_id"),
-        "sentence", rewrite_term(F.col("sentence"), F.lower("grp_term"), F.col("grp_term_2")).alias("alt_sentence"),
-        F.col("grp_term").alias("grp_term_1"), "grp_term_2", "att_term", "grp_side", "att_side")
+    j = mined.join(partners, ["spec", "grp_side", "grp_pos"])
+    alt = rewrite_term(F.col("sentence"), F.lower("grp_term"), F.col("grp_term_2"))
+    if ref_words:
+        alt = swap_words(alt, ref_words)
+    out = j.select(
+        "spec", "doc_id", "sent_pos",
+        pair_id("spec", "doc_id", "sent_pos", "grp_side", "grp_pos", "grp_term", "att_side", "att_pos", "att_term").alias("pair_id"),
+        "sentence", alt.alias("alt_sentence"),
+        F.col("grp_term").alias("grp_term_1"), "grp_term_2", "att_term", "grp_side", "grp_pos", "att_side", "att_pos")
+    if rewrites is not None:
+        given = rewrites.select("pair_id", F.col("alt_sentence").alias("_given"))
+        out = (out.join(given, "pair_id", "left")
+               .withColumn("alt_sentence", F.coalesce("_given", "alt_sentence")).drop("_given"))
+    return out
 
 
 def missing_partners(mined: DataFrame, spec_terms: DataFrame) -> DataFrame:

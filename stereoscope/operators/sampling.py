@@ -89,6 +89,9 @@ def limit_lists(spec_terms: DataFrame, n: int = P.PREFILL_TERMS) -> DataFrame:
     return spec_terms.where(F.col("pos") < n)
 
 
+ENOUGH = 16  # times the wanted rows that a sample's first cut expects
+
+
 def sample_per_attribute(scored: DataFrame, n: int = P.BOOTSTRAP_PER_ATTRIBUTE, reps: int = 1, seed: int = 0,
                          key: str = "pair_id") -> DataFrame:
     """Per (rep, spec, model, attribute): n rows without replacement when the attribute
@@ -99,7 +102,16 @@ def sample_per_attribute(scored: DataFrame, n: int = P.BOOTSTRAP_PER_ATTRIBUTE,
     cnt = bounded(scored.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt")))
     d = scored.join(cnt, g).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     big = d.where(F.col("_cnt") >= n)
-    wo = top_n_per_group(big, ["rep"] + g, [seeded_rank(seed, "rep", key)], n, out="draw")
+    # n of cnt rows: those whose rank, as a fraction, lies below ENOUGH * n / cnt; where that leaves fewer
+    # than n (hardly ever), the whole group is ranked
+    big = big.withColumn("_h", seeded_rank(seed, "rep", key))
+    part = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    low = big.where(part < F.lit(float(ENOUGH * n)) / F.col("_cnt"))
+    few = (bounded(cnt.where(F.col("_cnt") >= n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+           .join(low.groupBy("rep", *g).agg(F.count(F.lit(1)).alias("_low")), ["rep", *g], "left")
+           .where(F.coalesce("_low", F.lit(0)) < n).select("rep", *g))
+    low = low.unionByName(big.where(part >= F.lit(float(ENOUGH * n)) / F.col("_cnt")).join(bounded(few), ["rep", *g], "left_semi"))
+    wo = top_n_per_group(low, ["rep"] + g, [F.col("_h")], n, out="draw").drop("_h")
     wo = wo.withColumn("draw", F.col("draw") - 1)
     small = d.where(F.col("_cnt") < n)
     small = small.withColumn("_ord", F.row_number().over(Window.partitionBy("rep", *g).orderBy(key)) - 1)

@@ -62,11 +62,13 @@ def masked_scores(token_logits: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def model_kind(models: DataFrame, model_col: str = "model") -> DataFrame:
-    """Score kind by model name, first matching family wins; else 'unscored'."""
+    """Score kind by model name: a built-in model's own, else the first matching family's; else 'unscored'."""
     low = F.lower(F.col(model_col))
     kind = F.lit("unscored")
     for needle, k in reversed(P.MODEL_KIND_RULES):
         kind = F.when(low.contains(needle), F.lit(k)).otherwise(kind)
+    for name, k in P.BUILT_IN_MODELS:
+        kind = F.when(F.col(model_col) == name, F.lit(k)).otherwise(kind)
     return models.withColumn("kind", kind)
 
 
@@ -99,15 +101,22 @@ def pair_winner(labelled: DataFrame, scores: DataFrame, failsafe: str = "exclude
             .withColumn("bottom_logit", pick("bottom", r0, r1)))
 
 
-def batch_inference_scores(pairs: DataFrame, predict, model: str, batch_size: int = 64) -> DataFrame:
+def batch_inference_scores(pairs: DataFrame, predict=None, model: str = "model", batch_size: int = 64, make_predict=None) -> DataFrame:
     """Run a user predict function over both variants in Arrow batches.
 
     ``predict(texts: list[str], targets: list[str]) -> list[float]`` returns a loss per text.
-    Spark partitions the variants; each task feeds its rows to ``predict`` ``batch_size`` at a time.
+    ``make_predict()`` returns such a function and is called once per task, on the worker: a model is
+    loaded there and never shipped. Spark partitions the variants; each task feeds its rows to the
+    function ``batch_size`` at a time.
     """
     import pandas as pd
 
+    if (predict is None) == (make_predict is None):
+        raise ValueError("give predict or make_predict")
+    make = make_predict or (lambda: predict)
+
     def run(it):
+        predict = make()
         for pdf in it:
             out = []
             for start in range(0, len(pdf), batch_size):

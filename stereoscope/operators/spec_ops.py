@@ -20,8 +20,9 @@ def parse_term_text(texts: DataFrame) -> DataFrame:
                     .alias("side_name"), F.col("pos").cast("int").alias("pos"), "term"))
 
 
-def prefill_text(spec_terms: DataFrame, n: int = P.PREFILL_TERMS) -> DataFrame:
-    """The four text boxes of a selected spec: first ``n`` terms of each list joined by ', '."""
-    items = F.array_sort(F.collect_list(F.when(F.col("pos") < n, F.struct("pos", "term"))))
+def prefill_text(spec_terms: DataFrame, n: int | None = P.PREFILL_TERMS) -> DataFrame:
+    """The four text boxes of a selected spec: first ``n`` terms (None: all) of each list joined by ', '."""
+    item = F.struct("pos", "term")
+    items = F.array_sort(F.collect_list(item if n is None else F.when(F.col("pos") < n, item)))
     return (spec_terms.groupBy("spec", "axis", "side")
             .agg(F.array_join(F.transform(items, lambda x: x["term"]), ", ").alias("text")))

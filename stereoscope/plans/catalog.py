@@ -205,13 +205,13 @@ def q_pair_gaps(spark, sf_dir):
 # ---------------------------------------------------------------- text and templates
 @register("add_period", r"""
 WITH p AS (SELECT doc_id, unnest(x) AS raw, generate_subscripts(x, 1) AS idx
-           FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS x FROM documents WHERE lang = 'en'))
+           FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS x FROM documents))
 SELECT doc_id, CAST(idx - 1 AS INTEGER) AS sent_pos, """ + O.add_period("trim(raw)") + r""" AS with_period
 FROM p WHERE length(trim(raw)) >= 1""")
 def q_add_period(spark, sf_dir):
     from stereoscope.functions import patterns as P
     from stereoscope.sources import tables as TB
-    d = TB.documents(spark, sf_dir).where(F.col("lang") == "en")
+    d = TB.documents(spark, sf_dir)
     s = d.select("doc_id", F.posexplode(F.split("text", P.SENTENCE_SPLIT)).alias("sent_pos", "raw"))
     s = s.select("doc_id", F.col("sent_pos").cast("int").alias("sent_pos"), F.trim("raw").alias("t"))
     return s.where(F.length("t") >= 1).select("doc_id", "sent_pos", TX.add_period("t").alias("with_period"))
@@ -366,7 +366,7 @@ WHERE d."Stereotyped" IN ('yes', 'no')"""))
 def q_tiles(spark, sf_dir):
     sp = FL.scored_pairs(spark, sf_dir, keep=True)
     sf = FL.scored_full(spark, sf_dir, scored=sp)
-    disp = DP.display_pairs(sf).join(sf.select("pair_id", "doc_id", "sent_pos"), "pair_id")
+    disp = FL.materialize(DP.display_pairs(sf, keep=("doc_id", "sent_pos")))
     return DP.tiles(disp, M.attribute_scores(sp), FL.spec_table(spark))
 
 
@@ -413,7 +413,7 @@ plan_r AS (
   FROM targets t JOIN arr a ON a.spec = t.spec,
        LATERAL (SELECT unnest(range(0, CAST(ceil(t.n_target * 5 / 2.0) AS BIGINT))) AS round) r,
        (VALUES (0), (1)) sd(side)
-  WHERE t.n_target > 0 AND r.round * 2 + sd.side < t.n_target * 5
+  WHERE t.n_target > 0
 ),
 plan AS (
   SELECT spec, att_term, round, side, round * 2 + side AS request,
@@ -589,24 +589,25 @@ def _registry_values() -> str:
     for d in REGISTRY:
         for axis, key in (("group", "social_groups"), ("attribute", "attributes")):
             for side, (_, terms) in enumerate(list(d[key].items())[:2]):
-                for pos, t in enumerate(terms[:PT.PREFILL_TERMS]):
+                for pos, t in enumerate(terms):
                     rows.append(f"({O.q(d['tag'])}, {O.q(d['label'])}, {O.q(d['type'])}, {O.q(axis)}, {side}, {pos}, {O.q(t)})")
     return "reg(spec, label, type, axis, side, pos, term) AS (VALUES " + ", ".join(rows) + ")"
 
 
-@register("spec_terms", O.with_ctes(SPEC, O.SENTS, _registry_values(), body="""
+@register("spec_terms", O.with_ctes(SPEC, O.SENTS, O.SENT_WORDS, _registry_values(), body="""
 SELECT t.spec, t.label, t.type, t.axis, CAST(t.side AS INTEGER) AS side, CAST(t.pos AS INTEGER) AS pos, t.term,
        count(s.doc_id) AS n_sentences
-FROM reg t LEFT JOIN sents s ON regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
+FROM reg t LEFT JOIN sent_words s ON s.word = regexp_split_to_array(lower(t.term), '[ .,!]+')[1]
+  AND regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
 GROUP BY ALL"""))
 def q_spec_terms(spark, sf_dir):
-    """A1/A2/A5 read, B4 prefill text, B1 parse, B3 balance, B2 term table, A3 labels;
+    """A1/A2/A5 read, list text, B1 parse, B3 balance, B2 term table, A3 labels;
     then how many corpus sentences hold each term (strict boundaries)."""
     specs = SP.registry_specs(spark)
     terms = SP.specs_to_terms(specs, spec_col="tag")
-    parsed = SM.balance_lists(SO.parse_term_text(SO.prefill_text(terms)))
+    parsed = SM.balance_lists(SO.parse_term_text(SO.prefill_text(terms, n=None)))
     tk = SP.bounded(MI.term_keys(parsed))
-    hits = (MI.candidate_words(FL.sentences(spark, sf_dir), tk, ["doc_id", "sent_pos"])
+    hits = (MI.candidate_words(FL.sentences(spark, sf_dir), ["doc_id", "sent_pos"])
             .join(tk, "key").where(F.col("simple") | F.expr("ls rlike accept_re"))
             .groupBy("spec", "axis", "side", "pos").agg(F.count(F.lit(1)).alias("n_sentences")))
     labels = specs.select(F.col("tag").alias("spec"), "label", "type")
@@ -619,9 +620,9 @@ def q_spec_terms(spark, sf_dir):
 MASKED_SQL = r"""
 mvar AS (SELECT pair_id, variant, """ + O.TOKENS.format(x="text") + r""" AS t,
                 list_filter(regexp_split_to_array(lower(target), '[^a-z]+'), lambda w: w <> '') AS tt FROM variants),
-mfirst AS (SELECT *, list_position(t, tt[1]) AS first FROM mvar WHERE len(tt) > 0),
+mfirst AS (SELECT *, list_filter(range(2, len(t) - len(tt) + 2), lambda i: t[i:i + len(tt) - 1] = tt)[1] AS first FROM mvar WHERE len(tt) > 0),
 msub AS (SELECT pair_id, variant, k, tt[k + 1] AS tok, t[first + k - 1] AS lft, t[first + k + 1] AS rgt
-         FROM (SELECT *, unnest(range(0, len(tt))) AS k FROM mfirst WHERE first > 1)),
+         FROM (SELECT *, unnest(range(0, len(tt))) AS k FROM mfirst WHERE first IS NOT NULL)),
 mlog AS (
   SELECT m.pair_id, m.variant,
     ln((coalesce(b1.c12, 0) + 1.0) / (coalesce(h1.c1, 0) + (SELECT v FROM vocab)))
@@ -660,30 +661,35 @@ def q_score_failsafe(spark, sf_dir):
 
 
 def _model_values() -> str:
-    return "models(model) AS (VALUES " + ", ".join(f"({O.q(m)})" for m in PT.MODEL_CHOICES) + ")"
+    return "models(model) AS (VALUES " + ", ".join(f"({O.q(m)})" for m in MODELS) + ")"
+
+
+MODELS = (*PT.MODEL_CHOICES, "bigram-lm", "bigram-lm-masked")
 
 
 @register("model_kind", O.with_ctes(SPEC, *MASKED_CTES, *O.pipeline(SPEC, "scored")[len(MASKED_CTES) - 1:],
                                     _model_values(), """
-kinds AS (SELECT model, CASE WHEN lower(model) LIKE '%bert%' THEN 'masked' WHEN lower(model) LIKE '%gpt%' THEN 'causal'
+kinds AS (SELECT model, CASE WHEN model = 'bigram-lm' THEN 'causal' WHEN model = 'bigram-lm-masked' THEN 'masked'
+                             WHEN lower(model) LIKE '%bert%' THEN 'masked' WHEN lower(model) LIKE '%gpt%' THEN 'causal'
                              WHEN lower(model) LIKE '%llama%' THEN 'causal' WHEN lower(model) LIKE '%falcon%' THEN 'causal'
                              ELSE 'unscored' END AS kind FROM models),
-per_kind AS (
-  SELECT 'causal' AS kind, round(avg(s), 4) AS model_bias, CAST(sum(n) AS BIGINT) AS num_templates
+own AS (
+  SELECT 'bigram-lm' AS model, round(avg(s), 4) AS model_bias, CAST(sum(n) AS BIGINT) AS num_templates
   FROM (SELECT att_term, avg(stereotyped) AS s, count(*) AS n FROM scored GROUP BY att_term)
   UNION ALL
-  SELECT 'masked' AS kind, round(avg(s), 4), CAST(sum(n) AS BIGINT)
+  SELECT 'bigram-lm-masked' AS model, round(avg(s), 4), CAST(sum(n) AS BIGINT)
   FROM (SELECT att_term, avg(stereotyped) AS s, count(*) AS n FROM mscored WHERE testable GROUP BY att_term)
 )""", body="""
-SELECT k.model, k.kind, p.model_bias, p.num_templates FROM kinds k JOIN per_kind p ON p.kind = k.kind"""))
+SELECT k.model, k.kind, p.model_bias, p.num_templates FROM kinds k LEFT JOIN own p ON p.model = k.model"""))
 def q_model_kind(spark, sf_dir):
-    models = SC.model_kind(spark.createDataFrame([(m,) for m in PT.MODEL_CHOICES], "model string"))
+    """The kind of every model offered; scores only for the built-in models, which ran."""
+    models = SC.model_kind(spark.createDataFrame([(m,) for m in MODELS], "model string"))
     lm = FL.language_model(spark, sf_dir)
     lp = FL.materialize(FL.labelled_pairs(spark, sf_dir))
-    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp)).withColumn("kind", F.lit("causal"))
-    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm, lp=lp)).withColumn("kind", F.lit("masked"))
-    per_kind = causal.unionByName(masked).select("kind", "model_bias", "num_templates")
-    return models.join(SP.bounded(per_kind), "kind").select("model", "kind", "model_bias", "num_templates")
+    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp))
+    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm, lp=lp))
+    own = causal.unionByName(masked).select("model", "model_bias", "num_templates")
+    return models.join(own, "model", "left").select("model", "kind", "model_bias", "num_templates")
 
 
 # ---------------------------------------------------------------- label variants and rejects
@@ -758,9 +764,15 @@ def q_export_pairs(spark, sf_dir):
     return SK.export_frame(_display(spark, sf_dir), GN.spec_names(FL.spec_table(spark)))
 
 
-@register("test_result_record")
+STAMP = "01/01/2024 00:00:00"
+
+
+@register("test_result_record", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), O.spec_names_cte(), body=f"""
+SELECT n.bias_name AS name, 'stereoscope' AS source, s.spec, s.model AS tested_model, 'custom' AS type, {O.q(STAMP)} AS created
+FROM (SELECT DISTINCT spec, model FROM scored) s JOIN names n ON n.spec = s.spec"""))
 def q_test_result_record(spark, sf_dir):
-    return SK.test_result_records(M.model_score(FL.scored_pairs(spark, sf_dir)), GN.spec_names(FL.spec_table(spark)))
+    r = SK.test_result_records(M.model_score(FL.scored_pairs(spark, sf_dir)), GN.spec_names(FL.spec_table(spark)), created=STAMP)
+    return r.select("name", "source", "spec", F.col("tested_results.tested_model").alias("tested_model"), "type", "created")
 
 
 # ---------------------------------------------------------------- acceptance, prompts, run summary
@@ -813,10 +825,11 @@ def q_run_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- spec operators over the corpus
-SUPPORT_SQL = """
+SUPPORT_SQL = O.SENT_WORDS + """,
 support AS (SELECT t.term, count(s.doc_id) AS n_sentences
             FROM (SELECT DISTINCT term FROM {terms}) t
-            LEFT JOIN sents s ON regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
+            LEFT JOIN sent_words s ON s.word = regexp_split_to_array(lower(t.term), '[ .,!]+')[1]
+              AND regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
             GROUP BY t.term)"""
 
 
@@ -829,17 +842,23 @@ SELECT r.spec, r.axis, CAST(r.side AS INTEGER) AS side, CAST(r.pos AS INTEGER) A
 FROM reg r JOIN support s ON s.term = r.term"""))
 def q_spec_parse(spark, sf_dir):
     """B1: the term-list text boxes of every registry spec parsed back to terms, with corpus support."""
-    parsed = SO.parse_term_text(SO.prefill_text(_registry_terms(spark)))
+    parsed = SO.parse_term_text(SO.prefill_text(_registry_terms(spark), n=None))
     return FL.term_support(spark, sf_dir, parsed.select("spec", "axis", "side", "pos", "term"))
 
 
-@register("spec_limit", O.with_ctes(SPEC, O.SENTS, _registry_values(), SUPPORT_SQL.format(terms="reg"), body="""
+LONG = FL.long_spec()
+
+
+@register("spec_limit", O.with_ctes(SPEC, O.SENTS, _registry_values(), O.spec_values(LONG, "long_terms"), """
+every AS (SELECT spec, axis, side, pos, term FROM reg UNION ALL SELECT spec, axis, side, pos, term FROM long_terms)""",
+    SUPPORT_SQL.format(terms="every"), body="""
 SELECT r.spec, r.axis, CAST(r.side AS INTEGER) AS side, CAST(r.pos AS INTEGER) AS pos, r.term, s.n_sentences
-FROM reg r JOIN support s ON s.term = r.term WHERE r.pos < 50"""))
+FROM every r JOIN support s ON s.term = r.term WHERE r.pos < 50"""))
 def q_spec_limit(spark, sf_dir):
-    """The first 50 terms of every registry list, with corpus support."""
-    lim = SM.limit_lists(_registry_terms(spark))
-    return FL.term_support(spark, sf_dir, lim.select("spec", "axis", "side", "pos", "term"))
+    """The first 50 terms of every registry list and of a list of 64, with corpus support."""
+    cols = ["spec", "axis", "side", "pos", "term"]
+    lim = SM.limit_lists(_registry_terms(spark).select(*cols).unionByName(SP.spec_terms(spark, LONG).select(*cols)))
+    return FL.term_support(spark, sf_dir, lim.select(*cols))
 
 
 USPEC = FL.unbalanced_spec()
@@ -964,3 +983,47 @@ def q_display_text(spark, sf_dir):
     d = _display(spark, sf_dir)
     return d.select("pair_id", "model", TX.display_text(F.col("template"), F.col("grp_refs"), F.col("Groups"))
                     .alias("display_text"))
+
+
+# ---------------------------------------------------------------- repeated terms, reference words, spellings
+REP = FL.repeated_spec()
+
+
+@register("repeated_terms", O.with_ctes(REP, *[
+    # the pairs are numbered here, so nothing rests on the key under test
+    c.replace(O.PAIR_ID_SQL, "row_number() OVER () AS pair_id").replace("pairs AS (", "pairs AS MATERIALIZED (", 1) for c in O.pipeline(REP, "scored")], body="""
+SELECT doc_id, sent_pos, grp_side, grp_pos, att_side, att_pos, grp_term_1, grp_term_2, att_term, label_1, r0, r1, stereotyped FROM scored"""))
+def q_repeated_terms(spark, sf_dir):
+    """A term on both sides: every place of it makes its own pair with its own scores."""
+    return FL.scored_pairs(spark, sf_dir, REP).select(
+        "doc_id", "sent_pos", "grp_side", "grp_pos", "att_side", "att_pos", "grp_term_1", "grp_term_2", "att_term", "label_1", "r0", "r1", "stereotyped")
+
+
+REF_PAIRS = O.pipeline(SPEC, "pairs") + [O.swapped_cte(FL.REF_WORDS)]
+
+
+@register("reference_words", O.with_ctes(SPEC, *REF_PAIRS, O.templ_cte("swapped"), body="""
+SELECT t.pair_id, s.alt_sentence, t.template, t.grp_refs, t.grp_refs_rev FROM templ t JOIN swapped s ON s.pair_id = t.pair_id"""))
+def q_reference_words(spark, sf_dir):
+    """C10 with reference words swapped along with the group term, E4-E6 on real references, H6's order of them."""
+    p = MI.counterfactual_pairs(FL.mined(spark, sf_dir), FL.spec_table(spark), ref_words=FL.REF_WORDS)
+    t = TP.template_refs(p)
+    back = F.transform("grp_refs", lambda r: F.struct(r["r"].alias("l"), r["l"].alias("r")))
+    return t.select("pair_id", "alt_sentence", "template", TP.refs_text(F.col("grp_refs")).alias("grp_refs"), TP.refs_text(back).alias("grp_refs_rev"))
+
+
+SPELLED = FL.spelled_spec()
+
+
+@register("spelling_repair", O.with_ctes(SPELLED, *O.pipeline(SPELLED, "pairs"), """
+joined AS (SELECT * REPLACE (replace(sentence, 'in the', 'inthe') AS sentence, replace(alt_sentence, replace(att_term, '-', ' '), replace(replace(att_term, '-', ''), ' ', '')) AS alt_sentence)
+           FROM (SELECT * FROM pairs UNION ALL SELECT * REPLACE ('in-the' AS att_term) FROM pairs))""",
+    O.templ_cte("joined"), body="SELECT t.pair_id, t.template, t.grp_refs FROM templ t"))
+def q_spelling_repair(spark, sf_dir):
+    """E5: attributes of two words written without their blank or dash."""
+    p = MI.counterfactual_pairs(FL.mined(spark, sf_dir, SPELLED), FL.spec_table(spark, SPELLED))
+    p = p.unionByName(p.withColumn("att_term", F.lit("in-the")))
+    solid = F.replace(F.replace("att_term", F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
+    p = (p.withColumn("sentence", F.replace("sentence", F.lit("in the"), F.lit("inthe")))
+         .withColumn("alt_sentence", F.replace("alt_sentence", F.replace("att_term", F.lit("-"), F.lit(" ")), solid)))
+    return TP.template_refs(p).select("pair_id", "template", TP.refs_text(F.col("grp_refs")).alias("grp_refs"))

@@ -33,6 +33,25 @@ def retrieval_spec() -> S.BiasSpec:
     return S.BiasSpec("fixture_retrieval", ("he", "it"), ("this", "those"), ("for", "is"), ("with", "from"))
 
 
+def repeated_spec() -> S.BiasSpec:
+    """A spec with a term on both sides: each place makes its own pairs."""
+    return S.BiasSpec("fixture_repeated", ("he", "it"), ("it", "that"), ("for", "was"), ("with", "for"))
+
+
+def long_spec() -> S.BiasSpec:
+    """A spec with a list of more than 50 terms (two-letter words, some of them in the corpus)."""
+    return S.BiasSpec("fixture_long", tuple(a + b for a in "theoains" for b in "aeionrst"), ("this", "that"), ("for", "was"), ("with", "from"))
+
+
+# words that refer to a group term, swapped with it in the rewrite
+REF_WORDS = {"of": "to", "to": "of", "the": "an", "an": "the"}
+
+
+def spelled_spec() -> S.BiasSpec:
+    """Attributes of two words, one with a dash."""
+    return S.BiasSpec("fixture_spelled", ("he", "it"), ("this", "that"), ("of the", "to the"), ("in-the", "on the"))
+
+
 def unbalanced_spec() -> S.BiasSpec:
     """A spec with lists of unequal length (3 vs 2), for list balancing."""
     return S.BiasSpec("fixture_unbalanced", ("he", "it", "she"), ("this", "that"), ("for", "was"),
@@ -54,8 +73,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LM training text: every split English sentence of non-zero length."""
-    return MI.split_sentences(TB.documents(spark, sf_dir), min_len=1, max_len=None)
+    """LM training text: every sentence."""
+    return sentences(spark, sf_dir)
 
 
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +137,9 @@ def flagship(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -
 # FIXED VALUES: generator names and record types assigned to derived bank rows by doc_id.
 BANK_GEN_MODELS = ("gpt-3.5-turbo", "gpt-4", "gpt-3.5", "text-davinci-003")
 BANK_TYPES = ("tool", "paper", None)
-# conversation turns get ids above every document id
+# conversation turns get ids above every document id: a pairing of (conv_id, turn) that never repeats
 CONV_ID_OFFSET = 1_000_000_000_000
+CONV_ID = f"{CONV_ID_OFFSET} + (conv_id + turn) * (conv_id + turn + 1) div 2 + turn"
 
 
 def generation_records(spark: SparkSession, pairs: DataFrame, spec: S.BiasSpec | None = None) -> DataFrame:
@@ -130,7 +150,7 @@ def generation_records(spark: SparkSession, pairs: DataFrame, spec: S.BiasSpec |
     st = spec_table(spark, spec)
     p = (template_refs(pairs).withColumnRenamed("template", "alt_template")
          .withColumn("template", template_simple(F.col("sentence"), F.col("grp_term_1"), F.col("grp_term_2"))))
-    return generation_record(p, st)
+    return generation_record(p, st, keep=("doc_id",))
 
 
 def derived_bank(spark: SparkSession, sf_dir: str, corpus: str = "documents") -> DataFrame:
@@ -140,14 +160,13 @@ def derived_bank(spark: SparkSession, sf_dir: str, corpus: str = "documents") ->
     if corpus == "documents":
         sents = sentences(spark, sf_dir)
     else:
-        conv = TB.conversations(spark, sf_dir).select(
-            (F.lit(CONV_ID_OFFSET) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("en").alias("lang"))
+        conv = TB.conversations(spark, sf_dir).select(F.expr(CONV_ID).alias("doc_id"), "text")
         sents = MI.split_sentences(conv)
     pairs = PR.pair_labels(MI.counterfactual_pairs(MI.mine_sentences(sents, st), st), st)
     rec = generation_records(spark, pairs)
     models = F.array(*[F.lit(m) for m in BANK_GEN_MODELS])
     types = F.array(*[F.lit(t) for t in BANK_TYPES])
-    return (rec.join(pairs.select("pair_id", "doc_id"), "pair_id")
+    return (rec
             .withColumn("gen_model", F.element_at(models, (F.pmod("doc_id", F.lit(len(BANK_GEN_MODELS))) + 1).cast("int")))
             .withColumn("type", F.element_at(types, (F.pmod("doc_id", F.lit(len(BANK_TYPES))) + 1).cast("int")))
             .select("pair_id", *BANK_COLUMNS))
@@ -159,7 +178,7 @@ def term_support(spark: SparkSession, sf_dir: str, terms: DataFrame, term_col: s
     keyed = MI.term_keys(terms.select(F.lit("s").alias("spec"), F.lit("t").alias("axis"), F.lit(0).alias("side"),
                                       F.lit(0).alias("pos"), F.col(term_col).alias("term")).distinct())
     tk = S.bounded(keyed.select("key", "term", "simple", "accept_re"))
-    hits = (MI.candidate_words(sentences(spark, sf_dir), tk, [])
+    hits = (MI.candidate_words(sentences(spark, sf_dir), [])
             .join(tk, "key")
             .where(F.col("simple") | F.expr("ls rlike accept_re"))
             .groupBy(F.col("term").alias(term_col)).agg(F.count(F.lit(1)).alias("n_sentences")))

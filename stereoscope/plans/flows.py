@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stereoscope.functions import patterns as P
 from stereoscope.functions.text import template_simple
 from stereoscope.operators import coverage as CV
 from stereoscope.operators import display as DP
@@ -78,49 +79,63 @@ def generate_flow(spark: SparkSession, documents: DataFrame, spec: S.BiasSpec, g
     }, out)
 
 
+def _outside_scores(model: str, kind: str, variant_scores: DataFrame | None, token_logits: DataFrame | None) -> DataFrame:
+    """Scores of a model that ran elsewhere, from its table."""
+    if kind == "unscored":
+        raise ValueError(f"model {model!r} is of no known family: name its kind by a known family, or use 'bigram-lm'")
+    table = variant_scores if kind == "causal" else token_logits
+    mine = None if table is None else table.where(F.col("model") == model)
+    if mine is None or mine.isEmpty():
+        raise ValueError(f"no scores of model {model!r}: give its rows in {'variant_scores' if kind == 'causal' else 'token_logits'}")
+    return SC.causal_scores(mine) if kind == "causal" else SC.masked_scores(mine)
+
+
 def test_model_flow(spark: SparkSession, sentences: DataFrame, spec: S.BiasSpec, corpus: DataFrame,
                     models=("bigram-lm",), variant_scores: DataFrame | None = None,
                     token_logits: DataFrame | None = None, bootstrap_reps: int = 30, seed: int = 0,
                     out: str | None = None) -> dict[str, DataFrame]:
-    """Flow 'test model': templates (E4-E6), labels (F1), scores by model kind (G3: causal
-    from ``variant_scores`` or the Spark-trained LM; masked from ``token_logits`` or the LM's
-    masked form), winner (G5), then H1-H13 and the bootstrap (H12).
-
-    ``sentences``: (sentence, alt_sentence, grp_term_1, grp_term_2, att_term[, pair_id]).
-    ``corpus``: sentences (column ``sentence``) the built-in LM is trained on."""
+    """Flow 'test model': templates (E4-E6), labels (F1), scores by model kind (G3), winner (G5), then
+    H1-H13 and the bootstrap (H12).
+
+    ``models`` names the models to report. The built-in 'bigram-lm' and 'bigram-lm-masked' are trained on
+    ``corpus`` (column ``sentence``) here. Any other model must have its rows in ``variant_scores`` (causal)
+    or ``token_logits`` (masked): a name without scores is an error, as nothing else may be reported under it.
+    ``sentences``: (sentence, alt_sentence, grp_term_1, grp_term_2, att_term[, pair_id]). Output ``rejects``
+    lists rows that fail a check (F1, F3, E4) with the reason; ``untestable`` counts pairs per model that
+    lack a score (G4)."""
     st = S.spec_terms(spark, spec)
     s = sentences.withColumn("spec", F.lit(spec.name))
     if "pair_id" not in s.columns:
         s = s.withColumn("pair_id", F.md5(F.concat_ws("|", "spec", "sentence", "alt_sentence", "grp_term_1",
                                                       "grp_term_2", "att_term")))
+    s = materialize(s)
+    rejects = PR.pair_rejects(s, st).select("pair_id", "reason").unionByName(TP.template_rejects(s))
     labelled = materialize(TP.template_refs(PR.pair_labels(s, st)))
-    kinds = SC.model_kind(spark.createDataFrame([(m,) for m in models], "model string")).collect()
+    if not models:
+        raise ValueError("name at least one model")
     lm = None
-    scored_parts = []
-    for row in kinds:
-        if row.kind == "unscored":
-            continue
-        if row.kind == "causal":
-            if variant_scores is not None:
-                sc = SC.causal_scores(variant_scores.where(F.col("model") == row.model))
-            else:
-                lm = lm or train(corpus)
-                sc = SC.lm_causal_scores(labelled, lm, row.model)
+    scored_parts, counted = [], []
+    for row in SC.model_kind(spark.createDataFrame([(m,) for m in models], "model string")).collect():
+        if row.model in dict(P.BUILT_IN_MODELS):
+            lm = lm or train(corpus)
+            sc = (SC.lm_causal_scores(labelled, lm, row.model) if row.kind == "causal"
+                  else SC.masked_scores(SC.lm_token_logits(labelled, lm, row.model)))
         else:
-            if token_logits is not None:
-                sc = SC.masked_scores(token_logits.where(F.col("model") == row.model))
-            else:
-                lm = lm or train(corpus)
-                sc = SC.masked_scores(SC.lm_token_logits(labelled, lm, row.model))
-        scored_parts.append(SC.pair_winner(labelled, sc))
-    scored = scored_parts[0]
-    for part in scored_parts[1:]:
-        scored = scored.unionByName(part)
+            sc = _outside_scores(row.model, row.kind, variant_scores, token_logits)
+        part = SC.pair_winner(labelled, sc, failsafe="keep")
+        counted.append(part.groupBy("spec").agg(F.sum((~F.col("testable")).cast("long")).alias("n_untestable"),
+                                                F.count(F.lit(1)).alias("n_pairs")).withColumn("model", F.lit(row.model)))
+        scored_parts.append(part.where("testable"))
+    scored, untestable = scored_parts[0], counted[0]
+    for part, n in zip(scored_parts[1:], counted[1:]):
+        scored, untestable = scored.unionByName(part), untestable.unionByName(n)
     scored = materialize(scored)
     att = M.attribute_scores(scored)
     ms = M.model_score(scored)
     n_sent = scored.groupBy("spec").agg(F.count_distinct("pair_id").alias("n_sentences"))
     outputs = {
+        "rejects": rejects,
+        "untestable": untestable,
         "scored_pairs": scored.withColumn("grp_refs", TP.refs_text(F.col("grp_refs"))),
         "run_summary": M.run_summary(scored),
         "attribute_scores": att,
@@ -134,5 +149,5 @@ def test_model_flow(spark: SparkSession, sentences: DataFrame, spec: S.BiasSpec,
 
 
 def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LM training text for the flows: every split English sentence of the documents table."""
-    return MI.split_sentences(TB.documents(spark, sf_dir), min_len=1, max_len=None)
+    """LM training text for the flows: every sentence of the documents table."""
+    return MI.split_sentences(TB.documents(spark, sf_dir))

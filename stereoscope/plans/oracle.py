@@ -23,19 +23,25 @@ def spec_values(spec: BiasSpec, name: str = "spec_terms") -> str:
 SENTS = r"""
 split_parts AS (
   SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) AS idx
-  FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents WHERE lang = 'en')
+  FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents)
 ),
 sents AS (
   SELECT doc_id, CAST(idx - 1 AS INTEGER) AS sent_pos, trim(raw) || '.' AS sentence
-  FROM split_parts WHERE length(trim(raw)) BETWEEN 20 AND 400
+  FROM split_parts WHERE length(trim(raw)) >= 1
 )"""
 
+# sentences by their words: a term stands in a sentence only if its first word does
+SENT_WORDS = r"""
+sent_words AS MATERIALIZED (SELECT *, unnest(list_distinct(regexp_split_to_array(lower(sentence), '[ .,!]+'))) AS word FROM sents)"""
+
 MINED = r"""
-hits AS (
+hits AS MATERIALIZED (
   SELECT t.spec, s.doc_id, s.sent_pos, s.sentence, t.axis, t.side, t.pos, t.term
-  FROM sents s JOIN spec_terms t ON regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
+  FROM (SELECT *, unnest(list_distinct(regexp_split_to_array(lower(sentence), '[ .,!]+'))) AS word FROM sents) s
+  JOIN (SELECT *, regexp_split_to_array(lower(term), '[ .,!]+')[1] AS word FROM spec_terms) t
+    ON t.word = s.word AND regexp_matches(lower(s.sentence), '(^| )' || lower(t.term) || '[ .,!]')
 ),
-mined AS (
+mined AS MATERIALIZED (
   SELECT g.spec, g.doc_id, g.sent_pos, g.sentence,
          g.term AS grp_term, CAST(g.side AS INTEGER) AS grp_side, CAST(g.pos AS INTEGER) AS grp_pos,
          a.term AS att_term, CAST(a.side AS INTEGER) AS att_side, CAST(a.pos AS INTEGER) AS att_pos
@@ -43,14 +49,15 @@ mined AS (
   WHERE g.axis = 'group' AND a.axis = 'attribute'
 )"""
 
+PAIR_ID_SQL = "md5(concat_ws('|', m.spec, m.doc_id, m.sent_pos, m.grp_side, m.grp_pos, m.grp_term, m.att_side, m.att_pos, m.att_term)) AS pair_id"
 PAIRS = r"""
 pairs AS (
   SELECT m.spec, m.doc_id, m.sent_pos,
-         md5(concat_ws('|', m.spec, CAST(m.doc_id AS VARCHAR), CAST(m.sent_pos AS VARCHAR), m.grp_term, m.att_term)) AS pair_id,
+         md5(concat_ws('|', m.spec, m.doc_id, m.sent_pos, m.grp_side, m.grp_pos, m.grp_term, m.att_side, m.att_pos, m.att_term)) AS pair_id,
          m.sentence,
          regexp_replace(regexp_replace(m.sentence, '(^| )' || lower(m.grp_term) || '([ .,!])', '\1' || p.term || '\2', 'gi'),
                         '(^| )' || lower(m.grp_term) || '([ .,!])', '\1' || p.term || '\2', 'gi') AS alt_sentence,
-         m.grp_term AS grp_term_1, p.term AS grp_term_2, m.att_term, m.grp_side, m.att_side
+         m.grp_term AS grp_term_1, p.term AS grp_term_2, m.att_term, m.grp_side, m.grp_pos, m.att_side, m.att_pos
   FROM mined m JOIN spec_terms p
     ON p.spec = m.spec AND p.axis = 'group' AND p.side = 1 - m.grp_side AND p.pos = m.grp_pos
 )"""
@@ -73,7 +80,7 @@ TOKENS = "['<s>'] || list_filter(regexp_split_to_array(lower({x}), '[^a-z]+'), l
 LM = r"""
 corpus AS (
   SELECT trim(raw) || '.' AS sentence
-  FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\n]+')) AS raw FROM documents WHERE lang = 'en')
+  FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\n]+')) AS raw FROM documents)
   WHERE length(trim(raw)) >= 1
 ),
 corpus_tok AS (SELECT """ + TOKENS.format(x="sentence") + r""" AS t FROM corpus),
@@ -132,8 +139,8 @@ def with_ctes(spec: BiasSpec, *parts: str, body: str) -> str:
 
 
 CTE_NAMES = ("split_parts", "sents", "hits", "mined", "pairs", "att_sides", "grp_sides", "labelled")
-DOCS_SRC = "FROM documents WHERE lang = 'en'"
-CONV_SRC = "FROM (SELECT 1000000000000 + conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+DOCS_SRC = "FROM documents"
+CONV_SRC = "FROM (SELECT 1000000000000 + (conv_id + turn) * (conv_id + turn + 1) // 2 + turn AS doc_id, text FROM conversations)"
 
 
 def pipeline(spec: BiasSpec, upto: str, src: str | None = None, prefix: str = "") -> list[str]:
@@ -254,3 +261,14 @@ templ AS (
                  'r': CASE WHEN lower(st[i]) <> '*' AND lower(rt[i]) = '*' THEN lower(tw1) ELSE lower(rt[i]) END}}) AS refs
   FROM templ_s
 )"""
+
+
+def swapped_cte(words: dict[str, str], src: str = "pairs", name: str = "swapped") -> str:
+    """Reference words of the rewrite swapped: word by word, a final mark and a capital stay."""
+    cases = " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in words.items())
+    bare = "regexp_replace(w, '[.,!?;:]+$', '')"
+    new = f"(CASE lower({bare}) {cases} END)"
+    cap = f"(CASE WHEN {bare} = upper(substr({bare}, 1, 1)) || lower(substr({bare}, 2)) THEN upper(substr({new}, 1, 1)) || substr({new}, 2) ELSE {new} END)"
+    word = f"(CASE WHEN {new} IS NULL THEN w ELSE {cap} || substr(w, length({bare}) + 1) END)"
+    return f"""
+{name} AS (SELECT * REPLACE (array_to_string(list_transform(string_split(alt_sentence, ' '), lambda w: {word}), ' ') AS alt_sentence) FROM {src})"""

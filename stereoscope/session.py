@@ -2,13 +2,14 @@
 
 On a cluster the session comes from the launcher; these helpers only fill in
 settings that are unset. ``checkpoint_dir`` returns the shared folder named by
-``spark.checkpoint.dir``; a scratch folder is chosen only when none is set
-(local runs and tests).
+``spark.checkpoint.dir``; a scratch folder is chosen only where none is set
+and the master is local.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -57,11 +58,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder; set a scratch one only if none is configured."""
+    """The reliable checkpoint folder that ``spark.checkpoint.dir`` names. Only a local master may go
+    without: it gets a scratch folder. Elsewhere executors do not share one, so a setting is required."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        if not re.match(r"local(\[[^\[\]]*\])?$", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="stereoscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:

@@ -18,8 +18,6 @@ from stereoscope.sources.specs import bounded
 BANK_COLUMNS = ["sentence", "alt_sentence", "org_grp_term", "att_term", "template", "alt_template", "grp_term1",
                 "grp_term2", "grp_refs", "label_1", "label_2", "bias_spec", "type", "gen_model"]
 BANK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in BANK_COLUMNS])
-# most group terms turned into a literal partition filter
-MAX_PRUNE_TERMS = 10_000
 LEGACY_SCHEMA = T.StructType([T.StructField(c, T.StringType())
                               for c in ("Group term", "Attribute term", "Test sentence")])
 
@@ -34,19 +32,27 @@ def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bank(bank: DataFrame, path: str, mode: str = "append") -> None:
-    (bank.select(*BANK_COLUMNS).repartition("org_grp_term").write
+    # rebalanced by term: AQE splits a large term over tasks and joins small ones, so no task writes a whole hot term
+    (bank.select(*BANK_COLUMNS).hint("rebalance", F.col("org_grp_term")).write
      .option("partitionOverwriteMode", "dynamic").partitionBy("org_grp_term").mode(mode).parquet(path))
 
 
+def append_bank(spark: SparkSession, path: str, new: DataFrame, order_col: str = "sentence") -> None:
+    """Append ``new`` records to the stored bank: the partitions of their terms are read, first
+    occurrences kept (stored rows win), and only these partitions overwritten."""
+    from stereoscope.session import materialize
+    new = materialize(new.select(*BANK_COLUMNS))
+    terms = new.select("org_grp_term").distinct()
+    old = read_bank(spark, path).join(terms, "org_grp_term", "left_semi").select(*BANK_COLUMNS)
+    # checkpointed: the overwrite removes the files it read
+    write_bank(materialize(append_dedupe(old, new, order_col).select(*BANK_COLUMNS)), path, mode="overwrite")
+
+
 def bank_scan(bank: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """Rows of the bank for the spec's group terms (one read per term occurrence in
     the group lists: a term listed twice is read twice, as the measured tool does)."""
     g = spec_terms.where(F.col("axis") == "group")
-    # partition pruning: the spec's group terms (a bounded parameter list) as a literal IN
-    # filter on the partition column; past the bound the join alone selects the rows
-    names = [r[0] for r in g.select("term").distinct().limit(MAX_PRUNE_TERMS + 1).collect()]
-    if len(names) <= MAX_PRUNE_TERMS:
-        bank = bank.where(F.col("org_grp_term").isin(names))
+    # the broadcast join on the partition column prunes partitions at run time
     g = bounded(g.select("spec", F.col("term").alias("org_grp_term"), F.col("side").alias("read_side"),
                          F.col("pos").alias("read_pos")))
     return bank.join(g, "org_grp_term")

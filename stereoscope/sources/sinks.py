@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 CREATED_FORMAT = "dd/MM/yyyy HH:mm:ss"
 
 
-def stamped(specs: DataFrame) -> DataFrame:
-    return specs.withColumn("created", F.date_format(F.current_timestamp(), CREATED_FORMAT))
+def stamped(specs: DataFrame, created: str | None = None) -> DataFrame:
+    now = F.date_format(F.current_timestamp(), CREATED_FORMAT)
+    return specs.withColumn("created", now if created is None else F.lit(created))
 
 
 def save_specs(specs: DataFrame, path: str, mode: str = "append") -> None:
@@ -19,12 +20,12 @@ def save_specs(specs: DataFrame, path: str, mode: str = "append") -> None:
     stamped(specs).write.partitionBy("type").mode(mode).json(path)
 
 
-def test_result_records(summary: DataFrame, names: DataFrame, source: str = "stereoscope") -> DataFrame:
-    """A4: one record per (spec, model): spec name, source, tested model, creation stamp."""
+def test_result_records(summary: DataFrame, names: DataFrame, source: str = "stereoscope", created: str | None = None) -> DataFrame:
+    """A4: one record per (spec, model): spec name, source, tested model, creation stamp (now, or ``created``)."""
     return stamped(summary.join(names, "spec").select(
         F.col("bias_name").alias("name"), F.lit(source).alias("source"), "spec",
         F.struct(F.col("model").alias("tested_model")).alias("tested_results"),
-        F.lit("custom").alias("type")))
+        F.lit("custom").alias("type")), created)
 
 
 def export_frame(display: DataFrame, names: DataFrame) -> DataFrame:

@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 REGISTRY_DIR = os.path.join(os.path.dirname(__file__), "registry")
 
-# Upper bound on rows of any spec-derived table that gets a broadcast hint.
+# Upper bounds on rows and bytes of any spec-derived table that gets a broadcast hint.
 MAX_SPEC_TERMS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 TERM_LISTS = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
 
@@ -94,8 +95,6 @@ def spec_terms(spark: SparkSession, specs) -> DataFrame:
     if isinstance(specs, BiasSpec):
         specs = [specs]
     rows = [r for s in specs for r in s.rows()]
-    if len(rows) > MAX_SPEC_TERMS:
-        raise ValueError(f"{len(rows)} spec terms exceed the broadcast bound {MAX_SPEC_TERMS}")
     if not rows:
         return spark.createDataFrame([], SPEC_TERMS_SCHEMA)
     # an inline VALUES table is a local relation: the planner knows its exact size
@@ -159,33 +158,29 @@ def spec_by_label(specs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(bounded(specs.select("label", "tag", "name", "type")), "label", "left")
 
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
-
 def _local_size_bound(df: DataFrame):
-    """Upper bound on the bytes of a plan whose leaves are all in-memory local relations
-    (spec tables): the optimizer's estimate is exact for those leaves and filters,
-    projections, joins and aggregates over them do not exceed it. None otherwise."""
+    """Bytes of a plan that only projects, filters or aggregates an in-memory local relation (a spec
+    table): the optimizer's estimate is exact for the leaf and these steps do not exceed it. None otherwise."""
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
-        leaves = plan.collectLeaves()
-        for i in range(leaves.size()):
-            if not leaves.apply(i).getClass().getSimpleName().startswith("LocalRelation"):
+        node = plan
+        while True:
+            kind = node.getClass().getSimpleName()
+            if kind.startswith("LocalRelation"):
+                return int(str(plan.stats().sizeInBytes()))
+            if kind not in ("Project", "Filter", "Aggregate") or node.children().size() != 1:
                 return None
-        if "Join" in plan.toString():  # a join may multiply rows; fall back to counting
-            return None
-        return int(str(plan.stats().sizeInBytes()))
-    except Exception:  # no JVM handle (e.g. Spark Connect): count instead
+            node = node.children().apply(0)
+    except AttributeError:  # no JVM handle (Spark Connect): measure instead
         return None
 
 
 def bounded(df: DataFrame, max_rows: int = MAX_SPEC_TERMS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only behind a size check: the exact size of spec-sized local
-    relations, else a row count. Beyond the bound the join is left to the planner
+    """Broadcast ``df`` only behind a check of its size: the exact size of spec-sized local
+    relations, else its rows and their bytes as JSON. Beyond a bound the join is left to the planner
     (shuffle join, or AQE's broadcast from the measured shuffle size)."""
     size = _local_size_bound(df)
     if size is not None:
         return F.broadcast(df) if size <= max_bytes else df
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
