@@ -52,7 +52,8 @@ def bank_scan(bank: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """Rows of the bank for the spec's group terms (one read per term occurrence in
     the group lists: a term listed twice is read twice, as the measured tool does)."""
     g = spec_terms.where(F.col("axis") == "group")
-    # the broadcast join on the partition column prunes partitions at run time
+    # partition pruning: the spec's group terms, a parameter, as a literal filter on the partition column
+    bank = bank.where(F.col("org_grp_term").isin([r[0] for r in g.select("term").distinct().collect()]))
     g = bounded(g.select("spec", F.col("term").alias("org_grp_term"), F.col("side").alias("read_side"),
                          F.col("pos").alias("read_pos")))
     return bank.join(g, "org_grp_term")

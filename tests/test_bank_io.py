@@ -19,6 +19,22 @@ def _written_bank(spark):
     return d
 
 
+def test_append_bank(spark):
+    """Stored rows win, new sentences come in, only the touched terms' partitions are rewritten."""
+    d = _written_bank(spark)
+    before = BK.read_bank(spark, d).cache()
+    n = {r.org_grp_term: r.n for r in before.groupBy("org_grp_term").agg(F.count_distinct("sentence").alias("n")).collect()}
+    untouched = {t: sorted(os.listdir(f"{d}/org_grp_term={t}")) for t in n if t != "he"}
+    some = before.where("org_grp_term = 'he'").limit(3)
+    new = (some.withColumn("gen_model", F.lit("other"))
+           .unionByName(some.limit(1).withColumn("sentence", F.lit("A wholly new sentence."))))
+    BK.append_bank(spark, d, new)
+    after = BK.read_bank(spark, d)
+    assert after.where("org_grp_term = 'he'").count() == n["he"] + 1
+    assert after.where("gen_model = 'other'").count() == after.where("sentence = 'A wholly new sentence.' and gen_model = 'other'").count()
+    assert {t: sorted(os.listdir(f"{d}/org_grp_term={t}")) for t in untouched} == untouched
+
+
 def test_bank_scan_prunes_partitions(spark):
     d = _written_bank(spark)
     df = BK.bank_scan(BK.read_bank(spark, d), FL.spec_table(spark, FL.retrieval_spec()))
@@ -70,7 +86,8 @@ def test_save_specs_partitioned_by_type(spark):
     custom = back.where(F.col("type") == "custom")
     plan = custom._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "custom" in plan
-    assert custom.count() == 3
+    assert custom.count() == 5                        # the four shipped custom specs and the fixture
+    assert back.count() == 20
     assert all(len(r.created) == 19 for r in back.select("created").collect())
 
 

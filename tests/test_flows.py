@@ -29,9 +29,11 @@ def test_generate_retrieve_test(spark):
 
     sents = ret["test_sentences"].select("sentence", "alt_sentence", "grp_term_1", "grp_term_2", "att_term")
     res = FW.test_model_flow(spark, sents, spec, FW.corpus_sentences(spark, SF_SMALL),
-                             models=("gpt2", "bert-base-uncased"), bootstrap_reps=5, out=out + "/test")
+                             models=("bigram-lm", "bigram-lm-masked"), bootstrap_reps=5, out=out + "/test")
     summary = {r.model: r.num_templates for r in res["run_summary"].collect()}
-    assert summary == {"gpt2": 20, "bert-base-uncased": 20}
+    assert summary == {"bigram-lm": 20, "bigram-lm-masked": 20}
+    assert {r.model: (r.n_untestable, r.n_pairs) for r in res["untestable"].collect()} == {"bigram-lm": (0, 20), "bigram-lm-masked": (0, 20)}
+    assert res["rejects"].count() == 0
     assert res["interpretation"].count() == 2
     assert os.path.isdir(out + "/test/display_pairs")
 
@@ -47,7 +49,30 @@ def test_model_flow_with_score_tables(spark):
     corpus = FW.corpus_sentences(spark, SF_SMALL)
     vs = SC.lm_variant_scores(lp, train(corpus), model="gpt2")
     a = FW.test_model_flow(spark, sents, spec, corpus, models=("gpt2",), variant_scores=vs, bootstrap_reps=3)
-    b = FW.test_model_flow(spark, sents, spec, corpus, models=("gpt2",), bootstrap_reps=3)
+    b = FW.test_model_flow(spark, sents, spec, corpus, bootstrap_reps=3)  # the default model
     key = lambda df: sorted((r.pair_id, r.stereotyped) for r in df.select("pair_id", "stereotyped").collect())  # noqa
     assert key(a["scored_pairs"]) == key(b["scored_pairs"])
     assert a["run_summary"].first().model_bias == b["run_summary"].first().model_bias
+
+
+def test_named_models_need_their_scores(spark):
+    """Nothing is reported under the name of a model that did not run."""
+    import pytest
+    spec = FL.fixture_spec().lower()
+    sents = FL.labelled_pairs(spark, SF_SMALL).select("sentence", "alt_sentence", "grp_term_1", "grp_term_2", "att_term").limit(5)
+    corpus = FW.corpus_sentences(spark, SF_SMALL)
+    other = spark.createDataFrame([("p", 0, "gpt2-large", 1.0)], "pair_id string, variant int, model string, loss double")
+    for models, tables in ((("gpt2",), {}), (("gpt2",), {"variant_scores": other}), (("bert-base-uncased",), {"variant_scores": other}), (("unheard-of",), {}), ((), {})):
+        with pytest.raises(ValueError):
+            FW.test_model_flow(spark, sents, spec, corpus, models=models, **tables)
+
+
+def test_rejects_and_untestable_pairs(spark):
+    spec = FL.fixture_spec().lower()
+    rows = [("p1", "He is for it.", "This is for it.", "he", "this", "for"), ("p2", "He is by it.", "This is by it.", "he", "this", "by"),
+            ("p3", "Nobody for now.", "Nobody for now.", "he", "this", "for")]
+    sents = spark.createDataFrame(rows, "pair_id string, sentence string, alt_sentence string, grp_term_1 string, grp_term_2 string, att_term string")
+    vs = spark.createDataFrame([("p1", 0, "gpt2", 1.0)], "pair_id string, variant int, model string, loss double")
+    res = FW.test_model_flow(spark, sents, spec, FW.corpus_sentences(spark, SF_SMALL), models=("gpt2",), variant_scores=vs, bootstrap_reps=2)
+    assert {(r.pair_id, r.reason) for r in res["rejects"].collect()} == {("p2", "attribute not in spec"), ("p3", "missing either group term in sentence")}
+    assert [(r.n_untestable, r.n_pairs) for r in res["untestable"].collect()] == [(1, 1)]

@@ -148,8 +148,8 @@ def test_sample_with_replacement_for_small_groups(spark):
 
 def test_flagship_regression_sf0001(spark):
     got = {r.att_term: (r.n_pairs, r.n_stereotyped, r.n_ties) for r in FL.flagship(spark, SF_SMALL).collect()}
-    assert got == {"for": (172, 65, 0), "from": (114, 64, 0), "was": (168, 76, 0), "with": (157, 95, 1)}
-    assert FL.flagship(spark, SF_SMALL).first().model_bias == 0.4992
+    assert got == {"for": (181, 67, 0), "from": (120, 67, 0), "was": (181, 81, 0), "with": (163, 99, 1)}
+    assert FL.flagship(spark, SF_SMALL).first().model_bias == 0.4958
 
 
 def test_same_result_under_partition_counts(spark):
@@ -162,22 +162,101 @@ def test_same_result_under_partition_counts(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_bucketed_model_equals_checkpointed(spark):
+def test_frequent_words_change_no_score(spark, monkeypatch):
+    """Lookups by broadcast, by shuffle, or by both give the same losses and logits."""
     from stereoscope.operators import lm as LM
     from stereoscope.operators import scoring as SC
-    corpus = FL.lm_corpus(spark, SF_SMALL)
+    lm = LM.train(FL.lm_corpus(spark, SF_SMALL))
     lp = FL.labelled_pairs(spark, SF_SMALL)
-    a = SC.lm_causal_scores(lp, LM.train(corpus, store="checkpoint"))
-    bucketed = LM.train(corpus, store="bucketed", buckets=8)
-    b = SC.lm_causal_scores(lp, bucketed)
-    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
-    # the lookup on (w1, w2) reads the model bucketed: only the probe side is shuffled
-    probe = SC.variant_rows(lp)
-    j = LM.bigram_rows(probe, "text", ["pair_id", "variant"]).join(bucketed.bigrams, ["w1", "w2"], "left")
-    jp = j._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in jp
-    import re
-    assert len(re.findall(r"Exchange hashpartitioning\(w1#\d+L?, w2#\d+", jp)) == 1
+    got = []
+    for frequent in (0, 50, 10**9):
+        monkeypatch.setattr(LM, "FREQUENT", frequent)
+        got.append((sorted(tuple(r) for r in SC.lm_causal_scores(lp, lm).collect()),
+                    sorted(tuple(r) for r in SC.masked_scores(SC.lm_token_logits(lp, lm)).collect())))
+    assert got[0] == got[1] == got[2]
+
+
+def test_masked_target_is_the_whole_term(spark):
+    """The first place of all the target's words counts, not that of its first word."""
+    import math
+
+    from stereoscope.operators import lm as LM
+    text = "the old house and the old man sat"
+    counts = LM.train_bigrams(spark.createDataFrame([(text,)], "sentence string"))
+    v = spark.createDataFrame([("p", text, "old man")], "pair_id string, text string, target string")
+    got = {r.subtok_pos: r.logit for r in LM.masked_token_scores(v, counts, ["pair_id"]).collect()}
+    size = counts.select("w2").distinct().count()
+    lp = lambda c, h: math.log((c + 1) / (h + size))
+    assert abs(got[0] - (lp(2, 2) + lp(1, 2))) < 1e-9     # the old, old man
+    assert abs(got[1] - (lp(1, 2) + lp(1, 1))) < 1e-9     # old man, man sat
+
+
+def test_pair_ids_are_unique(spark):
+    for spec in (FL.fixture_spec().lower(), FL.repeated_spec()):
+        lp = FL.labelled_pairs(spark, SF_SMALL, spec)
+        assert lp.select("pair_id").distinct().count() == lp.count() > 0
+
+
+def test_language_is_a_parameter(spark):
+    """Every row is read unless a language is named."""
+    from stereoscope.operators import mining as MI
+    from stereoscope.sources import tables as TB
+    docs, st = TB.documents(spark, "/root/testdata/sf0.01"), FL.spec_table(spark)
+    assert MI.mine_sentences(MI.split_sentences(docs, lang="en"), st).count() == 2922
+    assert MI.mine_sentences(MI.split_sentences(docs), st).count() == 2927
+
+
+def test_supplied_rewrites_win(spark):
+    from stereoscope.operators import mining as MI
+    st = spec_terms(spark, BiasSpec("s", ("he",), ("she",), ("kind",), ("mean",)))
+    s = spark.createDataFrame([(1, 0, "He said his dog is kind."), (2, 0, "Is she mean.")], "doc_id long, sent_pos int, sentence string")
+    mined = MI.mine_sentences(s, st)
+    alt = lambda **how: {r.doc_id: r.alt_sentence for r in MI.counterfactual_pairs(mined, st, **how).collect()}
+    assert alt() == {1: "she said his dog is kind.", 2: "Is he mean."}
+    assert alt(ref_words={"his": "her", "her": "his"}) == {1: "she said her dog is kind.", 2: "Is he mean."}
+    first = MI.counterfactual_pairs(mined, st).where("doc_id = 1").select("pair_id", F.lit("She said her dog is kind.").alias("alt_sentence"))
+    assert alt(rewrites=first) == {1: "She said her dog is kind.", 2: "Is he mean."}
+
+
+def test_short_groups_are_sampled_whole(spark, monkeypatch):
+    """Where the first cut leaves too few rows, the whole group is ranked: the same sample."""
+    scored = spark.createDataFrame([("s", "m", "x", f"p{i}", i % 2) for i in range(40)], "spec string, model string, att_term string, pair_id string, stereotyped int")
+    key = lambda: sorted(tuple(r) for r in SM.sample_per_attribute(scored, n=3, reps=5, seed=2).select("rep", "pair_id", "draw").collect())
+    want = key()
+    for enough in (0, 0.5, 1000):
+        monkeypatch.setattr(SM, "ENOUGH", enough)
+        assert key() == want
+
+
+def test_checkpoint_folder_must_be_shared(spark, monkeypatch):
+    import pytest
+
+    from stereoscope import session
+    conf = {"spark.master": "spark://host:7077"}
+
+    class Conf:
+        def get(self, k, default=None):
+            return conf.get(k, default)
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            @staticmethod
+            def getCheckpointDir():
+                return None
+    Session.conf = Conf()
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
+
+
+def test_predict_is_made_on_the_worker(spark):
+    from stereoscope.operators import scoring as SC
+    pairs = spark.createDataFrame([("p", "aa bb", "aa", "aa", "bb")], "pair_id string, sentence string, alt_sentence string, grp_term_1 string, grp_term_2 string")
+
+    def make():
+        return lambda texts, targets: [float(len(t)) for t in texts]
+
+    got = {r.variant: r.loss for r in SC.batch_inference_scores(pairs, make_predict=make, model="m").collect()}
+    assert got == {0: 5.0, 1: 2.0}
 
 
 def test_bootstrap_units_are_spec_attributes(spark):
