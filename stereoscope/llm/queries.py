@@ -99,10 +99,27 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP9_SQL = """
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT) AS c FROM range(256) r(i))),
+b AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+c AS (
+  SELECT doc_id, size, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b, tab),
+p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, ((2 * before + size) * 16 // (2 * total))::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot,
+       NULL::INTEGER AS grown_shard FROM s
+"""
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.scored(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_extraction, op4_mixing, op5_token_files, op6_toxicity, op7_quality_rules, op8_bpe,
                                    op9_sharding, op10_quality_classifier)}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op9_sharding": OP9_SQL}
