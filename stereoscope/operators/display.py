@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed
 from stereoscope.functions.text import display_text
-from stereoscope.operators.sampling import ordinal_within, range_bucket
+from stereoscope.operators.sampling import PIECE, ordinal_within, range_bucket
 from stereoscope.sources.specs import bounded
 
 # FIXED VALUES: interpretation sentences of the measured tool, without markup.
@@ -104,16 +104,14 @@ def interpretation(att_scores: DataFrame, model_scores: DataFrame, spec_terms: D
         F.format_string(INTERP_HEAD, F.col("model"), F.col("n_sentences")),
         F.when(small, F.lit(INTERP_SMALL)).otherwise(F.lit("")),
         F.format_string(INTERP_MODEL, percent(F.col("model_bias"))),
-        F.format_string(INTERP_SIDE, F.col("top_att_1"), F.lit(1), F.col("g1"), percent(F.col("top_score_1"))),
-        F.format_string(INTERP_SIDE, F.col("top_att_2"), F.lit(2), F.col("g2"), percent(F.col("top_score_2"))),
+        *[F.when(F.col(f"top_att_{i}").isNotNull(),  # a side without scored attributes says nothing
+                 F.format_string(INTERP_SIDE, F.col(f"top_att_{i}"), F.lit(i), F.col(f"g{i}"), percent(F.col(f"top_score_{i}"))))
+          .otherwise(F.lit("")) for i in (1, 2)],
         F.lit(INTERP_TAIL))
     return j.select("spec", "model", "n_sentences", small.alias("small_sample"), "top_att_1", "top_score_1",
                     "top_att_2", "top_score_2", msg.alias("message"))
 
 
-PIECE = 50_000  # display rows that one task numbers, about
-
-
 def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """Per attribute, 'yes' tiles then 'no' tiles in input order (doc, sentence, pair),
     with tooltip text (E8), side, flip flag and percent = round(score * 100) half-even."""

@@ -57,6 +57,9 @@ def range_bucket(df: DataFrame, col: str, buckets: int = 64) -> Column:
     return b
 
 
+PIECE = 50_000  # rows that one task numbers, about
+
+
 def hex_bucket(hex_col: Column, digits: int = 2) -> Column:
     """Order-preserving bucket of an md5 hex rank: its leading hex digits (16**digits pieces)."""
     return F.substring(hex_col, 1, digits)
@@ -64,10 +67,14 @@ def hex_bucket(hex_col: Column, digits: int = 2) -> Column:
 
 def top_n_by_rank(df: DataFrame, group_cols: list[str], rank_hex: Column, n, out: str = "rank") -> DataFrame:
     """Rows with the ``n`` smallest hex ranks per group, ``n`` a column (per-group targets).
-    Exact and skew-safe: ordinals come from hex buckets plus prefix offsets, and buckets
-    that start at or beyond the target are dropped before any row is numbered."""
+    Exact and skew-safe: ordinals come from hex buckets plus prefix offsets, as many as the largest
+    group needs, and buckets that start at or beyond the target are dropped before any row is numbered."""
+    most = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    digits = 1
+    while 16 ** digits * PIECE < most:
+        digits += 1
     d = df.withColumn("_h", rank_hex).withColumn("_n", n)
-    return (ordinal_within(d, group_cols, ["_h"], hex_bucket(F.col("_h")), out=out, limit_col="_n")
+    return (ordinal_within(d, group_cols, ["_h"], hex_bucket(F.col("_h"), digits), out=out, limit_col="_n")
             .where(F.col(out) <= F.col("_n")).drop("_h", "_n"))
 
 

@@ -337,8 +337,8 @@ SELECT t.spec, t.model, ns.n_sentences, (ns.n_sentences < na.total_att OR ns.n_s
   printf({O.q(DP.INTERP_HEAD)}, t.model, ns.n_sentences)
   || CASE WHEN (ns.n_sentences < na.total_att OR ns.n_sentences < 20) THEN {O.q(DP.INTERP_SMALL)} ELSE '' END
   || printf({O.q(DP.INTERP_MODEL)}, {_pct("ms.model_bias")})
-  || printf({O.q(DP.INTERP_SIDE)}, t.top_att_1, 1, gs.g1, {_pct("t.top_score_1")})
-  || printf({O.q(DP.INTERP_SIDE)}, t.top_att_2, 2, gs.g2, {_pct("t.top_score_2")})
+  || coalesce(printf({O.q(DP.INTERP_SIDE)}, t.top_att_1, 1, gs.g1, {_pct("t.top_score_1")}), '')
+  || coalesce(printf({O.q(DP.INTERP_SIDE)}, t.top_att_2, 2, gs.g2, {_pct("t.top_score_2")}), '')
   || {O.q(DP.INTERP_TAIL)} AS message
 FROM top2 t JOIN ms ON ms.spec = t.spec AND ms.model = t.model JOIN ns ON ns.spec = t.spec
 JOIN gs ON gs.spec = t.spec JOIN na ON na.spec = t.spec"""))
@@ -425,7 +425,7 @@ plan AS (
 
 def _targets(spark, sf_dir):
     st = FL.spec_table(spark)
-    return GN.gen_targets(st, CV.attribute_gaps(_pairs(spark, sf_dir), st))
+    return GN.gen_targets(st, FL.materialize(CV.attribute_gaps(_pairs(spark, sf_dir), st)))
 
 
 @register("gen_targets", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, body="SELECT * FROM targets"))
@@ -475,7 +475,7 @@ REC_COLS = ("spec, pair_id, sentence, alt_sentence, org_grp_term, att_term, temp
 
 @register("generation_record", O.with_ctes(SPEC, *REC_CTES, body=f"SELECT {REC_COLS} FROM records"))
 def q_generation_record(spark, sf_dir):
-    return FL.generation_records(spark, FL.labelled_pairs(spark, sf_dir))
+    return FL.generation_records(spark, FL.labelled_pairs(spark, sf_dir)).drop("doc_id")
 
 
 # ---------------------------------------------------------------- sentence bank
@@ -680,7 +680,8 @@ own AS (
   SELECT 'bigram-lm-masked' AS model, round(avg(s), 4), CAST(sum(n) AS BIGINT)
   FROM (SELECT att_term, avg(stereotyped) AS s, count(*) AS n FROM mscored WHERE testable GROUP BY att_term)
 )""", body="""
-SELECT k.model, k.kind, p.model_bias, p.num_templates FROM kinds k LEFT JOIN own p ON p.model = k.model"""))
+SELECT k.model, k.kind, p.model IS NOT NULL AS scored, coalesce(p.model_bias, 0) AS model_bias, coalesce(p.num_templates, 0) AS num_templates
+FROM kinds k LEFT JOIN own p ON p.model = k.model"""))
 def q_model_kind(spark, sf_dir):
     """The kind of every model offered; scores only for the built-in models, which ran."""
     models = SC.model_kind(spark.createDataFrame([(m,) for m in MODELS], "model string"))
@@ -689,7 +690,9 @@ def q_model_kind(spark, sf_dir):
     causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp))
     masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm, lp=lp))
     own = causal.unionByName(masked).select("model", "model_bias", "num_templates")
-    return models.join(own, "model", "left").select("model", "kind", "model_bias", "num_templates")
+    return models.join(own, "model", "left").select("model", "kind", F.col("num_templates").isNotNull().alias("scored"),
+                                                    F.coalesce("model_bias", F.lit(0.0)).alias("model_bias"),
+                                                    F.coalesce("num_templates", F.lit(0)).cast("long").alias("num_templates"))
 
 
 # ---------------------------------------------------------------- label variants and rejects
@@ -985,6 +988,16 @@ def q_display_text(spark, sf_dir):
                     .alias("display_text"))
 
 
+# ---------------------------------------------------------------- a model trained on other text
+HELD_OUT = [c.replace("FROM documents", "FROM conversations") if "corpus_bi AS" in c else c for c in O.pipeline(SPEC, "scored")]
+
+
+@register("stereotype_score_held_out", O.with_ctes(SPEC, *HELD_OUT, body=ATT_SCORES_SQL))
+def q_stereotype_score_held_out(spark, sf_dir):
+    """The flagship's scores with a language model that has not seen the documents: trained on the conversations."""
+    return M.attribute_scores(FL.scored_pairs(spark, sf_dir, lm=FL.held_out_model(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- repeated terms, reference words, spellings
 REP = FL.repeated_spec()
 

@@ -86,6 +86,11 @@ def language_model(spark: SparkSession, sf_dir: str) -> BigramLM:
     return train(lm_corpus(spark, sf_dir))
 
 
+def held_out_model(spark: SparkSession, sf_dir: str) -> BigramLM:
+    """A model of other text than the documents that are scored: the conversations' sentences."""
+    return train(MI.split_sentences(TB.conversations(spark, sf_dir), id_col="conv_id"))
+
+
 def mined(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
     return MI.mine_sentences(sentences(spark, sf_dir), spec_table(spark, spec))
 
