@@ -99,6 +99,13 @@ def worker_state() -> dict:
     return sys.modules[name].__dict__
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to a few rows each, so that what a task makes of whole texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id hashes as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

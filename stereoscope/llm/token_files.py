@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, worker_state
+from .common import slices, text_or_empty, worker_state
 from .units import UnitCache
 
 ROW_GROUP_BYTES = 32 << 20
@@ -44,7 +44,11 @@ class _Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
-        tokens = self.model.tokenize(text.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet))
+        if text.isascii() and text.strip(" ").isalpha():
+            mapped = text.replace(" ", self.alphabet[32])  # the other bytes stand for themselves
+        else:
+            mapped = text.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
+        tokens = self.model.tokenize(mapped)
         return array("I", [t.id for t in tokens]).tobytes()
 
 
@@ -72,7 +76,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         import numpy as np
 
         cache, start = _encoder(model.value).cache, 0
-        for batch in batches:
+        for batch in slices(batches):
             packed = [cache.text(t) + tail for t in batch.column("text").to_pylist()]
             counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
             ends = np.cumsum(counts)
@@ -113,7 +117,7 @@ def ids_crc32(df: DataFrame, ids_col: str = "ids", out: str = "ids_crc32") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(ids_col)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).view(np.uint8)
             ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))) * 4

@@ -2,26 +2,32 @@
 
 The pattern of these vocabularies starts a new piece at every U+0020 that is followed by a
 non-white-space character, and it never looks back. So a text's ids are the ids of its units, one after
-the other, where a unit reaches from one such blank to just before the next. Characters on which regular
-expression engines disagree count as white space here: then no cut is made, which is always right.
+the other, where a unit reaches from one such blank to just before the next. A line feed with no white
+space beside it is a piece of its own, so it parts units too. Characters on which regular expression
+engines disagree count as white space here: then no cut is made, which is always right.
 """
 
 from __future__ import annotations
 
 import re
 
-BLANK_THEN_SPACE = re.compile(r" (?:\s|\Z)")
+# white space that is not alone between two other characters: then only blanks before words part units
+CROWDED = re.compile(r"\s(?:\s|\Z)|\A\s")
 CUT = re.compile(r"(?= \S)")
-# letters of the Latin blocks, then at most one common mark: pieces that need no general pattern
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]?)")
+# letters of the Latin blocks, then ASCII marks: two pieces that need no general pattern
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 
 
 def units(text: str) -> list[str]:
     """The units of ``text``, in order; joined they are ``text``."""
-    if BLANK_THEN_SPACE.search(text):
+    if CROWDED.search(text):
         return CUT.split(text)
-    parts = text.split(" ")
-    return parts[:1] + [" " + p for p in parts[1:]]
+    out: list[str] = []
+    for line in text.split("\n"):
+        first, *rest = line.split(" ")
+        out += ["\n", first] if out else [first]
+        out += [" " + p for p in rest]
+    return out
 
 
 class UnitCache(dict):
@@ -62,9 +68,12 @@ class UnitCache(dict):
 
     def text(self, text: str) -> bytes:
         """All ids of the text."""
-        if BLANK_THEN_SPACE.search(text):
+        if CROWDED.search(text):
             return b"".join(map(self.__getitem__, CUT.split(text)))
-        first, *rest = text.split(" ")
+        return self["\n"].join(map(self._line, text.split("\n")))
+
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
         return self[first] + b"".join(map(self.blank.__getitem__, rest)) if rest else self[first]
 
 
@@ -81,7 +90,7 @@ class _AfterBlank(dict):
             unit = " " + rest
             plain = PLAIN.fullmatch(unit)
             if plain and plain[2]:
-                ids = self[rest[:-1]] + self.all[plain[2]]
+                ids = self[plain[1][1:]] + self.all[plain[2]]
             elif plain:
                 ids = self.all.encode_piece(unit)
             else:
