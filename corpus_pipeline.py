@@ -33,8 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row of the mix: id, number of tokens, digests of the ids and of the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encoded(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    return queries.digests(bpe.decoded(ids, ranks))
+    return queries.digests(bpe.encoded(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded_out="decoded", keep_text=False))
 
 
 STAGES = [("toxicity", not_toxic), ("exact_dedup", exact_duplicates), ("simhash", near_duplicates), ("mixing", mix), ("bpe", tokens)]

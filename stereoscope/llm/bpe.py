@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh, text_or_empty, worker_state
+from .common import fresh, slices, text_or_empty, worker_state
 from .units import UnitCache
 
 PAIRS_KEPT = 500_000
@@ -120,46 +120,59 @@ def codec(rank_file: bytes, pattern: str) -> ByteBPE:
     return state[key]
 
 
-def _packed(values, offsets) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+def token_bytes(rank_file: bytes) -> dict[int, bytes]:
+    """Decoder: id -> bytes; one per worker process."""
+    state = worker_state()
+    key = ("token bytes", hash(rank_file))
+    if key not in state:
+        state[key] = {int(b): base64.b64decode(a) for a, b in map(bytes.split, rank_file.splitlines()) if a}
+    return state[key]
+
+
+def _ranks(df: DataFrame, rank_path: str):
+    """The rank file, read on the driver (its size does not grow with the data) and sent to the workers."""
+    with open(rank_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encoded(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encoded(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", out: str = "ids", decoded_out: str | None = None,
+            keep_text: bool = True) -> DataFrame:
     """``docs`` plus ``out``: the token ids of the text as array<int>. A null text has none.
 
-    The rank file is read on the driver (its size does not grow with the data) and sent to the workers.
+    ``decoded_out`` names a column for the bytes that the ids decode to, made in the same pass;
+    ``keep_text=False`` leaves the text out.
     """
-    with open(rank_path, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = [c for c in docs.columns if c != out]
+    ranks = _ranks(docs, rank_path)
+    names = [c for c in docs.columns if c not in (out, decoded_out, *([] if keep_text else [text_col]))]
     text = fresh(docs, "_text")
     frame = docs.select(*names, text_or_empty(text_col).alias(text))
     schema = docs.select(*names).schema.add(out, T.ArrayType(T.IntegerType()))
+    schema = schema.add(decoded_out, T.BinaryType()) if decoded_out else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         bpe = codec(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [bpe.cache.text(t) for t in batch.column(text).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)))
-            ids = np.frombuffer(b"".join(packed), dtype="<i4")
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _packed(ids, offsets.astype(np.int32))], names=[*names, out])
+            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            more = [pa.array([bpe.decode(array("I", p)) for p in packed], pa.binary())] if decoded_out else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists, *more], names=[*names, out, *([decoded_out] if decoded_out else [])])
 
     return frame.mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, rank_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` plus ``out``: the bytes that the ids stand for. Null ids give empty bytes."""
-    with open(rank_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
+    ranks = _ranks(df, rank_path)
     names = [c for c in df.columns if c != out]
     schema = df.select(*names).schema.add(out, T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(ranks.value, "")
-        for batch in batches:
-            texts = [bpe.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
+        known = token_bytes(ranks.value)
+        for batch in slices(batches):
+            texts = [b"".join(map(known.__getitem__, ids or ())) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.binary())], names=[*names, out])
 
     return df.select(*names).mapInArrow(run, schema)

@@ -84,8 +84,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encoded(read(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    return digests(bpe.decoded(ids, ranks))
+    return digests(bpe.encoded(read(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded_out="decoded", keep_text=False))
 
 
 def digests(coded: DataFrame) -> DataFrame:
