@@ -17,10 +17,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, text_or_empty
+from .common import fresh, slices, text_or_empty
 
 WINDOW = 3  # lines
 SURGE = 120  # characters in a window, for pages that mark no article
@@ -183,7 +182,7 @@ def extracted(pages: DataFrame, html_col: str = "html", out: str = "text") -> Da
     schema = pages.select(*names).schema.add(out, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p) for p in batch.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, out])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, staged, text_or_empty, worker_state
+from .common import fold, slices, staged, text_or_empty, worker_state
 from .text_stats import training_labels
 
 TRAINING_ROWS = 100_000  # labelled rows that the fit reads at most
@@ -107,7 +107,7 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
     much-copied document says is no evidence by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words = [folded_words(t) for t in batch.column("_text").to_pylist()]
             context = pa.array([_context(w) if w else 0 for w in words], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), context, pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))],
@@ -150,7 +150,7 @@ def learn_exceptions(train: DataFrame, lexicon: Lexicon) -> list[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = lexicon.automaton()
-        for batch in batches:
+        for batch in slices(batches):
             ys, phrases = [], []
             for text, y in zip(batch.column("_text").to_pylist(), batch.column("y").to_pylist()):
                 words = folded_words(text)
@@ -180,7 +180,7 @@ def weighed(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _automaton(lexicon, key)
-        for batch in batches:
+        for batch in slices(batches):
             words = (folded_words(t) for t in batch.column("_text").to_pylist())
             got = [(math.fsum(w for w, _ in hits(found, ws).values()), len(ws)) for ws in words]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())],

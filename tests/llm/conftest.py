@@ -1,5 +1,3 @@
-import os
-
 import pytest
 from pyspark.sql import types as T
 
