@@ -4,8 +4,8 @@ Markup is stripped so that every block of the page that has text becomes a line.
 not main text (menus, notices, adverts, forms, comments, ...) leave blank lines. Over the lines a window
 sums the lengths of their text outside links. The text surges where a window's sum rises above a bound
 from a line that has text, and dives where it falls to nothing; lines from a surge up to the next dive
-are kept. Where a page marks its article, lines outside it weigh nothing and any text in it is a surge;
-elsewhere the bound is ``SURGE`` characters, or the largest sum of the page if that is lower.
+are kept. Where articles, or else main elements, outside those parts hold most of the page's text outside
+links, lines outside them weigh nothing and any text in them is a surge; elsewhere the bound is ``SURGE`` characters, or the largest sum of the page if that is lower.
 """
 
 from __future__ import annotations
@@ -93,22 +93,21 @@ def _ends(tags: list) -> dict[int, int]:
     return ends
 
 
-def _lines(page: str) -> tuple[list[list], bool]:
-    """Lines [text, characters outside links, in an article], and whether the page marks an article."""
+def _lines(page: str) -> list[list]:
+    """Lines [text, characters outside links, in an article, in a main]."""
     tags = _tags(page)
     ends = _ends(tags)
-    marked = {i for i, t in enumerate(tags) if t[2] in ("article", "main") and not t[3]}
     blocks = [i for i, t in enumerate(tags) if t[2] in BLOCK]
     roots = [i for i, t in enumerate(tags) if t[2] in ("article", "main", "body")]
-    use = "article" if any(tags[i][2] == "article" for i in marked) else "main"
     lines: list[list] = []
     parts: list[str] = []
-    weight = link = inside = at = i = 0
+    weight = link = at = i = 0
+    inside = {"article": 0, "main": 0}
 
     def line() -> None:
         nonlocal weight
         if text := " ".join("".join(parts).split()):
-            lines.append([text, weight, inside > 0])
+            lines.append([text, weight, inside["article"] > 0, inside["main"] > 0])
         parts.clear()
         weight = 0
 
@@ -125,7 +124,7 @@ def _lines(page: str) -> tuple[list[list], bool]:
         if start > at:
             add(page[at:start])
         at = end
-        if not closes and name and name not in VOID and _no_main_text(name, attributes, inside > 0):
+        if not closes and name and name not in VOID and _no_main_text(name, attributes, inside["article"] > 0):
             stop = ends.get(i)
             if stop is None:  # never closed: raw text reaches to the end, a list item or paragraph to the next block, the rest to the article
                 ahead = blocks if name in ("p", "li", "dd", "dt") else roots
@@ -136,7 +135,7 @@ def _lines(page: str) -> tuple[list[list], bool]:
                 at, i = tags[stop][1], stop + 1
             if name in BLOCK or name in RAW:
                 line()
-                lines.extend([["", 0, False] for _ in range(WINDOW)])
+                lines.extend([["", 0, False, False] for _ in range(WINDOW)])
             continue
         if name in BLOCK:
             line()
@@ -144,24 +143,31 @@ def _lines(page: str) -> tuple[list[list], bool]:
             parts.append(" ")
         elif name == "a":
             link = 0 if closes else 1
-        if name == use:
-            inside = max(0, inside + (-1 if closes else 1))
+        if name in inside:
+            inside[name] = max(0, inside[name] + (-1 if closes else 1))
         i += 1
     if at < len(page):
         add(page[at:])
     line()
-    return lines, bool(marked)
+    return lines
+
+
+def _marked(lines: list[list]) -> int:
+    """Which mark of the lines tells the main text (2 article, 3 main): the first that is set on most of the
+    text outside links that no skipped part holds. 0: none."""
+    whole = sum(x[1] for x in lines)
+    return next((k for k in (2, 3) if any(x[k] for x in lines) and 2 * sum(x[1] for x in lines if x[k]) >= whole), 0)
 
 
 def main_text(page: str) -> str:
     """The kept lines joined by one newline; white space inside a line is one space."""
-    lines, marked = _lines(page)
-    weights = [w if not marked or inside else 0 for _, w, inside in lines]
-    texts = [len(t) if inside else 0 for t, _, inside in lines] if marked else weights
+    lines = _lines(page)
+    marked = _marked(lines)
+    texts = [len(x[0]) if x[marked] else 0 for x in lines] if marked else [x[1] for x in lines]
     sums = [sum(texts[i : i + WINDOW]) for i in range(len(lines))]
     bound = 0 if marked else min(SURGE, max(sums, default=0) - 1)
     kept, on = [], False
-    for (text, _, _), here, ahead in zip(lines, texts, sums):
+    for (text, *_), here, ahead in zip(lines, texts, sums):
         if not on and here and ahead > bound:  # surge
             on = True
         elif on and not ahead:  # dive

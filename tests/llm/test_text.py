@@ -159,6 +159,16 @@ def test_pages_without_an_article():
     assert main_text("<p>only short</p>") == "only short"
 
 
+def test_articles_that_are_not_the_main_text():
+    teaser = "<article><h3>Other</h3><p>Short teaser.</p></article>"
+    assert main_text(f"<main><h1>T</h1><p>{LONG}</p></main><aside>{teaser}</aside>") == f"T\n{LONG}"
+    assert main_text(f"<main><h1>T</h1><p>{LONG}</p></main><div>{teaser}</div>") == f"T\n{LONG}"
+    assert main_text(f"<div class=post><p>{LONG}</p></div><section class=comments>{teaser}</section>") == LONG
+    assert LONG in main_text(f"<div class=post><p>{LONG}</p></div><div>{teaser}{teaser}</div>")
+    assert main_text(f"<div class=post><p>{LONG}</p></div><main></main><article></article>") == LONG
+    assert main_text(f"<main>x<article><p>{LONG}</p></article><article>b</article></main>") == f"{LONG}\nb"
+
+
 def test_odd_pages(spark):
     for page in ["", " ", "<", "<p", "<!--", "<script>x", "</p>", "<p>" * 5000, "<nav>" * 5000, "<a b='", "&#xD800;&#0;", "<article>", "<article></article>"]:
         main_text(page)
