@@ -39,25 +39,55 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "colophon", "comment", "comments", "commentlist", "reply", "replies", "respond",
          "discussion", "disqus", "related", "recommended", "share", "sharing", "social", "widget", "pagination", "pager", "toolbar", "skip", "search", "login", "complementary",
          "contentinfo", "hidden"}
+# of these the first word of a token says so too ("ad-leaderboard"); of the others only its head ("share-price" is text)
+FIRST = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored", "cookie", "cookies", "gdpr", "newsletter", "paywall",
+         "sidebar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "masthead", "footer", "comment", "comments", "commentlist", "disqus", "related", "recommended",
+         "widget", "pagination"}
+# parts that readers, other pages or advertisers write: they may hold most of a page's text and still be none of its main text
+OTHERS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored", "cookie", "cookies", "gdpr",
+          "comment", "comments", "commentlist", "reply", "replies", "respond", "discussion", "disqus", "related", "recommended"}
+# a token with one of these tells what the element has or does, not what it is
+NEGATING = {"no", "not", "non", "has", "have", "with", "without", "hide", "show", "overflow"}
+STATES = {"open", "opened", "close", "closed", "enabled", "disabled", "on", "off", "active", "inactive", "visible", "allowed", "none", "free", "loaded", "ready"}
+# words after the head of a token
+PLACES = {"area", "container", "wrapper", "wrap", "box", "block", "blocks", "bar", "list", "links", "link", "icons", "icon", "buttons", "button", "inner", "outer", "section",
+          "item", "items", "content", "body", "posts", "articles", "stories", "slot", "unit", "top", "bottom", "left", "right", "primary", "secondary", "form", "title", "this",
+          "group", "holder", "panel", "row", "col", "column", "module", "text", "us", "image", "img", "message", "thread", "region", "main", "toggle"}
 NAMES = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _no_main_text(name: str, attributes: str, in_article: bool) -> bool:
+def _says(token: str) -> str:
+    """The word by which a class, id, role or label says that its element is no main text, or none."""
+    words = NAMES.findall(CAMEL.sub(" ", token).lower())
+    if "".join(words) in WORDS:
+        return "".join(words)
+    if not words or not NEGATING.isdisjoint(words) or words[-1] in STATES:
+        return ""
+    if words[0] in FIRST:
+        return words[0]
+    while len(words) > 1 and words[-1] in PLACES:
+        words.pop()
+    return words[-1] if words[-1] in WORDS else ""
+
+
+def _skip(name: str, attributes: str) -> str:
+    """Whether an element is no main text: "" nothing says so; "large": unless it holds most of the page's text
+    and articles elsewhere hold little; "others": unless it holds all but a few words of it; "always"."""
     if name in NEVER:
-        return True
-    if name == "article" and in_article:  # a teaser or a comment inside the article
-        return True
+        return "large" if name == "form" else "always"
     if name in ROOTS or not attributes.strip(" /\t\r\n"):
-        return False
+        return ""
     said = {}
     for m in ATTRIBUTE.finditer(attributes):
         said.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in said or said.get("aria-hidden", "").lower() == "true" or "display:none" in said.get("style", "").replace(" ", "").lower():
-        return True
-    marks = " ".join(said.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop", "data-role"))
-    marks = re.sub(r"([a-z])([A-Z])", r"\1 \2", marks).lower()
-    found = set(NAMES.findall(marks))
-    return bool(found & (WORDS - {"header", "banner"} if name == "article" else WORDS))
+        return "always"
+    tokens = [t for k in ("class", "id", "role", "itemprop", "data-role") for t in said.get(k, "").split()]
+    found = {_says(t) for t in (*tokens, said.get("aria-label", ""))} - {""}
+    if name == "article":
+        found -= {"header", "banner"}
+    return "" if not found else "others" if not found.isdisjoint(OTHERS) else "large"
 
 
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
@@ -93,12 +123,71 @@ def _ends(tags: list) -> dict[int, int]:
     return ends
 
 
+def _past(i: int, page: str, tags: list, ends: dict[int, int], blocks: list[int], roots: list[int]) -> tuple[int, int]:
+    """The tag and the place to go on with when the element opened at tag ``i`` is skipped. One that is never
+    closed: raw text reaches to the end, a list item or paragraph to the next block, the rest to the article."""
+    if i in ends:
+        return ends[i] + 1, tags[ends[i]][1]
+    ahead = blocks if tags[i][2] in ("p", "li", "dd", "dt") else roots
+    k = len(ahead) if tags[i][2] in RAW else bisect_right(ahead, i)
+    return (ahead[k], tags[ahead[k]][0]) if k < len(ahead) else (len(tags), len(page))
+
+
+def _sums(page: str, tags: list, past, skip: dict[int, str]) -> tuple[list[int], list[int]]:
+    """Characters outside links before each tag and before the page's end, without what is skipped always:
+    all of them, and those in articles."""
+    sums, in_articles = [0] * (len(tags) + 1), [0] * (len(tags) + 1)
+    whole = marked = link = articles = at = i = 0
+
+    def add(to: int) -> None:
+        nonlocal whole, marked
+        if to > at and not link:
+            n = len(page[at:to].strip())
+            whole += n
+            marked += n if articles else 0
+
+    while i < len(tags):
+        start, end, name, closes, _ = tags[i]
+        add(start)
+        sums[i], in_articles[i], at = whole, marked, end
+        if skip.get(i) == "always":
+            ahead, at = past(i)
+            for k in range(i + 1, ahead):
+                sums[k], in_articles[k] = whole, marked
+            i = ahead
+            continue
+        if name == "a":
+            link = 0 if closes else 1
+        elif name == "article":
+            articles = max(0, articles + (-1 if closes else 1))
+        i += 1
+    add(len(page))
+    sums[-1], in_articles[-1] = whole, marked
+    return sums, in_articles
+
+
 def _lines(page: str) -> list[list]:
     """Lines [text, characters outside links, in an article, in a main]."""
     tags = _tags(page)
     ends = _ends(tags)
     blocks = [i for i, t in enumerate(tags) if t[2] in BLOCK]
     roots = [i for i, t in enumerate(tags) if t[2] in ("article", "main", "body")]
+    past = lambda i: _past(i, page, tags, ends, blocks, roots)
+    skip = {i: how for i, (_, _, name, closes, attributes) in enumerate(tags) if not closes and name and name not in VOID and (how := _skip(name, attributes))}
+    sums, in_articles = _sums(page, tags, past, skip)
+
+    def skipped(i: int) -> bool:
+        how = skip.get(i, "")
+        if not how and inside["article"] and tags[i][2] == "article" and not tags[i][3]:  # a teaser or a comment inside the article
+            how = "large"
+        if how in ("", "always"):
+            return how == "always"
+        to = past(i)[0]
+        mine, others = sums[to] - sums[i], in_articles[-1] - in_articles[to] + in_articles[i]
+        if how == "others":
+            return 2 * mine <= sums[-1] or others > 0 or sums[-1] - mine >= SURGE
+        return 2 * mine <= sums[-1] or not inside["article"] and 4 * others >= mine
+
     lines: list[list] = []
     parts: list[str] = []
     weight = link = at = i = 0
@@ -124,15 +213,8 @@ def _lines(page: str) -> list[list]:
         if start > at:
             add(page[at:start])
         at = end
-        if not closes and name and name not in VOID and _no_main_text(name, attributes, inside["article"] > 0):
-            stop = ends.get(i)
-            if stop is None:  # never closed: raw text reaches to the end, a list item or paragraph to the next block, the rest to the article
-                ahead = blocks if name in ("p", "li", "dd", "dt") else roots
-                k = len(ahead) if name in RAW else bisect_right(ahead, i)
-                i = ahead[k] if k < len(ahead) else len(tags)
-                at = tags[i][0] if i < len(tags) else len(page)
-            else:
-                at, i = tags[stop][1], stop + 1
+        if skipped(i):
+            i, at = past(i)
             if name in BLOCK or name in RAW:
                 line()
                 lines.extend([["", 0, False, False] for _ in range(WINDOW)])

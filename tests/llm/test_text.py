@@ -169,6 +169,18 @@ def test_articles_that_are_not_the_main_text():
     assert main_text(f"<main>x<article><p>{LONG}</p></article><article>b</article></main>") == f"{LONG}\nb"
 
 
+def test_names_that_only_mention_other_parts():
+    for mark in ("class='content no-sidebar'", "class='post has-comments'", "class='post comments-open'", "class='share-enabled'", "class='post share-price'", "id=withSidebar",
+                 "class='overflow-hidden'", "class='main header'", "aria-label='Social security today'"):
+        for tag in ("div", "section", "article"):
+            assert main_text(f"<body><nav>x</nav><{tag} {mark}><h1>T</h1><p>{LONG}</p></{tag}><footer>f</footer></body>") == f"T\n{LONG}", (tag, mark)
+    assert main_text(f"<form id=aspnetForm><p>{LONG}</p><form class=search>x</form></form>").startswith(LONG)
+    short, said = f"<p>{LONG[:60]}</p>", LONG[:60]
+    for mark in ("comments", "comments-area", "comment-list", "related-posts", "ad-container", "cookie-bar", "sidebarRight", "main-menu"):
+        assert main_text(f"<article>{short}<div class='{mark}'>x</div></article><div class='{mark}'><p>{LONG}</p></div>") == said, mark
+    assert main_text(f"<h1>T</h1><div class=discussion><p>{LONG}</p></div>") == f"T\n{LONG}"
+
+
 def test_odd_pages(spark):
     for page in ["", " ", "<", "<p", "<!--", "<script>x", "</p>", "<p>" * 5000, "<nav>" * 5000, "<a b='", "&#xD800;&#0;", "<article>", "<article></article>"]:
         main_text(page)
