@@ -5,7 +5,9 @@ not main text (menus, notices, adverts, forms, comments, ...) leave blank lines.
 sums the lengths of their text outside links. The text surges where a window's sum rises above a bound
 from a line that has text, and dives where it falls to nothing; lines from a surge up to the next dive
 are kept. Where articles, or else main elements, outside those parts hold most of the page's text outside
-links, lines outside them weigh nothing and any text in them is a surge; elsewhere the bound is ``SURGE`` characters, or the largest sum of the page if that is lower.
+links, lines outside them weigh nothing and any text in them is a surge; elsewhere the bound is ``SURGE`` characters, or the largest sum of the page if that is lower,
+and a container with kept text keeps its shorter lines before and after that text too: a skipped part
+inside it is no gap.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +36,7 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p",
          "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
 ROOTS = {"html", "body", "main"}
+HOLDERS = {"html", "body", "main", "article", "div", "td", "th", "center", "blockquote"}  # containers of lines; other blocks, and holders without blocks, are lines of their holder
 # words in an element's class, id, role or label that mark it as no main text
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
          "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "paywall", "sidebar", "menu", "nav", "navbar",
@@ -166,10 +170,18 @@ def _sums(page: str, tags: list, past, skip: dict[int, str]) -> tuple[list[int],
     return sums, in_articles
 
 
+def _next(places: list[int], i: int) -> int:
+    """The first of the ascending ``places`` after ``i``; -1: none."""
+    k = bisect_right(places, i)
+    return places[k] if k < len(places) else -1
+
+
 def _lines(page: str) -> list[list]:
-    """Lines [text, characters outside links, in an article, in a main]."""
+    """Lines [text, characters outside links, in an article, in a main, tag of the container]."""
     tags = _tags(page)
     ends = _ends(tags)
+    opener = {b: a for a, b in ends.items()}
+    held, open_ = [-1], {-1}
     blocks = [i for i, t in enumerate(tags) if t[2] in BLOCK]
     roots = [i for i, t in enumerate(tags) if t[2] in ("article", "main", "body")]
     past = lambda i: _past(i, page, tags, ends, blocks, roots)
@@ -196,7 +208,7 @@ def _lines(page: str) -> list[list]:
     def line() -> None:
         nonlocal weight
         if text := " ".join("".join(parts).split()):
-            lines.append([text, weight, inside["article"] > 0, inside["main"] > 0])
+            lines.append([text, weight, inside["article"] > 0, inside["main"] > 0, held[-1]])
         parts.clear()
         weight = 0
 
@@ -217,7 +229,7 @@ def _lines(page: str) -> list[list]:
             i, at = past(i)
             if name in BLOCK or name in RAW:
                 line()
-                lines.extend([["", 0, False, False] for _ in range(WINDOW)])
+                lines.extend([["", 0, False, False, held[-1]] for _ in range(WINDOW)])
             continue
         if name in BLOCK:
             line()
@@ -225,6 +237,13 @@ def _lines(page: str) -> list[list]:
             parts.append(" ")
         elif name == "a":
             link = 0 if closes else 1
+        if name in HOLDERS:
+            if closes and opener.get(i) in open_:
+                while opener[i] in open_:
+                    open_.discard(held.pop())
+            elif not closes and i in ends and _next(blocks, i) != ends[i]:
+                held.append(i)
+                open_.add(i)
         if name in inside:
             inside[name] = max(0, inside[name] + (-1 if closes else 1))
         i += 1
@@ -241,6 +260,36 @@ def _marked(lines: list[list]) -> int:
     return next((k for k in (2, 3) if any(x[k] for x in lines) and 2 * sum(x[1] for x in lines if x[k]) >= whole), 0)
 
 
+def _joined(lines: list[list], on: list[bool], bound: int) -> None:
+    """Carry kept lines on, in place: a container whose kept lines weigh more than ``bound`` also keeps its
+    lines outside links before and after them, and what stands between, up to ``WINDOW`` lines in a row
+    of links alone. Skipped parts between them are no gap."""
+    kept: dict[int, int] = {}
+    for x, keep in zip(lines, on):
+        if keep:
+            kept[x[4]] = kept.get(x[4], 0) + x[1]
+    linked = [0]  # rows of WINDOW lines of links that end before each line
+    row = 0
+    for x in lines:
+        row = 0 if x[1] else row + bool(x[0])
+        linked.append(linked[-1] + (row >= WINDOW))
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(lines):
+        if x[1] and kept.get(x[4], 0) > bound:
+            places.setdefault(x[4], []).append(k)
+    spans = [0] * (len(lines) + 1)
+    for mine in places.values():
+        first = 0
+        for k, at in enumerate(mine):
+            if k + 1 == len(mine) or linked[mine[k + 1]] > linked[at]:
+                if any(on[p] for p in mine[first : k + 1]):
+                    spans[mine[first]] += 1
+                    spans[at + 1] -= 1
+                first = k + 1
+    for k, depth in enumerate(accumulate(spans[:-1])):
+        on[k] = on[k] or depth > 0
+
+
 def main_text(page: str) -> str:
     """The kept lines joined by one newline; white space inside a line is one space."""
     lines = _lines(page)
@@ -249,14 +298,15 @@ def main_text(page: str) -> str:
     sums = [sum(texts[i : i + WINDOW]) for i in range(len(lines))]
     bound = 0 if marked else min(SURGE, max(sums, default=0) - 1)
     kept, on = [], False
-    for (text, *_), here, ahead in zip(lines, texts, sums):
+    for here, ahead in zip(texts, sums):
         if not on and here and ahead > bound:  # surge
             on = True
         elif on and not ahead:  # dive
             on = False
-        if on and text and (here or not marked):
-            kept.append(text)
-    return "\n".join(kept)
+        kept.append(on)
+    if not marked:
+        _joined(lines, kept, bound)
+    return "\n".join(x[0] for x, here, keep in zip(lines, texts, kept) if keep and x[0] and (here or not marked))
 
 
 def extracted(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -181,6 +181,19 @@ def test_names_that_only_mention_other_parts():
     assert main_text(f"<h1>T</h1><div class=discussion><p>{LONG}</p></div>") == f"T\n{LONG}"
 
 
+def test_short_lines_beside_the_text_stay():
+    ad, lines = "<div class=ad>x</div>", lambda *ls: "".join(f"<p>{t}</p>" for t in ls)
+    want = ["Title", LONG, LONG, "Short close.", "The end."]
+    for cut in (ad, ad * 4, "<form>x</form>", "<script>x</script>" + ad):
+        for tag in ("div", "body"):
+            assert main_text(f"<header>s</header><{tag}><h1>Title</h1>{lines(LONG, LONG)}{cut}{lines('Short close.', 'The end.')}</{tag}><footer>f</footer>").split("\n") == want, cut
+    opening = ["Title", "By me.", "One.", "Two.", "Three.", LONG, "End."]
+    assert main_text(f"<div>Site</div><nav>x</nav><div><h1>Title</h1>{lines('By me.', 'One.')}{ad}<div>Two.</div>{lines('Three.', LONG)}{ad}<section><p>End.</p></section></div>").split("\n") == opening
+    menu = "<p><a>a</a></p>" * 3
+    assert main_text(f"<div>{menu}<p>x</p>{menu}{lines('One.', LONG, 'End.')}{menu}<p>Imprint</p></div>").split("\n") == ["One.", LONG, "End."]
+    assert main_text(f"<div><p>{LONG}</p></div>{ad}<div><p>Other</p><p>box</p></div>") == LONG
+
+
 def test_odd_pages(spark):
     for page in ["", " ", "<", "<p", "<!--", "<script>x", "</p>", "<p>" * 5000, "<nav>" * 5000, "<a b='", "&#xD800;&#0;", "<article>", "<article></article>"]:
         main_text(page)
