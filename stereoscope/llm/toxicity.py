@@ -26,7 +26,7 @@ from .text_stats import training_labels
 TRAINING_ROWS = 100_000  # labelled rows that the fit reads at most
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may become entries
 MOST_ENTRIES = 20_000  # of the lexicon, and of the exception phrases: those found most often
-LEAST_DOCS, LEAST_SHARE, LEAST_PRECISION, CHANCE = 5, 0.004, 0.9, 1e-8
+LEAST_DOCS, LEAST_PRECISION, CHANCE = 5, 0.9, 1e-8
 
 # fixed values: letters that look like Latin ones, and digits that stand for letters ("l" and "1" join "i")
 HOMOGLYPHS = {
@@ -122,13 +122,24 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
     forms = F.array_compact(F.array(F.concat(F.lit(" "), "word", F.lit(" ")), *[F.when(F.length("word") >= k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in STEMS]))
     entries = words.select(F.explode(forms).alias("entry"), "toxic", "clean").groupBy("entry").agg(*counts())
     # so often in toxic documents alone that, at their share of all, no word of a million does so by chance
-    chance = math.log(CHANCE) / math.log(max(toxic, 1) / max(toxic + clean, 2)) if toxic and clean else 0
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic, chance)
+    share = toxic / max(toxic + clean, 1)
+    least = max(LEAST_DOCS, math.log(CHANCE) / math.log(share) if toxic and clean else 0)
     top = entries.filter((F.col("toxic") >= least) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
     found = {r["entry"]: (r["toxic"], r["clean"]) for r in top.orderBy(F.desc("toxic"), "entry").limit(MOST_ENTRIES).collect()}
+    found = {e: c for e, c in found.items() if _beyond_chance(*c, share)}
     return {e: math.log((found[e][0] + 0.5) / (toxic + 1)) - math.log((found[e][1] + 0.5) / (clean + 1)) for e in _needed(found)}
 
 
+def _beyond_chance(toxic: int, clean: int, share: float) -> bool:
+    """Whether an entry's own counts are less likely than ``CHANCE`` where ``share`` of all documents are toxic,
+    by their likelihood ratio. How many documents there are does not matter."""
+    if not 0 < share < 1:
+        return True
+    n = toxic + clean
+    ratio = (toxic * math.log(toxic / n / share) if toxic else 0) + (clean * math.log(clean / n / (1 - share)) if clean else 0)
+    return toxic > n * share and -ratio <= math.log(CHANCE)
+
+
 def _needed(found: dict[str, tuple[int, int]]) -> list[str]:
     """Entries without those that a longer one replaces at no loss, or a shorter one covers."""
     longer: dict[str, int] = {}

@@ -114,6 +114,16 @@ def test_toxicity_on_held_out_rows(spark, larger):
     assert (en.predicted == 1).mean() > 0.85
 
 
+def test_entries_are_judged_by_their_own_counts(spark):
+    """12 of 4,000 toxic documents share a word that no other has: 0.3%, and no chance."""
+    rows = spark.range(8000).selectExpr("id as _id", "concat('w', id, ' x', id, ' y', id, if(id < 12, ' zopenco', if(id < 4000, ' idiot', ''))) as _text", "int(id < 4000) as y")
+    assert {e.strip()[:4] for e in toxicity.learn_entries(rows)} == {"idio"}  # 2^-12 at a share of a half
+    more = rows.unionByName(spark.range(8000, 40000).selectExpr("id as _id", "concat('w', id, ' x', id, ' y', id) as _text", "0 as y"))
+    assert {e.strip()[:4] for e in toxicity.learn_entries(more)} == {"zope", "idio"}
+    assert toxicity._beyond_chance(10, 0, 0.11) and toxicity._beyond_chance(60, 5, 0.11)
+    assert not toxicity._beyond_chance(8, 0, 0.11) and not toxicity._beyond_chance(9, 1, 0.11)
+
+
 def test_toxicity_folds_and_spares(spark, labels):
     assert toxicity.folded_words("1d1оt MОRON!! mоron's d$g $cum «ｉｄｉｏｔ» i​diot") == toxicity.folded_words("idiot moron moron s dsg scum idiot idiot")
     lex = toxicity.Lexicon({" idiot ": 5.0, " moro": 3.0}, [" not idiot "])
