@@ -229,7 +229,7 @@ def calibrate(rows: DataFrame) -> tuple[float, float, float]:
         wrong = [k for k in (1, 2) if use[k] and beta[k] < 0]  # more matches never lower a score
         if not wrong:
             return tuple(float(v) for v in beta)
-        use[min(wrong, key=lambda k: beta[k])] = False
+        use[1 if use[1] else 2] = False  # the score stays normalised by length
 
 
 def _scored(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str, id_col: str, text_col: str, exceptions: tuple[str, ...],

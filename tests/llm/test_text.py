@@ -124,6 +124,13 @@ def test_entries_are_judged_by_their_own_counts(spark):
     assert not toxicity._beyond_chance(8, 0, 0.11) and not toxicity._beyond_chance(9, 1, 0.11)
 
 
+def test_scores_stay_normalised_by_length(spark):
+    """Toxic texts are long here and say much, but less by length."""
+    rows = [(4.0, 10, 0)] * 40 + [(5.0, 20, 0)] * 40 + [(40.0, 2000, 1)] * 40 + [(60.0, 1000, 1)] * 40 + [(0.0, 30, 0)] * 200
+    base, by_weight, by_length = toxicity.calibrate(spark.createDataFrame(rows, "weight double, n_words long, y int"))
+    assert by_weight == 0 and by_length > 0
+
+
 def test_toxicity_folds_and_spares(spark, labels):
     assert toxicity.folded_words("1d1оt MОRON!! mоron's d$g $cum «ｉｄｉｏｔ» i​diot") == toxicity.folded_words("idiot moron moron s dsg scum idiot idiot")
     lex = toxicity.Lexicon({" idiot ": 5.0, " moro": 3.0}, [" not idiot "])
