@@ -131,6 +131,16 @@ def test_scores_stay_normalised_by_length(spark):
     assert by_weight == 0 and by_length > 0
 
 
+def test_toxicity_recall_by_language(spark):
+    """Held-out rows of the whole table. Spanish has the fewest labels; its floor is what 12 rows show."""
+    docs, labels = spark.read.parquet(f"{SF1}/documents.parquet"), spark.read.parquet(f"{SF1}/labels.parquet")
+    out = toxicity.scored(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    assert ((out.toxic == 0) & (out.predicted == 1)).sum() <= 2
+    recall = (out[out.toxic == 1].groupby("lang").predicted.mean()).to_dict()
+    assert set(recall) == {"de", "en", "es", "fr"}
+    assert min(recall["de"], recall["en"], recall["fr"]) > 0.85 and recall["es"] > 0.3
+
+
 def test_toxicity_folds_and_spares(spark, labels):
     assert toxicity.folded_words("1d1оt MОRON!! mоron's d$g $cum «ｉｄｉｏｔ» i​diot") == toxicity.folded_words("idiot moron moron s dsg scum idiot idiot")
     lex = toxicity.Lexicon({" idiot ": 5.0, " moro": 3.0}, [" not idiot "])
