@@ -63,8 +63,8 @@ def _encoder(model: bytes) -> _Encoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts (null: empty), append ``end_id`` to each, write the files under ``path``.
 
-    Rows are range-partitioned by id: one shuffle of the texts, and no partition depends on a key's
-    frequency but for equal ids (rows repeated with the same id stay together, in any order; null ids come first).
+    Rows are range-partitioned by id and a hash of the text: one shuffle of the texts, and no partition depends
+    on a key's frequency but for equal rows (null ids come first, and an id's rows follow each other by hash).
     The tokenizer file is read on the driver (its size does not grow with the data) and sent to workers.
     An empty table gives no rows.
     """
@@ -87,7 +87,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             start += int(ends[-1]) if len(ends) else 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    order = ["doc_id", "_hash"]
+    ordered = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash").withColumn("part", F.spark_partition_id())
     (ordered.mapInArrow(run, ROW).write
      .option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.writer.version", "PARQUET_2_0")
      .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")

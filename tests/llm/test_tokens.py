@@ -112,3 +112,19 @@ def test_files(spark, small, odd, none):
     assert any("DICTIONARY" in e for e in ids.encodings)
     assert "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
     assert columns["n_tokens"].has_offset_index and columns["n_tokens"].has_column_index
+
+
+def test_rows_of_one_id_go_to_many_files(spark):
+    rows = spark.range(4000).selectExpr("if(id < 3000, if(id < 1500, null, 7), id) as doc_id", "concat('text ', id) as text")
+    path, name = work_dir(spark, "test-hot"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        token_files.write_tokens(rows, path, MODEL, None)
+    finally:
+        spark.conf.unset(name)
+    got = token_files.read_tokens(spark, path).orderBy("start").collect()
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert len(ids) == 4000 and ids == sorted(ids)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+    per_file = spark.read.parquet(path).groupBy("part").count().toPandas()["count"]
+    assert per_file.max() < 1000
