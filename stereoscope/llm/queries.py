@@ -7,8 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_blocks, mixing, quality_qda, quality_rules, sharding, simhash, token_files, toxicity
-from .common import read, work_dir
+from . import bpe, edits, exact_dedup, filter_audit, html_blocks, iblt, mixing, periodic_runs, quality_qda, quality_rules, sharding, simhash, token_files, toxicity
+from .common import n_words, read, text_or_empty, work_dir
+from .text_stats import words_of
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -119,6 +120,74 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.scored(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("text")
+    words = F.element_at(F.transform(F.array(words_of(text)), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"))), 1)
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("words", words)
+    conditions = {"A": F.col("words.n") < 200, "B": 100 * F.col("words.distinct") < 50 * F.col("words.n"),
+                  "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.char_length(text), "D": text.rlike("[#$%&*|]")}
+    return filter_audit.audit(docs, read(spark, sf_dir, "labels"), conditions, repeats="E")
+
+
+OP11_SQL = r"""
+WITH l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+d AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(first < t.doc_id, false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+m AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END,
+                      CASE WHEN e THEN 'E' ELSE '' END) AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT concat(f1.f, f2.f, f3.f, f4.f, f5.f) AS filter_order FROM f f1, f f2, f f3, f f4, f f5
+  WHERE len(list_distinct([f1.f, f2.f, f3.f, f4.f, f5.f])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier FROM o, range(1, 6) r(step)),
+g AS (
+  SELECT *, contains(fails, f) AS failing, earlier <> '' AND translate(fails, earlier, '') <> fails AS gone FROM s, m),
+r AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN failing AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN failing AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM g GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+"""
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ["k1", "k2"]
+    docs = iblt.bucketed(edits.versions(read(spark, sf_dir, "documents", "doc_id", "text")), key, "versions")
+    found = iblt.differences(docs, key, "own", {"near_edited": "edited", "near_next": "next"}, listed=False)
+    near = found.groupBy(*key).agg(*[F.max(F.when(F.col("pair") == p, F.col("n_found"))).alias(p) for p in ("near_edited", "near_next")])
+    texts = iblt.fingerprint(docs, key, {"fingerprint": "own", "edited_fingerprint": "edited"})
+    like = lambda p, other: iblt.likeness(F.col(p), F.col("own"), F.col(other)).alias(p)
+    return docs.join(texts, key).join(near, key).select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                                                        like("near_edited", "edited"), like("near_next", "next"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, words, n = F.floor(h / 10), words_of(text_or_empty("text")), n_words(F.col("text"))
+    # the contract's planted repeats: words from a on go round a period p
+    planted = d.select("doc_id", "text", (h % 10 == 0).alias("_some"), g.alias("_g")).withColumn("_n", F.when(F.col("_some"), n).otherwise(F.lit(0)))
+    planted = planted.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))).withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    round_ = lambda w: F.transform(w, lambda x, i: F.when(i < F.col("_a"), x).otherwise(F.get(w, (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    again = F.element_at(F.transform(F.array(words), lambda w: F.array_join(round_(w), " ")), 1)
+    docs = planted.select("doc_id", F.when(F.col("_n") > 0, again).otherwise(F.col("text")).alias("text"))
+    r = periodic_runs.with_runs(docs, least=12).withColumn("best", F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("l"), (-x["start"]).alias("s"), (-x["period"]).alias("p")))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    length, period = F.col("best.l"), -F.col("best.p")
+    return r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
+                    F.call_function("div", 1000 * length, period).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_html_extraction, op4_mixing, op5_token_files, op6_toxicity, op7_quality_rules, op8_bpe,
-                                   op9_sharding, op10_quality_classifier)}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op9_sharding": OP9_SQL}
+                                   op9_sharding, op10_quality_classifier, op11_filter_audit, op12_document_fingerprints, op13_periodic_runs)}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op4_mixing": OP4_SQL, "op9_sharding": OP9_SQL, "op11_filter_audit": OP11_SQL}
