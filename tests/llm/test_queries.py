@@ -22,18 +22,22 @@ COLUMNS = {
     "op7_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op9_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+    "op11_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op12_document_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = con.execute(queries.ORACLE[name]).df()
     names = sorted(got.columns)
     assert names == sorted(want.columns)
-    key = lambda df: df[names].astype(object).where(df[names].notna(), None).sort_values(["doc_id"]).values.tolist()
+    key = lambda df: df[names].astype(object).where(df[names].notna(), None).sort_values([c for c in ("doc_id", "part", "filter_order", "step") if c in names]).values.tolist()
     assert key(got) == key(want)
 
 
