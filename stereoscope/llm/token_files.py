@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,14 +39,14 @@ class _Encoder:
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the byte alphabet of this tokenizer kind
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.cache = UnitCache(self.unit, self.piece)
+        self.cache = UnitCache(self.unit, self.piece, entries=500_000)
 
     def unit(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
-        if text.isascii() and text.strip(" ").isalpha():
-            mapped = text.replace(" ", self.alphabet[32])  # the other bytes stand for themselves
+        if text.isascii():
+            mapped = text.replace(" ", self.alphabet[32])  # letters and marks stand for themselves
         else:
             mapped = text.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
         tokens = self.model.tokenize(mapped)
@@ -70,19 +71,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """
     with open(tokenizer_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    tail = b"" if end_id is None else array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         cache, start = _encoder(model.value).cache, 0
         for batch in slices(batches):
-            packed = [cache.text(t) + tail for t in batch.column("text").to_pylist()]
-            counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+            ids, counts = cache.flat(batch.column("text"))
+            if end_id is not None:
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
             ends = np.cumsum(counts)
             offsets = np.concatenate(([0], ends)).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(start + ends - counts), pa.array(counts), ids],
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(start + ends - counts), pa.array(counts), lists],
                                              names=["doc_id", "part", "part_start", "n_tokens", "ids"])
             start += int(ends[-1]) if len(ends) else 0
 
@@ -116,8 +115,6 @@ def ids_crc32(df: DataFrame, ids_col: str = "ids", out: str = "ids_crc32") -> Da
     schema = df.select(*names).schema.add(out, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in slices(batches):
             lists = batch.column(ids_col)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False).view(np.uint8)

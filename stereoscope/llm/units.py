@@ -11,9 +11,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # white space that is not alone between two other characters: then only blanks before words part units
 CROWDED = re.compile(r"\s(?:\s|\Z)|\A\s")
 CUT = re.compile(r"(?= \S)")
+# the same as CROWDED, for Arrow's regular expressions: they know no white space beyond ASCII, so it is listed
+SPACE = "[" + "".join(f"\\x{{{k:x}}}" for k in range(0x3001) if chr(k).isspace()) + "]"
+CROWDED_ARROW = rf"{SPACE}{SPACE}|\A{SPACE}|{SPACE}\z"
+MARK = "\x00"  # stands between units; a text that holds it is cut the other way
 # letters of the Latin blocks, then ASCII marks: two pieces that need no general pattern
 PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 
@@ -53,13 +61,17 @@ class UnitCache(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            plain = PLAIN.fullmatch(unit)
-            if not plain:
-                ids = self.encode(unit)
-            elif not plain[2]:
+            word = unit.lstrip(" ")
+            if word.isascii() and word.isalpha() and len(unit) - len(word) < 2:  # most units, without the pattern's cost
                 ids = self.encode_piece(unit)
             else:
-                ids = self[plain[1]] + self[plain[2]]
+                plain = PLAIN.fullmatch(unit)
+                if not plain:
+                    ids = self.encode(unit)
+                elif not plain[2]:
+                    ids = self.encode_piece(unit)
+                else:
+                    ids = self[plain[1]] + self[plain[2]]
         if len(unit) <= self.longest:
             if len(self) >= self.entries:
                 self.old = self._age(self)
@@ -72,6 +84,36 @@ class UnitCache(dict):
             return b"".join(map(self.__getitem__, CUT.split(text)))
         return self["\n"].join(map(self._line, text.split("\n")))
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and how many each text has.
+
+        Texts are cut by Arrow and each different unit among them is looked up once; ids are then gathered by the units' numbers.
+        """
+        texts = texts.cast(pa.large_string())  # marks make a text longer
+        odd = pc.or_(pc.match_substring_regex(texts, CROWDED_ARROW), pc.match_substring(texts, MARK))
+        plain = pc.if_else(odd, "", texts)
+        marked = pc.replace_substring(pc.replace_substring(plain, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")
+        cut = pc.split_pattern(marked, MARK)
+        coded = cut.flatten().dictionary_encode()
+        each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = list(map(self.get, each))
+        for k in [k for k, p in enumerate(packed) if p is None]:
+            packed[k] = self[each[k]]
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        unit = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[unit]
+        ends = np.cumsum(n)
+        out = ids[np.repeat((np.cumsum(size) - size)[unit] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy(zero_copy_only=False)]
+        counts = np.diff(bounds)
+        parts, done = [], 0
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            own = np.frombuffer(b"".join(map(self.__getitem__, units(texts[k].as_py()))), dtype="<u4")
+            parts += [out[done:bounds[k]], own]
+            done, counts[k] = bounds[k], len(own)
+        return (np.concatenate([*parts, out[done:]]) if parts else out), counts
+
     def _line(self, line: str) -> bytes:
         first, *rest = line.split(" ")
         return self[first] + b"".join(map(self.blank.__getitem__, rest)) if rest else self[first]
