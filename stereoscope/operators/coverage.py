@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import unordered_pair_key
+from stereoscope.session import materialize
 from stereoscope.sources.specs import bounded
 
 # FIXED VALUES: coverage messages of the measured tool ({src} = Found / Generated).
@@ -86,28 +87,20 @@ def pair_gaps(sentences: DataFrame, spec_terms: DataFrame, target: int = P.PAIR_
                                                             F.col("side").alias("gside"), F.col("term").alias("grp"))
     att = spec_terms.where(F.col("axis") == "attribute").select("spec", F.col("pos").alias("apos"),
                                                                 F.col("side").alias("aside"), F.col("term").alias("att"))
-    own = bounded(own.withColumnRenamed("term", "grp"))
-    cells = bounded(grp.join(bounded(att), "spec").join(own, ["spec", "grp"], "left"))
-    # observed (group term 1, attribute, pair key) counts: a partial aggregation over the sentences
+    cells = grp.join(bounded(att), "spec").join(bounded(own.withColumnRenamed("term", "grp")), ["spec", "grp"], "left")
+    # observed (group term 1, attribute, pair key) counts: a partial aggregation over the sentences, then an array
+    # per (group term, attribute); written once, as the size check of the broadcast reads it too
     counts = (sentences.groupBy("spec", F.col("grp_term_1").alias("grp"), F.col("att_term").alias("att"),
                                 unordered_pair_key("grp_term_1", "grp_term_2").alias("pair_key"))
               .agg(F.count(F.lit(1)).alias("cnt")))
-    cell_id = ["spec", "gside", "gpos", "aside", "apos"]
-    w = Window.partitionBy(*cell_id)
-    j = (cells.join(counts, ["spec", "grp", "att"], "left")
-         .join(bounded(permitted), ["spec", "pair_key"], "left"))
-    keep = F.col("pair_key").isNotNull() & ((F.count("pair_key").over(w) == 1)
-                                            | F.coalesce(F.col("permitted"), F.lit(False)))
-    j = j.withColumn("keep", keep)
-    j = (j.withColumn("any_kept", F.max(F.col("keep").cast("int")).over(w))
-         .withColumn("first_in_cell", F.row_number().over(w.orderBy("pair_key")) == 1))
-    # one pass: kept keys, plus one (own key, attribute, 0) row for a cell with nothing kept
-    rows = j.select("spec", "att", F.explode(
-        F.when(F.col("keep"), F.array(F.struct(F.col("pair_key"), F.col("cnt").cast("long").alias("cnt"))))
-        .when((F.col("any_kept") == 0) & F.col("first_in_cell"),
-              F.array(F.struct(F.col("own_key").alias("pair_key"), F.lit(0).cast("long").alias("cnt"))))
-        .otherwise(F.array().cast("array<struct<pair_key:string,cnt:bigint>>"))).alias("r")) \
-        .select("spec", F.col("r.pair_key").alias("pair_key"), "att", F.col("r.cnt").alias("cnt"))
+    # a null key (both terms null) is no observed one
+    seen = (counts.where(F.col("pair_key").isNotNull()).join(bounded(permitted), ["spec", "pair_key"], "left")
+            .groupBy("spec", "grp", "att").agg(F.collect_list(F.struct("pair_key", F.col("cnt").cast("long").alias("cnt"), "permitted")).alias("keys")))
+    j = cells.join(bounded(materialize(seen)), ["spec", "grp", "att"], "left")
+    kept = F.filter("keys", lambda k: (F.size("keys") == 1) | F.coalesce(k["permitted"], F.lit(False)))
+    none = F.array(F.struct(F.col("own_key").alias("pair_key"), F.lit(0).cast("long").alias("cnt")))
+    mine = F.transform(kept, lambda k: F.struct(k["pair_key"].alias("pair_key"), k["cnt"].alias("cnt")))
+    rows = j.select("spec", "att", F.explode(F.when(F.size(kept) > 0, mine).otherwise(none)).alias("r")).select("spec", "att", "r.*")
     out = (rows.groupBy("spec", "pair_key", F.col("att").alias("att_term")).agg(F.sum("cnt").cast("long").alias("n"))
            .withColumn("n_gap", F.greatest(F.lit(0).cast("long"), F.lit(target) - F.col("n")).cast("long")))
     return out.where(F.col("n_gap") > 0) if only_missing else out

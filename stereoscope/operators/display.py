@@ -1,8 +1,7 @@
 """Result shaping: signed bias, display pairs, attribute ranking, interpretation, tiles.
 
-Tables, not HTML. The tile ordinal within an attribute uses the skew-safe
-``ordinal_within`` (range buckets + prefix offsets), so a hot attribute is not
-sorted in one task.
+Tables, not HTML. The tile ordinal within an attribute comes from range partitions
+(``ordinal_within``), so a hot attribute is not sorted in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed
 from stereoscope.functions.text import display_text
-from stereoscope.operators.sampling import PIECE, ordinal_within, range_bucket
+from stereoscope.operators.ordinals import ordinal_within
 from stereoscope.sources.specs import bounded
 
 # FIXED VALUES: interpretation sentences of the measured tool, without markup.
@@ -120,10 +119,7 @@ def tiles(display: DataFrame, att_scores: DataFrame, spec_terms: DataFrame) -> D
     d = (display.where(F.col("Stereotyped").isin("yes", "no"))
          .join(bounded(sides), ["spec", "Attribute"])
          .withColumn("yes_first", F.when(F.col("Stereotyped") == "yes", 0).otherwise(1)))
-    buckets = 1 + display.count() // PIECE  # ``display`` should be materialized
-    bucket = F.col("yes_first") * buckets + range_bucket(d, "doc_id", buckets)
-    d = ordinal_within(d, ["spec", "model", "Attribute"], ["yes_first", "doc_id", "sent_pos", "pair_id"],
-                       bucket, out="tile_no")
+    d = ordinal_within(d, ["spec", "model", "Attribute"], ["yes_first", "doc_id", "sent_pos", "pair_id"], out="tile_no")
     sc = bounded(att_scores.select("spec", "model", F.col("att_term").alias("Attribute"), "score"))
     return (d.join(sc, ["spec", "model", "Attribute"])
             .select("spec", "model", F.col("Attribute").alias("att_term"), "side", "tile_no",

@@ -4,7 +4,7 @@ Random choices are orders by ``md5(seed|key...)``: reproducible, and the same
 text in Spark and DuckDB. Top-n per group with a literal n uses ``row_number() <= n``,
 which the optimizer turns into a partial (map-side) window group limit, so a hot
 group ships at most n rows per input partition. Per-group targets (n a column) and
-dense ordinals use order-preserving buckets plus prefix offsets, so no group is
+dense ordinals come from range partitions (``operators.ordinals``), so no group is
 sorted by a single task.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import seeded_int, seeded_rank
+from stereoscope.operators.ordinals import ordinal_within
 from stereoscope.sources.specs import bounded
 
 
@@ -25,57 +26,28 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n, o
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n_col)
 
 
-def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list, bucket, out: str = "ordinal",
-                   limit_col: str | None = None) -> DataFrame:
-    """Exact 1-based ordinal of each row inside its group by ``order_cols``.
-
-    ``bucket`` is an order-preserving coarse key (a Column, monotone in ``order_cols``):
-    per-(group, bucket) counts give prefix offsets (a small table), and rows are numbered
-    inside their (group, bucket) piece only, so no group is sorted by a single task.
-    With ``limit_col``, pieces whose offset already reaches the row's limit are dropped
-    before numbering (their ordinals would all exceed it)."""
-    d = df.withColumn("_bucket", bucket)
-    piece = group_cols + ["_bucket"]
-    counts = d.groupBy(*piece).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    d = d.join(offsets, piece)
-    if limit_col is not None:
-        d = d.where(F.col("_off") < F.col(limit_col))
-    wr = Window.partitionBy(*piece).orderBy(*order_cols)
-    return d.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_bucket", "_off")
-
-
-def range_bucket(df: DataFrame, col: str, buckets: int = 64) -> Column:
-    """Order-preserving bucket of a numeric column from approximate quantiles (a small
-    list of cut points reaches the driver; it only cuts work into pieces, ordinals stay exact)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(col, probs, 0.01))) if buckets > 1 else []
-    b = F.lit(0)
-    for c in cuts:
-        b = b + (F.col(col) > F.lit(c)).cast("int")
-    return b
-
-
-PIECE = 50_000  # rows that one task numbers, about
+ENOUGH = 16  # times the wanted rows that a sample's first cut expects
 
 
-def hex_bucket(hex_col: Column, digits: int = 2) -> Column:
-    """Order-preserving bucket of an md5 hex rank: its leading hex digits (16**digits pieces)."""
-    return F.substring(hex_col, 1, digits)
+def hex_share(hex_col: Column) -> Column:
+    """An md5 hex text as a fraction in [0, 1), in the same order (by its first 8 digits)."""
+    return F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def top_n_by_rank(df: DataFrame, group_cols: list[str], rank_hex: Column, n, out: str = "rank") -> DataFrame:
     """Rows with the ``n`` smallest hex ranks per group, ``n`` a column (per-group targets).
-    Exact and skew-safe: ordinals come from hex buckets plus prefix offsets, as many as the largest
-    group needs, and buckets that start at or beyond the target are dropped before any row is numbered."""
-    most = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    digits = 1
-    while 16 ** digits * PIECE < most:
-        digits += 1
-    d = df.withColumn("_h", rank_hex).withColumn("_n", n)
-    return (ordinal_within(d, group_cols, ["_h"], hex_bucket(F.col("_h"), digits), out=out, limit_col="_n")
-            .where(F.col(out) <= F.col("_n")).drop("_h", "_n"))
+
+    Exact and skew-safe: a rank is a uniform hash, so in a group of c rows only those below the share ``ENOUGH * n / c``
+    are numbered; groups that this leaves with fewer than n rows (hardly ever) are numbered whole. Ordinals
+    come from range partitions, so no task holds a group."""
+    d = df.withColumn("_h", rank_hex).withColumn("_n", n).where(F.col("_n") > 0)
+    share = hex_share(F.col("_h"))
+    counts = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_c"))
+    d = d.join(counts, group_cols).withColumn("_low", share * F.col("_c") < F.col("_n") * F.lit(float(ENOUGH)))
+    short = (d.groupBy(*group_cols).agg(F.sum(F.col("_low").cast("int")).alias("_l"), F.max("_n").alias("_w"), F.max("_c").alias("_all"))
+             .where(F.col("_l") < F.least("_w", "_all")).select(*group_cols))
+    d = d.where("_low").unionByName(d.where(~F.col("_low")).join(short, group_cols, "left_semi")).drop("_low", "_c")
+    return ordinal_within(d, group_cols, ["_h"], out=out).where(F.col(out) <= F.col("_n")).drop("_h", "_n")
 
 
 def balance_lists(spec_terms: DataFrame, seed: int = 0) -> DataFrame:
@@ -96,9 +68,6 @@ def limit_lists(spec_terms: DataFrame, n: int = P.PREFILL_TERMS) -> DataFrame:
     return spec_terms.where(F.col("pos") < n)
 
 
-ENOUGH = 16  # times the wanted rows that a sample's first cut expects
-
-
 def sample_per_attribute(scored: DataFrame, n: int = P.BOOTSTRAP_PER_ATTRIBUTE, reps: int = 1, seed: int = 0,
                          key: str = "pair_id") -> DataFrame:
     """Per (rep, spec, model, attribute): n rows without replacement when the attribute
@@ -107,20 +76,22 @@ def sample_per_attribute(scored: DataFrame, n: int = P.BOOTSTRAP_PER_ATTRIBUTE,
     # per-attribute counts: one row per attribute, broadcast after a size check so the join
     # keyed by attribute never shuffles a hot attribute into one partition
     cnt = bounded(scored.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt")))
-    d = scored.join(cnt, g).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    big = d.where(F.col("_cnt") >= n)
-    # n of cnt rows: those whose rank, as a fraction, lies below ENOUGH * n / cnt; where that leaves fewer
-    # than n (hardly ever), the whole group is ranked
-    big = big.withColumn("_h", seeded_rank(seed, "rep", key))
-    part = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    low = big.where(part < F.lit(float(ENOUGH * n)) / F.col("_cnt"))
-    few = (bounded(cnt.where(F.col("_cnt") >= n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    d = scored.join(cnt, g)
+    every = F.sequence(F.lit(0), F.lit(reps - 1))
+    rank = lambda rep: F.md5(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), F.col(key).cast("string")))
+    # n of cnt rows: those whose rank, as a fraction, lies below ENOUGH * n / cnt. A row is copied only for the
+    # repeats in which it can be drawn
+    big, low_share = d.where(F.col("_cnt") >= n), F.lit(float(ENOUGH * n)) / F.col("_cnt")
+    low = big.withColumn("rep", F.explode(F.filter(every, lambda r: hex_share(rank(r)) < low_share)))
+    # where that leaves fewer than n (hardly ever), the whole group is ranked
+    few = (cnt.where(F.col("_cnt") >= n).withColumn("rep", F.explode(every))
            .join(low.groupBy("rep", *g).agg(F.count(F.lit(1)).alias("_low")), ["rep", *g], "left")
            .where(F.coalesce("_low", F.lit(0)) < n).select("rep", *g))
-    low = low.unionByName(big.where(part >= F.lit(float(ENOUGH * n)) / F.col("_cnt")).join(bounded(few), ["rep", *g], "left_semi"))
+    rest = big.join(few, g)
+    low = low.unionByName(rest.where(hex_share(rank(F.col("rep"))) >= low_share).select(*low.columns)).withColumn("_h", rank(F.col("rep")))
     wo = top_n_per_group(low, ["rep"] + g, [F.col("_h")], n, out="draw").drop("_h")
     wo = wo.withColumn("draw", F.col("draw") - 1)
-    small = d.where(F.col("_cnt") < n)
+    small = d.where(F.col("_cnt") < n).withColumn("rep", F.explode(every))
     small = small.withColumn("_ord", F.row_number().over(Window.partitionBy("rep", *g).orderBy(key)) - 1)
     draws = (small.select("rep", *g, "_cnt").distinct()
              .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

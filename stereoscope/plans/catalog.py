@@ -6,6 +6,7 @@ fixture spec (words that occur in the driver corpus) as the parameter.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from stereoscope.operators import scoring as SC
 from stereoscope.operators import templates as TP
 from stereoscope.plans import flagship as FL
 from stereoscope.plans import oracle as O
+from stereoscope.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,8 +368,7 @@ WHERE d."Stereotyped" IN ('yes', 'no')"""))
 def q_tiles(spark, sf_dir):
     sp = FL.scored_pairs(spark, sf_dir, keep=True)
     sf = FL.scored_full(spark, sf_dir, scored=sp)
-    disp = FL.materialize(DP.display_pairs(sf, keep=("doc_id", "sent_pos")))
-    return DP.tiles(disp, M.attribute_scores(sp), FL.spec_table(spark))
+    return DP.tiles(DP.display_pairs(sf, keep=("doc_id", "sent_pos")), M.attribute_scores(sp), FL.spec_table(spark))
 
 
 # ---------------------------------------------------------------- sampling
@@ -580,6 +581,14 @@ def q_combine_sentences(spark, sf_dir):
                                 FL.derived_bank(spark, sf_dir, corpus="conversations").select(*cols))
 
 
+@register("bank_csv", O.with_ctes(SPEC, *BANK_CTES, body=f"SELECT {BANK_COLS.replace('pair_id, ', '')} FROM bank"))
+def q_bank_csv(spark, sf_dir):
+    """The bank written as the measured tool stores it, one CSV file per term, and read back by its headers."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bank-csv-{uuid.uuid4().hex}"
+    BK.write_bank_csv(FL.derived_bank(spark, sf_dir), folder)
+    return BK.read_bank_csv(spark, folder)
+
+
 # ---------------------------------------------------------------- spec registry over the corpus
 REGISTRY = SP.registry_python()
 
@@ -760,11 +769,13 @@ def q_score_batch_hook(spark, sf_dir):
 
 
 @register("export_pairs", O.with_ctes(SPEC, *FULL_CTES, DISPLAY_CTE, O.spec_names_cte(), body="""
-SELECT 'test_pairs_' || n.bias_name || '.csv' AS file_name, d.pair_id AS row_id, d."Stereotyped", d."Attribute",
+SELECT 'test_pairs_' || n.bias_name || '.csv' AS file_name,
+       row_number() OVER (PARTITION BY n.bias_name ORDER BY d.doc_id, d.sent_pos, d.pair_id, d.model) - 1 AS row_id, d."Stereotyped", d."Attribute",
        d."Groups", d."Sentence", d."Alternative"
 FROM display d JOIN names n ON n.spec = d.spec"""))
 def q_export_pairs(spark, sf_dir):
-    return SK.export_frame(_display(spark, sf_dir), GN.spec_names(FL.spec_table(spark)))
+    display = DP.display_pairs(FL.scored_full(spark, sf_dir), keep=("doc_id", "sent_pos"))
+    return SK.export_frame(display, GN.spec_names(FL.spec_table(spark)), order=["doc_id", "sent_pos"])
 
 
 STAMP = "01/01/2024 00:00:00"
@@ -969,7 +980,7 @@ def q_gen_plan_cross(spark, sf_dir):
     """C6 full-cross form: every (group term, attribute term) of the spec with its mined sentences."""
     n = _pairs(spark, sf_dir).groupBy("spec", F.col("grp_term_1").alias("grp_term"), "att_term") \
         .agg(F.count(F.lit(1)).alias("n_mined"))
-    return (SP.bounded(GN.gen_plan_cross(FL.spec_table(spark))).join(n, ["spec", "grp_term", "att_term"], "left")
+    return (GN.gen_plan_cross(FL.spec_table(spark)).join(SP.bounded(FL.materialize(n)), ["spec", "grp_term", "att_term"], "left")
             .withColumn("n_mined", F.coalesce("n_mined", F.lit(0)).cast("long")))
 
 

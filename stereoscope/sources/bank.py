@@ -1,20 +1,30 @@
 """The sentence bank: saved generation records, stored as parquet partitioned by
-``org_grp_term`` (one partition per generating group term).
+``org_grp_term`` (one partition per generating group term), or as one CSV file per term.
 
 Reads for a spec filter the partition column with the spec's group terms, so
-the scan prunes partitions; appends dedupe per term with a window keyed by
-(term, sentence) and overwrite only the touched partitions (dynamic overwrite).
+the scan prunes partitions. An append writes the whole content of the terms it touches
+as a new version and makes it current by one rename: until then, and if it is
+killed, readers see the bank as it was. A term's rows are those of its last version,
+or those under the bank's folder itself if no append touched it.
 """
 
 from __future__ import annotations
 
+import csv
+import re
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stereoscope.functions import patterns as P
+from stereoscope.operators.ordinals import ordinal_within
+from stereoscope.sources import files
 from stereoscope.sources.specs import bounded
 
+# FIXED VALUES: the stored records' and the older records' columns.
 BANK_COLUMNS = ["sentence", "alt_sentence", "org_grp_term", "att_term", "template", "alt_template", "grp_term1",
                 "grp_term2", "grp_refs", "label_1", "label_2", "bias_spec", "type", "gen_model"]
 BANK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in BANK_COLUMNS])
@@ -22,13 +32,114 @@ LEGACY_SCHEMA = T.StructType([T.StructField(c, T.StringType())
                               for c in ("Group term", "Attribute term", "Test sentence")])
 
 
-def read_bank(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BANK_SCHEMA).parquet(path)
+STORED_SCHEMA = T.StructType([*BANK_SCHEMA.fields, T.StructField("_at", T.LongType())])
+VERSIONS = "_versions"
+
+
+def _versions(spark: SparkSession, path: str) -> dict[str, str]:
+    """Partition folder of each term's last version: term folder name -> path."""
+    last: dict[str, str] = {}
+    for version in folders_of_versions(spark, path):  # ascending
+        for term in files.folders(spark, version):
+            last[term.rsplit("/", 1)[1]] = term
+    return last
+
 
+def folders_of_versions(spark: SparkSession, path: str) -> list[str]:
+    return [v for v in files.folders(spark, f"{path.rstrip('/')}/{VERSIONS}") if "/version=" in v]
 
-def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV import of per-term files (header row, all strings)."""
-    return spark.read.schema(BANK_SCHEMA).option("header", True).csv(path)
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All current rows, with ``_at`` (their place within the term; null for rows that no append touched)."""
+    path = path.rstrip("/")
+    try:
+        rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        rows = spark.createDataFrame([], STORED_SCHEMA)
+    last = _versions(spark, path)
+    if not last:
+        return rows
+    # the folder names are the partition values, escaped as Spark escapes them
+    newer = spark.read.schema(T.StructType([*STORED_SCHEMA.fields, T.StructField("version", T.LongType())])).option("basePath", f"{path}/{VERSIONS}").parquet(*last.values()).drop("version")
+    touched = [r[0] for r in newer.select("org_grp_term").distinct().collect()]  # one per term folder
+    return rows.where(~F.coalesce(F.col("org_grp_term").isin(touched), F.lit(False))).unionByName(newer)
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    return _stored(spark, path).select(*BANK_COLUMNS)
+
+
+def _layouts(spark: SparkSession, path: str, terms: list[str] | None) -> dict[tuple[str, ...], list[str]]:
+    """Header -> CSV files that have it. One small row per file (a file per term) reaches the driver."""
+    names = None if terms is None else {file_name(t) for t in terms}
+    found = [f for f in files.listed(spark, path, "*.csv") if names is None or f.rsplit("/", 1)[1] in names]
+    if not found:
+        return {}
+    lines = spark.read.text(found).select("value", _file().alias("file"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(heads):
+        out.setdefault(tuple(next(csv.reader([r.head.lstrip("\ufeff").rstrip("\r")]))), []).append(r.file)
+    return out
+
+
+def _file():
+    """The row's file as a plain path (the hidden column escapes it as a URL)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def file_name(term: str) -> str:
+    """The file of a term: blanks are dashes in it."""
+    return term.replace(" ", "-") + ".csv"
+
+
+def _read_csv(spark: SparkSession, path: str, columns: list[str], key: str, terms: list[str] | None) -> DataFrame:
+    wanted = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    out = spark.createDataFrame([], wanted)
+    given = {file_name(t): t for t in terms or []}
+    for header, paths in _layouts(spark, path, terms).items():
+        if key not in header:
+            continue
+        # names that are no column of ours, or come twice, only hold their place
+        unique = [c if c in columns and c not in header[:i] else f"_skip{i}" for i, c in enumerate(header)]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in unique])
+        rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"')
+                # nothing between separators is null, a quoted nothing is an empty text
+                .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths))
+        term = F.regexp_extract(_file(), r"([^/]*)\.csv$", 1)
+        named = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.concat(term, F.lit(".csv"))] if given else F.lit(None)
+        rows = rows.select(*[F.col(c) if c in unique else F.lit(None).cast("string").alias(c) for c in columns],
+                           F.coalesce(named, F.translate(term, "-", " ")).alias("_term"))
+        if "org_grp_term" in columns:
+            rows = rows.withColumn("org_grp_term", F.coalesce("org_grp_term", "_term"))
+        out = out.unionByName(rows.select(*columns))
+    return out
+
+
+def read_bank_csv(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    """CSV import of per-term files, all columns strings.
+
+    Every file's own header names its columns, in any order; absent ones are null, others are left out. Quotes
+    are doubled inside quoted fields, which may hold separators and line breaks (so a file is
+    one task). A row without ``org_grp_term`` has its file's term (of ``terms``, else the file's name with blanks for
+    dashes). ``terms`` reads only their files; a missing file or folder gives no rows. Files of the
+    older layout are read by ``read_legacy_csv``."""
+    return _read_csv(spark, path, BANK_COLUMNS, "sentence", terms)
+
+
+def read_legacy_csv(spark: SparkSession, path: str, terms: list[str] | None = None) -> DataFrame:
+    """A6 for the older layout (``Group term``, ``Attribute term``, ``Test sentence``): input of ``retrieve_legacy``."""
+    return _read_csv(spark, path, ["org_grp_term", "type", "gen_model", *LEGACY_SCHEMA.names], "Test sentence", terms)
+
+
+def write_bank_csv(bank: DataFrame, path: str) -> None:
+    """One CSV file per generating term, rows in stored order, as ``read_bank_csv`` reads them."""
+    from stereoscope.sources.sinks import write_named_csv
+    rows = bank.select(*BANK_COLUMNS, F.monotonically_increasing_id().alias("_at"))
+    name = F.concat(F.translate("org_grp_term", " ", "-"), F.lit(".csv"))
+    write_named_csv(rows.withColumn("_name", name), path, "_name", ["_at"], BANK_COLUMNS)
 
 
 def write_bank(bank: DataFrame, path: str, mode: str = "append") -> None:
@@ -37,15 +148,31 @@ def write_bank(bank: DataFrame, path: str, mode: str = "append") -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("org_grp_term").mode(mode).parquet(path))
 
 
-def append_bank(spark: SparkSession, path: str, new: DataFrame, order_col: str = "sentence") -> None:
-    """Append ``new`` records to the stored bank: the partitions of their terms are read, first
-    occurrences kept (stored rows win), and only these partitions overwritten."""
+def append_bank(spark: SparkSession, path: str, new: DataFrame, order_col: str | None = None) -> int:
+    """Append ``new`` records to the stored bank, and return the version's number.
+
+    Stored rows win over new ones, then the first in order: ``order_col``, or the rows' order in ``new``. The
+    touched terms' whole content is written aside and becomes their version by one rename, so a killed
+    append leaves the bank as it was. A version made by another writer meanwhile holds the number that
+    this one wants: then nothing is changed and ``RuntimeError`` tells to append again."""
     from stereoscope.session import materialize
-    new = materialize(new.select(*BANK_COLUMNS))
-    terms = new.select("org_grp_term").distinct()
-    old = read_bank(spark, path).join(terms, "org_grp_term", "left_semi").select(*BANK_COLUMNS)
-    # checkpointed: the overwrite removes the files it read
-    write_bank(materialize(append_dedupe(old, new, order_col).select(*BANK_COLUMNS)), path, mode="overwrite")
+    path = path.rstrip("/")
+    number = 1 + max([int(re.search(r"version=(\d+)$", v)[1]) for v in folders_of_versions(spark, path)], default=0)
+    if order_col is None:
+        new = new.withColumn("_at", F.monotonically_increasing_id())
+    else:
+        new = ordinal_within(new, ["org_grp_term"], [order_col], out="_at")
+    new = materialize(new.select(*BANK_COLUMNS, "_at"))
+    old = _stored(spark, path).withColumn("_at", F.coalesce("_at", F.monotonically_increasing_id()))
+    # a small table: one row per term that is touched
+    old = materialize(old.join(new.select("org_grp_term").distinct(), "org_grp_term", "left_semi").select(*BANK_COLUMNS, "_at"))
+    merged = ordinal_within(append_dedupe(old, new, "_at"), ["org_grp_term"], ["_origin", "_at", "sentence"], out="_place")
+    aside = f"{path}/{VERSIONS}/_writing-{uuid.uuid4().hex}"
+    (merged.select(*BANK_COLUMNS, F.col("_place").alias("_at")).hint("rebalance", F.col("org_grp_term")).write.partitionBy("org_grp_term").parquet(aside))
+    if not files.rename(spark, aside, f"{path}/{VERSIONS}/version={number:08d}"):
+        files.delete(spark, aside)
+        raise RuntimeError(f"another writer made version {number} of {path}: append again")
+    return number
 
 
 def bank_scan(bank: DataFrame, spec_terms: DataFrame) -> DataFrame:

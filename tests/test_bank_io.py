@@ -1,8 +1,11 @@
 """Sentence bank on disk: partition pruning on reads, dynamic overwrite on appends; sinks."""
 
+import csv
 import os
 import tempfile
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -65,13 +68,16 @@ def test_export_csv_and_records(spark):
     sp = FL.scored_pairs(spark, SF_SMALL)
     names = GN.spec_names(FL.spec_table(spark))
     from stereoscope.operators.display import display_pairs
-    frame = SK.export_frame(display_pairs(FL.scored_full(spark, SF_SMALL, scored=sp)), names)
+    names = GN.spec_names(FL.spec_table(spark))
+    frame = SK.export_frame(display_pairs(FL.scored_full(spark, SF_SMALL, scored=sp), keep=("doc_id", "sent_pos")), names, order=["doc_id", "sent_pos"])
     out = os.path.join(tempfile.mkdtemp(prefix="stereoscope-export-"), "csv")
-    SK.export_csv(frame, out)
-    parts = os.listdir(out)
-    assert any(p.startswith("file_name=test_pairs_he_this__for_with_") for p in parts)
-    back = spark.read.option("header", True).csv(out)
-    assert back.count() == frame.count()
+    written = SK.export_csv(frame, out)
+    assert len(written) == 1 and written[0].startswith("test_pairs_he_this__for_with_") and sorted(f for f in os.listdir(out) if f[0] not in "._") == written
+    back = pd.read_csv(f"{out}/{written[0]}", index_col=0, keep_default_na=False)
+    assert back.columns.tolist() == ["Stereotyped", "Attribute", "Groups", "Sentence", "Alternative"]
+    want = frame.orderBy("row_id").toPandas()
+    assert back.index.tolist() == list(range(len(want))) == want["row_id"].tolist()
+    assert back.values.tolist() == want[back.columns].values.tolist()
     from stereoscope.operators.metrics import model_score
     rec = SK.test_result_records(model_score(sp), names).first()
     assert rec.tested_results.tested_model == "bigram-lm" and len(rec.created) == 19
@@ -100,3 +106,102 @@ def test_bank_csv_import(spark):
     assert back.columns == BK.BANK_COLUMNS
     assert back.count() == bank.count()
     assert back.where(F.col("type").isNull()).count() == bank.where(F.col("type").isNull()).count()
+
+
+ODD_SENTENCES = ['She said "hello, you", then left.', "two\nlines, one\r\nfield", '"', "", "plain", " blanks around ", "back\\slash \\\" mixed", "é 日本 𝒳"]
+
+
+def _odd_bank(spark):
+    rows = [tuple([s, f"alt {s}", ("she", "old man")[i % 2], "a,b", None, f'"{i}"', "she", "he", "", "x", "y", "spec", ("tool", None)[i % 2], "gpt-4"]) for i, s in enumerate(ODD_SENTENCES * 2)]
+    return rows, spark.createDataFrame(rows, BK.BANK_SCHEMA)
+
+
+def _plain(rows):
+    none = lambda v: v if v not in ("", None) else None  # noqa: E731  (an empty field is no value in either reader)
+    return sorted([tuple(none(v) for v in r) for r in rows], key=repr)
+
+
+def test_bank_csv_reads_what_pandas_writes(spark):
+    """Files as the measured tool stores them: quotes, line breaks, reordered columns, the older layout, absent ones."""
+    folder = tempfile.mkdtemp(prefix="stereoscope-csv-")
+    rows, _ = _odd_bank(spark)
+    df = pd.DataFrame(rows, columns=BK.BANK_COLUMNS)
+    df[df.org_grp_term == "she"].to_csv(f"{folder}/she.csv", index=False)
+    moved = df[df.org_grp_term == "old man"].drop(columns=["org_grp_term"])[BK.BANK_COLUMNS[::-1][:5] + BK.BANK_COLUMNS[:2] + BK.BANK_COLUMNS[3:9]]
+    moved.to_csv(f"{folder}/old-man.csv")  # an index column, other order, no term column
+    old = pd.DataFrame([["steel-worker", "he", 'so "it" is, or\nnot', "paper", "gpt-4"]], columns=["Attribute term", "Group term", "Test sentence", "type", "gen_model"])
+    old.to_csv(f"{folder}/brother.csv", index=False)
+    pd.DataFrame(columns=BK.BANK_COLUMNS).to_csv(f"{folder}/empty.csv", index=False)
+    got = BK.read_bank_csv(spark, folder)
+    assert got.columns == BK.BANK_COLUMNS
+    assert _plain(got.collect()) == _plain(rows)
+    one = BK.read_bank_csv(spark, folder, ["old man", "nobody"])
+    assert _plain(one.collect()) == _plain([r for r in rows if r[2] == "old man"])
+    legacy = BK.read_legacy_csv(spark, folder).collect()
+    assert [tuple(r) for r in legacy] == [("brother", "paper", "gpt-4", "he", "steel-worker", 'so "it" is, or\nnot')]
+    assert BK.read_bank_csv(spark, folder + "/none").count() == 0 and BK.read_bank_csv(spark, folder, []).count() == 0
+
+
+def test_bank_csv_round_trip(spark):
+    """Files written here are read by pandas and by the import, in the rows' order."""
+    folder = tempfile.mkdtemp(prefix="stereoscope-csv-")
+    rows, bank = _odd_bank(spark)
+    BK.write_bank_csv(bank, folder)
+    assert _plain(BK.read_bank_csv(spark, folder).collect()) == _plain(rows)
+    for term, name in (("she", "she.csv"), ("old man", "old-man.csv")):
+        with open(f"{folder}/{name}", newline="", encoding="utf-8") as fh:
+            back = list(csv.reader(fh))
+        assert back == [BK.BANK_COLUMNS] + [["" if v is None else v for v in r] for r in rows if r[2] == term]
+    BK.write_bank_csv(bank.limit(1), folder)  # replaced whole, the other file stays
+    assert len(pd.read_csv(f"{folder}/she.csv")) == 1 and len(pd.read_csv(f"{folder}/old-man.csv")) == len(rows) // 2
+
+
+def _records(spark, rows):
+    return spark.createDataFrame([(s, None, t, "a", None, None, t, None, None, None, None, None, None, m) for s, t, m in rows], BK.BANK_SCHEMA).coalesce(1)
+
+
+def _content(spark, path):
+    return sorted((r.sentence or "", r.org_grp_term, r.gen_model) for r in BK.read_bank(spark, path).collect())
+
+
+def test_append_keeps_the_first_row(spark):
+    """Of new rows with one sentence the first in input order stays, whatever the sentences are; then stored ones win."""
+    path = os.path.join(tempfile.mkdtemp(prefix="stereoscope-bank-"), "bank")
+    for first in ("m1", "m3"):
+        models = ["m1", "m2", "m3"] if first == "m1" else ["m3", "m2", "m1"]
+        p = f"{path}-{first}"
+        assert BK.append_bank(spark, p, _records(spark, [("same", "he", m) for m in models] + [("other", "she", "m9"), (None, "he", "n1"), (None, "he", "n2")])) == 1
+        assert _content(spark, p) == [("", "he", "n1"), ("other", "she", "m9"), ("same", "he", first)]
+        assert BK.append_bank(spark, p, _records(spark, [("same", "he", "late"), ("new", "he", "m4"), ("same", "old man", "m5")])) == 2
+        assert _content(spark, p) == [("", "he", "n1"), ("new", "he", "m4"), ("other", "she", "m9"), ("same", "he", first), ("same", "old man", "m5")]
+    # an order column instead of the input order
+    p = f"{path}-ordered"
+    BK.append_bank(spark, p, _records(spark, [("same", "he", m) for m in ("m2", "m1", "m3")]), order_col="gen_model")
+    assert _content(spark, p) == [("same", "he", "m1")]
+
+
+def test_killed_or_second_append_leaves_the_bank(spark, monkeypatch):
+    path = os.path.join(tempfile.mkdtemp(prefix="stereoscope-bank-"), "bank")
+    BK.append_bank(spark, path, _records(spark, [("one", "he", "m1")]))
+    before = _content(spark, path)
+    new = _records(spark, [("two", "he", "m2"), ("three", "she", "m3")])
+    with monkeypatch.context() as m:  # killed when all is written, before it is made current
+        m.setattr(BK.files, "rename", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            BK.append_bank(spark, path, new)
+    assert _content(spark, path) == before
+    # another writer commits between this one's reading and its commit
+    real, done = BK.files.rename, []
+
+    def raced(spark_, source, target, **k):
+        if not done:
+            done.append(1)
+            BK.append_bank(spark, path, _records(spark, [("theirs", "he", "m7")]))
+        return real(spark_, source, target, **k)
+
+    monkeypatch.setattr(BK.files, "rename", raced)
+    with pytest.raises(RuntimeError):
+        BK.append_bank(spark, path, new)
+    assert _content(spark, path) == sorted(before + [("theirs", "he", "m7")])
+    assert BK.append_bank(spark, path, new) == 3
+    assert len(_content(spark, path)) == 4
