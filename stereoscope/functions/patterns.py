@@ -38,6 +38,7 @@ PROMPT_CONTEXT_TERMS = 8
 
 # generation: rounds per wanted sentence
 GEN_ROUNDS_PER_TARGET = 5
+GEN_TRIES = 10  # answers asked for one request until one is accepted
 
 # ASCII punctuation (Python's string.punctuation) as a final-character class
 FINAL_PUNCT_SPARK = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]$"

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import dashed, seeded_int, seeded_rank, url_safe_md5_b64
+from stereoscope.operators.mining import accepts
 from stereoscope.operators.sampling import top_n_by_rank
+from stereoscope.session import materialize
 from stereoscope.sources.specs import bounded
 
 
@@ -63,6 +65,75 @@ def gen_plan(targets: DataFrame, spec_terms: DataFrame, seed: int = 0) -> DataFr
                     F.element_at(other, (idx + 1).cast("int")).alias("partner"))
 
 
+REQUEST = ["spec", "att_term", "round", "side", "request"]
+
+
+def _asked(requests: DataFrame, answers, tries: int, ahead: int) -> DataFrame:
+    """``requests`` with ``sentence`` (the first accepted answer; null if none of the tries was), ``accepted`` and ``n_tries``."""
+    pending, found = requests, []
+    for t in range(0, tries, ahead):
+        asks = pending.withColumn("try", F.explode(F.sequence(F.lit(t), F.lit(min(t + ahead, tries) - 1))))
+        good = answers(asks).where(accepts("sentence", "grp_term", "att_term"))
+        found.append(materialize(good.groupBy(*REQUEST).agg(F.min("try").alias("_try"), F.min_by("sentence", "try").alias("sentence"))))
+        if t + ahead < tries:
+            pending = materialize(pending.join(found[-1].select(*REQUEST), REQUEST, "left_anti"))
+            if pending.isEmpty():
+                break
+    best = found[0]
+    for f in found[1:]:
+        best = best.unionByName(f)
+    out = requests.join(best, REQUEST, "left")
+    return out.withColumn("accepted", F.col("_try").isNotNull()).withColumn("n_tries", F.coalesce(F.col("_try") + 1, F.lit(tries)).cast("long")).drop("_try")
+
+
+def fill_to_targets(targets: DataFrame, spec_terms: DataFrame, answers, seed: int = 0, tries: int = P.GEN_TRIES, ahead: int = 1) -> dict[str, DataFrame]:
+    """C6 with retries: ask in rounds until every attribute has its target.
+
+    ``answers(requests)`` returns the rows of ``requests`` (columns of ``gen_plan`` and ``try``) that got an answer, with
+    ``sentence``: an outside generator's batch job, or ``mining.corpus_answers``. A request is asked up to ``tries`` times
+    until an answer is accepted (C4), ``ahead`` tries at a time. An attribute's rounds, of two requests each, go on until
+    its target is reached or it had 5 requests per wanted sentence.
+
+    All attributes are asked together. A step asks the rounds that an attribute still lacks if every request is accepted, or as
+    many as it had so far, whichever are more; so there are few steps. Rounds after the one that reached the target count
+    as not asked: results are those of asking round by round. Each step's answers are kept by a checkpoint.
+
+    Returns ``sentences`` (accepted, at most the target per attribute, by seeded rank), ``requests`` (each that counts)
+    and ``report``: per attribute ``n_target``, ``n_requests``, ``n_tries``, ``n_accepted`` and ``n_unmet``.
+    """
+    want = targets.groupBy("spec", "att_term").agg(F.max("n_target").alias("n_target"))
+    plan = materialize(gen_plan(want, spec_terms, seed))
+    rounds = plan.groupBy("spec", "att_term").agg((F.max("round") + 1).alias("_rounds"))
+    key, zero = ["spec", "att_term"], F.lit(0).cast("long")
+    state = materialize(want.join(rounds, key, "left").select(*key, "n_target", F.coalesce("_rounds", zero).cast("long").alias("_rounds"),
+                                                              zero.alias("_had"), zero.alias("_got")))
+    done = None
+    while True:
+        lack = F.ceil((F.col("n_target") - F.col("_got")) / 2)
+        until = F.when(F.col("_got") < F.col("n_target"), F.least("_rounds", F.col("_had") + F.greatest(lack, "_had"))).otherwise(F.col("_had"))
+        ask = materialize(state.withColumn("_until", until))
+        if ask.where(F.col("_until") > F.col("_had")).isEmpty():
+            break
+        now = plan.join(ask.select(*key, "_had", "_until"), key).where((F.col("round") >= F.col("_had")) & (F.col("round") < F.col("_until"))).drop("_had", "_until")
+        got = materialize(_asked(materialize(now), answers, tries, ahead))
+        done = got if done is None else done.unionByName(got)
+        more = got.groupBy(*key).agg(F.sum(F.col("accepted").cast("long")).alias("_more"))
+        state = materialize(ask.join(more, key, "left").select(*key, "n_target", "_rounds", F.col("_until").alias("_had"), (F.col("_got") + F.coalesce("_more", zero)).alias("_got")))
+    if done is None:
+        done = plan.withColumn("sentence", F.lit(None).cast("string")).withColumn("accepted", F.lit(False)).withColumn("n_tries", zero)
+    # the round in which the target was reached; a round is one small row
+    per_round = done.groupBy(*key, "round").agg(F.sum(F.col("accepted").cast("long")).alias("_a"))
+    so_far = per_round.withColumn("_sum", F.sum("_a").over(Window.partitionBy(*key).orderBy("round")))
+    last = (so_far.join(want, key).where(F.col("_sum") >= F.col("n_target")).groupBy(*key).agg(F.min("round").alias("_last")))
+    counted = materialize(done.join(last, key, "left").where(F.col("_last").isNull() | (F.col("round") <= F.col("_last"))).drop("_last"))
+    sums = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("n_requests"), F.sum("n_tries").alias("n_tries"), F.sum(F.col("accepted").cast("long")).alias("_got"))
+    n = lambda c: F.coalesce(F.col(c), zero).cast("long")
+    report = want.join(sums, key, "left").select(*key, n("n_target").alias("n_target"), n("n_requests").alias("n_requests"), n("n_tries").alias("n_tries"),
+                                                 F.least(n("_got"), n("n_target")).alias("n_accepted"), F.greatest(n("n_target") - n("_got"), zero).alias("n_unmet"))
+    sentences = downsample_to_target(counted.where("accepted"), want, seed, key="request").drop("n_target", "keep_rank", "accepted")
+    return {"sentences": sentences, "requests": counted, "report": report}
+
+
 def gen_plan_cross(spec_terms: DataFrame) -> DataFrame:
     """C6 (full-cross form): every group term with every attribute term of the spec."""
     g = spec_terms.where(F.col("axis") == "group").select("spec", F.col("term").alias("grp_term"))

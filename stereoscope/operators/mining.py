@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stereoscope.functions import patterns as P
-from stereoscope.functions.keys import pair_id
+from stereoscope.functions.keys import pair_id, seeded_int
+from stereoscope.operators.ordinals import ordinal_within
 from stereoscope.sources.specs import bounded
 
 # Word key of a sentence chunk: the chunk up to its first '.', ',' or '!'.
@@ -85,6 +86,29 @@ def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
                        F.col("a.side").alias("att_side"), F.col("a.pos").alias("att_pos"))
 
 
+def attribute_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
+    """(spec, att_term, doc_id, sent_pos, sentence): each sentence that holds an attribute term, with strict boundaries."""
+    atts = term_keys(spec_terms.where(F.col("axis") == "attribute").select("spec", "axis", F.lit(0).alias("side"), F.lit(0).alias("pos"), "term").distinct())
+    keys = bounded(atts.select("spec", F.col("term").alias("att_term"), "key", "simple", "accept_re"))
+    rows = candidate_words(sentences, ["doc_id", "sent_pos", "sentence"]).join(keys, "key")
+    return rows.where(F.col("simple") | F.expr("ls rlike accept_re")).select("spec", "att_term", "doc_id", "sent_pos", "sentence")
+
+
+def corpus_answers(sentences: DataFrame, spec_terms: DataFrame, seed: int = 0):
+    """A generator for ``generation.fill_to_targets`` whose answers are corpus sentences: each try of a request draws, by
+    a seeded hash, one of the sentences that hold its attribute. Nothing says that the sentence holds the group term.
+
+    The sentences are numbered per attribute once; a try is a join on the number."""
+    numbered = ordinal_within(attribute_sentences(sentences, spec_terms), ["spec", "att_term"], ["doc_id", "sent_pos"], out="_no")
+    counts = numbered.groupBy("spec", "att_term").agg(F.count(F.lit(1)).alias("_all"))
+
+    def answers(requests: DataFrame) -> DataFrame:
+        drawn = requests.join(counts, ["spec", "att_term"]).withColumn("_no", F.pmod(seeded_int(seed, "spec", "att_term", "request", "try"), F.col("_all")) + 1)
+        return drawn.join(numbered, ["spec", "att_term", "_no"]).drop("_no", "_all")
+
+    return answers
+
+
 def accepts(sentence, grp, att, strict: bool = False) -> Column:
     """C4 as a predicate: the sentence holds both keywords, each followed by one of space . , !
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stereoscope.functions import patterns as P
 from stereoscope.functions.keys import seeded_int
@@ -105,28 +106,21 @@ def batch_inference_scores(pairs: DataFrame, predict=None, model: str = "model",
     """Run a user predict function over both variants in Arrow batches.
 
     ``predict(texts: list[str], targets: list[str]) -> list[float]`` returns a loss per text.
-    ``make_predict()`` returns such a function and is called once per task, on the worker: a model is
-    loaded there and never shipped. Spark partitions the variants; each task feeds its rows to the
-    function ``batch_size`` at a time.
+    ``make_predict()`` returns such a function: a model is loaded on the worker and never shipped. It is
+    called once per Python worker process and kept for its later tasks (``predict_batch_udf``'s model cache). Spark partitions
+    the variants; each task feeds its rows to the function ``batch_size`` at a time.
     """
-    import pandas as pd
+    from pyspark.ml.functions import predict_batch_udf
 
     if (predict is None) == (make_predict is None):
         raise ValueError("give predict or make_predict")
     make = make_predict or (lambda: predict)
 
-    def run(it):
-        predict = make()
-        for pdf in it:
-            out = []
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size]
-                losses = predict(chunk["text"].tolist(), chunk["target"].tolist())
-                out.append(pd.DataFrame({"pair_id": chunk["pair_id"].values,
-                                         "variant": chunk["variant"].astype("int32").values,
-                                         "model": model, "loss": pd.Series(losses, dtype="float64").values}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    schema = "pair_id string, variant int, model string, loss double"
-    return variant_rows(pairs).mapInPandas(run, schema)
+    def load():
+        import numpy as np
+
+        losses = make()
+        return lambda texts, targets: np.asarray(losses(texts.tolist(), targets.tolist()), dtype="float64")
+
+    loss = predict_batch_udf(load, return_type=T.DoubleType(), batch_size=batch_size)
+    return variant_rows(pairs).select("pair_id", F.col("variant").cast("int").alias("variant"), F.lit(model).alias("model"), loss("text", "target").alias("loss"))

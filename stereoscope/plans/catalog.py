@@ -439,6 +439,30 @@ def q_gen_plan(spark, sf_dir):
     return GN.gen_plan(_targets(spark, sf_dir), FL.spec_table(spark))
 
 
+@register("gen_fill", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, PLAN_CTE, """
+att_hits AS (SELECT DISTINCT spec, term AS att_term, doc_id, sent_pos, sentence FROM hits WHERE axis = 'attribute'),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY spec, att_term ORDER BY doc_id, sent_pos) AS no, count(*) OVER (PARTITION BY spec, att_term) AS cnt FROM att_hits),
+cnts AS (SELECT DISTINCT spec, att_term, cnt FROM numbered),
+asks AS (SELECT p.*, t.try, ('0x' || substr(md5('0|' || p.spec || '|' || p.att_term || '|' || p.request || '|' || t.try), 1, 8))::BIGINT % c.cnt + 1 AS no
+         FROM plan p CROSS JOIN range(10) t(try) LEFT JOIN cnts c ON c.spec = p.spec AND c.att_term = p.att_term),
+answered AS (
+  SELECT a.spec, a.att_term, a.round, a.request,
+         min(a.try) FILTER (WHERE regexp_matches(lower(n.sentence), lower(a.grp_term) || '[ .,!]') AND regexp_matches(lower(n.sentence), lower(a.att_term) || '[ .,!]')) AS good
+  FROM asks a LEFT JOIN numbered n ON n.spec = a.spec AND n.att_term = a.att_term AND n.no = a.no GROUP BY ALL),
+per_round AS (SELECT spec, att_term, round, count(good) AS got, sum(coalesce(good + 1, 10)) AS tries, count(*) AS requests FROM answered GROUP BY ALL),
+so_far AS (SELECT *, sum(got) OVER (PARTITION BY spec, att_term ORDER BY round) AS total FROM per_round),
+fill AS (
+  SELECT s.spec, s.att_term, sum(requests)::BIGINT AS n_requests, sum(tries)::BIGINT AS n_tries, sum(got)::BIGINT AS got
+  FROM so_far s JOIN targets t ON t.spec = s.spec AND t.att_term = s.att_term WHERE s.total - s.got < t.n_target GROUP BY ALL)""", body="""
+SELECT t.spec, t.att_term, t.n_target, coalesce(f.n_requests, 0) AS n_requests, coalesce(f.n_tries, 0) AS n_tries,
+       least(coalesce(f.got, 0), t.n_target) AS n_accepted, greatest(t.n_target - coalesce(f.got, 0), 0) AS n_unmet
+FROM targets t LEFT JOIN fill f ON f.spec = t.spec AND f.att_term = t.att_term"""))
+def q_gen_fill(spark, sf_dir):
+    """C6 with retries: corpus sentences answer the requests until each attribute's gap is filled."""
+    st = FL.spec_table(spark)
+    return GN.fill_to_targets(_targets(spark, sf_dir), st, MI.corpus_answers(FL.sentences(spark, sf_dir), st), ahead=PT.GEN_TRIES)["report"]
+
+
 @register("gen_prompts", O.with_ctes(SPEC, *PAIRS_CTES, TARGETS_CTE, PLAN_CTE, """
 ctx AS (SELECT p.spec, p.att_term, p.request, t.axis, t.term,
                md5('0|' || p.spec || '|' || p.att_term || '|' || p.request || '|' ||
@@ -1036,6 +1060,27 @@ def q_reference_words(spark, sf_dir):
     return t.select("pair_id", "alt_sentence", "template", TP.refs_text(F.col("grp_refs")).alias("grp_refs"), TP.refs_text(back).alias("grp_refs_rev"))
 
 
+REF_SCORED = [x for c in O.pipeline(SPEC, "scored") for x in ([c.replace("pairs AS (", "plain_pairs AS (", 1), O.swapped_cte(FL.REF_WORDS, "plain_pairs", "pairs")]
+                                                              if c.strip().startswith("pairs AS (") else [c])]
+
+
+@register("reference_display", O.with_ctes(SPEC, *REF_SCORED, *FULL_CTES[-2:], DISPLAY_CTE, body="""
+SELECT pair_id, "Groups", "Sentence", "Alternative", grp_refs,
+  replace(list_reduce(list_prepend({'l': NULL, 'r': NULL}, refs_list),
+                      lambda acc, p: CASE WHEN p.l IS NULL THEN acc WHEN instr(acc, '[R]') > 0
+                                          THEN substr(acc, 1, instr(acc, '[R]') - 1) || p.l || '/' || p.r || substr(acc, instr(acc, '[R]') + 3)
+                                          ELSE acc END, template),
+          '[T]', '[' || split_part("Groups", '/', 1) || '&#47;' || split_part("Groups", '/', 2) || ']') AS display_text
+FROM display"""))
+def q_reference_display(spark, sf_dir):
+    """H6 and E8 on real references: pairs whose reference words were swapped too, scored, ordered and shown."""
+    st = FL.spec_table(spark)
+    lp = FL.materialize(PR.pair_labels(MI.counterfactual_pairs(FL.mined(spark, sf_dir), st, ref_words=FL.REF_WORDS), st))
+    d = DP.display_pairs(FL.scored_full(spark, sf_dir, scored=FL.scored_pairs(spark, sf_dir, lp=lp)))
+    return d.select("pair_id", "Groups", "Sentence", "Alternative", TP.refs_text(F.col("grp_refs")).alias("grp_refs"),
+                    TX.display_text(F.col("template"), F.col("grp_refs"), F.col("Groups")).alias("display_text"))
+
+
 SPELLED = FL.spelled_spec()
 
 

@@ -36,12 +36,14 @@ def test_result_records(summary: DataFrame, names: DataFrame, source: str = "ste
         F.lit("custom").alias("type")), created)
 
 
-def export_frame(display: DataFrame, names: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
+def export_frame(display: DataFrame, names: DataFrame, order: list[Column | str] | None = None, by_model: bool = False) -> DataFrame:
     """Export rows with their number in the file, from 0, and the file name test_pairs_<bias name>.csv.
 
-    ``order`` are the columns of ``display`` whose order the rows keep (by default the pair's id); pairs scored by several models
-    follow each other."""
-    d = display.join(names, "spec").withColumn("file_name", F.concat(F.lit("test_pairs_"), F.col("bias_name"), F.lit(".csv")))
+    ``order`` are the columns of ``display`` whose order the rows keep (by default the pair's id). Pairs scored by several models
+    follow each other in one file; ``by_model`` gives each model its own, with the model's name before the ending."""
+    d = display.join(names, "spec")
+    model = F.concat(F.lit("_"), F.regexp_replace("model", "[^A-Za-z0-9._-]", "-")) if by_model else F.lit("")
+    d = d.withColumn("file_name", F.concat(F.lit("test_pairs_"), F.col("bias_name"), model, F.lit(".csv")))
     d = ordinal_within(d, ["file_name"], [*(order or []), F.col("pair_id"), F.col("model")], out="_no")
     return d.select("file_name", (F.col("_no") - 1).cast("long").alias("row_id"), "Stereotyped", "Attribute", "Groups", "Sentence", "Alternative")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
+from stereoscope.operators import generation as GN
 from stereoscope.plans import flagship as FL
 from stereoscope.plans import flows as FW
 from stereoscope.sources import bank as BK
@@ -76,3 +77,112 @@ def test_rejects_and_untestable_pairs(spark):
     res = FW.test_model_flow(spark, sents, spec, FW.corpus_sentences(spark, SF_SMALL), models=("gpt2",), variant_scores=vs, bootstrap_reps=2)
     assert {(r.pair_id, r.reason) for r in res["rejects"].collect()} == {("p2", "attribute not in spec"), ("p3", "missing either group term in sentence")}
     assert [(r.n_untestable, r.n_pairs) for r in res["untestable"].collect()] == [(1, 1)]
+
+
+def test_reports_of_the_test_flow(spark):
+    """Tiles, counts, the run's record and the exported files of a run with two models; equal rows are told apart."""
+    import pandas as pd
+    spec = FL.fixture_spec().lower()
+    out = tempfile.mkdtemp(prefix="stereoscope-flows-")
+    lp = FL.labelled_pairs(spark, SF_SMALL).select("sentence", "alt_sentence", "grp_term_1", "grp_term_2", "att_term").orderBy("sentence").limit(40).coalesce(1)
+    sents = lp.unionByName(lp.limit(3))
+    res = FW.test_model_flow(spark, sents, spec, FW.corpus_sentences(spark, SF_SMALL), models=("bigram-lm", "bigram-lm-masked"), bootstrap_reps=2, out=out)
+    assert sum(r.n for r in res["attribute_counts"].collect()) == 43
+    assert {r.name for r in res["test_results"].collect()} == {r.bias_name for r in GN.spec_names(FL.spec_table(spark)).collect()}
+    assert {r.tested_results.tested_model for r in res["test_results"].collect()} == {"bigram-lm", "bigram-lm-masked"}
+    scored = res["scored_pairs"].groupBy("model").count().collect()
+    assert {r["count"] for r in scored} == {43} and res["scored_pairs"].select("pair_id").distinct().count() == 43
+    tiles = res["tiles"].toPandas()
+    assert len(tiles) == 86
+    for _, t in tiles.groupby(["model", "att_term"]):
+        assert sorted(t.tile_no) == list(range(1, len(t) + 1))
+    files = sorted(f for f in os.listdir(out + "/csv") if f.endswith(".csv") and f[0] != ".")
+    assert len(files) == 2 and files[0].endswith("_bigram-lm-masked.csv") and files[1].endswith("_bigram-lm.csv")
+    export = res["export"].toPandas()
+    for f in files:
+        back = pd.read_csv(f"{out}/csv/{f}", index_col=0, keep_default_na=False)
+        want = export[export.file_name == f].sort_values("row_id")
+        assert back.values.tolist() == want[back.columns].values.tolist() and back.index.tolist() == list(range(43))
+
+
+def test_generate_flow_with_gaps_existing_and_rewrites(spark):
+    """A retrieval's gaps and sentences go into the generation; reference words and supplied rewrites take effect; the corpus fills the targets."""
+    from stereoscope.operators import mining as MI
+    from stereoscope.sources import specs as S
+    spec = FL.fixture_spec().lower()
+    docs = TB.documents(spark, SF_SMALL)
+    existing = spark.createDataFrame([("He is for it.", "This is for it.", "he", "this", "for")] * 3, "sentence string, alt_sentence string, grp_term_1 string, grp_term_2 string, att_term string")
+    st = FL.spec_table(spark)
+    from stereoscope.operators import coverage as CV
+    gaps = CV.attribute_gaps(existing.withColumn("spec", F.lit(spec.name)), st)
+    pairs = MI.counterfactual_pairs(FL.mined(spark, SF_SMALL), st)
+    given = pairs.select("pair_id", F.lit("Given.").alias("alt_sentence"))
+    answers = MI.corpus_answers(FW.corpus_sentences(spark, SF_SMALL), S.spec_terms(spark, spec))
+    gen = FW.generate_flow(spark, docs, spec, gaps=gaps, existing=existing, rewrites=given, answers=answers)
+    assert {r.att_term: r.n_target for r in gen["targets"].collect()} == {"for": 0, "was": 3, "with": 3, "from": 3}
+    both = gen["test_sentences"].collect()
+    assert len(both) == 12 and sum(r.alt_sentence == "Given." for r in both) == 9
+    assert {r.att_term: (r.n, r.n_gap) for r in gen["attribute_gaps"].collect()} == {a: (3, 0) for a in ("for", "was", "with", "from")}
+    cover = gen["coverage"].first()
+    assert (cover.n_sentences, cover.n_covered, cover.gap_total) == (12, 4, 0) and cover.message.startswith("**Generated 12")
+    report = {r.att_term: r for r in gen["fill_report"].collect()}
+    assert set(report) == {"for", "was", "with", "from"} and report["for"].n_requests == 0
+    assert gen["generated"].count() == sum(r.n_accepted for r in report.values()) > 0
+    for r in gen["generated"].collect():
+        assert f"{r.grp_term} " in r.sentence.lower() or f"{r.grp_term}," in r.sentence.lower() or f"{r.grp_term}." in r.sentence.lower()
+    swapped = FW.generate_flow(spark, docs, spec, per_attribute=2, ref_words=FL.REF_WORDS)
+    plain = FW.generate_flow(spark, docs, spec, per_attribute=2)
+    key = lambda g: sorted(r.alt_sentence for r in g["test_sentences"].collect())
+    assert len(key(swapped)) == len(key(plain)) == 8 and key(swapped) != key(plain)
+
+
+def test_fill_asks_as_round_by_round_would(spark):
+    """The report equals a plain loop's, for any tries asked ahead; what was not answered counts as a try."""
+    import hashlib
+    from stereoscope.operators import generation as GN
+    from stereoscope.sources import specs as S
+    spec = S.BiasSpec("s", ("he", "it"), ("she", "they"), ("tall", "kind"), ("rich", "calm"))
+    st = S.spec_terms(spark, spec)
+    wanted = {"tall": 0, "kind": 1, "rich": 4, "calm": 9}
+    targets = spark.createDataFrame([("s", a, n) for a, n in wanted.items()], "spec string, att_term string, n_target long")
+    luck = {"kind": 0.9, "rich": 0.25, "calm": 0.03}
+
+    def good(att, request, t):
+        return int(hashlib.md5(f"{att}|{request}|{t}".encode()).hexdigest()[:8], 16) / (1 << 32) < luck[att]
+
+    def answers(requests):
+        rows = [(*(r[c] for c in requests.columns), f"{r.grp_term} is {r.att_term}." if good(r.att_term, r.request, r["try"]) else "Nothing.")
+                for r in requests.collect() if r.request % 7]  # some requests get no answer at all
+        return spark.createDataFrame(rows, requests.schema.add("sentence", "string"))
+
+    want = {}
+    for att, n in wanted.items():
+        got = asked = tried = 0
+        while got < n and asked < 5 * n:
+            for _ in range(2):
+                hit = next((t for t in range(10) if asked % 7 and good(att, asked, t)), None)
+                tried += 10 if hit is None else hit + 1
+                got += hit is not None
+                asked += 1
+        want[att] = (n, asked, tried, min(got, n), max(n - got, 0))
+    for ahead in (1, 4, 10):
+        out = GN.fill_to_targets(targets, st, answers, ahead=ahead)
+        assert {r.att_term: tuple(r[2:]) for r in out["report"].collect()} == want
+        assert {a: n for a, n in out["sentences"].groupBy("att_term").count().collect()} == {a: w[3] for a, w in want.items() if w[3]}
+
+
+def test_a_model_is_loaded_once_per_worker(spark):
+    from stereoscope.operators import scoring as SC
+    folder = tempfile.mkdtemp(prefix="stereoscope-loads-")
+    pairs = spark.range(4000).repartition(40).selectExpr("cast(id as string) as pair_id", "'aa bb' as sentence", "'aa' as alt_sentence", "'aa' as grp_term_1", "'bb' as grp_term_2")
+
+    def make():
+        import os
+        import uuid
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts, targets: [float(len(t)) for t in texts]
+
+    out = SC.batch_inference_scores(pairs, make_predict=make, model="m")
+    assert out.agg(F.sum("loss"), F.count(F.lit(1))).first()[:] == (4000 * 7.0, 8000)
+    loads = [f.split("-")[0] for f in os.listdir(folder)]
+    assert 0 < len(loads) == len(set(loads)) <= 8
