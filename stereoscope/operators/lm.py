@@ -11,9 +11,10 @@ bigrams (the causal score input). Masked form: for each target token position,
 ln P(t | left) + ln P(right | t), averaged over target tokens.
 
 Counting is a partial (map-side combined) aggregation, so frequent bigrams do
-not skew it. Scoring looks up each bigram in the count tables with left joins;
-rows of frequent words and sentence starts are read by a broadcast lookup of
-proven size, the rest by a shuffle join.
+not skew it. Scoring first makes a table of the different bigrams of what is scored,
+each with its log probability, and then looks the tokens up in it: by a broadcast
+where its checked size allows it, else frequent rows by a broadcast of proven size
+and the rest by a shuffle join.
 """
 
 from __future__ import annotations
@@ -46,13 +47,13 @@ def train(corpus_sentences: DataFrame, text_col: str = "sentence", k: float = 1.
 def of_counts(bigrams: DataFrame, k: float = 1.0) -> BigramLM:
     """The model of given counts (w1, w2, c12)."""
     from stereoscope.session import materialize
-    v, total = bigrams.agg(F.count_distinct("w2"), F.coalesce(F.sum("c12"), F.lit(0))).first()
+    # one row per next token: V and the total from one shuffle of them
+    v, total = bigrams.groupBy("w2").agg(F.sum("c12").alias("c")).agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     return BigramLM(bigrams, materialize(history_counts(bigrams)), float(v), int(total), k)
 
 
 def lm_tokens(text: Column) -> Column:
-    toks = F.split(F.lower(text), "[^a-z]+")
-    return F.filter(toks, lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z]+"), "")
 
 
 def bigram_rows(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -83,30 +84,43 @@ def _as_lm(bigrams, k) -> BigramLM:
 # would be hot keys of a shuffle, are among them.
 FREQUENT = 20_000
 SALTS = 1024
+SMALL_TABLE_BYTES = 64 << 20
 
 
-def _lookup(df: DataFrame, lm: BigramLM, table: DataFrame, on: dict[str, str], count: str, out: str, salt_cols: list[str]) -> DataFrame:
-    """``df`` plus ``out`` = ``count`` of the row of ``table`` that ``on`` (column of df -> of table) names.
-    Rows found among the frequent ones get a key that matches nothing in the shuffle join, spread by salt."""
+def _lookup(df: DataFrame, table: DataFrame, on: list[str], value: str, often: Column, out: str, salt_cols: list[str]) -> DataFrame:
+    """``df`` plus ``out`` = ``value`` of the row of ``table`` with the same ``on`` columns (null if there is none).
+    Rows found among the ``often`` ones, of bounded number, get a key that matches nothing in the shuffle join, spread by salt."""
     names = {c: f"_k{i}" for i, c in enumerate(on)}
-    keyed = table.select(*[F.col(t).alias(names[c]) for c, t in on.items()], F.col(count).alias("_c"))
-    often = F.broadcast(keyed.where(F.col("_c") * FREQUENT >= lm.total).withColumnRenamed("_c", "_f"))
-    probe = df.select("*", *[F.col(c).alias(n) for c, n in names.items()]).join(often, list(names.values()), "left")
-    first = next(iter(names.values()))
+    keyed = table.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(value).alias("_c"), often.alias("_often"))
+    probe = df.select("*", *[F.col(c).alias(n) for c, n in names.items()])
+    probe = probe.join(F.broadcast(keyed.where("_often").drop("_often").withColumnRenamed("_c", "_f")), list(names.values()), "left")
     salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*salt_cols), F.lit(SALTS)).cast("string"))
-    probe = probe.withColumn(first, F.when(F.col("_f").isNotNull(), salt).otherwise(F.col(first)))
-    rare = keyed.where(F.col("_c") * FREQUENT < lm.total)
-    return (probe.join(rare, list(names.values()), "left").withColumn(out, F.coalesce("_f", "_c"))
+    probe = probe.withColumn("_k0", F.when(F.col("_f").isNotNull(), salt).otherwise(F.col("_k0")))
+    return (probe.join(keyed.where(~F.col("_often")).drop("_often"), list(names.values()), "left").withColumn(out, F.coalesce("_f", "_c"))
             .drop("_f", "_c", *names.values()))
 
 
+def bigram_table(probe: DataFrame, lm: BigramLM) -> DataFrame:
+    """(w1, w2, c12, lp): ln P(w2 | w1) of each different bigram of ``probe``, seen or not; kept by a checkpoint.
+
+    Bigrams are made different before the shuffle, so this moves a corpus's vocabulary of bigrams, not its tokens."""
+    from stereoscope.session import materialize
+    wanted = probe.select("w1", "w2").distinct().join(lm.bigrams, ["w1", "w2"], "left")
+    j = _lookup(wanted, lm.hist, ["w1"], "c1", F.col("c1") * FREQUENT >= lm.total, "c1", ["w2"])
+    lp = F.log((F.coalesce("c12", F.lit(0)) + lm.k) / (F.coalesce("c1", F.lit(0)) + lm.k * lm.v))
+    return materialize(j.select("w1", "w2", F.coalesce("c12", F.lit(0)).alias("c12"), lp.alias("lp")))
+
+
 def bigram_logprobs(probe: DataFrame, lm: BigramLM, keep: list[str]) -> DataFrame:
-    """(keep..., lp) with lp = ln P(w2 | w1) for each probe bigram (two left lookups)."""
-    salt = keep + ["bpos"]
-    j = _lookup(probe, lm, lm.bigrams, {"w1": "w1", "w2": "w2"}, "c12", "c12", salt)
-    j = _lookup(j, lm, lm.hist, {"w1": "w1"}, "c1", "c1", salt)
-    return j.select(*keep, F.log((F.coalesce("c12", F.lit(0)) + lm.k)
-                                 / (F.coalesce("c1", F.lit(0)) + lm.k * lm.v)).alias("lp"))
+    """(keep..., lp) with lp = ln P(w2 | w1) for each probe bigram.
+
+    The probe's table of different bigrams is broadcast where its size, which is checked, allows it; else its
+    frequent rows are, and one shuffle join serves the rest."""
+    table = bigram_table(probe, lm)
+    size = table.agg(F.coalesce(F.sum(F.octet_length("w1") + F.octet_length("w2") + 64), F.lit(0))).first()[0]
+    if size <= SMALL_TABLE_BYTES:
+        return probe.join(F.broadcast(table), ["w1", "w2"]).select(*keep, "lp")
+    return _lookup(probe, table, ["w1", "w2"], "lp", F.col("c12") * FREQUENT >= lm.total, "lp", keep).select(*keep, "lp")
 
 
 def sentence_loss(variants: DataFrame, bigrams, keys: list[str], text_col: str = "text",
@@ -132,7 +146,6 @@ def masked_token_scores(variants: DataFrame, bigrams, keys: list[str], text_col:
     """G6 masked form as token logits: for each token of the target term at the term's first whole
     occurrence, ln P(t | left) + ln P(right | t). Output (keys..., subtok_pos, logit)."""
     lm = _as_lm(bigrams, k)
-    k, v = lm.k, lm.v
     toks = variants.select(*keys, F.concat(F.array(F.lit(START)), lm_tokens(F.col(text_col))).alias("t"),
                            lm_tokens(F.col(target_col)).alias("tt"))
     toks = toks.where((F.size("tt") > 0) & (F.size("t") > F.size("tt")))
@@ -143,12 +156,10 @@ def masked_token_scores(variants: DataFrame, bigrams, keys: list[str], text_col:
     rows = rows.select(*keys, "subtok_pos", "tok",
                        F.try_element_at("t", (F.col("first") + F.col("subtok_pos") - 1).cast("int")).alias("left"),
                        F.try_element_at("t", (F.col("first") + F.col("subtok_pos") + 1).cast("int")).alias("right"))
-    salt = keys + ["subtok_pos"]
-    rows = _lookup(rows, lm, lm.bigrams, {"left": "w1", "tok": "w2"}, "c12", "c_l", salt)
-    rows = _lookup(rows, lm, lm.hist, {"left": "w1"}, "c1", "h_l", salt)
-    rows = _lookup(rows, lm, lm.bigrams, {"tok": "w1", "right": "w2"}, "c12", "c_r", salt)
-    rows = _lookup(rows, lm, lm.hist, {"tok": "w1"}, "c1", "h_r", salt)
-    left_lp = F.log((F.coalesce("c_l", F.lit(0)) + k) / (F.coalesce("h_l", F.lit(0)) + k * v))
-    right_lp = F.when(F.col("right").isNull(), F.lit(0.0)).otherwise(
-        F.log((F.coalesce("c_r", F.lit(0)) + k) / (F.coalesce("h_r", F.lit(0)) + k * v)))
-    return rows.select(*keys, F.col("subtok_pos").cast("int").alias("subtok_pos"), (left_lp + right_lp).alias("logit"))
+    side = lambda i, a, b: F.struct(F.lit(i).alias("side"), F.col(a).alias("w1"), F.col(b).alias("w2"))
+    both = rows.select(*keys, "subtok_pos", F.explode(F.array(side(0, "left", "tok"), side(1, "tok", "right"))).alias("b"))
+    both = both.select(*keys, "subtok_pos", "b.*").where(F.col("w2").isNotNull())  # the last token has none to its right
+    lp = bigram_logprobs(both, lm, [*keys, "subtok_pos", "side"])
+    on = lambda i: F.max(F.when(F.col("side") == i, F.col("lp")))
+    return (lp.groupBy(*keys, F.col("subtok_pos").cast("int").alias("subtok_pos"))
+            .agg((on(0) + F.coalesce(on(1), F.lit(0.0))).alias("logit")))

@@ -169,11 +169,12 @@ def test_frequent_words_change_no_score(spark, monkeypatch):
     lm = LM.train(FL.lm_corpus(spark, SF_SMALL))
     lp = FL.labelled_pairs(spark, SF_SMALL)
     got = []
-    for frequent in (0, 50, 10**9):
+    for frequent, whole in ((0, 1 << 40), (0, -1), (50, -1), (10**9, -1)):  # the whole table by broadcast, then parts of it
         monkeypatch.setattr(LM, "FREQUENT", frequent)
+        monkeypatch.setattr(LM, "SMALL_TABLE_BYTES", whole)
         got.append((sorted(tuple(r) for r in SC.lm_causal_scores(lp, lm).collect()),
                     sorted(tuple(r) for r in SC.masked_scores(SC.lm_token_logits(lp, lm)).collect())))
-    assert got[0] == got[1] == got[2]
+    assert all(g == got[0] for g in got)
 
 
 def test_masked_target_is_the_whole_term(spark):
