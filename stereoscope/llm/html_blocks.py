@@ -7,7 +7,7 @@ from a line that has text, and dives where it falls to nothing; lines from a sur
 are kept. Where articles, or else main elements, outside those parts hold most of the page's text outside
 links, lines outside them weigh nothing and any text in them is a surge; elsewhere the bound is ``SURGE`` characters, or the largest sum of the page if that is lower,
 and a container with kept text keeps its shorter lines before and after that text too: a skipped part
-inside it is no gap.
+inside it is no gap. An article's own headings, and its header if it holds one, are its text.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from .common import fresh, slices, text_or_empty
 
 WINDOW = 3  # lines
+SENTENCE_ENDS = (".", "!", "?", ":", "…", "。", '."', ".”", ".)")
 SURGE = 120  # characters in a window, for pages that mark no article
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -35,6 +36,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p",
          "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 ROOTS = {"html", "body", "main"}
 HOLDERS = {"html", "body", "main", "article", "div", "td", "th", "center", "blockquote"}  # containers of lines; other blocks, and holders without blocks, are lines of their holder
 # words in an element's class, id, role or label that mark it as no main text
@@ -75,10 +77,11 @@ def _says(token: str) -> str:
     return words[-1] if words[-1] in WORDS else ""
 
 
-def _skip(name: str, attributes: str) -> str:
+def _skip(name: str, attributes: str, own: bool = False) -> str:
     """Whether an element is no main text: "" nothing says so; "large": unless it holds most of the page's text
-    and articles elsewhere hold little; "others": unless it holds all but a few words of it; "always"."""
-    if name in NEVER:
+    and articles elsewhere hold little; "others": unless it holds all but a few words of it; "always". ``own``: a heading
+    or a header with a heading that stands in an article or main; only what others write is none of its text."""
+    if name in NEVER and not own:
         return "large" if name == "form" else "always"
     if name in ROOTS or not attributes.strip(" /\t\r\n"):
         return ""
@@ -91,6 +94,8 @@ def _skip(name: str, attributes: str) -> str:
     found = {_says(t) for t in (*tokens, said.get("aria-label", ""))} - {""}
     if name == "article":
         found -= {"header", "banner"}
+    if own:
+        found &= OTHERS
     return "" if not found else "others" if not found.isdisjoint(OTHERS) else "large"
 
 
@@ -127,6 +132,20 @@ def _ends(tags: list) -> dict[int, int]:
     return ends
 
 
+def _own(tags: list, ends: dict[int, int]) -> set[int]:
+    """Headings in an article or main, and headers there that hold a heading."""
+    out, depth, headings = set(), 0, []
+    for i, (_, _, name, closes, _) in enumerate(tags):
+        if name in ("article", "main"):
+            depth = max(0, depth + (-1 if closes else 1))
+        elif depth and not closes and name in HEADINGS:
+            out.add(i)
+            headings.append(i)
+        elif depth and not closes and name == "header" and i in ends:
+            out.add(i)
+    return {i for i in out if tags[i][2] in HEADINGS or 0 <= _next(headings, i) < ends[i]}
+
+
 def _past(i: int, page: str, tags: list, ends: dict[int, int], blocks: list[int], roots: list[int]) -> tuple[int, int]:
     """The tag and the place to go on with when the element opened at tag ``i`` is skipped. One that is never
     closed: raw text reaches to the end, a list item or paragraph to the next block, the rest to the article."""
@@ -177,7 +196,7 @@ def _next(places: list[int], i: int) -> int:
 
 
 def _lines(page: str) -> list[list]:
-    """Lines [text, characters outside links, in an article, in a main, tag of the container]."""
+    """Lines [text, characters outside links, in an article, in a main, tag of the container, whether that is the whole page]."""
     tags = _tags(page)
     ends = _ends(tags)
     opener = {b: a for a, b in ends.items()}
@@ -185,7 +204,8 @@ def _lines(page: str) -> list[list]:
     blocks = [i for i, t in enumerate(tags) if t[2] in BLOCK]
     roots = [i for i, t in enumerate(tags) if t[2] in ("article", "main", "body")]
     past = lambda i: _past(i, page, tags, ends, blocks, roots)
-    skip = {i: how for i, (_, _, name, closes, attributes) in enumerate(tags) if not closes and name and name not in VOID and (how := _skip(name, attributes))}
+    own = _own(tags, ends)
+    skip = {i: how for i, (_, _, name, closes, attributes) in enumerate(tags) if not closes and name and name not in VOID and (how := _skip(name, attributes, i in own))}
     sums, in_articles = _sums(page, tags, past, skip)
 
     def skipped(i: int) -> bool:
@@ -208,7 +228,7 @@ def _lines(page: str) -> list[list]:
     def line() -> None:
         nonlocal weight
         if text := " ".join("".join(parts).split()):
-            lines.append([text, weight, inside["article"] > 0, inside["main"] > 0, held[-1]])
+            lines.append([text, weight, inside["article"] > 0, inside["main"] > 0, held[-1], held[-1] < 0 or tags[held[-1]][2] in ("html", "body")])
         parts.clear()
         weight = 0
 
@@ -229,7 +249,7 @@ def _lines(page: str) -> list[list]:
             i, at = past(i)
             if name in BLOCK or name in RAW:
                 line()
-                lines.extend([["", 0, False, False, held[-1]] for _ in range(WINDOW)])
+                lines.extend([["", 0, False, False, held[-1], True] for _ in range(WINDOW)])
             continue
         if name in BLOCK:
             line()
@@ -262,8 +282,9 @@ def _marked(lines: list[list]) -> int:
 
 def _joined(lines: list[list], on: list[bool], bound: int) -> None:
     """Carry kept lines on, in place: a container whose kept lines weigh more than ``bound`` also keeps its
-    lines outside links before and after them, and what stands between, up to ``WINDOW`` lines in a row
-    of links alone. Skipped parts between them are no gap."""
+    lines outside links before and after them, and what stands between. ``WINDOW`` lines in a row of links alone end
+    that, but where the container is not the whole page and lines on both sides of them end as sentences do. Fewer lines of
+    links after the last text stay too, in such a container. Skipped parts between them are no gap."""
     kept: dict[int, int] = {}
     for x, keep in zip(lines, on):
         if keep:
@@ -278,14 +299,20 @@ def _joined(lines: list[list], on: list[bool], bound: int) -> None:
         if x[1] and kept.get(x[4], 0) > bound:
             places.setdefault(x[4], []).append(k)
     spans = [0] * (len(lines) + 1)
-    for mine in places.values():
-        first = 0
-        for k, at in enumerate(mine):
-            if k + 1 == len(mine) or linked[mine[k + 1]] > linked[at]:
-                if any(on[p] for p in mine[first : k + 1]):
-                    spans[mine[first]] += 1
-                    spans[at + 1] -= 1
-                first = k + 1
+    for holder, mine in places.items():
+        groups, page = [[mine[0]]], lines[mine[0]][5]
+        told = [p for p in mine if lines[p][0].endswith(SENTENCE_ENDS)]
+        for before, at in zip(mine, mine[1:]):
+            if linked[at] > linked[before] and (page or not told or told[0] > before or told[-1] < at):
+                groups.append([])
+            groups[-1].append(at)
+        for group in groups:
+            if any(on[p] for p in group):
+                end = last = group[-1] + 1
+                while not page and end < len(lines) and lines[end][4] == holder and lines[end][0] and not lines[end][1]:
+                    end += 1
+                spans[group[0]] += 1
+                spans[end if end - last < WINDOW else last] -= 1
     for k, depth in enumerate(accumulate(spans[:-1])):
         on[k] = on[k] or depth > 0
 
@@ -313,7 +340,8 @@ def extracted(pages: DataFrame, html_col: str = "html", out: str = "text") -> Da
     """``pages`` plus ``out``, the main text of ``html_col``, which is left out.
 
     A null or empty page, and one without main text, gives the empty text. Broken markup never fails:
-    unclosed tags, comments and scripts reach to where a browser would let them. Whole pages are read.
+    unclosed tags, comments and scripts reach to where a browser would let them. Whole pages are read. Pages are
+    judged one by one, so repeated rows and ties change nothing; other columns stay, whatever their names. An empty table gives no rows.
     """
     names = [c for c in pages.columns if c not in (html_col, out)]
     source = fresh(pages, "_html")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, worker_state
-from .units import UnitCache
+from .units import BatchCache
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -39,7 +39,7 @@ class _Encoder:
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the byte alphabet of this tokenizer kind
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.cache = UnitCache(self.unit, self.piece, entries=500_000)
+        self.cache = BatchCache(self.unit, self.piece, entries=400_000)
 
     def unit(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -61,17 +61,13 @@ class UnitCache(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.old.get(unit)
         if ids is None:
-            word = unit.lstrip(" ")
-            if word.isascii() and word.isalpha() and len(unit) - len(word) < 2:  # most units, without the pattern's cost
+            plain = PLAIN.fullmatch(unit)
+            if not plain:
+                ids = self.encode(unit)
+            elif not plain[2]:
                 ids = self.encode_piece(unit)
             else:
-                plain = PLAIN.fullmatch(unit)
-                if not plain:
-                    ids = self.encode(unit)
-                elif not plain[2]:
-                    ids = self.encode_piece(unit)
-                else:
-                    ids = self[plain[1]] + self[plain[2]]
+                ids = self[plain[1]] + self[plain[2]]
         if len(unit) <= self.longest:
             if len(self) >= self.entries:
                 self.old = self._age(self)
@@ -84,6 +80,46 @@ class UnitCache(dict):
             return b"".join(map(self.__getitem__, CUT.split(text)))
         return self["\n"].join(map(self._line, text.split("\n")))
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self[first] + b"".join(map(self.blank.__getitem__, rest)) if rest else self[first]
+
+
+class _AfterBlank(dict):
+    """The same for units that begin with a blank, by what follows the blank."""
+
+    def __init__(self, all_units: UnitCache):
+        super().__init__()
+        self.all, self.old = all_units, {}
+
+    def __missing__(self, rest: str) -> bytes:
+        ids = self.old.get(rest)
+        if ids is None:
+            unit = " " + rest
+            plain = PLAIN.fullmatch(unit)
+            if plain and plain[2]:
+                ids = self[plain[1][1:]] + self.all[plain[2]]
+            elif plain:
+                ids = self.all.encode_piece(unit)
+            else:
+                ids = self.all.encode(unit)
+        if len(rest) < self.all.longest:
+            if len(self) >= self.all.entries:
+                self.old = self.all._age(self)
+            self[rest] = ids
+        return ids
+
+
+class BatchCache(UnitCache):
+    """The same for many texts at once."""
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit not in self.old:
+            word = unit.lstrip(" ")
+            if word.isascii() and word.isalpha() and len(unit) - len(word) < 2:  # most units, without the pattern's cost
+                self.old[unit] = self.encode_piece(unit)  # where the next line looks
+        return super().__missing__(unit)
+
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has.
 
@@ -113,32 +149,3 @@ class UnitCache(dict):
             parts += [out[done:bounds[k]], own]
             done, counts[k] = bounds[k], len(own)
         return (np.concatenate([*parts, out[done:]]) if parts else out), counts
-
-    def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return self[first] + b"".join(map(self.blank.__getitem__, rest)) if rest else self[first]
-
-
-class _AfterBlank(dict):
-    """The same for units that begin with a blank, by what follows the blank."""
-
-    def __init__(self, all_units: UnitCache):
-        super().__init__()
-        self.all, self.old = all_units, {}
-
-    def __missing__(self, rest: str) -> bytes:
-        ids = self.old.get(rest)
-        if ids is None:
-            unit = " " + rest
-            plain = PLAIN.fullmatch(unit)
-            if plain and plain[2]:
-                ids = self[plain[1][1:]] + self.all[plain[2]]
-            elif plain:
-                ids = self.all.encode_piece(unit)
-            else:
-                ids = self.all.encode(unit)
-        if len(rest) < self.all.longest:
-            if len(self) >= self.all.entries:
-                self.old = self.all._age(self)
-            self[rest] = ids
-        return ids

@@ -227,3 +227,26 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, "u", "x"), (2, "", None, "x"), (2, "<p>b</p>", "u", None), (None, "<article><p>é</p>", "u", "x")], "page_id long, html string, url string, _html string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_blocks.extracted(df).collect()) == [(0, "é"), (1, ""), (2, ""), (2, "b")]
     assert html_blocks.extracted(df.limit(0)).count() == 0
+
+
+PARA = "A long paragraph of the main text, with more than enough words to be a surge by itself, as articles have them. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    # an article's own header holds its heading; the page's header does not
+    (f"<body><header>Site</header><article><header><h1>Title</h1><p>By A. Writer</p></header><p>{PARA}</p></article></body>", ["Title", "By A. Writer", PARA]),
+    (f"<body><header><h1>Site</h1></header><main><header class=entry-header><h1>Title</h1></header><p>{PARA}</p></main></body>", ["Title", PARA]),
+    (f"<body><article><header><nav>menu</nav></header><p>{PARA}</p></article></body>", [PARA]),
+    # a heading in the article stays, whatever its class says of its looks; one over what others write goes
+    (f"<article><h2 class=notice-title>Notice of change</h2><p>{PARA}</p><h2 class=comments-title>Comments</h2></article>", ["Notice of change", PARA]),
+    (f"<article><h2 hidden>Gone</h2><p>{PARA}</p></article>", [PARA]),
+    # lines of links between and after the text of an unmarked container
+    (f"<div><p>{PARA}</p><p><a href=x>The whole report</a></p></div><div><a href=y>elsewhere</a></div>", [PARA, "The whole report"]),
+    (f"<div><p>{PARA}</p><ul>" + "".join(f"<li><a href={k}>Item {k}</a>" for k in range(5)) + "</ul><p>That is all.</p></div>", [PARA, *[f"Item {k}" for k in range(5)], "That is all."]),
+    (f"<div><p>{PARA}</p><ul class=menu>" + "".join(f"<li><a href={k}>Item {k}</a>" for k in range(5)) + "</ul><p>That is all.</p></div>", [PARA, "That is all."]),
+    (f"<div><p>{PARA}</p><ul>" + "".join(f"<li><a href={k}>Item {k}</a>" for k in range(5)) + "</ul></div>", [PARA]),
+    # lines that lie on the page itself: a row of links ends them
+    (f"<body><p>{PARA}</p><ul>" + "".join(f"<li><a href={k}>Item {k}</a>" for k in range(5)) + "</ul><p>Copyright</p></body>", [PARA]),
+])
+def test_headings_and_links_that_belong_to_the_text(page, want):
+    assert main_text(page) == "\n".join(w.strip() for w in want)
