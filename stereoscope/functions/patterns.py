@@ -1,14 +1,14 @@
-"""Fixed patterns and constants.
+"""Patterns and constants.
 
-FIXED VALUES: these must equal the measured tool's behaviour for results to
+FIXED VALUES: those below the line so named must equal the measured tool's behaviour for results to
 match. Spark (Java regex) forms first; the DuckDB (RE2) forms used by the
 oracle SQL sit next to them.
 """
 
-# --- fixed values -----------------------------------------------------------
-# sentence split of documents
+# sentence split of documents: this library's own choice
 SENTENCE_SPLIT = r"[.!?\n]+"
 
+# --- fixed values -----------------------------------------------------------
 # characters that may follow a keyword in an accepted sentence
 KEYWORD_FOLLOW = "[ .,!]"
 

@@ -2,13 +2,15 @@
 
 Plan shape: documents -> posexplode(split) -> sentences that hold a word key of a
 group term and one of an attribute term -> the spec's terms looked up by word key
-inside the row (an index of the spec, one value per query) -> the exact pattern for
+inside the row (an index of the spec, a constant of the query) -> the exact pattern for
 terms that contain a separator -> one row per pair. No shuffle, no join and no
 Python on the path, so a frequent term or a hot key costs nothing extra.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,31 +55,38 @@ def candidate_words(sentences: DataFrame, cols: list[str]) -> DataFrame:
     return sentences.select(*cols, low.alias("ls"), F.explode(sentence_keys(low)).alias("key"))
 
 
-def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
-    """One row per (spec, sentence, group term, attribute term) found with strict boundaries.
+TERM_INDEX = "map<string, array<struct<spec: string, term: string, side: int, pos: int, simple: boolean, accept_re: string>>>"
 
-    Output: spec, doc_id, sent_pos, sentence, grp_term, grp_side, grp_pos, att_term, att_side, att_pos.
-    """
-    tk = term_keys(spec_terms)
 
-    def index(axis: str) -> Column:
-        """The spec's terms of one axis by word key: one value, of the spec's size."""
-        term = F.struct("spec", "term", "side", "pos", "simple", "accept_re")
-        by_key = tk.where(F.col("axis") == axis).groupBy("key").agg(F.collect_list(term).alias("terms"))
-        return by_key.agg(F.map_from_entries(F.collect_list(F.struct("key", "terms")))).scalar()
+def _term_index(spec_terms: DataFrame, axis: str) -> tuple[list[str], Column]:
+    """The word keys of the spec's terms of one axis, and those terms by key, a constant of the spec's size.
+
+    The spec is a parameter, so its terms are read while the query is made, as a filter's values are."""
+    rows = term_keys(spec_terms.where(F.col("axis") == axis)).drop("axis").distinct().orderBy("spec", "side", "pos", "term").collect()
+    by_key: dict[str, list[dict]] = {}
+    for r in rows:
+        by_key.setdefault(r.key, []).append({c: r[c] for c in ("spec", "term", "side", "pos", "simple", "accept_re")})
+    return list(by_key), F.from_json(F.lit(json.dumps(by_key)), TERM_INDEX)
 
-    def keys_of(axis: str) -> Column:
-        return tk.where(F.col("axis") == axis).agg(F.collect_set("key")).scalar()
 
-    def found(by_key: str) -> Column:
-        terms = F.flatten(F.filter(F.transform("keys", lambda k: F.col(by_key)[k]), lambda t: t.isNotNull()))
-        return F.filter(terms, lambda t: t["simple"] | F.regexp_like(F.col("ls"), t["accept_re"]))
+def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
+    """One row per (spec, sentence, group term, attribute term) found with strict boundaries.
 
+    Output: spec, doc_id, sent_pos, sentence, grp_term, grp_side, grp_pos, att_term, att_side, att_pos.
+    """
+    groups, group_terms = _term_index(spec_terms, "group")
+    attributes, attribute_terms = _term_index(spec_terms, "attribute")
     low = F.lower("sentence")
     s = sentences.select("doc_id", "sent_pos", "sentence", low.alias("ls"), sentence_keys(low).alias("keys"))
-    s = s.where(F.arrays_overlap("keys", keys_of("group")) & F.arrays_overlap("keys", keys_of("attribute")))
-    s = s.withColumn("by_g", index("group")).withColumn("by_a", index("attribute"))
-    s = s.select("doc_id", "sent_pos", "sentence", found("by_g").alias("g"), found("by_a").alias("a"))
+    # a word is looked up in a set of the keys; a sentence has few that are in it
+    for axis, keys in (("group_keys", groups), ("attribute_keys", attributes)):
+        s = s.withColumn(axis, F.filter("keys", lambda k: k.isin(keys))).where(F.size(axis) > 0)
+
+    def found(keys: str, terms: Column) -> Column:
+        all_ = F.flatten(F.transform(keys, lambda k: terms[k]))
+        return F.filter(all_, lambda t: t["simple"] | F.regexp_like(F.col("ls"), t["accept_re"]))
+
+    s = s.select("doc_id", "sent_pos", "sentence", found("group_keys", group_terms).alias("g"), found("attribute_keys", attribute_terms).alias("a"))
     rows = (s.select("doc_id", "sent_pos", "sentence", F.explode("g").alias("g"), "a")
             .select("doc_id", "sent_pos", "sentence", "g", F.explode("a").alias("a")).where("g.spec = a.spec"))
     return rows.select(F.col("g.spec").alias("spec"), "doc_id", "sent_pos", "sentence",
