@@ -91,6 +91,29 @@ def located(docs: DataFrame) -> DataFrame:
     return _placed(docs)
 
 
+SIEVE_BITS = 1 << 26  # a sieve takes an eighth of it in bytes, whatever the number of places
+
+
+def _sieve_bit(file: Column, row: Column) -> Column:
+    return F.pmod(F.xxhash64(file, row), F.lit(SIEVE_BITS)) + 1
+
+
+def sieve(places: DataFrame, file: str = "file", row: str = "row") -> DataFrame:
+    """A set of places as bits: at most ``SIEVE_BITS / 32768`` rows of 4 KB, so it may be sent to every executor."""
+    bit = _sieve_bit(F.col(file), F.col(row))
+    return places.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+
+
+def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``located`` rows plus ``_met``: false only for places that the sieve does not hold. A place that it
+    does not hold is met by chance, more often the fuller it is, so what is met still needs its exact join."""
+    bit = _sieve_bit(F.col("_file"), F.col("_row"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(bit) == F.col("_bucket"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("_met"))
+
+
 def worker_state() -> dict:
     """What a Python worker keeps from one task to the next (caches of bounded size)."""
     name = "_stereoscope_llm_worker"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, on_files, staged, without_spaces, work_dir
+from .common import located, on_files, sieve, sifted, staged, without_spaces, work_dir
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -92,38 +92,47 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     return joined.select("digest", "rank", best.alias("best"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), (F.col("rank") == best).alias("kept"))
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, text_col: str, places: DataFrame) -> DataFrame:
+    """``places`` (``file``, ``row`` and more) with the ``bytes`` of the text there. Only texts that the
+    places' sieve lets through are exchanged."""
     text = F.coalesce(F.col(f"_doc.`{text_col}`").cast("string"), F.lit(""))
-    return located(docs).select(F.col("_file").alias("file"), F.col("_row").alias("row"), without_spaces(text).cast("binary").alias("bytes"))
+    near = sifted(located(docs), sieve(places)).filter("_met")
+    texts = near.select(F.col("_file").alias("file"), F.col("_row").alias("row"), without_spaces(text).cast("binary").alias("bytes"))
+    return places.join(texts, ["file", "row"])
 
 
 def _clashes(docs: DataFrame, text_col: str, joined: DataFrame) -> DataFrame:
     """Digests under which a hit's bytes differ from the kept content's bytes.
 
-    Only texts of groups with hits move. A kept text is sent once per ``SPLIT`` hits of its group, and each
-    hit meets one of them, so no task holds a large group.
+    Only texts of groups with hits move, and those few that share a bit of the sieve with one. A kept text is
+    sent once per ``SPLIT`` hits of its group, and each hit meets one of them, so no task holds a large group.
     """
-    place = lambda r: [F.col(f"{r}.file").alias("file"), F.col(f"{r}.row").alias("row")]
     pieces = F.ceil(F.col("n") / SPLIT).cast("int")
-    hits = joined.filter("n > 1 and rank != best").select("digest", *place("rank"), F.pmod(F.xxhash64("rank"), pieces).cast("int").alias("piece"))
-    kept = joined.filter("n > 1 and rank = best").select("digest", *place("rank"), pieces.alias("pieces"))
-    texts = _texts(docs, text_col)
-    mine = hits.join(texts, ["file", "row"]).select("digest", "piece", F.col("bytes").alias("mine"))
-    theirs = kept.join(texts, ["file", "row"]).select("digest", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("bytes").alias("theirs"))
+    own = F.when(F.col("rank") != F.col("best"), F.pmod(F.xxhash64("rank"), pieces).cast("int"))
+    members = joined.filter("n > 1").select("digest", F.col("rank.file").alias("file"), F.col("rank.row").alias("row"), pieces.alias("pieces"), own.alias("piece"))
+    texts = staged(_texts(docs, text_col, staged(members, "members")), "compared")
+    mine = texts.filter("piece is not null").select("digest", "piece", F.col("bytes").alias("mine"))
+    theirs = texts.filter("piece is null").select("digest", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("bytes").alias("theirs"))
     return staged(mine.join(theirs, ["digest", "piece"]).filter("mine != theirs").select("digest").distinct(), "clashes")
 
 
 def _by_bytes(docs: DataFrame, text_col: str, joined: DataFrame, clash: DataFrame) -> DataFrame:
     """Regroup the rows of digests that clash by their bytes; the rest stay as they are."""
     rows = joined.join(clash, "digest", "left_semi").select("digest", "rank", F.col("rank.file").alias("file"), F.col("rank.row").alias("row"))
-    rows = rows.join(_texts(docs, text_col), ["file", "row"])
+    rows = _texts(docs, text_col, rows)
     groups = rows.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("best"))
     regrouped = rows.join(groups, "bytes").select("digest", "rank", "n", "best")
     return joined.join(clash, "digest", "left_anti").select("digest", "rank", "n", "best").unionByName(regrouped)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each group of equal texts; all columns stay."""
+    """``docs`` without all but one row of each group of equal texts; all columns stay.
+
+    Rows that the sieve of the dropped places does not meet stay where they are; only the others are exchanged.
+    """
     docs = on_files(docs)
-    stay = decisions(docs, id_col, text_col).filter("kept").select(F.col("rank.file").alias("_file"), F.col("rank.row").alias("_row"))
-    return located(docs).join(stay, ["_file", "_row"], "left_semi").select("_doc.*")
+    place = [F.col("rank.file").alias("_file"), F.col("rank.row").alias("_row")]
+    gone = staged(decisions(docs, id_col, text_col).filter("not kept").select(*place), "dropped")
+    rows = sifted(located(docs), sieve(gone, "_file", "_row"))
+    checked = rows.filter("_met").join(gone, ["_file", "_row"], "left_anti")
+    return rows.filter("not _met").select("_doc.*").unionAll(checked.select("_doc.*"))

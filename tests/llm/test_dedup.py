@@ -5,6 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from stereoscope.llm import components, exact_dedup, simhash
+from stereoscope.llm import common
 from stereoscope.llm.common import on_files, work_dir
 
 from .conftest import ODD
@@ -63,6 +64,32 @@ def test_all_columns_stay(spark, clashing):
     assert out.count() == len(brute_groups([(r[0], r[1]) for r in ODD]))
 
 
+def test_the_sieve_loses_no_place(spark, small, monkeypatch):
+    """Every place put in is met, others only by chance; a tiny sieve, full of bits, changes no result."""
+    rows = common.located(small[0])
+    own = rows.filter("_doc.doc_id % 7 = 0").select("_file", "_row")
+    met = {r["doc_id"]: r["_met"] for r in common.sifted(rows, common.sieve(own, "_file", "_row")).select("_doc.doc_id", "_met").collect()}
+    assert len(met) == len(small[1]) and {i for i, m in met.items() if m} == {i for i, _ in small[1] if i % 7 == 0}
+    monkeypatch.setattr(common, "SIEVE_BITS", 4)
+    assert all(r["_met"] for r in common.sifted(rows, common.sieve(own, "_file", "_row")).filter("_doc.doc_id % 7 = 0").collect())
+    check(spark, *small)
+    assert exact_dedup.deduplicated(small[0]).count() == len(brute_groups(small[1]))
+
+
+def test_only_texts_of_groups_are_compared(spark, monkeypatch):
+    """Of a table with few copies, the texts of the groups alone are exchanged."""
+    seen = {}
+
+    def staged(df, name):
+        seen[name] = common.staged(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(exact_dedup, "staged", staged)
+    df = spark.range(0, 1000, 1, 4).selectExpr("id as doc_id", "concat('text ', if(id % 100 = 0, -1, id)) as text")
+    out = exact_dedup.deduplicated(df)
+    assert out.count() == 991 and seen["compared"].count() == 10 and seen["dropped"].count() == 9
+
+
 def test_state_goes_on_with_new_files(spark, odd):
     """A second batch of signatures meets the state that the first one left."""
     source, state = work_dir(spark, "t-sig"), work_dir(spark, "t-state")
