@@ -8,10 +8,10 @@ documents are taken alike and the words taken stay near the target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, staged
+from .common import located, n_words, on_files, staged
 from .prefix import global_prefix
 
 MOST = 2  # no target above so many times its source's size
@@ -45,9 +45,10 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def copies(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), seed: int = 7,
-           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", place: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, ``source``, ``size`` (words; null text 0), ``source_size``, ``target``
-    and ``copies`` (how often the mix emits it, at most ``MOST``), with ``_hash`` (of the text).
+    and ``copies`` (how often the mix emits it, at most ``MOST``), with ``_hash`` (of the text) and the
+    columns ``place``, which tell fully equal rows apart where they are given.
 
     Null sources form one source, the last. Rows are ordered by size, then by id
     and text, so reruns and recomputed tasks agree; fully equal rows may take either place. Documents
@@ -56,15 +57,15 @@ def copies(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1
     """
     text = F.col(text_col).cast("string")
     sized = staged(docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"),
-                               F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("_hash")), "sizes")
+                               F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("_hash"), *place), "sizes")
     targets = staged(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights), "targets")
-    order = [F.col("size"), F.col(id_col), F.col("_hash")]
+    order = [F.col("size"), F.col(id_col), F.col("_hash"), *map(F.col, place)]
     ranked, _ = global_prefix(sized.withColumn("_one", F.lit(1).cast("long")), order, {"_rank": "_one"}, group=["source"])
     joined = ranked.alias("d").join(F.broadcast(targets).alias("t") if few(targets) else targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(F.lit(0.0))
     start = offset(F.col("d.source"), seed)
     n = F.floor(start + (F.col("d._rank") + 1) * rate) - F.floor(start + F.col("d._rank") * rate)
-    return joined.select(F.col(f"d.{id_col}"), "d.source", "d.size", "t.source_size", "t.target", n.cast("int").alias("copies"), "d._hash")
+    return joined.select(F.col(f"d.{id_col}"), "d.source", "d.size", "t.source_size", "t.target", n.cast("int").alias("copies"), "d._hash", *[F.col(f"d.{p}") for p in place])
 
 
 def few(targets: DataFrame, rows: int = 10_000) -> bool:
@@ -73,22 +74,13 @@ def few(targets: DataFrame, rows: int = 10_000) -> bool:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it.
+    """``docs`` with every row repeated as often as the mix takes it; all columns stay.
 
-    Rows equal in id, source and text are numbered, and the first takes the most copies of them.
+    Each row is told by its place in the files, so rows equal in id, source and text, however many, are taken
+    one by one like any others. An empty table, and one whose texts have no words, gives no rows.
     """
-    taken = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    key = ["_k_id", "_k_source", "_k_hash"]
-
-    def keyed(df: DataFrame, id_: Column, source: Column, hash_: Column) -> list[Column]:
-        none = F.lit("\x00null")
-        return [F.coalesce(id_.cast("string"), none).alias("_k_id"), F.coalesce(source, none).alias("_k_source"), hash_.alias("_k_hash")]
-
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
-                       *keyed(docs, F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())))
-    mine = taken.select("copies", *keyed(taken, F.col(id_col), F.col("source"), F.col("_hash")))
-    rows = rows.withColumn("_k_n", F.row_number().over(Window.partitionBy(*key).orderBy("_k_hash")))
-    mine = mine.withColumn("_k_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies")))).filter("copies > 0")
-    both = rows.join(mine, [*key, "_k_n"])
+    docs, place = on_files(docs), ("_file", "_row")
+    own = located(docs).select(*[F.col(f"_doc.`{c}`").alias(c) for c in dict.fromkeys((id_col, text_col, source_col))], *place)
+    taken = copies(own, id_col=id_col, text_col=text_col, source_col=source_col, place=place, **how).filter("copies > 0").select(*place, "copies")
+    both = located(docs).join(taken, list(place))
     return both.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_doc.*")

@@ -72,6 +72,21 @@ def test_copies_follow_expectation(spark):
     assert n == {1: 1500, 2: 1500}
 
 
+def test_a_row_repeated_often_is_mixed_like_others(spark):
+    """Fully equal rows, a null id among them, are emitted as often as their copies say; no window holds the texts."""
+    same = spark.range(0, 2000, 1, 4).selectExpr("cast(null as long) as doc_id", "'one two three' as text", "'s' as source", "id % 2 as extra")
+    rest = spark.range(0, 1000, 1, 4).selectExpr("id as doc_id", "'four five' as text", "if(id % 2 = 0, 's', 't') as source", "0L as extra")
+    df = same.unionByName(rest)
+    want = collections.Counter()
+    for r in mixing.copies(df).collect():
+        want[r["doc_id"]] += r["copies"]
+    out = mixing.mixed(df)
+    got = collections.Counter(r["doc_id"] for r in out.collect())
+    assert got == +want and out.columns == df.columns
+    assert got[None] > 2000 and out.filter("doc_id is null").select("extra").distinct().count() == 2
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def check_shards(df, rows, n):
     got = sharding.shards(df, n).collect()
     want = sorted((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in rows)
