@@ -17,8 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import fold, slices, staged, text_or_empty, worker_state
 from .text_stats import training_labels
@@ -184,20 +186,22 @@ def learn_exceptions(train: DataFrame, lexicon: Lexicon) -> list[str]:
     return [r["phrase"] for r in harmless.orderBy(F.desc("clean"), "phrase").limit(MOST_ENTRIES).collect()]
 
 
-def weighed(rows: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """``rows`` (``_text`` and ``keep``) to ``keep``, ``weight`` (of all matches) and ``n_words``."""
+def weighed(rows: DataFrame, lexicon: Lexicon, keep: list[str], inside: int | None = None) -> DataFrame:
+    """``rows`` (``_text`` and ``keep``) to ``keep``, ``weight`` (of all matches) and ``n_words``. Where the text
+    is a field of ``_doc`` anyway, ``inside`` is that field's number, and it is not sent to Python twice."""
     schema = rows.select(*keep).schema.add("weight", "double").add("n_words", "long")
     key = f"{hash((tuple(sorted(lexicon.weights.items())), tuple(lexicon.exceptions)))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _automaton(lexicon, key)
         for batch in slices(batches):
-            words = (folded_words(t) for t in batch.column("_text").to_pylist())
+            texts = batch.column("_text") if inside is None else pc.struct_field(batch.column("_doc"), [inside])
+            words = (folded_words(t or "") for t in texts.to_pylist())
             got = [(math.fsum(w for w, _ in hits(found, ws).values()), len(ws)) for ws in words]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64())],
                                              names=[*keep, "weight", "n_words"])
 
-    return rows.select(*keep, "_text").mapInArrow(run, schema)
+    return rows.select(*keep, *(["_text"] if inside is None else [])).mapInArrow(run, schema)
 
 
 def _inputs():
@@ -235,7 +239,9 @@ def calibrate(rows: DataFrame) -> tuple[float, float, float]:
 def _scored(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: str, id_col: str, text_col: str, exceptions: tuple[str, ...],
             training_rows: int, keep: tuple[str, ...]) -> DataFrame:
     """``_doc`` (id and ``keep``), ``held_out``, ``score``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{k}`") for k in dict.fromkeys((id_col, *keep))]).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    fields = list(dict.fromkeys((id_col, *keep)))
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{k}`") for k in fields]).alias("_doc"), text_or_empty(text_col).alias("_text"))
+    inside = fields.index(text_col) if text_col in fields and isinstance(docs.schema[text_col].dataType, StringType) else None
     known = training_labels(labels, label, fold(id_col, folds) != held, training_rows, id_col).select(F.col(id_col).alias("_id"), "y")
     train = staged(rows.select(F.col("_id").cast("long").alias("_id"), "_text").join(F.broadcast(known), "_id"), "training")
     given = [" " + " ".join(folded_words(p)) + " " for p in exceptions]
@@ -244,7 +250,7 @@ def _scored(docs: DataFrame, labels: DataFrame, folds: int, held: int, label: st
     base, by_weight, by_length = calibrate(weighed(train, lexicon, ["y"]))
     a, b = _inputs()
     score = 1 / (1 + F.exp(-(F.lit(base) + a * by_weight + b * by_length)))
-    return weighed(rows, lexicon, ["_id", "_doc"]).select("_doc", (fold("_id", folds) == held).alias("held_out"), score.alias("score"))
+    return weighed(rows, lexicon, ["_id", "_doc"], inside).select("_doc", (fold("_id", folds) == held).alias("held_out"), score.alias("score"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, label: str = "toxic", threshold: float = 0.7, id_col: str = "doc_id",

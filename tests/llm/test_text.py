@@ -159,6 +159,17 @@ def test_toxicity_of_odd_rows(spark, odd, none, labels, clashing):
     assert kept.columns == clashing.columns and kept.count() == len(ODD)
 
 
+def test_rejected_documents_are_those_that_score_high(spark, odd, larger):
+    """The filter, which reads the text inside the kept document, and the scores agree; null texts stay."""
+    docs, labels = larger
+    docs = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1_000_000), allowMissingColumns=True)
+    high = {r["doc_id"] for r in toxicity.scored(docs, labels).filter("predicted = 1").collect()}
+    out = toxicity.without_toxic(docs, labels)
+    assert high and out.columns == docs.columns
+    assert out.exceptAll(docs).count() == 0
+    assert sorted(r["doc_id"] for r in docs.exceptAll(out).collect()) == sorted(high)
+
+
 def test_pages_of_the_tables(spark):
     """These pages put the main text into one article of headings and paragraphs."""
     pages = spark.read.parquet(f"{SF}/pages.parquet")
