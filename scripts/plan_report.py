@@ -3,7 +3,7 @@
 For each query: shuffles (Exchange hashpartitioning / range / single), broadcast
 exchanges, join kinds, windows and partial window-group limits, generators,
 Python evaluation, and the parquet scans' pushed filters and read schemas.
-usage: python scripts/plan_report.py [sf_dir] > docs/PLANS.md
+usage: python scripts/plan_report.py [sf_dir [query ...]] > docs/PLANS.md
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from stereoscope.plans import catalog  # noqa: E402
 from stereoscope.session import get_session  # noqa: E402
 
 COUNTS = [
@@ -54,7 +54,8 @@ def main():
           "generators | python |")
     print("|---|" + "---|" * 11)
     scans = {}
-    for name, fn in E.queries().items():
+    for name in sys.argv[2:] or catalog.QUERIES:
+        fn = catalog.QUERIES[name]
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         s = summarize(plan)
         scans[name] = s["scans"]
