@@ -27,14 +27,16 @@ def variant_rows(pairs: DataFrame, keys=("pair_id",)) -> DataFrame:
 
 
 def lm_variant_scores(pairs: DataFrame, bigrams: DataFrame, model: str = "bigram-lm") -> DataFrame:
-    """G6 -> variant_scores for every pair."""
-    loss = LM.sentence_loss(variant_rows(pairs), bigrams, ["pair_id", "variant"], text_col="text")
-    return loss.select("pair_id", F.col("variant").cast("int").alias("variant"), F.lit(model).alias("model"), "loss")
+    """G6 -> variant_scores for every pair (or for the units of pairs that the model was trained with)."""
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), F.col(f"l{i}").alias("loss")) for i in (0, 1)]))
+    loss = LM.pair_losses(pairs, bigrams).select("pair_id", both.alias("v")).where(F.col("v.loss").isNotNull())
+    return loss.select("pair_id", F.col("v.variant").alias("variant"), F.lit(model).alias("model"), F.col("v.loss").alias("loss"))
 
 
 def lm_causal_scores(pairs: DataFrame, lm, model: str = "bigram-lm") -> DataFrame:
-    """G6 + G1 fused for the built-in LM: (pair_id, model, r0, r1) from one aggregation by pair."""
-    l = LM.pair_losses(variant_rows(pairs), lm)
+    """G6 + G1 fused for the built-in LM: (pair_id, model, r0, r1) from one aggregation by pair
+    (or by the units of pairs that the model was trained with)."""
+    l = LM.pair_losses(pairs, lm)
     m = F.greatest("l0", "l1")
     return l.select("pair_id", F.lit(model).alias("model"), (m - F.col("l0")).alias("r0"), (m - F.col("l1")).alias("r1"))
 

@@ -78,12 +78,12 @@ def q_lm_bigrams(spark, sf_dir):
 @register("lm_sentence_loss", O.with_ctes(SPEC, *O.pipeline(SPEC, "losses"), body="""
 SELECT pair_id, variant, 'bigram-lm' AS model, loss FROM losses"""))
 def q_lm_sentence_loss(spark, sf_dir):
-    return SC.lm_variant_scores(FL.materialize(FL.labelled_pairs(spark, sf_dir)), FL.language_model(spark, sf_dir), FL.LM_MODEL)
+    return FL.lm_variant_scores(spark, sf_dir)
 
 
 @register("score_causal", O.with_ctes(SPEC, *O.pipeline(SPEC, "losses"), body="SELECT pair_id, model, r0, r1 FROM causal"))
 def q_score_causal(spark, sf_dir):
-    return SC.causal_scores(SC.lm_variant_scores(FL.materialize(FL.labelled_pairs(spark, sf_dir)), FL.language_model(spark, sf_dir)))
+    return SC.causal_scores(FL.lm_variant_scores(spark, sf_dir))
 
 
 @register("pair_winner", O.with_ctes(SPEC, *O.pipeline(SPEC, "scored"), body="""

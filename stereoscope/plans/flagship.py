@@ -18,7 +18,7 @@ from stereoscope.operators import metrics as M
 from stereoscope.operators import mining as MI
 from stereoscope.operators import pairs as PR
 from stereoscope.operators import scoring as SC
-from stereoscope.operators.lm import BigramLM, train, train_bigrams
+from stereoscope.operators.lm import BigramLM, pair_units, train, train_bigrams
 from stereoscope.session import materialize  # noqa: F401  (used by the plans through this module)
 from stereoscope.sources import specs as S
 from stereoscope.sources import tables as TB
@@ -81,9 +81,9 @@ def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_bigrams(lm_corpus(spark, sf_dir))
 
 
-def language_model(spark: SparkSession, sf_dir: str) -> BigramLM:
-    """Train the bigram LM once per job (counts checkpointed)."""
-    return train(lm_corpus(spark, sf_dir))
+def language_model(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> BigramLM:
+    """Train the bigram LM once per job (counts checkpointed); ``units``, which it will score, may be named to it."""
+    return train(lm_corpus(spark, sf_dir), units=units)
 
 
 def held_out_model(spark: SparkSession, sf_dir: str) -> BigramLM:
@@ -91,6 +91,12 @@ def held_out_model(spark: SparkSession, sf_dir: str) -> BigramLM:
     return train(MI.split_sentences(TB.conversations(spark, sf_dir), id_col="conv_id"))
 
 
+def lm_variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of both variants of every labelled pair."""
+    units = pair_units(labelled_pairs(spark, sf_dir))
+    return SC.lm_variant_scores(units, language_model(spark, sf_dir, units), LM_MODEL)
+
+
 def mined(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None) -> DataFrame:
     return MI.mine_sentences(sentences(spark, sf_dir), spec_table(spark, spec))
 
@@ -106,7 +112,8 @@ def scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = Non
     """Labelled pairs (materialized: read by the scorer and by the winner join) scored by
     the causal LM. ``keep=True`` materializes the result for flows that read it again."""
     lp = lp if lp is not None else materialize(labelled_pairs(spark, sf_dir, spec))
-    scores = SC.lm_causal_scores(lp, lm if lm is not None else language_model(spark, sf_dir), LM_MODEL)
+    units = pair_units(lp) if lm is None else lp
+    scores = SC.lm_causal_scores(units, lm if lm is not None else language_model(spark, sf_dir, units), LM_MODEL)
     out = SC.pair_winner(lp, scores)
     return materialize(out) if keep else out
 
