@@ -10,6 +10,7 @@ Python on the path, so a frequent term or a hot key costs nothing extra.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,17 @@ def _term_index(spec_terms: DataFrame, axis: str) -> tuple[list[str], Column]:
     return list(by_key), F.from_json(F.lit(json.dumps(by_key)), TERM_INDEX)
 
 
+# So many word keys are looked for in a sentence by a pattern, before its words are taken apart.
+PATTERN_KEYS = 64
+
+
+def _may_hold(low: Column, keys: list[str]) -> Column:
+    """Whether one of the word keys is among a lower-cased sentence's (``sentence_keys``), by a pattern; true where they are too many for it."""
+    if len(keys) > PATTERN_KEYS:
+        return F.lit(True)
+    return low.rlike("(?:^| )(?:" + "|".join(re.escape(k) for k in keys) + ")(?:[ .,!]|$)")
+
+
 def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
     """One row per (spec, sentence, group term, attribute term) found with strict boundaries.
 
@@ -77,18 +89,19 @@ def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
     groups, group_terms = _term_index(spec_terms, "group")
     attributes, attribute_terms = _term_index(spec_terms, "attribute")
     low = F.lower("sentence")
-    s = sentences.select("doc_id", "sent_pos", "sentence", low.alias("ls"), sentence_keys(low).alias("keys"))
-    # a word is looked up in a set of the keys; a sentence has few that are in it
-    for axis, keys in (("group_keys", groups), ("attribute_keys", attributes)):
-        s = s.withColumn(axis, F.filter("keys", lambda k: k.isin(keys))).where(F.size(axis) > 0)
+    # most sentences hold no key of a group term: they go before their words are taken apart
+    s = sentences.where(_may_hold(low, groups) & _may_hold(low, attributes))
+    s = s.select("doc_id", "sent_pos", "sentence", low.alias("ls"), sentence_keys(low).alias("keys"))
 
-    def found(keys: str, terms: Column) -> Column:
-        all_ = F.flatten(F.transform(keys, lambda k: terms[k]))
+    def found(keys: list[str], terms: Column) -> Column:
+        # a word is looked up in a set of the keys; a sentence has few that are in it
+        all_ = F.flatten(F.transform(F.filter("keys", lambda k: k.isin(keys)), lambda k: terms[k]))
         return F.filter(all_, lambda t: t["simple"] | F.regexp_like(F.col("ls"), t["accept_re"]))
 
-    s = s.select("doc_id", "sent_pos", "sentence", found("group_keys", group_terms).alias("g"), found("attribute_keys", attribute_terms).alias("a"))
-    rows = (s.select("doc_id", "sent_pos", "sentence", F.explode("g").alias("g"), "a")
-            .select("doc_id", "sent_pos", "sentence", "g", F.explode("a").alias("a")).where("g.spec = a.spec"))
+    s = s.select("doc_id", "sent_pos", "sentence", found(groups, group_terms).alias("g"), found(attributes, attribute_terms).alias("a"))
+    # outer: else Spark filters by the arrays' sizes too, next to the pattern, and makes the arrays for every sentence
+    rows = (s.select("doc_id", "sent_pos", "sentence", F.explode_outer("g").alias("g"), "a")
+            .select("doc_id", "sent_pos", "sentence", "g", F.explode_outer("a").alias("a")).where("g.spec = a.spec"))
     return rows.select(F.col("g.spec").alias("spec"), "doc_id", "sent_pos", "sentence",
                        F.col("g.term").alias("grp_term"), F.col("g.side").alias("grp_side"),
                        F.col("g.pos").alias("grp_pos"), F.col("a.term").alias("att_term"),
@@ -99,7 +112,8 @@ def attribute_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFram
     """(spec, att_term, doc_id, sent_pos, sentence): each sentence that holds an attribute term, with strict boundaries."""
     atts = term_keys(spec_terms.where(F.col("axis") == "attribute").select("spec", "axis", F.lit(0).alias("side"), F.lit(0).alias("pos"), "term").distinct())
     keys = bounded(atts.select("spec", F.col("term").alias("att_term"), "key", "simple", "accept_re"))
-    rows = candidate_words(sentences, ["doc_id", "sent_pos", "sentence"]).join(keys, "key")
+    may = _may_hold(F.lower("sentence"), sorted(r[0] for r in atts.select("key").distinct().collect()))
+    rows = candidate_words(sentences.where(may), ["doc_id", "sent_pos", "sentence"]).join(keys, "key")
     return rows.where(F.col("simple") | F.expr("ls rlike accept_re")).select("spec", "att_term", "doc_id", "sent_pos", "sentence")
 
 
