@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stereoscope import session
 from stereoscope.session import materialize
 
 PER_PARTITION = 4  # ranges per shuffle partition: a piece is that much smaller than a partition
@@ -22,11 +23,12 @@ def _columns(names: list) -> list[Column]:
 def ordinal_within(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "ordinal") -> DataFrame:
     """``df`` plus ``out``: each row's 1-based place in its group by ``order_cols`` (rows that tie take either place).
 
-    The rows are written once (a checkpoint), so their places survive a lost executor."""
+    The rows are written twice (checkpoints): as they come, since the range partitions' bounds are drawn from them before they
+    are dealt and would else make them a second time, and in order, so their places survive a lost executor."""
     spark = df.sparkSession
     n = PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*_columns(group_cols), *_columns(order_cols)]
-    rows = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    rows = materialize(session.materialize(df).repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
     rows = rows.withColumn("_part", F.shiftright("_at", 33))  # the number of the partition is in the upper bits
     pieces = rows.groupBy("_part", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
