@@ -15,7 +15,7 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,17 +71,27 @@ def read_bank(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path).select(*BANK_COLUMNS)
 
 
-def _layouts(spark: SparkSession, path: str, terms: list[str] | None) -> dict[tuple[str, ...], list[str]]:
-    """Header -> CSV files that have it. One small row per file (a file per term) reaches the driver."""
+def _plain(line: Column) -> Column:
+    """Whether a line of a CSV file is sure to be whole records: every quote opens or closes a whole field or is doubled inside
+    one, no quoted field goes on in the next line, and no character but the line feed ends a line."""
+    bare = F.regexp_replace(line, '"[^"]*"', "\u0001")  # each quoted piece as one mark
+    odd = bare.rlike('["\r]|[^,\u0001]\u0001|\u0001[^,\u0001]')
+    return ~(odd | F.contains(line, F.lit("\u0000")) | line.rlike(r"^[\x00-\x20]+$"))
+
+
+def _layouts(spark: SparkSession, path: str, terms: list[str] | None) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """Header, and whether all lines are plain -> CSV files of that kind. One small row per file (a file per term) reaches the driver."""
     names = None if terms is None else {file_name(t) for t in terms}
     found = [f for f in files.listed(spark, path, "*.csv") if names is None or f.rsplit("/", 1)[1] in names]
     if not found:
         return {}
-    lines = spark.read.text(found).select("value", _file().alias("file"), F.monotonically_increasing_id().alias("at"))
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
-    out: dict[tuple[str, ...], list[str]] = {}
+    lines = spark.read.option("lineSep", "\n").text(found).select("value", _file().alias("file"), F.monotonically_increasing_id().alias("at"))
+    head = F.regexp_extract(F.min_by("value", "at"), "^[^\r]*", 0)
+    heads = lines.groupBy("file").agg(head.alias("head"), F.min(_plain(F.col("value"))).alias("plain")).collect()
+    out: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for r in sorted(heads):
-        out.setdefault(tuple(next(csv.reader([r.head.lstrip("\ufeff").rstrip("\r")]))), []).append(r.file)
+        header = tuple(next(csv.reader([r.head.lstrip("\ufeff")])))
+        out.setdefault((header, r.plain and '"' not in r.head), []).append(r.file)
     return out
 
 
@@ -99,13 +109,15 @@ def _read_csv(spark: SparkSession, path: str, columns: list[str], key: str, term
     wanted = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     out = spark.createDataFrame([], wanted)
     given = {file_name(t): t for t in terms or []}
-    for header, paths in _layouts(spark, path, terms).items():
+    for (header, plain), paths in _layouts(spark, path, terms).items():
         if key not in header:
             continue
         # names that are no column of ours, or come twice, only hold their place
         unique = [c if c in columns and c not in header[:i] else f"_skip{i}" for i, c in enumerate(header)]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in unique])
-        rows = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"')
+        # files whose records are lines are split among tasks
+        lines = {"multiLine": False, "lineSep": "\n"} if plain else {"multiLine": True}
+        rows = (spark.read.schema(schema).options(**lines).option("header", True).option("enforceSchema", True).option("quote", '"')
                 # nothing between separators is null, a quoted nothing is an empty text
                 .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths))
         term = F.regexp_extract(_file(), r"([^/]*)\.csv$", 1)
@@ -122,9 +134,10 @@ def read_bank_csv(spark: SparkSession, path: str, terms: list[str] | None = None
     """CSV import of per-term files, all columns strings.
 
     Every file's own header names its columns, in any order; absent ones are null, others are left out. Quotes
-    are doubled inside quoted fields, which may hold separators and line breaks (so a file is
-    one task). A row without ``org_grp_term`` has its file's term (of ``terms``, else the file's name with blanks for
-    dashes). ``terms`` reads only their files; a missing file or folder gives no rows. Files of the
+    are doubled inside quoted fields, which may hold separators and line breaks. Only a file in which a record goes
+    over several lines, or quotes stand elsewhere, is one task; others are split. A row without ``org_grp_term`` has
+    its file's term (of ``terms``, else the file's name with blanks for dashes). ``terms`` reads only their files; a
+    missing file or folder gives no rows. Files of the
     older layout are read by ``read_legacy_csv``."""
     return _read_csv(spark, path, BANK_COLUMNS, "sentence", terms)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stereoscope.operators.ordinals import ordinal_within
+from stereoscope.session import materialize
 from stereoscope.sources import files
 
 CREATED_FORMAT = "dd/MM/yyyy HH:mm:ss"
@@ -66,7 +67,8 @@ def write_named_csv(frame: DataFrame, path: str, name_col: str, order: list[Colu
     line = F.concat_ws(",", *[_quoted(c) for c in columns])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(name_col), *[F.col(o) if isinstance(o, str) else o for o in order]]
-    rows = frame.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(F.col(name_col).alias("_file"), line.alias("value"))
+    # kept before they are dealt: the bounds of the ranges are drawn from the rows first
+    rows = materialize(frame).repartitionByRange(n, *keys).sortWithinPartitions(*keys).select(F.col(name_col).alias("_file"), line.alias("value"))
     # part files are numbered by partition, a name's folder by the name: paths in order are rows in order
     rows.write.partitionBy("_file").option("lineSep", "\n").text(aside)
     out = io.StringIO()
