@@ -113,7 +113,7 @@ class ByteBPE:
 
 def codec(rank_file: bytes, pattern: str) -> ByteBPE:
     """One per worker process and vocabulary."""
-    state = worker_state()
+    state = worker_state("bpe")
     key = ("bpe", hash((rank_file, pattern)))
     if key not in state:
         state[key] = ByteBPE(rank_file, pattern)
@@ -122,7 +122,7 @@ def codec(rank_file: bytes, pattern: str) -> ByteBPE:
 
 def token_bytes(rank_file: bytes) -> dict[int, bytes]:
     """Decoder: id -> bytes; one per worker process."""
-    state = worker_state()
+    state = worker_state("bpe")
     key = ("token bytes", hash(rank_file))
     if key not in state:
         state[key] = {int(b): base64.b64decode(a) for a, b in map(bytes.split, rank_file.splitlines()) if a}

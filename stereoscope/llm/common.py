@@ -6,6 +6,8 @@ import sys
 import types
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,12 +116,15 @@ def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("_met"))
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps from one task to the next (caches of bounded size)."""
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps from one task to the next (caches of bounded size) for the operator ``owner``.
+
+    What another operator kept goes: workers outlive a stage, and memory that no later stage reads is an executor's too."""
     name = "_stereoscope_llm_worker"
-    if name not in sys.modules:
+    if name not in sys.modules or sys.modules[name].owner != owner:
         sys.modules[name] = types.ModuleType(name)
-    return sys.modules[name].__dict__
+        sys.modules[name].owner, sys.modules[name].kept = owner, {}
+    return sys.modules[name].kept
 
 
 def slices(batches, rows: int = 256):
@@ -129,6 +134,17 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def slices_of_bytes(batches, column: str, size: int):
+    """Arrow batches cut so that each has at most ``size`` bytes in a string column, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), side="right")), at + 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id hashes as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

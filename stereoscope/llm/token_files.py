@@ -19,11 +19,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, worker_state
-from .units import BatchCache
+from .common import slices, slices_of_bytes, text_or_empty, worker_state
+from .units import MARK, BatchCache
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+SLICE_BYTES = 3 << 20  # text that a task cuts at once: the more, the fewer units are looked up twice
 MOST_FILES = 100_000  # the table of file totals is sent to every executor up to so many rows
 ROW = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -39,22 +40,21 @@ class _Encoder:
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the byte alphabet of this tokenizer kind
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.cache = BatchCache(self.unit, self.piece, entries=400_000)
+        del self.alphabet[ord(MARK)]  # it parts pieces
+        self.cache = BatchCache(self.unit, self.pieces, entries=700_000)
 
     def unit(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, text: str) -> bytes:
-        if text.isascii():
-            mapped = text.replace(" ", self.alphabet[32])  # letters and marks stand for themselves
-        else:
-            mapped = text.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-        tokens = self.model.tokenize(mapped)
-        return array("I", [t.id for t in tokens]).tobytes()
+    def pieces(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts that are one piece of the pattern each and hold no ``MARK``."""
+        tokenize = self.model.tokenize
+        mapped = MARK.join(texts).encode("utf-8", "replace").decode("latin-1").translate(self.alphabet).split(MARK) if texts else []
+        return [[t.id for t in tokenize(m)] for m in mapped]
 
 
 def _encoder(model: bytes) -> _Encoder:
-    state = worker_state()
+    state = worker_state("token files")
     key = ("tokenizer", hash(model))
     if key not in state:
         state[key] = _Encoder(model)
@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, start = _encoder(model.value).cache, 0
-        for batch in slices(batches):
+        for batch in slices_of_bytes(batches, "text", SLICE_BYTES):
             ids, counts = cache.flat(batch.column("text"))
             if end_id is not None:
                 ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1

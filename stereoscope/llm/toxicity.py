@@ -90,7 +90,7 @@ def hits(found, words: list[str]) -> dict[int, tuple[float, str]]:
 
 
 def _automaton(lexicon: Lexicon, key: str):
-    state = worker_state()
+    state = worker_state("toxicity")
     if state.get("lexicon", ("",))[0] != key:
         state["lexicon"] = (key, lexicon.automaton())
     return state["lexicon"][1]

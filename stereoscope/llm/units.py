@@ -10,6 +10,7 @@ engines disagree count as white space here: then no cut is made, which is always
 from __future__ import annotations
 
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,20 +112,67 @@ class _AfterBlank(dict):
 
 
 class BatchCache(UnitCache):
-    """The same for many texts at once."""
+    """The same for many texts at once, whose units have a table of their own: ids lie one after the other in an array.
 
-    def __missing__(self, unit: str) -> bytes:
-        if unit not in self.old:
-            word = unit.lstrip(" ")
-            if word.isascii() and word.isalpha() and len(unit) - len(word) < 2:  # most units, without the pattern's cost
-                self.old[unit] = self.encode_piece(unit)  # where the next line looks
-        return super().__missing__(unit)
+    ``encode_pieces`` makes the ids of many texts that are one piece each. A table that is full starts anew with the
+    next texts; a frequent unit is then encoded once more.
+    """
+
+    def __init__(self, encode, encode_pieces, entries: int = 250_000, longest: int = 40):
+        super().__init__(encode, lambda piece: np.array(encode_pieces([piece])[0], "<u4").tobytes(), entries, longest)
+        self.encode_pieces = encode_pieces
+        self._anew()
+
+    def _anew(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.size, self.start = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _put(self, units: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(units, range(len(self.size), len(self.size) + len(units))))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+        self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids))
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units with these numbers, one after the other, and where each unit's end."""
+        n = self.size[numbers]
+        ends = np.cumsum(n)
+        at = np.repeat((self.start[numbers] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], ends
+
+    def _add(self, units: list[str]) -> None:
+        """Take units that are not in the table into it."""
+        pieces, others, made, parts = [], [], [], []
+        for u in units:
+            if u.isascii() and (u[1:] if u[0:1] == " " else u).isalpha():  # most units, without the pattern's cost
+                pieces.append(u)
+            elif not (plain := PLAIN.fullmatch(u)):
+                others.append(u)
+            elif plain[2]:
+                made.append(u)
+                parts += plain.groups()
+            else:
+                pieces.append(u)
+        known = self.number
+        pieces = list(dict.fromkeys(pieces + [p for p in parts[::2] if p not in known]))
+        ids = self.encode_pieces(pieces)
+        self._put(pieces, np.array(list(chain.from_iterable(ids)), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)))
+        others = list(dict.fromkeys(others + [p for p in parts[1::2] if p not in known]))
+        packed = list(map(self.encode, others))
+        self._put(others, np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
+        ids, ends = self._ids(self._numbers(parts))
+        self._put(made, ids, np.diff(ends[1::2], prepend=0))
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has.
 
         Texts are cut by Arrow and each different unit among them is looked up once; ids are then gathered by the units' numbers.
         """
+        if len(self.size) >= self.entries or len(self.ids) >= 8 * self.entries:
+            self._anew()
         texts = texts.cast(pa.large_string())  # marks make a text longer
         odd = pc.or_(pc.match_substring_regex(texts, CROWDED_ARROW), pc.match_substring(texts, MARK))
         plain = pc.if_else(odd, "", texts)
@@ -132,15 +180,12 @@ class BatchCache(UnitCache):
         cut = pc.split_pattern(marked, MARK)
         coded = cut.flatten().dictionary_encode()
         each = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        packed = list(map(self.get, each))
-        for k in [k for k, p in enumerate(packed) if p is None]:
-            packed[k] = self[each[k]]
-        ids = np.frombuffer(b"".join(packed), dtype="<u4")
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        unit = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[unit]
-        ends = np.cumsum(n)
-        out = ids[np.repeat((np.cumsum(size) - size)[unit] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        number = np.fromiter(map(self.number.get, each, repeat(-1)), np.int64, len(each))
+        new = np.flatnonzero(number < 0)
+        unseen = [each[k] for k in new.tolist()]
+        self._add(unseen)
+        number[new] = self._numbers(unseen)
+        out, ends = self._ids(number[coded.indices.to_numpy(zero_copy_only=False)])
         bounds = np.concatenate(([0], ends))[cut.offsets.to_numpy(zero_copy_only=False)]
         counts = np.diff(bounds)
         parts, done = [], 0

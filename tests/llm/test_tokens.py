@@ -4,11 +4,12 @@ import zlib
 from array import array
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from stereoscope.llm import bpe, token_files
-from stereoscope.llm.common import work_dir
-from stereoscope.llm.units import units
+from stereoscope.llm.common import slices_of_bytes, work_dir, worker_state
+from stereoscope.llm.units import BatchCache, units
 
 from .conftest import ODD
 
@@ -128,3 +129,41 @@ def test_rows_of_one_id_go_to_many_files(spark):
     assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
     per_file = spark.read.parquet(path).groupBy("part").count().toPandas()["count"]
     assert per_file.max() < 1000
+
+
+def test_units_that_differ_in_marks_cost_one_piece(small):
+    """A word with marks behind it is not encoded again, and a table that is full starts anew with the same ids."""
+    tok = library()
+    with open(MODEL, "rb") as f:
+        own = token_files._Encoder(f.read())
+    asked = []
+    cache = BatchCache(own.unit, lambda texts: asked.extend(texts) or own.pieces(texts), entries=40)
+    for t in ["one cat, one cat. one (cat) déjà déjà, vu!\nOne, 12,5 don't cat; x\x00y", "", "a cat sat\ton the  mat ", *texts(small)[:60]]:
+        want = tok.encode(t, add_special_tokens=False).ids
+        for n in (1, 2):
+            ids, counts = cache.flat(pa.array([t] * n))
+            assert ids.tolist() == want * n and counts.tolist() == [len(want)] * n
+    asked.clear()
+    cache = BatchCache(own.unit, lambda texts: asked.extend(texts) or own.pieces(texts))
+    cache.flat(pa.array(["a cat, a cat. a cat; a cat", "a cat! the cat"]))
+    assert sorted(asked) == [" a", " cat", " the", "a"]
+
+
+def test_slices_of_bytes():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "text": ["aaaa", None, "é", "b" * 50, "", "cc"]})
+    got = [b.column("k").to_pylist() for b in slices_of_bytes([batch, batch.slice(6)], "text", 6)]
+    assert got == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_a_worker_keeps_one_operators_caches():
+    import weakref
+
+    class Cache:
+        pass
+
+    state = worker_state("one")
+    state["cache"] = Cache()
+    gone = weakref.ref(state["cache"])
+    del state
+    assert worker_state("one")["cache"] is gone()
+    assert worker_state("two") == {} and gone() is None
