@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from .common import fresh, slices, text_or_empty, worker_state
 from .units import UnitCache
 
-PAIRS_KEPT = 500_000
+# what a worker keeps: at most 2 x 2 x UNITS_KEPT units (about 200 bytes each) and so many pairs; an executor holds several workers
+PAIRS_KEPT = 250_000
+UNITS_KEPT = 100_000
 
 
 class ByteBPE:
@@ -46,7 +48,7 @@ class ByteBPE:
         self.longest = max(map(len, self.id_of))
         self.span = max(self.bytes_of) + 1
         self.fits: dict[int, bool] = {}  # (left + 1) * span + right
-        self.cache = UnitCache(self._encode_unit, self._encode_piece)
+        self.cache = UnitCache(self._encode_unit, self._encode_piece, UNITS_KEPT)
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges done one by one, lowest rank first: the definition, for short byte strings."""

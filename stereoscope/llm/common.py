@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,14 +122,28 @@ def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
 def worker_state(owner: str) -> dict:
     """What a Python worker keeps from one task to the next (caches of bounded size) for the operator ``owner``.
 
-    What another operator kept goes: workers outlive a stage, and memory that no later stage reads is an executor's too."""
+    What another operator kept goes, to the system: workers outlive a stage, and memory that no later stage reads is an executor's too.
+    So an operator whose Python functions keep nothing calls this at their start as well."""
     name = "_stereoscope_llm_worker"
     if name not in sys.modules or sys.modules[name].owner != owner:
+        before = sys.modules.pop(name, None)
         sys.modules[name] = types.ModuleType(name)
         sys.modules[name].owner, sys.modules[name].kept = owner, {}
+        if before is not None:
+            del before
+            hand_back()
     return sys.modules[name].kept
 
 
+def hand_back() -> None:
+    """Free memory goes from this process to the system: caches refer to themselves, and allocators keep what is free."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut to a few rows each, so that what a task makes of whole texts stays small."""
     for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, located, on_files, slices, staged, text_or_empty
+from .common import fresh, located, on_files, slices, staged, text_or_empty, worker_state
 from .components import components
 
 HALF = 32
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int, text_col: str = "text", out: str
     schema = docs.select(*names).schema.add(out, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash")
         for batch in slices(batches):
             fps = [fingerprint(t.lower().split(), shingle) for t in batch.column(text).to_pylist()]
             signed = pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())

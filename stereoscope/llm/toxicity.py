@@ -109,6 +109,7 @@ def learn_entries(train: DataFrame) -> dict[str, float]:
     much-copied document says is no evidence by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         for batch in slices(batches):
             words = [folded_words(t) for t in batch.column("_text").to_pylist()]
             context = pa.array([_context(w) if w else 0 for w in words], pa.int64())
@@ -162,6 +163,7 @@ def learn_exceptions(train: DataFrame, lexicon: Lexicon) -> list[str]:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("toxicity")
         found = lexicon.automaton()
         for batch in slices(batches):
             ys, phrases = [], []

@@ -167,3 +167,27 @@ def test_a_worker_keeps_one_operators_caches():
     del state
     assert worker_state("one")["cache"] is gone()
     assert worker_state("two") == {} and gone() is None
+
+
+def test_caches_that_refer_to_themselves_go_too(byte_bpe):
+    import gc
+    import weakref
+
+    class Kept:
+        pass
+
+    kept = Kept()
+    kept.own = kept  # as a cache that holds its encoder's methods
+    gone = weakref.ref(kept)
+    gc.disable()
+    try:
+        worker_state("one")["cache"] = kept
+        del kept
+        worker_state("two")
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_what_a_worker_keeps_of_units_is_bounded(byte_bpe):
+    assert byte_bpe.cache.entries == bpe.UNITS_KEPT <= 100_000
