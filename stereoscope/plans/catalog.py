@@ -684,7 +684,8 @@ MASKED_CTES = O.pipeline(SPEC, "losses") + [MASKED_SQL]
 
 @register("score_masked", O.with_ctes(SPEC, *MASKED_CTES, body="SELECT pair_id, model, r0, r1 FROM masked"))
 def q_score_masked(spark, sf_dir):
-    return SC.masked_scores(SC.lm_token_logits(FL.materialize(FL.labelled_pairs(spark, sf_dir)), FL.language_model(spark, sf_dir)))
+    lp = FL.materialize(FL.labelled_pairs(spark, sf_dir))
+    return SC.masked_scores(SC.lm_token_logits(lp, FL.language_model(spark, sf_dir, FL.pair_units(lp)).of_units()))
 
 
 @register("score_failsafe", O.with_ctes(SPEC, *MASKED_CTES, body="""
@@ -718,10 +719,11 @@ FROM kinds k LEFT JOIN own p ON p.model = k.model"""))
 def q_model_kind(spark, sf_dir):
     """The kind of every model offered; scores only for the built-in models, which ran."""
     models = SC.model_kind(spark.createDataFrame([(m,) for m in MODELS], "model string"))
-    lm = FL.language_model(spark, sf_dir)
     lp = FL.materialize(FL.labelled_pairs(spark, sf_dir))
-    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp))
-    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm, lp=lp))
+    units = FL.pair_units(lp)
+    lm = FL.language_model(spark, sf_dir, units)
+    causal = M.model_score(FL.scored_pairs(spark, sf_dir, lm=lm, lp=lp, units=units))
+    masked = M.model_score(FL.masked_scored_pairs(spark, sf_dir, lm=lm.of_units(), lp=lp))
     own = causal.unionByName(masked).select("model", "model_bias", "num_templates")
     return models.join(own, "model", "left").select("model", "kind", F.col("num_templates").isNotNull().alias("scored"),
                                                     F.coalesce("model_bias", F.lit(0.0)).alias("model_bias"),

@@ -108,11 +108,14 @@ def labelled_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = N
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | None = None,
-                 lm: BigramLM | None = None, lp: DataFrame | None = None, keep: bool = False) -> DataFrame:
+                 lm: BigramLM | None = None, lp: DataFrame | None = None, keep: bool = False,
+                 units: DataFrame | None = None) -> DataFrame:
     """Labelled pairs (materialized: read by the scorer and by the winner join) scored by
-    the causal LM. ``keep=True`` materializes the result for flows that read it again."""
+    the causal LM. ``keep=True`` materializes the result for flows that read it again.
+    ``units`` are those of ``lp`` that ``lm`` was trained with."""
     lp = lp if lp is not None else materialize(labelled_pairs(spark, sf_dir, spec))
-    units = pair_units(lp) if lm is None else lp
+    if units is None:
+        units = pair_units(lp) if lm is None else lp
     scores = SC.lm_causal_scores(units, lm if lm is not None else language_model(spark, sf_dir, units), LM_MODEL)
     out = SC.pair_winner(lp, scores)
     return materialize(out) if keep else out
@@ -123,7 +126,7 @@ def masked_scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | Non
                         lp: DataFrame | None = None) -> DataFrame:
     """Masked-form scoring (G2) by the bigram LM: logits of the target tokens at the first mask."""
     lp = lp if lp is not None else materialize(labelled_pairs(spark, sf_dir, spec))
-    lm = lm if lm is not None else language_model(spark, sf_dir)
+    lm = lm if lm is not None else language_model(spark, sf_dir, pair_units(lp)).of_units()
     scores = SC.masked_scores(SC.lm_token_logits(lp, lm, LM_MODEL + "-masked"))
     return (SC.pair_winner(lp, scores, failsafe=failsafe)
             .withColumn("model", F.lit(LM_MODEL + "-masked")))
