@@ -7,6 +7,8 @@ oracle SQL sit next to them.
 
 # sentence split of documents: this library's own choice
 SENTENCE_SPLIT = r"[.!?\n]+"
+# its characters, for who cuts a text without a regular expression
+SENTENCE_ENDS = ".!?\n"
 
 # --- fixed values -----------------------------------------------------------
 # characters that may follow a keyword in an accepted sentence

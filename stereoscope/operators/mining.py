@@ -74,11 +74,21 @@ def _term_index(spec_terms: DataFrame, axis: str) -> tuple[list[str], Column]:
 PATTERN_KEYS = 64
 
 
-def _may_hold(low: Column, keys: list[str]) -> Column:
-    """Whether one of the word keys is among a lower-cased sentence's (``sentence_keys``), by a pattern; true where they are too many for it."""
+def _either_case(key: str) -> str:
+    """A pattern of what an ASCII word key is the lower case of: each letter in both cases, and the Kelvin sign for a k."""
+    both = lambda c: f"[{c}{c.upper()}" + ("\u212a]" if c == "k" else "]")
+    return "".join(both(c) if "a" <= c <= "z" else re.escape(c) for c in key)
+
+
+def _may_hold(sentence: Column, keys: list[str]) -> Column:
+    """Whether one of the word keys is among a sentence's (``sentence_keys`` of its lower case), by a pattern; true where they are too
+    many for it. Keys in ASCII are looked for in the sentence as it stands, so that it need not be lower-cased."""
     if len(keys) > PATTERN_KEYS:
         return F.lit(True)
-    return low.rlike("(?:^| )(?:" + "|".join(re.escape(k) for k in keys) + ")(?:[ .,!]|$)")
+    plain = all(k.isascii() for k in keys)
+    any_key = "|".join(_either_case(k) if plain else re.escape(k) for k in keys)
+    # with a blank in front each key follows a blank: one character to look for, which is quicker than two cases
+    return F.concat(F.lit(" "), sentence if plain else F.lower(sentence)).rlike(f" (?:{any_key})(?:[ .,!]|$)")
 
 
 def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
@@ -90,7 +100,7 @@ def mine_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFrame:
     attributes, attribute_terms = _term_index(spec_terms, "attribute")
     low = F.lower("sentence")
     # most sentences hold no key of a group term: they go before their words are taken apart
-    s = sentences.where(_may_hold(low, groups) & _may_hold(low, attributes))
+    s = sentences.where(_may_hold(F.col("sentence"), groups) & _may_hold(F.col("sentence"), attributes))
     s = s.select("doc_id", "sent_pos", "sentence", low.alias("ls"), sentence_keys(low).alias("keys"))
 
     def found(keys: list[str], terms: Column) -> Column:
@@ -112,7 +122,7 @@ def attribute_sentences(sentences: DataFrame, spec_terms: DataFrame) -> DataFram
     """(spec, att_term, doc_id, sent_pos, sentence): each sentence that holds an attribute term, with strict boundaries."""
     atts = term_keys(spec_terms.where(F.col("axis") == "attribute").select("spec", "axis", F.lit(0).alias("side"), F.lit(0).alias("pos"), "term").distinct())
     keys = bounded(atts.select("spec", F.col("term").alias("att_term"), "key", "simple", "accept_re"))
-    may = _may_hold(F.lower("sentence"), sorted(r[0] for r in atts.select("key").distinct().collect()))
+    may = _may_hold(F.col("sentence"), sorted(r[0] for r in atts.select("key").distinct().collect()))
     rows = candidate_words(sentences.where(may), ["doc_id", "sent_pos", "sentence"]).join(keys, "key")
     return rows.where(F.col("simple") | F.expr("ls rlike accept_re")).select("spec", "att_term", "doc_id", "sent_pos", "sentence")
 

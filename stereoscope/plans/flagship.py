@@ -14,6 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stereoscope.functions import patterns as PT
 from stereoscope.operators import metrics as M
 from stereoscope.operators import mining as MI
 from stereoscope.operators import pairs as PR
@@ -82,13 +83,14 @@ def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> BigramLM:
-    """Train the bigram LM once per job (counts checkpointed); ``units``, which it will score, may be named to it."""
-    return train(lm_corpus(spark, sf_dir), units=units)
+    """Train the bigram LM on every sentence once per job (counts checkpointed); ``units``, which it will score, may be named to it.
+    The training cuts the texts where ``split_sentences`` does, so a sentence is no row of its own (``lm_corpus``)."""
+    return train(TB.documents(spark, sf_dir), "text", units=units, ends=PT.SENTENCE_ENDS)
 
 
 def held_out_model(spark: SparkSession, sf_dir: str) -> BigramLM:
     """A model of other text than the documents that are scored: the conversations' sentences."""
-    return train(MI.split_sentences(TB.conversations(spark, sf_dir), id_col="conv_id"))
+    return train(TB.conversations(spark, sf_dir), "text", ends=PT.SENTENCE_ENDS)
 
 
 def lm_variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
+from stereoscope.functions import patterns as PT
 from stereoscope.operators import lm as LM
 from stereoscope.operators import mining as MI
 from stereoscope.operators import scoring as SC
@@ -40,6 +41,29 @@ def test_bigram_counts_are_those_of_a_plain_count(spark, monkeypatch, gathered):
     assert (lm.v, lm.total) == (len({b for _, b in want}), sum(want.values()))
 
 
+@pytest.mark.parametrize("gathered", [1, 40, 1 << 20])
+def test_texts_are_counted_as_their_sentences(spark, monkeypatch, gathered):
+    """The training reads a document as one row; it cuts where ``split_sentences`` does."""
+    monkeypatch.setattr(LM, "GATHERED_BYTES", gathered)
+    texts = [*ODD, "He sat.It is!a\nb a..  .? one", "a. ", " . ", "ends", "it", "x.y\u00a0z?\u0130t. K k", "\n\n", "a\rb.c;d!", "\u0000he.\u0000"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts * 2)], "doc_id long, text string, lang string").repartition(2)
+    want = {(r.w1, r.w2): r.c12 for r in LM.train_bigrams(MI.split_sentences(docs)).collect()}
+    assert set(PT.SENTENCE_SPLIT.replace("\\n", "\n")) - set("[]+") == set(PT.SENTENCE_ENDS)
+    assert want and {(r.w1, r.w2): r.c12 for r in LM.train_bigrams(docs, "text", PT.SENTENCE_ENDS).collect()} == want
+    units = LM.pair_units(spark.createDataFrame([("p", "he sat.", "it is")], "pair_id string, sentence string, alt_sentence string"))
+    lm, split = LM.train(docs, "text", units=units, ends=PT.SENTENCE_ENDS), LM.train(MI.split_sentences(docs), units=units)
+    assert (lm.v, lm.total) == (split.v, split.total)
+    for x in ("bigrams", "hist", "asked"):
+        assert sorted(map(tuple, getattr(lm, x).collect())) == sorted(map(tuple, getattr(split, x).collect()))
+
+
+def test_the_corpus_is_trained_on_by_documents(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(FL, "train", lambda df, *a, **k: read.append(df.count()))
+    FL.language_model(spark, SF_SMALL)
+    assert read == [spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()]
+
+
 def test_a_sentence_is_scored_once_for_its_attributes(spark):
     """Pairs of the same two texts are one unit; a bigram in the same place of both texts is one row."""
     rows = [("p", "he sat for a day.", "this sat for a day."), ("q", "he sat for a day.", "this sat for a day."), ("r", "it is.", "it really is."),
@@ -121,6 +145,18 @@ def test_many_keys_are_found_without_a_pattern(spark, monkeypatch):
     assert want and sorted(tuple(r) for r in FL.mined(spark, SF_SMALL).collect()) == want
 
 
+@pytest.mark.parametrize("keys", [["he", "kit", "x.y", "a-b"], ["h\u00e9", "i\u0307t", "he"], [""]])
+def test_a_key_is_found_by_a_pattern_where_it_is_a_word(spark, keys):
+    """The pattern finds each sentence that has the key among its words, whatever its case, and lower-cases none for ASCII keys."""
+    texts = ["he", "He sat.", "the", "sHE", "a he, b", "a HE!", "so he", "he's", " he", "\u212aIT is", "kiT", "\u0130t", "\u0130T.", "it", "H\u00c9 x", "X.Y", "xzy", "A-B.", "\nhe", "he\n", "", ".", "he\u00a0x"]
+    df = spark.createDataFrame([(t,) for t in texts], "sentence string")
+    low = F.lower("sentence")
+    want = {r[0] for r in df.where(low.rlike("(?:^| )(?:" + "|".join(map(re.escape, keys)) + ")(?:[ .,!]|$)")).collect()}
+    may = df.where(MI._may_hold(F.col("sentence"), keys))
+    assert want and {r[0] for r in may.collect()} == want
+    assert ("lower(" in may._jdf.queryExecution().optimizedPlan().toString().lower()) == (not all(k.isascii() for k in keys))
+
+
 def test_rows_are_made_once_for_their_ordinals(spark):
     made = spark.sparkContext.accumulator(0)
 
