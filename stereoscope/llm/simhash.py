@@ -97,11 +97,13 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     # without a wildcard both orders meet: one is enough
     once = (F.col("a") < F.col("b")) | (F.call_function("shiftrightunsigned", F.col("key"), F.lit(HALF)).bitwiseAND(F.lit(63)) != HALF)
-    pairs = left.join(right, "key").filter(near & once).select("a", "b")
+    # Spark takes the exploded rows for as many as the fingerprints, and would broadcast them through the driver
+    pairs = left.hint("merge").join(right.hint("merge"), "key").filter(near & once).select("a", "b")
     if not some:
         return pairs
     beside = F.transform(every, lambda i: F.col("value").bitwiseXOR(_bit(i)))
-    reach = crowded.select("segment", F.explode(F.concat(F.array("value"), beside)).alias("value")).distinct()
+    # staged, so that the join knows the size of what was exploded
+    reach = staged(crowded.select("segment", F.explode(F.concat(F.array("value"), beside)).alias("value")).distinct(), "reach")
     return pairs.unionByName(_stars(halves.join(reach, ["segment", "value"], "left_semi").select("fp").distinct()))
 
 

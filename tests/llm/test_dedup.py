@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from stereoscope.llm import components, exact_dedup, simhash
@@ -185,3 +186,33 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 150), 100)}
+
+
+def below(plan):
+    """A physical plan's nodes; of an adaptive one, those it began with."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    yield plan
+    for i in range(plan.children().size()):
+        yield from below(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_no_exploded_rows_are_broadcast(spark, monkeypatch, crowd):
+    """Spark takes exploded rows for as many as the rows they come from: as small as a broadcast at sizes where they are not."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    names = [f"spark.sql.{x}autoBroadcastJoinThreshold" for x in ("", "adaptive.")]
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "10MB")
+        # values of the upper segment that eight fingerprints share
+        fps = common.staged(spark.range(2000).select(F.shiftleft(F.xxhash64(F.floor(F.col("id") / 8)), 32).bitwiseOR(F.xxhash64("id").bitwiseAND((1 << 32) - 1)).alias("fp")).distinct(), "fps")
+        plan = simhash.links(fps)._jdf.queryExecution().executedPlan()
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    sent = [n for n in below(plan) if n.nodeName() == "BroadcastExchange"]
+    assert [n.nodeName() for n in below(plan)].count("SortMergeJoin") == 1
+    assert not any(x.nodeName() == "Generate" for n in sent for x in below(n))
+    assert bool(sent) == (crowd == 2)  # the crowded values and what is beside them, whose size is known from files
