@@ -41,9 +41,17 @@ def lm_causal_scores(pairs: DataFrame, lm, model: str = "bigram-lm") -> DataFram
     return l.select("pair_id", F.lit(model).alias("model"), (m - F.col("l0")).alias("r0"), (m - F.col("l1")).alias("r1"))
 
 
+MASKED_KEYS = ["pair_id", "variant"]
+
+
+def masked_bigrams(pairs: DataFrame) -> DataFrame:
+    """The bigrams that the masked form reads of every pair: what a model may be trained with, and ``lm_token_logits`` then takes for the pairs."""
+    return LM.masked_bigrams(variant_rows(pairs), MASKED_KEYS)
+
+
 def lm_token_logits(pairs: DataFrame, bigrams: DataFrame, model: str = "bigram-lm-masked") -> DataFrame:
-    """G6 masked form -> token_logits for every pair."""
-    t = LM.masked_token_scores(variant_rows(pairs), bigrams, ["pair_id", "variant"], text_col="text")
+    """G6 masked form -> token_logits for every pair (or for the pairs' ``masked_bigrams``)."""
+    t = LM.masked_token_scores(pairs if "w1" in pairs.columns else variant_rows(pairs), bigrams, MASKED_KEYS, text_col="text")
     return t.select("pair_id", F.col("variant").cast("int").alias("variant"), F.lit(model).alias("model"),
                     "subtok_pos", "logit")
 

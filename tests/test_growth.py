@@ -189,3 +189,40 @@ def test_a_large_bank_file_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got["it"] == sorted([*[(f"{text} {i}", f"t{i}") for i in range(500)], ("two\nlines", 'a "b"'), ("x", '5" wide')])
     assert got["that"] == [("ab", "c"), ("d\re", "f")]
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_masked_bigrams_are_those_around_the_first_whole_term(spark, named):
+    texts = [*ODD, "he", "the he", "these two, these two!", "THESE, two he", "a a b a b", "so these two", "a", "he the these"]
+    rows = [(i, t, x) for i, (t, x) in enumerate((t, x) for t in texts for x in (None, "", "12", "he", "these two", "a b", "a", "İt", "two-these"))]
+    variants = spark.createDataFrame([(i, 0, t, x) for i, t, x in rows], "pair_id int, variant int, text string, target string")
+    low = {r.pair_id: ([w for w in re.split("[^a-z]+", r.t or "") if w], [w for w in re.split("[^a-z]+", r.x or "") if w])
+           for r in variants.select("pair_id", F.lower("text").alias("t"), F.lower("target").alias("x")).collect()}
+    want = []
+    for i, (t, x) in low.items():
+        at = next((k for k in range(len(t) - len(x) + 1) if t[k:k + len(x)] == x), None) if x else None
+        around = ["<s>", *t, None]
+        for k, w in enumerate(x if at is not None else ()):
+            want.append((i, k, 0, around[at + k], w))
+            if around[at + k + 2] is not None:
+                want.append((i, k, 1, w, around[at + k + 2]))
+    read = LM.masked_bigrams(variants, ["pair_id", "variant"])
+    assert want and sorted(tuple(r) for r in read.drop("variant").collect()) == sorted(want)
+    corpus = spark.createDataFrame([(t,) for t in texts], "sentence string")
+    score = lambda v, lm: sorted(tuple(r) for r in LM.masked_token_scores(v, lm, ["pair_id", "variant"]).collect())
+    assert score(read, LM.train(corpus, units=read)) == score(variants, LM.train(corpus)) != []
+
+
+def test_masked_scoring_takes_a_text_apart_once(spark):
+    """No place of a text is looked at by taking the text apart again, and no filter does so before the column of tokens."""
+    pairs = spark.createDataFrame([("p", "he sat.", "this sat.", "he", "this")], "pair_id string, sentence string, alt_sentence string, grp_term_1 string, grp_term_2 string")
+    plan = SC.masked_bigrams(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_replace") == 2  # the text and the term
+
+
+def test_masked_training_asks_for_what_it_reads(spark, monkeypatch):
+    """The bigrams around the terms are named to the training, not all of the pairs' texts."""
+    named = []
+    monkeypatch.setattr(FL, "train", lambda *a, **k: named.append(k["units"]) or LM.train(*a, **k))
+    assert FL.masked_scored_pairs(spark, SF_SMALL, failsafe="coin").count() > 0
+    assert [set(u.columns) for u in named] == [{"pair_id", "variant", "subtok_pos", "side", "w1", "w2"}]
