@@ -684,7 +684,7 @@ MASKED_CTES = O.pipeline(SPEC, "losses") + [MASKED_SQL]
 
 @register("score_masked", O.with_ctes(SPEC, *MASKED_CTES, body="SELECT pair_id, model, r0, r1 FROM masked"))
 def q_score_masked(spark, sf_dir):
-    read = SC.masked_bigrams(FL.materialize(FL.labelled_pairs(spark, sf_dir)))
+    read = FL.materialize(SC.masked_bigrams(FL.labelled_pairs(spark, sf_dir)))
     return SC.masked_scores(SC.lm_token_logits(read, FL.language_model(spark, sf_dir, read)))
 
 

@@ -128,8 +128,9 @@ def masked_scored_pairs(spark: SparkSession, sf_dir: str, spec: S.BiasSpec | Non
                         lp: DataFrame | None = None) -> DataFrame:
     """Masked-form scoring (G2) by the bigram LM: logits of the target tokens at the first mask."""
     lp = lp if lp is not None else materialize(labelled_pairs(spark, sf_dir, spec))
-    lm = lm if lm is not None else language_model(spark, sf_dir, pair_units(lp)).of_units()
-    scores = SC.masked_scores(SC.lm_token_logits(lp, lm, LM_MODEL + "-masked"))
+    read = materialize(SC.masked_bigrams(lp))  # by the training and by the scores
+    lm = lm if lm is not None else language_model(spark, sf_dir, read)
+    scores = SC.masked_scores(SC.lm_token_logits(read, lm, LM_MODEL + "-masked"))
     return (SC.pair_winner(lp, scores, failsafe=failsafe)
             .withColumn("model", F.lit(LM_MODEL + "-masked")))
 
