@@ -103,6 +103,11 @@ def _sieve_bit(file: Column, row: Column) -> Column:
     return F.pmod(F.xxhash64(file, row), F.lit(SIEVE_BITS)) + 1
 
 
+def few(rows: DataFrame, most: int = 10_000) -> bool:
+    """Whether a table has so few rows that it may be sent to every executor."""
+    return rows.limit(most + 1).count() <= most
+
+
 def sieve(places: DataFrame, file: str = "file", row: str = "row") -> DataFrame:
     """A set of places as bits: at most ``SIEVE_BITS / 32768`` rows of 4 KB, so it may be sent to every executor."""
     bit = _sieve_bit(F.col(file), F.col(row))

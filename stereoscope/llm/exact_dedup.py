@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import located, on_files, sieve, sifted, staged, without_spaces, work_dir
+from .common import few, located, on_files, sieve, sifted, staged, without_spaces, work_dir
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -27,6 +27,7 @@ STATE_CONF = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 SPLIT = 2_000  # copies of a kept text that one task compares
+FEW = 100_000  # places that may be broadcast: files keep a repeated file's name once, so Spark sizes them too low
 
 
 def sha256(normal: Column) -> Column:
@@ -133,6 +134,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = on_files(docs)
     place = [F.col("rank.file").alias("_file"), F.col("rank.row").alias("_row")]
     gone = staged(decisions(docs, id_col, text_col).filter("not kept").select(*place), "dropped")
+    exact = gone if few(gone, FEW) else gone.hint("merge")
     rows = sifted(located(docs), sieve(gone, "_file", "_row"))
-    checked = rows.filter("_met").join(gone, ["_file", "_row"], "left_anti")
+    checked = rows.filter("_met").join(exact, ["_file", "_row"], "left_anti")
     return rows.filter("not _met").select("_doc.*").unionAll(checked.select("_doc.*"))

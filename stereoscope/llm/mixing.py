@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import located, n_words, on_files, staged
+from .common import few, located, n_words, on_files, staged
 from .prefix import global_prefix
 
 MOST = 2  # no target above so many times its source's size
@@ -68,11 +68,6 @@ def copies(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1
     return joined.select(F.col(f"d.{id_col}"), "d.source", "d.size", "t.source_size", "t.target", n.cast("int").alias("copies"), "d._hash", *[F.col(f"d.{p}") for p in place])
 
 
-def few(targets: DataFrame, rows: int = 10_000) -> bool:
-    """Whether the sources' table is small enough to send to every executor."""
-    return targets.limit(rows + 1).count() <= rows
-
-
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; all columns stay.
 

@@ -128,7 +128,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: st
     root = components(links(nodes.select("fp"), distance))
     named = nodes.join(root, nodes.fp == root.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.join(named.join(low, "root").select("fp", "root", "component_id"), "fp").select(id_col, *keep, "fp", "root", "component_id")
+    # files keep a repeated place's name once, rows each time: Spark sizes them too low for a broadcast
+    return own.hint("merge").join(named.join(low, "root").select("fp", "root", "component_id"), "fp").select(id_col, *keep, "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,3 +216,28 @@ def test_no_exploded_rows_are_broadcast(spark, monkeypatch, crowd):
     assert [n.nodeName() for n in below(plan)].count("SortMergeJoin") == 1
     assert not any(x.nodeName() == "Generate" for n in sent for x in below(n))
     assert bool(sent) == (crowd == 2)  # the crowded values and what is beside them, whose size is known from files
+
+
+def broadcast_sides(spark, make):
+    """The broadcasts of the physical plan of what ``make`` gives, at Spark's own threshold."""
+    names = [f"spark.sql.{x}autoBroadcastJoinThreshold" for x in ("", "adaptive.")]
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "10MB")
+        plan = make()._jdf.queryExecution().executedPlan()
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    return [n.toString() for n in below(plan) if n.nodeName() == "BroadcastExchange"]
+
+
+def test_rows_with_places_are_not_broadcast(spark, small, monkeypatch):
+    """A file's name is kept once in a file of places and is in every row of a broadcast: the rows grow with the documents."""
+    own = broadcast_sides(spark, lambda: simhash.near_groups(common.located(small[0]).selectExpr("_doc.doc_id", "_doc.text", "_file", "_row"), keep=("_file", "_row")))
+    assert not any("_file#" in x for x in own)
+    for most in (100_000, 0):
+        monkeypatch.setattr(exact_dedup, "FEW", most)
+        sent = broadcast_sides(spark, lambda: exact_dedup.deduplicated(small[0]))
+        assert sum("dropped" in x and "BitmapExpression" not in x and "bitmap" not in x for x in sent) == (1 if most else 0), sent
+        assert exact_dedup.deduplicated(small[0]).count() == len(brute_groups(small[1]))
